@@ -109,13 +109,9 @@ def source_annotation(docs: DataFrame, notes: DataFrame, url: str = "url", id: s
     ``notes(key_order, key, name, annotation)`` is a hand-written configuration of a few rows. It is folded into one
     array that rides along as a scalar subquery, so URLs are matched in one narrow pass.
     """
-    spark = docs.sparkSession
     packed = notes.where(F.length("key") >= min_key).agg(F.array_sort(F.collect_list(
         F.struct("key_order", "key", F.concat("name", F.lit(": "), "annotation").alias("note")))).alias("notes"))
-    name = f"_notes_{abs(hash(url)) % 10_000}"
-    packed.createOrReplaceTempView(name)
-    table = spark.sql(f"SELECT * FROM {name}")
-    rows = docs.withColumn("_notes", table.scalar())
+    rows = docs.withColumn("_notes", packed.scalar())
     hit = F.filter("_notes", lambda n: F.contains(F.col(url), n["key"]))
     return rows.select(id, F.try_element_at(hit, F.lit(-1))["note"].alias("source")).where("source IS NOT NULL")
 

@@ -21,7 +21,7 @@ from leafgraph.session import spread
 # Largest question set that is sent to every task: with 1024 dimensions 4096 questions are 32 MB.
 MAX_SHARED_QUESTIONS = 4096
 # Rows of one vector block when both sides have to be shuffled.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 20_000
 # Distances are compared and reported to this many digits, so that the order does not depend on how rows were blocked.
 DIGITS = 9
 _HITS = "question_id long, doc_id long, distance double"
