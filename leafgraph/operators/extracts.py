@@ -87,10 +87,10 @@ CONTEXT_WORDS = ("below", "as follows")
 CONTEXT_MAX = 400
 
 
-def parent_context(text: Column) -> Column:
+def parent_context(text: Column, words: tuple[str, ...] = CONTEXT_WORDS, max_len: int = CONTEXT_MAX) -> Column:
     """A short text that points at what follows is context for the child extracts; null otherwise."""
-    points = F.contains(text, F.lit(CONTEXT_WORDS[0])) | F.contains(text, F.lit(CONTEXT_WORDS[1]))
-    return F.when((F.length(text) < CONTEXT_MAX) & points, text)
+    points = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return F.when((F.length(text) < max_len) & points, text)
 
 
 register("metadata", "default_extract_metadata", title_metadata)

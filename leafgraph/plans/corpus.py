@@ -20,7 +20,6 @@ from leafgraph.session import materialize
 class Corpus:
     extracts: DataFrame
     edges: DataFrame
-    errors: DataFrame
 
 
 def base_row(pages: DataFrame, config: SiteConfig, site_no: int) -> DataFrame:
@@ -68,5 +67,4 @@ def build_corpus(sites: list[tuple[DataFrame, SiteConfig]], redirects: DataFrame
         lambda l: F.struct(l["title"].alias("title"), l["url"].alias("url"), l["doc_id"].alias("doc_id"))
     ).alias("links"))
     edges = relations(body).unionByName(link_edges(resolved))
-    errors = body.select("page_id").limit(0).withColumn("error", F.lit(None).cast("string"))
-    return Corpus(extracts.drop("links").join(per_doc, "doc_id", "left"), edges, errors)
+    return Corpus(extracts.drop("links").join(per_doc, "doc_id", "left"), edges)

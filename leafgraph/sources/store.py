@@ -95,5 +95,5 @@ def append_update(spark: SparkSession, path: str, id: int, at: Column | None = N
 
 def export_interactions(log: DataFrame, feedback: DataFrame, path: str, stamp: str) -> None:
     """Question log and feedback as CSV without header, under names that carry the time of the export."""
-    export_rows(log).write.mode("overwrite").csv(f"{path}/logs/question-log-{stamp}")
-    export_rows(feedback).write.mode("overwrite").csv(f"{path}/logs/feedback-log-{stamp}")
+    for rows, name in ((log, "question-log"), (feedback, "feedback-log")):
+        export_rows(rows).write.mode("overwrite").option("escape", '"').csv(f"{path}/logs/{name}-{stamp}")
