@@ -42,7 +42,6 @@ _ROOT = r"regexp_extract(url, '^(https?://[^/?#]+)', 1)"
       {sql_clean_url("root || regexp_replace(dir, '[^/]*/$', '') || substring(href, 2)")} FROM x UNION ALL
     SELECT page_id, '#' || substring(href, 2), {sql_clean_url("page || '#' || substring(href, 2)")} FROM x UNION ALL
     SELECT page_id, '?' || substring(href, 2), {sql_clean_url("bare || '?' || substring(href, 2)")} FROM x UNION ALL
-    SELECT page_id, 'http:/' || href, 'http:/' || href FROM x WHERE href LIKE '/%'  AND FALSE UNION ALL
     SELECT page_id, '//cdn' || href, '//cdn' || href FROM x""")
 def f8(t: Tables) -> DataFrame:
     """Every link in its root-relative, folder-relative, parent-relative, fragment, query and host form."""
