@@ -105,7 +105,7 @@ def extract_field(text: Column, name: str) -> Column:
     if name == "url":
         pattern = r"url:\s*(\S+)"
     else:
-        pattern = name + r":\s*((?:.|\n)*?)(?:\n\w+:\s|$)"
+        pattern = name + r":\s*([\s\S]*?)(?:\n\w+:\s|\n?\z)"
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
 
 

@@ -23,11 +23,12 @@ def program_options(extracts: DataFrame) -> DataFrame:
 def nested_taxonomy(flat: DataFrame) -> DataFrame:
     """``(faculty, programs)`` with the nested JSON shape of the taxonomy file; one row per faculty."""
     empty = F.create_map().cast("map<string,string>")
-    specs = F.array_sort(F.collect_set("specialization"))
-    programs = flat.groupBy("faculty", "program").agg(specs.alias("specs")).withColumn(
-        "body", F.struct(F.map_from_entries(F.transform("specs", lambda s: F.struct(s, empty))).alias("specializations")))
-    return programs.groupBy("faculty").agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("program", "body")))).alias("programs"))
+    programs = flat.groupBy("faculty", "program").agg(F.array_sort(F.collect_set("specialization")).alias("specs"))
+    body = lambda p: F.struct(F.map_from_entries(F.transform(
+        p["specs"], lambda s: F.struct(s, empty))).alias("specializations"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("program", "specs"))),
+                          lambda p: F.struct(p["program"], body(p)))
+    return programs.groupBy("faculty").agg(F.map_from_entries(entries).alias("programs"))
 
 
 def taxonomy_json(flat: DataFrame) -> DataFrame:

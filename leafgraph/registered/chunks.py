@@ -1 +1,221 @@
-"""todo"""
+"""Sentences, chunks and the relation graph over ``documents``.
+
+A document is a page. For chunking it is one section; for the relation graph each of its lines is a section, so that
+sections have siblings and long lines have split siblings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafgraph import schemas as S
+from leafgraph.functions.text import split_sentences, strip
+from leafgraph.operators import chunking as C
+from leafgraph.operators import extracts as X
+from leafgraph.operators import graph as G
+from leafgraph.registered.base import Tables, query, sql_strip
+from leafgraph.session import materialize, spread
+
+
+def sql_sentences(e: str) -> str:
+    """Array of sentences, in the same rule order as the engine."""
+    e = rf"regexp_replace({e}, '(^|\n)\s*(\d+)\.\s', chr(1) || '\2' || chr(2), 'g')"
+    e = rf"regexp_replace({e}, '(^|\n)\s*(\*+)', chr(1) || '\2', 'g')"
+    e = rf"regexp_replace({e}, '\n\n', chr(1), 'g')"
+    e = rf"regexp_replace({e}, '([.!?])\s+', '\1' || chr(1), 'g')"
+    return (f"list_filter(list_transform(string_split(replace({e}, chr(2), '. '), chr(1)), "
+            f"lambda s: {sql_strip('s')}), lambda s: s <> '')")
+
+
+def documents(t: Tables) -> DataFrame:
+    return spread(t.documents.select("doc_id", "text"))
+
+
+@query("e6_split_sentences", f"""WITH s AS (SELECT doc_id, {sql_sentences('text')} AS a FROM documents)
+    SELECT doc_id, (generate_subscripts(a, 1) - 1)::INTEGER AS i, unnest(a) AS sentence FROM s""")
+def e6(t: Tables) -> DataFrame:
+    return documents(t).select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("i", "sentence"))
+
+
+def sql_chunks(source: str, key: str, max_len: int = 1000) -> str:
+    """CTEs that end in ``chunks(key, split_idx, text)`` for ``source(key, text)``, packing by a recursive walk."""
+    w = r"list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')"
+    return f"""
+    src AS ({source}),
+    sent AS (SELECT {key}, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM (
+      SELECT {key}, {sql_sentences('text')} AS a FROM src WHERE length(text) > {max_len})),
+    words AS (SELECT {key}, i, generate_subscripts(a, 1) AS j, unnest(a) AS w FROM (
+      SELECT {key}, i, {w} AS a FROM sent WHERE length(s) > {max_len})),
+    wfold AS (SELECT {key}, i, j, length(w) AS size, 0 AS c FROM words WHERE j = 1 UNION ALL
+      SELECT n.{key}, n.i, n.j, CASE WHEN f.size + 1 + length(n.w) <= {max_len} THEN f.size + 1 + length(n.w)
+        ELSE length(n.w) END, f.c + CASE WHEN f.size + 1 + length(n.w) <= {max_len} THEN 0 ELSE 1 END
+      FROM wfold f JOIN words n ON n.{key} = f.{key} AND n.i = f.i AND n.j = f.j + 1),
+    pieces AS (SELECT {key}, i, c, string_agg(w, ' ' ORDER BY j) AS s, true AS force
+      FROM wfold JOIN words USING ({key}, i, j) GROUP BY {key}, i, c UNION ALL
+      SELECT {key}, i, 0, s, false FROM sent WHERE length(s) <= {max_len}),
+    units AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY i, c) AS u FROM pieces),
+    fold AS (SELECT {key}, u, length(s) AS size, 0 AS c FROM units WHERE u = 1 UNION ALL
+      SELECT n.{key}, n.u, CASE WHEN f.size + 1 + length(n.s) <= {max_len} AND NOT n.force
+          THEN f.size + 1 + length(n.s) ELSE length(n.s) END,
+        f.c + CASE WHEN f.size + 1 + length(n.s) <= {max_len} AND NOT n.force THEN 0 ELSE 1 END
+      FROM fold f JOIN units n ON n.{key} = f.{key} AND n.u = f.u + 1),
+    chunks AS (SELECT {key}, fold.c::INTEGER AS split_idx, string_agg(s, ' ' ORDER BY u) AS text
+      FROM fold JOIN units USING ({key}, u) GROUP BY {key}, fold.c UNION ALL
+      SELECT {key}, 0, text FROM src WHERE length(text) <= {max_len})"""
+
+
+@query("e7_pack_sentences", f"""WITH RECURSIVE {sql_chunks('SELECT doc_id, text FROM documents', 'doc_id')}
+    SELECT doc_id, split_idx, text FROM chunks""")
+def e7(t: Tables) -> DataFrame:
+    return C.split_long_texts(documents(t))
+
+
+@query("e8_pack_words", r"""WITH RECURSIVE words AS (SELECT doc_id, generate_subscripts(a, 1) AS j, unnest(a) AS w FROM (
+      SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS a FROM documents)),
+    fold AS (SELECT doc_id, j, length(w) AS size, 0 AS c FROM words WHERE j = 1 UNION ALL
+      SELECT n.doc_id, n.j, CASE WHEN f.size + 1 + length(n.w) <= 300 THEN f.size + 1 + length(n.w) ELSE length(n.w) END,
+        f.c + CASE WHEN f.size + 1 + length(n.w) <= 300 THEN 0 ELSE 1 END
+      FROM fold f JOIN words n ON n.doc_id = f.doc_id AND n.j = f.j + 1)
+    SELECT doc_id, c::INTEGER AS piece, string_agg(w, ' ' ORDER BY j) AS text FROM fold JOIN words USING (doc_id, j)
+    GROUP BY doc_id, c""")
+def e8(t: Tables) -> DataFrame:
+    """Whole documents as one over-long sentence, cut at 300 characters."""
+    return documents(t).select("doc_id", F.posexplode(C.pack_words(F.col("text"), 300)).alias("piece", "text"))
+
+
+@query("e9_recursive_chunk", """SELECT doc_id, true AS fits, true AS in_order, true AS covers, (length(text) > 2000) AS cut
+    FROM documents""")
+def e9(t: Tables) -> DataFrame:
+    """Invariants of the overlapping chunks: size, each chunk a piece of the text, first and last at its ends, enough
+    characters to cover it, and more than one chunk exactly for long texts."""
+    rows = documents(t).withColumn("c", C.recursive_chunks(F.col("text"), 2000, 100))
+    return rows.select(
+        "doc_id", F.forall("c", lambda x: F.length(x) <= 2000).alias("fits"),
+        (F.forall("c", lambda x: F.contains(F.col("text"), x)) & F.startswith("text", F.element_at("c", 1))
+         & F.endswith("text", F.element_at("c", -1))).alias("in_order"),
+        (F.aggregate("c", F.lit(0), lambda a, x: a + F.length(x)) >= F.length("text")).alias("covers"),
+        (F.size("c") > 1).alias("cut"))
+
+
+@query("e1_assign_doc_ids", f"""WITH RECURSIVE {sql_chunks('SELECT doc_id, text FROM documents', 'doc_id')}
+    SELECT doc_id AS page_id, split_idx, doc_id * 1048576 + split_idx AS doc_id FROM chunks""")
+def e1(t: Tables) -> DataFrame:
+    chunks = C.split_long_texts(documents(t)).withColumnRenamed("doc_id", "page_id")
+    return X.assign_doc_ids(chunks, "split_idx").select("page_id", "split_idx", "doc_id")
+
+
+MAX_LINE = 200
+
+
+def line_extracts(t: Tables) -> DataFrame:
+    """Lines as root sections, cut at 200 characters, with ids."""
+    lines = documents(t).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n"))
+                                .alias("sec_no", "text"))
+    chunks = C.split_long_texts(lines.where(strip(F.col("text")) != ""), max_len=MAX_LINE)
+    rows = X.assign_doc_ids(chunks, "sec_no", "split_idx")
+    return rows.withColumns({"parent_sec": F.lit(None).cast("long"), "parent": -1 - F.col("page_id")})
+
+
+LINES = sql_chunks(f"""SELECT doc_id * 100000 + i - 1 AS line, s AS text FROM (
+      SELECT doc_id, generate_subscripts(a, 1) AS i, unnest(a) AS s FROM (
+        SELECT doc_id, string_split(text, E'\\n') AS a FROM documents)) WHERE {sql_strip('s')} <> ''""", "line", MAX_LINE) + """,
+    ex AS (SELECT line // 100000 AS page_id, line, split_idx, text, (line // 100000) * 1048576 - 1 + row_number() OVER (
+      PARTITION BY line // 100000 ORDER BY line, split_idx) AS id FROM chunks),
+    sib AS (SELECT *, lag(id) OVER (PARTITION BY page_id ORDER BY line, split_idx) AS prev FROM ex),
+    edges AS (SELECT -1 - page_id AS src, id AS dst, 1 AS type FROM sib UNION ALL
+      SELECT prev, id, CASE WHEN split_idx > 0 THEN 5 ELSE 4 END FROM sib WHERE prev IS NOT NULL)"""
+
+
+def line_edges(t: Tables) -> DataFrame:
+    return materialize(X.relations(line_extracts(t)), "edges")
+
+
+@query("e11_relations", f"WITH RECURSIVE {LINES} SELECT src, dst, type FROM edges")
+def e11(t: Tables) -> DataFrame:
+    return X.relations(line_extracts(t))
+
+
+@query("j3_related_docs", f"""WITH RECURSIVE {LINES}
+    SELECT 'both' AS way, dst AS doc_id, src AS related_id FROM edges WHERE type = 4 UNION ALL
+    SELECT 'both', src, dst FROM edges WHERE type = 4 UNION ALL
+    SELECT 'in', dst, src FROM edges WHERE type = 5 UNION ALL
+    SELECT 'only', id, n.related_id FROM ex LEFT JOIN (SELECT src, CASE WHEN count(*) = 1 THEN max(dst) END AS related_id
+      FROM edges WHERE type = 5 GROUP BY src) n ON n.src = id""")
+def j3(t: Tables) -> DataFrame:
+    edges = line_edges(t)
+    ids = edges.where("type = 1").select(F.col("dst").alias("doc_id"))
+    parts = [G.sibling_ids(edges, ids).withColumn("way", F.lit("both")),
+             G.related_docs(edges, ids, S.SPLIT_SIBLING, in_only=True).withColumn("way", F.lit("in")),
+             G.related_docs(edges, ids, S.SPLIT_SIBLING, out_only=True, only_one=True).withColumn("way", F.lit("only"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("j4_split_siblings", f"""WITH RECURSIVE {LINES} SELECT a.id AS doc_id, (b.split_idx + 1)::INTEGER AS position,
+    b.id AS member_id FROM ex a JOIN ex b ON a.line = b.line""")
+def j4(t: Tables) -> DataFrame:
+    edges = line_edges(t)
+    return G.split_siblings(edges, edges.where("type = 1").select(F.col("dst").alias("doc_id")))
+
+
+@query("j5_combine_siblings", f"""WITH RECURSIVE {LINES} SELECT a.id AS doc_id, string_agg(b.text, ' ' ORDER BY b.split_idx)
+    AS text, 'x' AS titles FROM ex a JOIN ex b ON a.line = b.line GROUP BY a.id""")
+def j5(t: Tables) -> DataFrame:
+    rows = materialize(line_extracts(t).select("page_id", "sec_no", "parent_sec", "split_idx", "doc_id", "parent", "text"),
+                       "lines")
+    hits = rows.select("doc_id", "text", F.array(F.lit("x"), F.lit("y")).alias("titles"))
+    out = G.combine_siblings(hits, X.relations(rows), rows.select("doc_id", "text"))
+    return out.select("doc_id", "text", F.array_join("titles", "|").alias("titles"))
+
+
+@query("j6_docs_by_ids", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def j6(t: Tables) -> DataFrame:
+    return G.docs_by_ids(t.documents, t.labels).select("doc_id", "lang")
+
+
+@query("e15_combine_sites", """SELECT doc_id, CASE WHEN lang = 'en' THEN source END AS source,
+    CASE WHEN lang = 'de' THEN n_chars END AS n_chars FROM documents""")
+def e15(t: Tables) -> DataFrame:
+    """English, German and other documents as three sites with different columns."""
+    lang = F.col("lang")
+    return X.combine_sites(t.documents.where(lang == "en").select("doc_id", "source"),
+                           t.documents.where(lang == "de").select("doc_id", "n_chars"),
+                           t.documents.where(~lang.isin("en", "de")).select("doc_id"))
+
+
+@query("a1_program_options", """WITH x AS (SELECT DISTINCT d.lang AS faculty, d.source AS program,
+      CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'good toxic' ELSE 'good clean' END END AS specialization
+      FROM documents d LEFT JOIN labels USING (doc_id))
+    SELECT * FROM x WHERE specialization IS NOT NULL OR NOT EXISTS (SELECT 1 FROM x y WHERE y.faculty = x.faculty
+      AND y.program = x.program AND y.specialization IS NOT NULL)""")
+def a1(t: Tables) -> DataFrame:
+    from leafgraph.operators.taxonomy import program_options
+
+    return program_options(taxonomy_rows(t))
+
+
+def taxonomy_rows(t: Tables) -> DataFrame:
+    """``lang`` is the faculty, ``source`` the program; labels make the specialization list."""
+    spec = F.when(F.col("quality") == 1, F.array(F.when(F.col("toxic") == 1, "good toxic").otherwise("good clean")))
+    return t.documents.join(t.labels, "doc_id", "left").select(
+        F.col("lang").alias("faculty"), F.col("source").alias("program"), spec.alias("specialization"))
+
+
+_TAX = """x AS (SELECT DISTINCT lang AS faculty, source AS program, substring(md5(source || lang), 1, 1) AS specialization
+    FROM documents)"""
+
+
+@query("f6_taxonomy_patch", f"""WITH {_TAX}, old AS (SELECT * FROM x WHERE specialization < 'c'),
+    edited AS (SELECT * FROM x WHERE specialization >= '4' AND specialization < 'd'),
+    new AS (SELECT * FROM x WHERE specialization > '1')
+    (SELECT * FROM new EXCEPT (SELECT * FROM old EXCEPT SELECT * FROM edited))
+    UNION (SELECT * FROM edited EXCEPT SELECT * FROM old)""")
+def f6(t: Tables) -> DataFrame:
+    """Three overlapping slices of one taxonomy are the old, the edited and the new one."""
+    from leafgraph.operators.taxonomy import taxonomy_patch
+
+    spec = F.substring(F.md5(F.concat("source", "lang")), 1, 1)
+    x = t.documents.select(F.col("lang").alias("faculty"), F.col("source").alias("program"),
+                           spec.alias("specialization")).distinct()
+    s = F.col("specialization")
+    return taxonomy_patch(x.where(s > "1"), x.where(s < "c"), x.where((s >= "4") & (s < "d")))

@@ -1 +1,156 @@
-"""todo"""
+"""Question log, feedback, update log and refresh, as batch and as stream.
+
+``conversations`` gives questions with answers, ``events`` gives feedback payloads and updates, ``pages`` the page
+files of the refresh. Streams read JSON or parquet files that Spark writes from those tables into the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafgraph.operators import interactions as I
+from leafgraph.registered.base import Tables, query, sql_squeeze, squeeze
+from leafgraph.registered.pages import ARTICLE, _H1, _REST, sql_text
+from leafgraph.session import work_dir
+from leafgraph.sources.store import append_update, export_interactions
+from leafgraph.streaming.interactions import log_feedback, log_questions
+from leafgraph.streaming.refresh import current_extracts, refresh_pages
+
+PAIRS = """p AS (SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  qa AS (SELECT conv_id, turn, question, answer FROM p WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query("w6_qa_pairs", f"WITH {PAIRS} SELECT * FROM qa")
+def w6(t: Tables) -> DataFrame:
+    return I.qa_pairs(t.conversations)
+
+
+def question_payloads(t: Tables) -> DataFrame:
+    """JSON lines, every event twice, as a restarted sender would leave them."""
+    row = F.struct(F.format_string("%d-%d", "conv_id", "turn").alias("event_id"), "question",
+                   F.lit("Science").alias("context"), "answer",
+                   F.array(F.col("conv_id"), F.col("turn")).alias("reference_ids"),
+                   F.lit("2024-01-01T00:00:00Z").alias("logged_at"))
+    return I.qa_pairs(t.conversations).select(F.to_json(row).alias("value")).withColumn(
+        "value", F.explode(F.array("value", "value")))
+
+
+@query("r1_log_questions", f"""WITH {PAIRS} SELECT conv_id || '-' || turn AS event_id, question, 'Science' AS context, answer,
+    conv_id || ',' || turn AS reference_ids FROM qa""")
+def r1(t: Tables) -> DataFrame:
+    """Runs the stream to its end and reads the sink."""
+    base = work_dir(t.spark, "question-log")
+    question_payloads(t).write.text(f"{base}/in")
+    log_questions(t.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    log_questions(t.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")  # a restart finds nothing new
+    return t.spark.read.parquet(f"{base}/out").select(
+        "event_id", "question", "context", "answer",
+        F.array_join(F.col("reference_ids").cast("array<string>"), ",").alias("reference_ids"))
+
+
+def feedback_payloads(t: Tables) -> DataFrame:
+    """``props`` carries the reference number; error events send an unusable one."""
+    row = F.struct(
+        F.col("event_id").cast("string").alias("event_id"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "yes").otherwise("Yes!").alias("feedback-hidden-helpful"),
+        F.concat(F.lit("about "), "event_type").alias("feedback-hidden-question"),
+        F.lit("").alias("feedback-hidden-context"),
+        F.concat(F.col("user_id").cast("string"), F.lit(","), F.col("event_id").cast("string"), F.lit(","))
+        .alias("feedback-hidden-reference-ids"),
+        F.lit("an answer").alias("feedback-hidden-response"),
+        F.when(F.col("event_type") == "error", "n/a").otherwise(F.get_json_object("props", "$.k"))
+        .alias("feedback-reference-select"),
+        F.lit("").alias("feedback-comments"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("logged_at"))
+    return t.events.select(F.to_json(row).alias("value"))
+
+
+FEEDBACK = """SELECT event_id::VARCHAR AS event_id, event_type IN ('purchase', 'signup') AS helpful_response,
+    'about ' || event_type AS question, user_id || ',' || event_id AS doc_ids,
+    json_extract_string(props, '$.k')::INTEGER AS most_relevant_doc FROM events WHERE event_type <> 'error'"""
+
+
+def _feedback(rows: DataFrame) -> DataFrame:
+    return rows.select("event_id", "helpful_response", "question", F.array_join(
+        F.col("retrieved_doc_ids").cast("array<string>"), ",").alias("doc_ids"), "most_relevant_doc")
+
+
+@query("r2_log_feedback", FEEDBACK)
+def r2(t: Tables) -> DataFrame:
+    accepted, _ = I.split_feedback(I.parse_feedback(feedback_payloads(t)))
+    return _feedback(accepted)
+
+
+@query("r2_feedback_rejects", "SELECT event_id::VARCHAR AS event_id FROM events WHERE event_type = 'error'")
+def r2_rejects(t: Tables) -> DataFrame:
+    _, rejected = I.split_feedback(I.parse_feedback(feedback_payloads(t)))
+    return rejected.select("event_id")
+
+
+@query("r2_log_feedback_stream", FEEDBACK)
+def r2_stream(t: Tables) -> DataFrame:
+    base = work_dir(t.spark, "feedback")
+    feedback_payloads(t).write.text(f"{base}/in")
+    log_feedback(t.spark, f"{base}/in", f"{base}/out", f"{base}/rejects", f"{base}/checkpoint")
+    return _feedback(t.spark.read.parquet(f"{base}/out"))
+
+
+@query("r3_refresh_pages", f"""SELECT page_id, {sql_text(_H1)} AS path, {sql_squeeze(
+    f"regexp_replace({sql_text(_REST)}, '#+', '', 'g')")} || CASE WHEN page_id % 3 = 0 THEN ' again' ELSE '' END AS body
+    FROM pages""")
+def r3(t: Tables) -> DataFrame:
+    """All pages arrive, then every third one again with an added word and a later date, and some unchanged."""
+    base = work_dir(t.spark, "refresh")
+    url = F.concat("url", F.lit("&id="), F.col("page_id").cast("string"))
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    pages = t.pages.select("page_id", url.alias("url"), "html", day(1).alias("last_modified"))
+    newer = F.col("page_id") % 3 == 0
+    again = pages.withColumns({
+        "html": F.when(newer, F.replace("html", F.lit("</article>"), F.lit("<p>again</p></article>"))).otherwise(F.col("html")),
+        "last_modified": F.when(newer, day(2)).otherwise(day(1))})
+    config = ARTICLE.__class__(**{**ARTICLE.__dict__, "max_extract_len": 1 << 20})
+    for batch in (pages, again):
+        batch.write.mode("append").parquet(f"{base}/in")
+        refresh_pages(t.spark, f"{base}/in", f"{base}/table", f"{base}/checkpoint", config, f"{base}/updates")
+    rows = current_extracts(t.spark, f"{base}/table")
+    return rows.select("page_id", squeeze(F.array_join("titles", " / ")).alias("path"), squeeze(F.col("text")).alias("body"))
+
+
+@query("r4_record_update", """SELECT event_type, strftime(max(ts), '%m/%d/%Y, %H:%M:%S (UTC)') AS last_updated FROM events
+    GROUP BY event_type""")
+def r4(t: Tables) -> DataFrame:
+    """One update per kind of event is recorded, at the time of its last event."""
+    base = work_dir(t.spark, "updates")
+    kinds = t.events.groupBy("event_type").agg(F.max("ts").alias("at"), F.max("event_id").alias("id"))
+    kinds.select("event_type", "id", F.col("at").alias("datetime")).write.mode("append").parquet(base)
+    append_update(t.spark, f"{base}-own", 1)
+    log = t.spark.read.parquet(base)
+    return log.select("event_type", F.concat(F.date_format("datetime", "MM/dd/yyyy, HH:mm:ss"), F.lit(" (UTC)"))
+                      .alias("last_updated"))
+
+
+@query("w5_last_update", """SELECT strftime(arg_max(ts, event_id), '%m/%d/%Y, %H:%M:%S (UTC)') AS last_updated FROM events""")
+def w5(t: Tables) -> DataFrame:
+    return I.last_update(t.events, id="event_id", at="ts")
+
+
+@query("a5_load_audit", """SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_null,
+    count(*) FILTER (trim(text) = '') AS n_blank, coalesce(sum(length(text)), 0)::BIGINT AS n_chars
+    FROM (SELECT CASE WHEN lang <> 'de' THEN text END AS text FROM documents)""")
+def a5(t: Tables) -> DataFrame:
+    """German texts count as missing."""
+    return I.load_audit(t.documents.select(F.when(F.col("lang") != "de", F.col("text")).alias("text")))
+
+
+@query("s11_export_interactions", f"""WITH {PAIRS} SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, question,
+    conv_id || ',' || turn AS reference_ids FROM qa""")
+def s11(t: Tables) -> DataFrame:
+    """The export is read back; it has no header."""
+    base = work_dir(t.spark, "export")
+    log = I.qa_pairs(t.conversations).select("conv_id", "turn", "question", F.array("conv_id", "turn").alias("reference_ids"))
+    accepted, _ = I.split_feedback(I.parse_feedback(feedback_payloads(t)))
+    export_interactions(log, accepted, base, "01-01-2024-00-00-00")
+    return (t.spark.read.schema("conv_id string, turn string, question string, reference_ids string")
+            .option("multiLine", True).option("escape", '"').csv(f"{base}/logs/question-log-01-01-2024-00-00-00"))

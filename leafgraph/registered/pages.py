@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.functions.registry import register
 from leafgraph.functions.text import clean_text
 from leafgraph.operators import extracts as X
 from leafgraph.operators.parse import SiteConfig, page_titles, parse_pages
@@ -231,6 +232,20 @@ def e12(t: Tables) -> DataFrame:
                                            squeeze(F.col("context")).alias("context"))
 
 
+def price_context(text):
+    """A context rule of our own, to be named in a configuration."""
+    return F.when(F.contains(text, F.lit("type")), F.upper(squeeze(text)))
+
+
+@query("u1_function_registry", f"""WITH {PARTS} SELECT page_id, path, CASE WHEN up = 2 THEN upper('type ' || type) END
+    AS context FROM s JOIN p USING (page_id)""")
+def u1(t: Tables) -> DataFrame:
+    """A registered function is found by the name in the configuration."""
+    register("context", "price_context", price_context)
+    config = SiteConfig(name="parts", main_content_attrs={"id": "main"}, parent_context_extractor="price_context")
+    return part_extracts(t, config).select("page_id", F.array_join("titles", " / ").alias("path"), "context")
+
+
 @query("e14_site_constants", f"""WITH {PARTS} SELECT page_id, path, 'Faculty of Parts' AS faculty, NULL::VARCHAR AS program,
     'north' AS campus FROM s""")
 def e14(t: Tables) -> DataFrame:

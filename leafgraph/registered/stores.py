@@ -1 +1,87 @@
-"""todo"""
+"""Sinks and sources: what was written is read back and compared with what went in.
+
+``documents`` is the extract table (``lang`` is the site), its lines the graph, ``embeddings`` the vector table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafgraph import schemas as S
+from leafgraph.operators.extracts import relations
+from leafgraph.operators.taxonomy import program_options, read_taxonomy, taxonomy_json
+from leafgraph.registered.base import ORACLES, Tables, query
+from leafgraph.registered.chunks import LINES, line_extracts, taxonomy_rows
+from leafgraph.session import work_dir
+from leafgraph.sources import store
+
+
+@query("s4_write_extracts", """SELECT doc_id, lang AS site, CASE WHEN n_chars < 500 THEN 'None' ELSE source END AS program,
+    length(text) AS n, 1::INTEGER AS n_links FROM documents""")
+def s4(t: Tables) -> DataFrame:
+    base = work_dir(t.spark, "extracts")
+    rows = t.documents.select(
+        "doc_id", F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string")).alias("url"),
+        F.lit(None).cast("long").alias("parent"), F.array("source").alias("titles"), F.array("lang").alias("parent_titles"),
+        "text", F.array(F.struct(F.lit("t").alias("title"), F.lit("u").alias("url"), F.col("doc_id").alias("doc_id")))
+        .alias("links"), F.lit(None).cast("string").alias("context"), F.lit(0).alias("split_idx"),
+        F.col("lang").alias("faculty"), F.when(F.col("n_chars") >= 500, F.col("source")).alias("program"),
+        F.lit(None).cast("array<string>").alias("specialization"), F.lit("f.html").alias("orig_doc"),
+        F.lit("2024-01-01").cast("timestamp").alias("last_modified"), F.col("lang").alias("site"))
+    store.write_extracts(rows, base)
+    store.export_extracts(rows, f"{base}-csv")
+    back = store.read_extracts(t.spark, base, fill="None")
+    return back.select("doc_id", "site", "program", F.length("text").cast("long").alias("n"),
+                       F.size("links").alias("n_links"))
+
+
+@query("s5_write_edges", f"WITH RECURSIVE {LINES} SELECT src, dst, type FROM edges WHERE type = 5")
+def s5(t: Tables) -> DataFrame:
+    """The folder per edge type prunes the read."""
+    base = work_dir(t.spark, "graph")
+    store.write_edges(relations(line_extracts(t)), base)
+    return store.read_edges(t.spark, base).where(F.col("type") == S.SPLIT_SIBLING)
+
+
+@query("s6_write_vectors", """SELECT vec_id AS doc_id, 96::INTEGER AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total
+    FROM embeddings""")
+def s6(t: Tables) -> DataFrame:
+    base = work_dir(t.spark, "vectors")
+    rows = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("text_embedding"),
+                               F.reverse("embedding").alias("title_embedding"))
+    store.write_vectors(rows, base, dim=96)
+    back = t.spark.read.parquet(base)
+    return back.select("doc_id", F.size("text_embedding").alias("dim"), F.round(F.aggregate(
+        F.col("title_embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("s7_upsert_collection", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS load FROM documents""")
+def s7(t: Tables) -> DataFrame:
+    """A first load of the English documents, then all: known ids keep their first row."""
+    base = work_dir(t.spark, "collections")
+    first = t.documents.where(F.col("lang") == "en").select("doc_id", F.lit("first").alias("load"))
+    every = t.documents.select("doc_id", F.lit("second").alias("load"))
+    store.upsert_collection(first, base, "c", clear=True)
+    store.upsert_collection(every, base, "c")
+    return t.spark.read.parquet(f"{base}/collection=c")
+
+
+@query("s8_reuse_vectors", """WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    SELECT 'known' AS state, md5(text) AS key, count(*) AS n FROM documents WHERE text IN (SELECT text FROM c) GROUP BY text
+    UNION ALL SELECT 'missing', md5(text), 1 FROM documents WHERE text NOT IN (SELECT text FROM c) GROUP BY text""")
+def s8(t: Tables) -> DataFrame:
+    """The cache holds the texts of labelled documents."""
+    cached = t.documents.join(t.labels, "doc_id", "left_semi").select(F.md5("text").alias("key")).distinct()
+    known, missing = store.reuse_vectors(t.documents.select("doc_id", "text"),
+                                         cached.withColumn("embedding", F.array(F.lit(0.0))))
+    return known.groupBy(F.lit("known").alias("state"), "key").agg(F.count("*").alias("n")).unionByName(
+        missing.select(F.lit("missing").alias("state"), "key", F.lit(1).cast("long").alias("n")))
+
+
+@query("s10_write_taxonomy", ORACLES["a1_program_options"])
+def s10(t: Tables) -> DataFrame:
+    """The nested JSON holds exactly the flat rows."""
+    base = work_dir(t.spark, "taxonomy")
+    taxonomy_json(program_options(taxonomy_rows(t))).write.parquet(base)
+    return read_taxonomy(t.spark.read.parquet(base))
