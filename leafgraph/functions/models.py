@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafgraph.functions.text import split_sentences, strip
 from leafgraph.session import spread
@@ -56,7 +57,7 @@ def embed(df: DataFrame, model_factory: Callable[[], Callable[[list[str]], list[
 def call_model(df: DataFrame, prompt: str, output: str,
                model_factory: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """Add the model's reply to every prompt, in Arrow batches, one model per task."""
-    schema = df.schema.add(output, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_factory()

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import leafgraph.operators.extracts  # noqa: F401 - registers the default metadata and context functions
 from leafgraph.functions.registry import resolve
 from leafgraph.operators.parse import DEFAULT_SPLITS, SiteConfig
 
