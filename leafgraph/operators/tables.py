@@ -20,45 +20,65 @@ def _blank(c: Column) -> Column:
     return strip(F.coalesce(c, F.lit(""))) == ""
 
 
-def classify_tables(parsed: DataFrame) -> DataFrame:
-    """``kind``: ``empty`` (nothing inside, dropped), ``double`` (first header cell blank) or ``general``."""
-    kind = F.when(F.col("tag") == "empty", "empty").when(
+def _table_kind() -> Column:
+    return F.when(F.col("tag") == "empty", "empty").when(
         F.col("text").isNotNull() & _blank(F.col("text")), "double").otherwise("general")
+
+
+def classify_tables(parsed: DataFrame) -> DataFrame:
+    """``table_kind``: ``empty`` (nothing inside, dropped), ``double`` (first header cell blank) or ``general``."""
     return parsed.where(F.col("kind") == "table").select(*_TABLE, F.col("pos").alias("table_pos"),
-                                                         kind.alias("table_kind"))
+                                                         _table_kind().alias("table_kind"))
 
 
 def collect_footnotes(parsed: DataFrame) -> DataFrame:
-    """``(page_id, table_no, note_key, note, row_no)``; of two notes with one key the later wins."""
-    newest = Window.partitionBy(*_TABLE, "note_keys").orderBy(F.desc("pos"))
-    return (
-        parsed.where(F.col("kind") == "note").withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-        .select(*_TABLE, F.col("note_keys").alias("note_key"), F.col("text").alias("note"), "pos", "row_no"))
+    """``(page_id, table_no, note_key, note, pos)``; of two notes with one key the later wins."""
+    return parsed.where(F.col("kind") == "note").groupBy(*_TABLE, F.col("note_keys").alias("note_key")).agg(
+        F.max_by("text", "pos").alias("note"), F.max("pos").alias("pos"))
+
+
+def _kept(parsed: DataFrame) -> DataFrame:
+    """Table rows without the rows that hold a footnote and without the trailing blank cells of a row."""
+    row = Window.partitionBy(*_ROW)
+    kind = F.col("kind")
+    full = (kind == "cell") & (~_blank(F.col("body")) | F.col("nested"))
+    marked = parsed.where(kind.isin("table", "row", "cell", "note")).withColumns({
+        "_has_note": F.max(kind == "note").over(row), "_last": F.max(F.when(full, F.col("col_no"))).over(row)})
+    stays = kind.isin("table", "note") | (~F.col("_has_note") & (
+        (kind == "row") | ((kind == "cell") & (F.col("col_no") <= F.col("_last")))))
+    return marked.where(stays).drop("_has_note", "_last")
 
 
 def trim_cells(parsed: DataFrame) -> DataFrame:
-    """Cells of the rows that hold no footnote, without trailing blank cells."""
-    note_rows = parsed.where(F.col("kind") == "note").select(*_ROW).distinct()
-    cells = parsed.where(F.col("kind") == "cell").join(note_rows, _ROW, "left_anti")
-    last_full = F.max(F.when(~_blank(F.col("body")) | F.col("nested"), F.col("col_no"))).over(
-        Window.partitionBy(*_ROW))
-    return cells.withColumn("_last", last_full).where(F.col("col_no") <= F.col("_last")).drop("_last")
+    return _kept(parsed).where(F.col("kind") == "cell")
 
 
-def resolve_footnotes(cells: DataFrame, notes: DataFrame) -> DataFrame:
-    """Add ``note``: the texts of the cell's comma-separated keys in key order, each followed by a blank.
+def _with_notes(parsed: DataFrame) -> DataFrame:
+    """The kept rows; cells with ``note``, notes with ``wins`` (no later note has their key).
+
+    Cells are expanded by key and meet the notes in a window over (table, key), then fold back into one row each: the
+    data stays partitioned by page throughout.
+    """
+    cell, note = F.col("kind") == "cell", F.col("kind") == "note"
+    keys = F.when(cell, F.split("note_keys", ",")).when(note, F.array("note_keys"))
+    given = F.max(F.when(note, F.struct("pos", "text"))).over(Window.partitionBy(*_TABLE, "_key"))
+    keyed = _kept(parsed).select("*", F.posexplode_outer(keys).alias("_i", "_key")).withColumn("_given", given)
+    found = F.when(cell & F.col("_given").isNotNull(), F.struct("_i", F.col("_given.text").alias("t")))
+    other = ("tag", "text", "body", "nested", "title_row", "note_keys")
+    notes = F.array_join(F.transform(F.array_sort(F.collect_list(found)),
+                                     lambda x: F.concat(strip(x["t"]), F.lit(" "))), "")
+    folded = keyed.groupBy(*_ROW, "kind", "pos", "col_no").agg(
+        *[F.first(c).alias(c) for c in other], notes.alias("note"), F.max(F.col("_given.pos")).alias("_pos"))
+    return folded.withColumns({"note": F.when(F.col("note") != "", F.col("note")),
+                               "wins": note & (F.col("_pos") == F.col("pos"))}).drop("_pos")
+
+
+def resolve_footnotes(parsed: DataFrame) -> DataFrame:
+    """Trimmed cells with ``note``: the texts of their comma-separated keys in key order, each followed by a blank.
 
     Unknown keys are ignored; a cell without a known key has no note.
     """
-    cell = [*_ROW, "col_no"]
-    keys = cells.where(F.col("note_keys").isNotNull()).select(*cell, F.posexplode(F.split("note_keys", ",")
-                                                                                  ).alias("_i", "note_key"))
-    found = (
-        keys.join(notes.select(*_TABLE, "note_key", "note"), [*_TABLE, "note_key"])
-        .groupBy(*cell)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "note"))),
-                                      lambda x: F.concat(strip(x["note"]), F.lit(" "))), "").alias("note")))
-    return cells.join(found, cell, "left")
+    return _with_notes(parsed).where(F.col("kind") == "cell").drop("wins")
 
 
 def render_cell(text: Column, note: Column) -> Column:
@@ -72,24 +92,34 @@ def render_cell_and_header(text: Column, note: Column, header: Column, header_no
     return render_cell(render_cell(shown, note), header_note)
 
 
-def classify_rows(parsed: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per table row with its cells as an array and ``row_kind``: title, empty, list, nested, header, data."""
-    grouped = cells.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct(
-        "col_no", "tag", "text", "body", "note", "nested"))).alias("cells"))
-    note_rows = parsed.where(F.col("kind") == "note").select(*_ROW).distinct()
-    rows = (parsed.where(F.col("kind") == "row").select(*_ROW, "pos", "title_row", F.col("text").alias("row_title"))
-            .join(note_rows, _ROW, "left_anti").join(grouped, _ROW, "left"))
-    first = F.try_element_at(F.col("cells"), F.lit(1))
-    n = F.coalesce(F.size("cells"), F.lit(0))
-    kind = (F.when(F.col("title_row"), "title")
-            .when(F.coalesce(n, F.lit(0)) <= 0, "empty")
-            .when((n == 1) & (first["tag"] == "th"), "list")
-            .when(first["nested"], "nested")
-            .when(first["tag"] == "th", "header")
-            .otherwise("data"))
-    order = Window.partitionBy(*_TABLE).orderBy("row_no")
+def classify_rows(parsed: DataFrame) -> DataFrame:
+    """One row per table row with its cells as an array.
+
+    ``row_kind`` is title, list (single header cell), nested, header, data or empty for rows of the table, and note for
+    what only carries footnotes (``notes``). ``table_kind`` and ``table_cells`` describe the whole table.
+    """
+    kind = F.col("kind")
+    rows = _with_notes(parsed).groupBy(*_ROW).agg(
+        F.max(F.when(kind == "row", F.col("pos"))).alias("pos"),
+        F.max(F.when(kind == "row", F.col("title_row"))).alias("title_row"),
+        F.max(F.when(kind == "row", F.col("text"))).alias("row_title"),
+        F.array_sort(F.collect_list(F.when(kind == "cell", F.struct(
+            "col_no", "tag", "text", "body", "note", "nested")))).alias("cells"),
+        F.array_sort(F.collect_list(F.when(F.col("wins"), F.struct("pos", "note_keys", "text")))).alias("notes"),
+        F.max(F.when(kind == "table", _table_kind())).alias("_kind"))
+    table = Window.partitionBy(*_TABLE)
+    first, n = F.try_element_at(F.col("cells"), F.lit(1)), F.size("cells")
+    row_kind = (F.when(F.col("pos").isNull(), "note")
+                .when(F.col("title_row"), "title")
+                .when(n == 0, "empty")
+                .when((n == 1) & (first["tag"] == "th"), "list")
+                .when(first["nested"], "nested")
+                .when(first["tag"] == "th", "header")
+                .otherwise("data"))
     starts = F.col("row_kind").isin("title", "list").cast("int")
-    return rows.withColumn("row_kind", kind).withColumn("list_no", F.sum(starts).over(order))
+    return rows.withColumn("row_kind", row_kind).withColumns({
+        "table_kind": F.max("_kind").over(table), "table_cells": F.sum(F.size("cells")).over(table),
+        "list_no": F.sum(starts).over(table.orderBy("row_no"))}).drop("_kind", "title_row")
 
 
 def attach_headers(rows: DataFrame) -> DataFrame:
@@ -129,32 +159,36 @@ def render_double_indexed_row(cells: Column) -> Column:
     return _labelled(F.element_at(cells, 1)["body"], cells)
 
 
-def footnote_only_tables(parsed: DataFrame, cells: DataFrame) -> DataFrame:
-    """Items ``[key] note`` of tables in which nothing but footnotes is left."""
-    notes = collect_footnotes(parsed)
-    left = cells.select(*_TABLE).distinct()
-    return notes.join(left, _TABLE, "left_anti").select(
-        *_TABLE, "pos", F.concat(F.lit("["), F.col("note_key"), F.lit("] "), F.col("note")).alias("item"))
+def footnote_only_tables(rows: DataFrame) -> DataFrame:
+    """Items ``[key] note`` of tables in which nothing but footnotes is left, from classified rows."""
+    only = rows.where((F.col("table_cells") == 0) & (F.size("notes") > 0))
+    return only.select(*_TABLE, F.explode("notes").alias("n")).select(
+        *_TABLE, F.col("n.pos").alias("pos"), _note_item(F.col("n")).alias("item"))
+
+
+def _note_item(note: Column) -> Column:
+    return F.concat(F.lit("["), note["note_keys"], F.lit("] "), note["text"])
 
 
 def convert_tables(parsed: DataFrame) -> DataFrame:
-    """``(page_id, table_no, pos, row_kind, item, note)``: the list items and titles that stand for the tables."""
-    notes = collect_footnotes(parsed)
-    trimmed = trim_cells(parsed)
-    cells = resolve_footnotes(trimmed, notes)
-    rows = attach_headers(classify_rows(parsed, cells)).join(classify_tables(parsed), _TABLE)
+    """``(page_id, table_no, pos, row_kind, item, note)``: the list items and titles that stand for the tables.
+
+    One pass over the table rows of the parse, with a single exchange by page.
+    """
+    rows = attach_headers(classify_rows(parsed))
     first = F.try_element_at(F.col("cells"), F.lit(1))
-    item = (F.when(F.col("row_kind") == "title", F.col("row_title"))
-            .when(F.col("row_kind") == "list", strip(first["text"]))
-            .when((F.col("row_kind") == "data") & (F.col("table_kind") == "double"),
-                  render_double_indexed_row(F.col("cells")))
-            .when(F.col("row_kind") == "data", render_general_row(F.col("cells"), F.col("headers"))))
-    shown = rows.where(F.col("row_kind").isin("title", "list", "data") & (F.col("table_kind") != "empty")).select(
-        *_TABLE, "pos", "row_kind", item.alias("item"),
-        F.when(F.col("row_kind") == "list", first["note"]).alias("note"))
-    only = footnote_only_tables(parsed, trimmed).select(
-        *_TABLE, "pos", F.lit("data").alias("row_kind"), "item", F.lit(None).cast("string").alias("note"))
-    return shown.unionByName(only)
+    kind = F.col("row_kind")
+    text = (F.when(kind == "title", F.col("row_title"))
+            .when(kind == "list", strip(first["text"]))
+            .when((kind == "data") & (F.col("table_kind") == "double"), render_double_indexed_row(F.col("cells")))
+            .when(kind == "data", render_general_row(F.col("cells"), F.col("headers"))))
+    item = lambda pos, kind, text, note: F.struct(
+        pos.cast("int").alias("pos"), kind.alias("row_kind"), text.alias("item"), note.cast("string").alias("note"))
+    own = F.array(item(F.col("pos"), kind, text, F.when(kind == "list", first["note"])))
+    notes = F.transform("notes", lambda n: item(n["pos"], F.lit("data"), _note_item(n), F.lit(None)))
+    items = F.when(kind.isin("title", "list", "data") & (F.col("table_kind") != "empty"), own).when(
+        (kind == "note") & (F.col("table_cells") == 0), notes)
+    return rows.select(*_TABLE, F.inline(items))
 
 
 def replace_tables(parsed: DataFrame, config: SiteConfig) -> DataFrame:

@@ -38,7 +38,7 @@ _PLAIN = "<table><tr><td>k{size}</td><td>v<sup>1</sup></td></tr><tr><td>x</td><t
 
 def parsed(t: Tables) -> DataFrame:
     pages = html_of(t, "<h1>{name}</h1>start", _GENERAL, _DOUBLE, _NOTES, "<table></table>", _PLAIN, "end")
-    return materialize(parse_pages(pages, CONFIG), "tables")
+    return parse_pages(pages, CONFIG)
 
 
 def _items(rows: list[tuple], columns: list[str]) -> str:
@@ -61,19 +61,14 @@ def t2(t: Tables) -> DataFrame:
     return T.trim_cells(parsed(t)).groupBy("page_id", "table_no", "row_no").agg(F.count("*").alias("n_cells"))
 
 
-def cells(t: Tables) -> tuple[DataFrame, DataFrame]:
-    p = parsed(t)
-    return p, T.resolve_footnotes(T.trim_cells(p), T.collect_footnotes(p))
-
-
 @query("t3_classify_rows", _items([
     ("0", "0", "'header'", "0"), ("0", "1", "'data'", "0"), ("0", "2", "'data'", "0"), ("0", "3", "'title'", "1"),
     ("0", "4", "'data'", "1"), ("0", "5", "'list'", "2"), ("0", "6", "'data'", "2"), ("0", "7", "'nested'", "2"),
     ("0", "8", "'empty'", "2"), ("1", "0", "'data'", "0"), ("2", "0", "'header'", "0"), ("2", "1", "'data'", "0"),
     ("5", "0", "'data'", "0"), ("5", "1", "'data'", "0")], ["table_no", "row_no", "row_kind", "list_no"]))
 def t3(t: Tables) -> DataFrame:
-    p, c = cells(t)
-    return T.classify_rows(p, c).select("page_id", "table_no", "row_no", "row_kind", "list_no")
+    rows = T.classify_rows(parsed(t)).where(F.col("row_kind") != "note")
+    return rows.select("page_id", "table_no", "row_no", "row_kind", "list_no")
 
 
 @query("t4_attach_headers", _items([
@@ -81,8 +76,7 @@ def t3(t: Tables) -> DataFrame:
     ("0", "6", "'Brand|Kind|Size'"), ("1", "0", "NULL"), ("2", "1", "'|Spring|Fall'"), ("5", "0", "NULL"),
     ("5", "1", "NULL")], ["table_no", "row_no", "headers"]))
 def t4(t: Tables) -> DataFrame:
-    p, c = cells(t)
-    rows = T.attach_headers(T.classify_rows(p, c)).where(F.col("row_kind") == "data")
+    rows = T.attach_headers(T.classify_rows(parsed(t))).where(F.col("row_kind") == "data")
     return rows.select("page_id", "table_no", "row_no", F.array_join(F.col("headers")["text"], "|").alias("headers"))
 
 
@@ -100,8 +94,7 @@ def t5(t: Tables) -> DataFrame:
     ["table_no", "row_no", "col_no", "text", "note"]))
 def t6(t: Tables) -> DataFrame:
     """Key 9 is unknown; the markers are gone from the cell texts."""
-    _, c = cells(t)
-    return c.where(F.col("note").isNotNull()).select("page_id", "table_no", "row_no", "col_no", "text", "note")
+    return T.resolve_footnotes(parsed(t)).where(F.col("note").isNotNull()).select("page_id", "table_no", "row_no", "col_no", "text", "note")
 
 
 CONVERTED = [
@@ -145,8 +138,7 @@ def t9(t: Tables) -> DataFrame:
 
 @query("t10_footnote_only_table", _of("3"))
 def t10(t: Tables) -> DataFrame:
-    p = parsed(t)
-    return T.footnote_only_tables(p, T.trim_cells(p)).select(
+    return T.footnote_only_tables(T.classify_rows(parsed(t))).select(
         "page_id", "table_no", F.lit("data").alias("row_kind"), "item")
 
 
@@ -161,5 +153,5 @@ def t10(t: Tables) -> DataFrame:
 def h3(t: Tables) -> DataFrame:
     """Tables are replaced in place; their titles split the page although the section is short enough."""
     config = SiteConfig(replacements=CONFIG.replacements, mandatory_splits=4)
-    rows = build_sections(T.replace_tables(parsed(t), config), config)
+    rows = build_sections(T.replace_tables(materialize(parsed(t), "tables"), config), config)
     return rows.select("page_id", F.array_join("titles", " / ").alias("path"), squeeze(F.col("text")).alias("body"))
