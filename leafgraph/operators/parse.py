@@ -16,9 +16,10 @@ Which heads split, what a section holds and how a table reads is decided relatio
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,8 +84,7 @@ class _Node:
                 yield from kid.walk()
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else ("" if k.tag in ("script", "style") else k.text())
-                       for k in self.kids)
+        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
 
     def string(self) -> str | None:
         """The only string below this node, or None."""
@@ -93,38 +93,60 @@ class _Node:
         return self.kids[0] if isinstance(self.kids[0], str) else self.kids[0].string()
 
 
-class _Tree(HTMLParser):
-    """Tolerant tree: void tags close at once, an end tag closes up to its start tag, others are ignored."""
+# One alternative per token; possessive repeats keep the scan linear on broken markup.
+_TOKEN = re.compile(
+    r"""<(?:(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+    r"""|!--.*?(?:-->|\Z)|[!?][^>]*+>|/[^>]*+>)""", re.S)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_RAW_END = {tag: re.compile(rf"</{tag}[^>]*+>", re.I) for tag in ("script", "style")}
+
+
+def _attributes(text: str) -> dict:
+    found = {}
+    for name, double, single, bare in _ATTR.findall(text):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        ends, shields = _IMPLIED_END.get(tag, ((), ()))
-        open_at = self.at if ends else None
-        while open_at is not None and open_at.tag not in shields:
-            if open_at.tag in ends:
-                self.at = open_at.parent
-                break
-            open_at = open_at.parent
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.kids.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.kids.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.kids.append(data)
+
+def parse_tree(html: str) -> _Node:
+    """Tolerant tree: void tags close at once, an end tag closes up to its start tag, others are ignored."""
+    root = at = _Node("", {}, None)
+    pos = 0
+    for match in iter(lambda: _TOKEN.search(html, pos), None):
+        start = match.start()
+        if start > pos:
+            at.kids.append(unescape(html[pos:start]))
+        pos = match.end()
+        tag = match["tag"]
+        if not tag:
+            continue
+        tag = tag.lower()
+        if match["close"]:
+            node = at
+            while node is not None and node.tag != tag:
+                node = node.parent
+            if node is not None and node.parent is not None:
+                at = node.parent
+            continue
+        if tag in _IMPLIED_END:
+            ends, shields = _IMPLIED_END[tag]
+            node = at
+            while node is not None and node.tag not in shields:
+                if node.tag in ends:
+                    at = node.parent
+                    break
+                node = node.parent
+        attrs = match["attrs"]
+        node = _Node(tag, _attributes(attrs) if attrs and not attrs.isspace() else {}, at)
+        at.kids.append(node)
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(html, pos)
+            pos = end.end() if end else len(html)
+        elif tag not in _VOID and not attrs.endswith("/"):
+            at = node
+    if pos < len(html):
+        at.kids.append(unescape(html[pos:]))
+    return root
 
 
 def matches(node: _Node, rule: dict) -> bool:
@@ -273,15 +295,22 @@ class _PageRows:
     def table(self, table: _Node) -> None:
         """Rows, cells and notes of one table; a nested table gets a number of its own, in place."""
         number, self.tables = self.tables, self.tables + 1
-        nodes = list(table.walk())
+        nodes = list(table.walk())  # document order
+        owner = {id(n): _owner(n, "tr") for n in nodes if n.tag in ("td", "th", "p")}
+        by_row: dict = {}
+        for n in nodes:
+            if n.tag in HEADINGS and _owner(n, "table") is table:
+                by_row.setdefault((id(_owner(n, "tr")), "title"), []).append(n)
+            elif id(n) in owner:
+                by_row.setdefault((id(owner[id(n)]), "p" if n.tag == "p" else "cell"), []).append(n)
         first_th = next((n for n in nodes if n.tag == "th"), None)
         self.emit("table", table_no=number, tag="empty" if not nodes else "table",
                   text=None if first_th is None else first_th.text().strip())
         row_no = -1
         for row in (n for n in nodes if n.tag == "tr" and _owner(n, "table") is table):
             row_no += 1
-            titles = [n for n in row.walk() if n.tag in HEADINGS and _owner(n, "table") is table]
-            cells = [n for n in row.walk() if n.tag in ("td", "th") and _owner(n, "tr") is row]
+            titles = by_row.get((id(row), "title"), [])
+            cells = by_row.get((id(row), "cell"), [])
             self.emit("row", table_no=number, row_no=row_no, title_row=bool(titles),
                       text=titles[0].text().strip() if titles else None)
             for col_no, cell in enumerate(cells):
@@ -292,7 +321,7 @@ class _PageRows:
                           note_keys=sup.text() if sup else None, nested=inner is not None)
                 if inner is not None and col_no == 0 and not titles:
                     self.table(inner)
-            for cell in [n for n in row.walk() if n.tag in ("td", "p") and _owner(n, "tr") is row]:
+            for cell in [n for n in cells if n.tag == "td"] + by_row.get((id(row), "p"), []):
                 sup = _find(cell, {"name": "sup"})
                 if sup is not None and _is_note(cell):
                     self.emit("note", table_no=number, row_no=row_no, note_keys=sup.text(),
@@ -342,15 +371,13 @@ def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict) ->
     """Rows of one page. A page that cannot be read gives one ``error`` row, never a failed task."""
     rows = _PageRows(page_id, config, prefilters)
     try:
-        tree = _Tree()
-        tree.feed((html or "").lstrip("\ufeff"))
-        tree.close()
+        root = parse_tree((html or "").lstrip("\ufeff"))
         rows.emit("page", body="")
-        title = _find(tree.root, config.title_attrs)
+        title = _find(root, config.title_attrs)
         if title is not None:
             rows.emit("title", text=title.text().strip())
-        main = _find(tree.root, config.main_content_attrs) if config.main_content_attrs else None
-        main = tree.root if main is None else main
+        main = _find(root, config.main_content_attrs) if config.main_content_attrs else None
+        main = root if main is None else main
         doomed = {id(n) for n in main.walk() for rule in config.remove_tag_attrs if matches(n, rule)}
         if doomed:
             for node in [main, *main.walk()]:
