@@ -5,56 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# scheme, authority, path, query of a URL reference (RFC 3986, appendix B, without the fragment)
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+_ROOT = rf"^({_SCHEME}://[^/?#]*)"
+_BARE_ROOT = rf"^({_SCHEME}://[^/?#]*)\z"
+_FOLDER = rf"^({_SCHEME}://[^/?#]*(?:/[^?#]*/|/)?)"
 
 
 def clean_url(url: Column) -> Column:
     """One spelling per page: https, no ``.html``, no ``#top``, no single trailing slash."""
     plain = F.replace(F.replace(F.replace(url, F.lit("http://"), F.lit("https://")), F.lit(".html"), F.lit("")),
                       F.lit("#top"), F.lit(""))
-    return F.when(plain.endswith("/"), F.substring(plain, 1, F.length(plain) - 1)).otherwise(plain)
-
-
-def _resolve_path(base_path: Column, href_path: Column) -> Column:
-    """Merge a relative path with the folder of ``base_path`` and remove dot segments."""
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    rooted = href_path.startswith("/")
-    joined = F.when(rooted, href_path).otherwise(
-        F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path))
-    # only relative references drop empty inner segments
-    joined = F.when(rooted, joined).otherwise(F.regexp_replace(joined, "/{2,}", "/"))
-    segments = F.split(joined, "/")
+    return F.regexp_replace(plain, r"/\z", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A rooted path with its dot segments resolved and empty inner segments removed."""
+    segments = F.split(path, "/")
     last = F.element_at(segments, -1)
+    inner = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
     walked = F.aggregate(
-        segments,
+        inner,
         F.array().cast("array<string>"),
         lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(seg == ".", acc)
         .otherwise(F.concat(acc, F.array(seg))),
     )
-    walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    path = F.array_join(walked, "/")
-    path = F.when(path == "", F.lit("/")).when(~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    # the walk over segments is only needed where a dot segment occurs
-    return F.when(joined.rlike(r"(^|/)\.\.?(/|$)"), path).otherwise(joined)
+    closed = F.concat(F.array_join(walked, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    return F.regexp_replace(closed, "^/?", "/")
 
 
 def absolute_url(base: Column, href: Column) -> Column:
-    """``href`` as an absolute URL: kept as is when it holds ``//``, else resolved against ``base`` and cleaned."""
-    scheme = F.regexp_extract(base, _PARTS, 1)
-    host = F.regexp_extract(base, _PARTS, 2)
-    path = F.regexp_extract(base, _PARTS, 3)
-    query = F.regexp_extract(base, _PARTS, 4)
-    root = F.concat(scheme, host)
-    h_path = F.regexp_extract(href, _PARTS, 3)
-    h_rest = F.substring(href, F.length(h_path) + 1, F.length(href))
+    """``href`` as an absolute URL: kept as is when it holds ``//``, else resolved against ``base`` and cleaned.
+
+    Each form of href takes its own short branch; the walk over path segments runs only where the href has dot
+    segments or the base has empty ones.
+    """
+    root = F.regexp_extract(base, _ROOT, 1)
+    folder = F.regexp_replace(F.regexp_extract(base, _FOLDER, 1), _BARE_ROOT, "$1/")
+    h_path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    folder_path = F.regexp_replace(folder, _ROOT, "")
+    dotted = F.concat(root, _without_dots(F.when(href.startswith("/"), h_path).otherwise(F.concat(folder_path, h_path))),
+                      F.regexp_replace(href, r"^[^?#]*", ""))
     resolved = (
         F.when(href == "", base)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("#"), F.concat(root, path, query, href))
-        .when(href.startswith("?"), F.concat(root, path, href))
-        .otherwise(F.concat(root, _resolve_path(path, h_path), h_rest))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .when(href.rlike(rf"^{_SCHEME}:"), href)
+        .when(href.rlike(r"^(?:[^?#]*/)?\.\.?(?:[/?#]|$)"), dotted)
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(base.rlike(rf"^{_SCHEME}://[^?#]*//"), dotted)
+        .otherwise(F.concat(folder, href))
     )
     return F.when(href.contains("//"), href).otherwise(clean_url(resolved))
 

@@ -389,6 +389,12 @@ def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict) ->
         return [{"page_id": page_id, "pos": 0, "kind": "error", "text": f"{type(error).__name__}: {error}"}]
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Columns of the rows; built column by column, which is many times faster than from row dicts."""
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], _ARROW[kind]) for name, kind in _FIELDS],
+                                      names=[name for name, _ in _FIELDS])
+
+
 def parse_pages(pages: DataFrame, configs: SiteConfig | dict[str, SiteConfig]) -> DataFrame:
     """Parse ``pages(page_id, html[, site])`` into rows of ``ROW_SCHEMA``.
 
@@ -401,7 +407,6 @@ def parse_pages(pages: DataFrame, configs: SiteConfig | dict[str, SiteConfig]) -
     used = split_prefilters([single] if single else by_site.values())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(name, _ARROW[kind]) for name, kind in _FIELDS])
         for batch in batches:
             ids, pages_html = batch.column("page_id").to_pylist(), batch.column("html").to_pylist()
             sites = batch.column("site").to_pylist() if single is None else [None] * len(ids)
@@ -409,10 +414,10 @@ def parse_pages(pages: DataFrame, configs: SiteConfig | dict[str, SiteConfig]) -
             for page_id, html, site in zip(ids, pages_html, sites):
                 out.extend(page_rows(page_id, html, single or by_site[site], used))
                 if len(out) >= 20_000:  # keep the batches of long pages small
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield _batch(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield _batch(out)
 
     columns = ["page_id", "html"] + ([] if single else ["site"])
     return spread(pages.select(*columns)).mapInArrow(run, ROW_SCHEMA)
