@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
@@ -11,12 +11,13 @@ from leafgraph import schemas as S
 def qa_pairs(conversations: DataFrame) -> DataFrame:
     """Each user turn that an assistant turn follows: ``(conv_id, turn, question, answer)``.
 
-    A conversation is one chat and thus bounded; its key spreads the window.
+    Turns count up by one, so an answer is found by its number: the join key (conversation, turn) spreads even a
+    conversation that holds much of the table, which a window over the conversation would not.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return (conversations.withColumns({"_role": F.lead("role").over(order), "answer": F.lead("text").over(order)})
-            .where((F.col("role") == "user") & (F.col("_role") == "assistant"))
-            .select("conv_id", "turn", F.col("text").alias("question"), "answer"))
+    asked = conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    replies = conversations.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(replies, ["conv_id", "turn"])
 
 
 def parse_question_log(raw: DataFrame, value: str = "value") -> DataFrame:

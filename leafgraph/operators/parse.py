@@ -420,7 +420,7 @@ def parse_pages(pages: DataFrame, configs: SiteConfig | dict[str, SiteConfig]) -
                 yield _batch(out)
 
     columns = ["page_id", "html"] + ([] if single else ["site"])
-    return spread(pages.select(*columns)).mapInArrow(run, ROW_SCHEMA)
+    return spread(pages.select(*columns), "page_id").mapInArrow(run, ROW_SCHEMA)
 
 
 def page_titles(parsed: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def _scan(shared: pa.Table, vectors: DataFrame, metric: str, n_pairs: int) -> Da
                 best.add(_score(mats, blocks, metric), batch.column("doc_id").to_numpy())
         yield best.batch(ids)
 
-    return spread(vectors).mapInArrow(run, _HITS)
+    return spread(vectors, "doc_id").mapInArrow(run, _HITS)
 
 
 def _blocks(questions: DataFrame, vectors: DataFrame, metric: str, n_pairs: int) -> DataFrame:
@@ -322,8 +322,12 @@ class IvfIndex:
                         int(lists))
 
     def write(self, path: str) -> None:
-        """Vectors partitioned by list, so that a probe of a few lists prunes the rest."""
-        self.assigned.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+        """Vectors partitioned by list, so that a probe of a few lists prunes the rest.
+
+        Rows are gathered by list first, or every task would write a file per list; the rebalance hint lets adaptive
+        execution split lists that hold much of the table.
+        """
+        self.assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
         self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
 
     @staticmethod

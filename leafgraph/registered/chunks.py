@@ -29,7 +29,7 @@ def sql_sentences(e: str) -> str:
 
 
 def documents(t: Tables) -> DataFrame:
-    return spread(t.documents.select("doc_id", "text"))
+    return spread(t.documents.select("doc_id", "text"), "doc_id")
 
 
 @query("e6_split_sentences", f"""WITH s AS (SELECT doc_id, {sql_sentences('text')} AS a FROM documents)

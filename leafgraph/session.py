@@ -32,7 +32,7 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
     Only where the cluster names none (local tests) is a temporary folder used.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None)
+    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = os.path.join(tempfile.gettempdir(), "leafgraph-work")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -50,10 +50,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a CPU-heavy narrow step over an input with fewer splits than the cluster has cores.
 
-    A large table has far more splits than cores and passes through unchanged.
+    Decided from the size estimate of the optimised plan, without running anything; a large table passes through
+    unchanged. ``keys`` should identify rows, so that they spread evenly.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, *keys) if size < cores * split else df

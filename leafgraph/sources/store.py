@@ -20,8 +20,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_extracts(extracts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Extracts by site. A site may hold most rows: they stay spread over the writing tasks, one file each."""
-    extracts.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
+    """Extracts by site. Rows are gathered by site to keep files large; adaptive execution splits a site that holds
+    much of the table over several tasks."""
+    extracts.hint("rebalance", "site").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("site").parquet(path)
 
 
 def read_extracts(spark: SparkSession, path: str, fill: str | None = None) -> DataFrame:
