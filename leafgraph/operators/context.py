@@ -10,12 +10,16 @@ from leafgraph.functions.text import is_empty_answer, parse_verdict
 _LABEL = "Document "
 
 
-def format_context(hits: DataFrame, text: str = "text") -> DataFrame:
-    """``(question_id, context)``: numbered texts in rank order. A question has a handful of hits, k at most."""
+def format_context(hits: DataFrame, text: str = "text", **more: Column) -> DataFrame:
+    """``(question_id, context)``: numbered texts in rank order. A question has a handful of hits, k at most.
+
+    ``more`` are further aggregates over the hits of a question.
+    """
     numbered = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", F.col(text).alias("t")))),
         lambda x, i: F.concat(F.lit(_LABEL), (i + 1).cast("string"), F.lit(":\n"), x["t"]))
-    return hits.groupBy("question_id").agg(F.array_join(numbered, "\n").alias("context"))
+    return hits.groupBy("question_id").agg(
+        F.array_join(numbered, "\n").alias("context"), *[agg.alias(name) for name, agg in more.items()])
 
 
 def context_budget(hits: DataFrame, max_chars: int = 25_000, text: str = "text") -> DataFrame:

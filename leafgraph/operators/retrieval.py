@@ -24,7 +24,7 @@ MAX_SHARED_QUESTIONS = 4096
 BLOCK_ROWS = 20_000
 # Distances are compared and reported to this many digits, so that the order does not depend on how rows were blocked.
 DIGITS = 9
-_HITS = "question_id long, doc_id long, distance double"
+_HITS = "list int, question_id long, doc_id long, distance double"
 
 
 def _distances(questions: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
@@ -64,13 +64,14 @@ class _Best:
                 order = np.lexsort((i, d))[:k]
                 self.dist[q], self.ids[q] = d[order], i[order]
 
-    def batch(self, question_ids: Sequence[int]) -> pa.RecordBatch:
+    def batch(self, list_no: int, question_ids: Sequence[int]) -> pa.RecordBatch:
         dist = np.concatenate(self.dist) if len(self.dist) else np.empty(0)
         return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(dist), list_no, np.int32)),
             pa.array(np.repeat(np.asarray(question_ids, np.int64), [len(i) for i in self.ids])),
             pa.array(np.concatenate(self.ids) if len(self.ids) else np.empty(0, np.int64)),
             pa.array(dist, mask=~np.isfinite(dist), type=pa.float64()),
-        ], names=["question_id", "doc_id", "distance"])
+        ], names=["list", "question_id", "doc_id", "distance"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -78,77 +79,91 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _score(question_mats: list[np.ndarray], blocks: list[np.ndarray], metric: str) -> np.ndarray:
-    return np.round(sum(_distances(q, b, metric) for q, b in zip(question_mats, blocks)), DIGITS)
+def _update(best: list[_Best], lists: Sequence[Sequence[int]], questions: pa.Table | list, block, metric: str) -> None:
+    """Add a block of vectors to the hits of every list; a list adds up the distances of its vector pairs."""
+    ids = block.column("doc_id").to_numpy()
+    used = sorted({n for pairs in lists for n in pairs})
+    dist = {n: _distances(questions[n], _matrix(block.column(f"_v{n}")), metric) for n in used}
+    for hits, pairs in zip(best, lists):
+        hits.add(np.round(sum(dist[n] for n in pairs), DIGITS), ids)
 
 
-def nearest(questions: DataFrame, vectors: DataFrame, k: int | Column = 5, metric: str = "cosine",
-            pairs: Sequence[tuple[str, str]] = (("vector", "embedding"),), question_id: str = "question_id",
-            doc_id: str = "doc_id") -> DataFrame:
-    """``(question_id, rank, doc_id, distance)``: the k nearest documents of every question, exactly.
+def nearest_lists(questions: DataFrame, vectors: DataFrame, lists: Sequence[Sequence[tuple[str, str]]],
+                  k: int | Column = 5, metric: str = "cosine", question_id: str = "question_id",
+                  doc_id: str = "doc_id") -> DataFrame:
+    """Several searches in one scan of the vectors: ``(list, question_id, rank, doc_id, distance)``.
 
-    ``pairs`` names the question vector and the document vector to compare; the distances of several pairs are added.
-    ``k`` may be a column of ``questions``. A question set of up to ``MAX_SHARED_QUESTIONS`` rows is shared with all
-    tasks and the vectors are scanned where they lie; a larger one is cut into blocks that meet blocks of vectors.
+    Each list names pairs of a question vector and a document vector whose distances are added. ``k`` may be a column
+    of ``questions``. A question set of up to ``MAX_SHARED_QUESTIONS`` rows is shared with all tasks and the vectors
+    are scanned where they lie; a larger one is cut into blocks that meet blocks of vectors.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(V.METRICS)}")
+    pairs = list(dict.fromkeys(tuple(p) for one in lists for p in one))
+    places = [[pairs.index(tuple(p)) for p in one] for one in lists]
     k_col = F.lit(k) if isinstance(k, int) else k
     qs = questions.select(F.col(question_id).cast("long").alias("question_id"), k_col.cast("int").alias("_k"), *[
         V.as_double(F.col(q)).alias(f"_q{n}") for n, (q, _) in enumerate(pairs)])
     vs = vectors.select(F.col(doc_id).cast("long").alias("doc_id"), *[
         F.col(v).alias(f"_v{n}") for n, (_, v) in enumerate(pairs)])
-    vs = vs.where(F.col("_v0").isNotNull())
+    vs = vs.dropna(subset=[f"_v{n}" for n in range(len(pairs))])
     shared = qs.limit(MAX_SHARED_QUESTIONS + 1).toArrow()  # bounded by the limit, whatever the size of ``questions``
     if shared.num_rows <= MAX_SHARED_QUESTIONS:
-        found = _scan(shared, vs, metric, len(pairs))
+        found = _scan(shared, vs, metric, places)
     else:
-        found = _blocks(qs, vs, metric, len(pairs))
-    order = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("distance"), "doc_id")
-    limit = qs.select("question_id", "_k")
+        found = _blocks(qs, vs, metric, places)
+    order = Window.partitionBy("list", "question_id").orderBy(F.asc_nulls_last("distance"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order))
+    columns = ("list", "question_id", "rank", "doc_id", "distance")
     if isinstance(k, int):
-        return ranked.where(F.col("rank") <= k).select("question_id", "rank", "doc_id", "distance")
-    return ranked.join(limit, "question_id").where(F.col("rank") <= F.col("_k")).select(
-        "question_id", "rank", "doc_id", "distance")
+        return ranked.where(F.col("rank") <= k).select(*columns)
+    return ranked.join(qs.select("question_id", "_k"), "question_id").where(F.col("rank") <= F.col("_k")).select(*columns)
+
+
+def nearest(questions: DataFrame, vectors: DataFrame, k: int | Column = 5, metric: str = "cosine",
+            pairs: Sequence[tuple[str, str]] = (("vector", "embedding"),), question_id: str = "question_id",
+            doc_id: str = "doc_id") -> DataFrame:
+    """``(question_id, rank, doc_id, distance)``: the k nearest documents of every question, exactly."""
+    return nearest_lists(questions, vectors, [pairs], k, metric, question_id, doc_id).drop("list")
+
 
+def _question_mats(table: pa.Table) -> list[np.ndarray]:
+    table = table.combine_chunks()
+    names = [c for c in table.column_names if c.startswith("_q") and c[2:].isdigit()]
+    return [_matrix(table.column(c).chunk(0)) for c in sorted(names, key=lambda c: int(c[2:]))]
 
-def _scan(shared: pa.Table, vectors: DataFrame, metric: str, n_pairs: int) -> DataFrame:
-    shared = shared.combine_chunks()
-    ids = shared.column("question_id").to_numpy()
-    ks = shared.column("_k").to_numpy()
-    mats = [_matrix(shared.column(f"_q{n}").chunk(0)) if shared.num_rows else None for n in range(n_pairs)]
-    hold = vectors.sparkSession.sparkContext.broadcast((ids, ks, mats))
+
+def _scan(shared: pa.Table, vectors: DataFrame, metric: str, lists: list[list[int]]) -> DataFrame:
+    ids, ks = shared.column("question_id").to_numpy(), shared.column("_k").to_numpy()
+    hold = vectors.sparkSession.sparkContext.broadcast((ids, ks, _question_mats(shared) if len(ids) else []))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ks, mats = hold.value
-        best = _Best(ks)
+        best = [_Best(ks) for _ in lists]
         for batch in batches:
             if len(ids) and batch.num_rows:
-                blocks = [_matrix(batch.column(f"_v{n}")) for n in range(n_pairs)]
-                best.add(_score(mats, blocks, metric), batch.column("doc_id").to_numpy())
-        yield best.batch(ids)
+                _update(best, lists, mats, batch, metric)
+        for n, hits in enumerate(best):
+            yield hits.batch(n, ids)
 
     return spread(vectors, "doc_id").mapInArrow(run, _HITS)
 
 
-def _blocks(questions: DataFrame, vectors: DataFrame, metric: str, n_pairs: int) -> DataFrame:
+def _blocks(questions: DataFrame, vectors: DataFrame, metric: str, lists: list[list[int]]) -> DataFrame:
     """Blocks of questions meet blocks of vectors: a grid of tasks of bounded size, each keeping its k best."""
     n_v = vectors.count() // BLOCK_ROWS + 1
     n_q = questions.count() // MAX_SHARED_QUESTIONS + 1
-    qs = questions.withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.lit(n_q))).withColumn(
-        "_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
-    vs = vectors.withColumn("_vb", F.pmod(F.xxhash64("doc_id"), F.lit(n_v))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    all_v = F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))
+    all_q = F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))
+    qs = questions.withColumns({"_qb": F.pmod(F.xxhash64("question_id"), F.lit(n_q)), "_vb": F.explode(all_v)})
+    vs = vectors.withColumns({"_vb": F.pmod(F.xxhash64("doc_id"), F.lit(n_v)), "_qb": F.explode(all_q)})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        best = _Best(left.column("_k").to_numpy())
+        ids = left.column("question_id").to_numpy()
+        best = [_Best(left.column("_k").to_numpy()) for _ in lists]
         if left.num_rows and right.num_rows:
-            left, right = left.combine_chunks(), right.combine_chunks()
-            mats = [_matrix(left.column(f"_q{n}").chunk(0)) for n in range(n_pairs)]
-            blocks = [_matrix(right.column(f"_v{n}").chunk(0)) for n in range(n_pairs)]
-            best.add(_score(mats, blocks, metric), right.column("doc_id").to_numpy())
-        return pa.Table.from_batches([best.batch(left.column("question_id").to_numpy())])
+            _update(best, lists, _question_mats(left), right.combine_chunks().to_batches()[0], metric)
+        return pa.Table.from_batches([hits.batch(n, ids) for n, hits in enumerate(best)])
 
     return qs.groupBy("_qb", "_vb").cogroup(vs.groupBy("_qb", "_vb")).applyInArrow(run, _HITS)
 
@@ -196,12 +211,16 @@ def fuse_min_score(*lists: DataFrame, key: str = "text", limit: int | None = Non
 
     The merged list is not cut to k unless ``limit`` is given. A group holds at most one row per list and rank.
     """
-    marked = [df.withColumn("_src", F.lit(n)) for n, df in enumerate(lists)]
-    rows = marked[0]
-    for df in marked[1:]:
-        rows = rows.unionByName(df)
-    other = [c for c in lists[0].columns if c not in ("question_id", "distance", "rank", key)]
-    first = F.struct("_src", "rank")
+    rows = lists[0].withColumn("list", F.lit(0))
+    for n, df in enumerate(lists[1:], 1):
+        rows = rows.unionByName(df.withColumn("list", F.lit(n)))
+    return fuse_listed(rows, key, limit)
+
+
+def fuse_listed(rows: DataFrame, key: str = "text", limit: int | None = None) -> DataFrame:
+    """:func:`fuse_min_score` for hits that carry the number of their ``list``."""
+    other = [c for c in rows.columns if c not in ("question_id", "distance", "rank", "list", key)]
+    first = F.struct("list", "rank")
     merged = rows.groupBy("question_id", key).agg(
         F.min("distance").alias("distance"), F.min(first).alias("_first"),
         *[F.min_by(c, first).alias(c) for c in other])
@@ -213,12 +232,9 @@ def fuse_min_score(*lists: DataFrame, key: str = "text", limit: int | None = Non
 def nearest_two_columns(questions: DataFrame, vectors: DataFrame, k: int = 3, text: str = "text_embedding",
                         title: str = "title_embedding", vector: str = "vector", texts: DataFrame | None = None,
                         doc_id: str = "doc_id", key: str = "doc_id") -> DataFrame:
-    """Search on the text and on the title vector, then fuse; up to 2k hits per question."""
-    lists = []
-    for column in (text, title):
-        hits = nearest(questions, vectors, k, pairs=((vector, column),), doc_id=doc_id)
-        lists.append(hits if texts is None else hits.join(texts, "doc_id"))
-    return fuse_min_score(*lists, key=key)
+    """Search on the text and on the title vector in one scan, then fuse; up to 2k hits per question."""
+    hits = nearest_lists(questions, vectors, [[(vector, text)], [(vector, title)]], k, doc_id=doc_id)
+    return fuse_listed(hits if texts is None else hits.join(texts, "doc_id"), key)
 
 
 def query_vectors(questions: DataFrame, d: int, embed, text: str = "query") -> DataFrame:
@@ -263,10 +279,10 @@ def backoff_search(questions: DataFrame, docs: DataFrame, k: int = 5, threshold:
                    ) -> tuple[DataFrame, DataFrame]:
     """All levels in one plan; per question the first level that answers is kept.
 
-    ``docs`` brings ``doc_id, text, faculty, program, specialization`` and the vector. ``answered`` maps the hits of
-    a level to ``(question_id, level)`` rows that have an answer; by default a level with any hit does.
+    ``docs`` brings ``doc_id, text, faculty, program, specialization`` and the vector. ``answered`` takes the hits and
+    adds a boolean ``answered``: whether the answer from the hits of this level is usable; by default any hit is.
     Returns the kept hits (with ``level`` and ``removed_keys``) and the removed ones: hits of earlier levels that are
-    not among the kept.
+    not among the kept. Both are filters over one flagged plan.
     """
     levels = backoff_levels(questions)
     filled = docs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("faculty", "program", "specialization")})
@@ -277,12 +293,16 @@ def backoff_search(questions: DataFrame, docs: DataFrame, k: int = 5, threshold:
         residual=(F.col("_spec") != "") | (F.col("_doc_spec") == "")).drop("_spec")
     hits = above_threshold(hits, threshold, metric).join(docs.select("doc_id", "text"), "doc_id")
     hits = long_enough(hits, min_chars)
-    ok = hits.select("question_id", "level") if answered is None else answered(hits)
-    chosen = ok.groupBy("question_id").agg(F.min("level").alias("_chosen"))
-    marked = hits.join(chosen, "question_id", "left")
-    kept = marked.where(F.col("level") == F.col("_chosen")).drop("_chosen")
-    removed = marked.where(F.coalesce(F.col("level") < F.col("_chosen"), F.lit(True))).drop("_chosen")
-    return kept, exclude_kept(removed, kept)
+    hits = hits.withColumn("answered", F.lit(True)) if answered is None else answered(hits)
+    # a question has at most k hits on each of three levels
+    chosen = F.min(F.when(F.col("answered"), F.col("level"))).over(Window.partitionBy("question_id"))
+    flagged = hits.withColumn("_chosen", chosen).withColumn(
+        "_kept", F.coalesce(F.col("level") == F.col("_chosen"), F.lit(False)))
+    flagged = flagged.withColumn("_again", F.max("_kept").over(Window.partitionBy("question_id", "doc_id")))
+    kept = flagged.where("_kept")
+    removed = flagged.where(~F.col("_again") & F.coalesce(F.col("level") < F.col("_chosen"), F.lit(True)))
+    extra = ("_chosen", "_kept", "_again", "answered")
+    return kept.drop(*extra), removed.drop(*extra)
 
 
 def exclude_kept(removed: DataFrame, kept: DataFrame) -> DataFrame:

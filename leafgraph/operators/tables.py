@@ -42,7 +42,9 @@ def _kept(parsed: DataFrame) -> DataFrame:
     row = Window.partitionBy(*_ROW)
     kind = F.col("kind")
     full = (kind == "cell") & (~_blank(F.col("body")) | F.col("nested"))
-    marked = parsed.where(kind.isin("table", "row", "cell", "note")).withColumns({
+    # one exchange by page serves every window and aggregation of the conversion
+    rows = parsed.where(kind.isin("table", "row", "cell", "note")).repartition("page_id")
+    marked = rows.withColumns({
         "_has_note": F.max(kind == "note").over(row), "_last": F.max(F.when(full, F.col("col_no"))).over(row)})
     stays = kind.isin("table", "note") | (~F.col("_has_note") & (
         (kind == "row") | ((kind == "cell") & (F.col("col_no") <= F.col("_last")))))

@@ -11,13 +11,13 @@ KEYS = ("faculty", "program", "specialization")
 def program_options(extracts: DataFrame) -> DataFrame:
     """Distinct ``(faculty, program, specialization)``; a program without any keeps one row with null.
 
-    Duplicates go in the map-side combine, so a faculty that holds most extracts still shuffles few rows.
+    The set per program is built in the map-side combine, so a faculty that holds most extracts still shuffles little;
+    its size is that of the taxonomy, not of the corpus.
     """
     rows = (extracts.where(F.col("faculty").isNotNull() & F.col("program").isNotNull())
-            .select("faculty", "program", F.explode_outer("specialization").alias("specialization")).distinct())
-    named = rows.where(F.col("specialization").isNotNull())
-    bare = rows.where(F.col("specialization").isNull()).join(named, ["faculty", "program"], "left_anti")
-    return named.unionByName(bare)
+            .select("faculty", "program", F.explode_outer("specialization").alias("s")))
+    return rows.groupBy("faculty", "program").agg(F.collect_set("s").alias("s")).select(
+        "faculty", "program", F.explode_outer("s").alias("specialization"))
 
 
 def nested_taxonomy(flat: DataFrame) -> DataFrame:

@@ -25,11 +25,9 @@ def answer_questions(questions: DataFrame, vectors: DataFrame, k: int = 3, max_c
     texts = vectors.select("doc_id", "url", "titles", "text", "links")
     hits = nearest_two_columns(qs, vectors, k, texts=texts, key="text")
     hits = context_budget(hits, max_chars)
-    kept = hits.where("kept")
-    contexts = format_context(kept).join(kept.groupBy("question_id").agg(
-        F.min_by("text", "rank").alias("best_text"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
-        .alias("reference_ids")), "question_id")
+    contexts = format_context(
+        hits.where("kept"), best_text=F.min_by("text", "rank"),
+        reference_ids=F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]))
     rows = qs.select("question_id", "question", "sentence", "profile").join(contexts, "question_id", "left")
     rows = rows.withColumns({"family": F.lit(family), "kind": F.lit("answer")})
     rows = P.render_prompts(rows, {"system": F.lit(P.ANSWER_SYSTEM), "question": F.col("sentence"),

@@ -16,7 +16,7 @@ from leafgraph.operators import context as K
 from leafgraph.operators import retrieval as R
 from leafgraph.plans.answering import answer_questions
 from leafgraph.registered.base import Tables, query, sql_strip
-from leafgraph.registered.chunks import sql_sentences
+from leafgraph.registered.chunks import documents, sql_sentences
 from leafgraph.registered.search import E, Q, both_vectors, cos, questions, ranked, vectors
 
 
@@ -159,7 +159,7 @@ def u5(t: Tables) -> DataFrame:
     AS norm FROM documents""")
 def u2(t: Tables) -> DataFrame:
     """The contract of the default embedding: dimension and unit norm."""
-    rows = M.embed(t.documents.select("doc_id", "text"), dim=256)
+    rows = M.embed(documents(t), dim=256)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
 
@@ -167,7 +167,7 @@ def u2(t: Tables) -> DataFrame:
 @query("u2_embed_search")
 def u2_search(t: Tables) -> DataFrame:
     """Embedded first user turns search the embedded documents."""
-    docs = M.embed(t.documents.select("doc_id", "text"), dim=128)
+    docs = M.embed(documents(t), dim=128)
     qs = M.embed(asked(t), text="question", output="vector", dim=128)
     return R.nearest(qs, docs, 3).select("question_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
 

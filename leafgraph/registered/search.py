@@ -219,7 +219,7 @@ def k10(t: Tables) -> DataFrame:
 
 def _second_half_answers(hits: DataFrame) -> DataFrame:
     """A stand-in for the model: the first level has no answer."""
-    return hits.where(F.col("level") > 0).select("question_id", "level")
+    return hits.withColumn("answered", F.col("level") > 0)
 
 
 @query("j9_exclude_kept", f"""WITH {BACKOFF}, ch2 AS (SELECT question_id, min(level) AS chosen FROM hits WHERE level > 0
