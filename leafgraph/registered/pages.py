@@ -21,10 +21,13 @@ ARTICLE = SiteConfig(name="pages", main_content_attrs={"name": "article"})
 
 
 def sql_text(e: str) -> str:
-    """Text of a piece of page html: inline tags go, others part words, entities are decoded."""
+    """Text of a piece of page html: inline tags go, others part words, entities are decoded.
+
+    Some headings are cut inside an entity; html reads ``&amp`` and ``&quot`` without their semicolon too.
+    """
     e = f"regexp_replace({e}, '</?b>', '', 'g')"
     e = f"regexp_replace({e}, '<[^>]*>', ' ', 'g')"
-    return sql_squeeze(f"replace(replace({e}, '&quot;', '\"'), '&amp;', '&')")
+    return sql_squeeze(f"regexp_replace(regexp_replace({e}, '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')")
 
 
 _ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
