@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +28,11 @@ def build_session(app: str = "leafgraph", master: str | None = None, **settings:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for a written table, below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary folder used.
+    Where none is named, it lies below the session's warehouse, which every machine of a cluster reaches as well.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "leafgraph-work")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/leafgraph-work"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
