@@ -5,13 +5,16 @@ Each query applies its operator with production parameters to the whole table an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm import byte_bpe, set_join, token_files
+from leafgraph.llm import byte_bpe, paragraphs, set_join, token_files, weak_labels
 from leafgraph.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,14 +35,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_paragraph_dedup")
+def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The units of text that go because the component they belong to keeps another."""
+    units = paragraphs.repeated_units(table(spark, folder, "documents"))
+    return units.filter("removed").select("doc_id", "unit", "start", "end", "words", "first_doc_id")
+
+
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents encoded into files of 16-bit ids, read back from them."""
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
     target = work_dir(spark, "tokens")
     token_files.write_token_files(table(spark, folder, "documents"), target, width=2)
 
@@ -51,6 +56,12 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
 
 
+@query("op6_quality_model")
+def op6_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior, score and verdict of every document."""
+    return weak_labels.judge_quality(table(spark, folder, "documents")).select("doc_id", "posterior", "score", "keep")
+
+
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose 4-word shingles are 85 % alike, as components."""
