@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm import (byte_bpe, fingerprints, host_reputation, paragraphs, phrase_index, set_join, token_files,
-                           weak_labels)
+from leafgraph.llm import (byte_bpe, fingerprints, host_reputation, page_templates, paragraphs, phrase_index,
+                           set_join, token_files, weak_labels)
 from leafgraph.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op8_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Documents encoded by byte-level BPE and decoded again."""
     return byte_bpe.digest_documents(table(spark, folder, "documents"))
+
+
+@query("op10_page_templates")
+def op10_page_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_templates.extract_text(table(spark, folder, "pages"))
