@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafgraph.llm import (byte_bpe, fingerprints, host_reputation, page_templates, paragraphs, phrase_index,
-                           set_join, token_files, weak_labels)
+                           set_join, suffix_repeats, token_files, weak_labels)
 from leafgraph.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,13 @@ def op2_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"))
 
 
+@query("op3_suffix_repeats")
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 200-byte strings that occur elsewhere."""
+    rows = suffix_repeats.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_multiset_fingerprint")
 def op4_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of documents and of their edited texts."""
