@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
 
 
-def qa_pairs(conversations: DataFrame) -> DataFrame:
-    """Each user turn that an assistant turn follows: ``(conv_id, turn, question, answer)``.
+def qa_pairs(conversations: DataFrame, block: int = 1000) -> DataFrame:
+    """Each user turn whose next turn is an assistant's: ``(conv_id, turn, question, answer)``.
 
-    Turns count up by one, so an answer is found by its number: the join key (conversation, turn) spreads even a
-    conversation that holds much of the table, which a window over the conversation would not.
+    Turns may have gaps. A conversation is cut into blocks of ``block`` turn numbers, so that a long one is no hot key; the
+    first turn of each block also ends the block before it that has any turn.
     """
-    asked = conversations.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
-    replies = conversations.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return asked.join(replies, ["conv_id", "turn"])
+    rows = conversations.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / block).alias("block"))
+    firsts = rows.groupBy("conv_id", "block").agg(F.min_by(F.struct("turn", "role", "text"), "turn").alias("head"))
+    after = firsts.select("conv_id", "block", F.lead("head").over(
+        Window.partitionBy("conv_id").orderBy("block")).alias("after"))  # a row per block
+    order = Window.partitionBy("conv_id", "block").orderBy("turn")
+    rows = rows.withColumn("follows", F.lead(F.struct("turn", "role", "text")).over(order))
+    rows = rows.where("role = 'user'").join(after, ["conv_id", "block"])
+    rows = rows.withColumn("follows", F.coalesce("follows", "after"))
+    return rows.where("follows.role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"),
+                                                           F.col("follows.text").alias("answer"))
 
 
 def parse_question_log(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -25,6 +31,12 @@ def parse_question_log(raw: DataFrame, value: str = "value") -> DataFrame:
     return raw.select(F.from_json(F.col(value), S.QUESTION_LOG).alias("r")).select("r.*")
 
 
+def parse_questions(raw: DataFrame, value: str = "value") -> DataFrame:
+    """Question log rows with ``payload`` and ``valid``, which is false where there is no question to be read."""
+    rows = raw.select(F.col(value).alias("payload"), F.from_json(F.col(value), S.QUESTION_LOG).alias("r"))
+    return rows.select("r.*", F.col("r.question").isNotNull().alias("valid"), "payload")
+
+
 def parse_id_list(text: Column) -> Column:
     """``"1,2,3,"`` as an array of ids; blanks and junk are left out."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x).try_cast("long")),

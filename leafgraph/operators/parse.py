@@ -78,19 +78,46 @@ class _Node:
         self.tag, self.attrs, self.kids, self.parent = tag, attrs, [], parent
 
     def walk(self) -> Iterator[_Node]:
-        for kid in self.kids:
-            if isinstance(kid, _Node):
-                yield kid
-                yield from kid.walk()
+        """All elements below this one in document order; no recursion, as pages nest without bound."""
+        open_ = [iter(self.kids)]
+        while open_:
+            for kid in open_[-1]:
+                if isinstance(kid, _Node):
+                    yield kid
+                    open_.append(iter(kid.kids))
+                    break
+            else:
+                open_.pop()
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out, left = [], list(reversed(self.kids))
+        while left:
+            kid = left.pop()
+            if isinstance(kid, str):
+                out.append(kid)
+            else:
+                left.extend(reversed(kid.kids))
+        return "".join(out)
 
     def string(self) -> str | None:
         """The only string below this node, or None."""
-        if len(self.kids) != 1:
-            return None
-        return self.kids[0] if isinstance(self.kids[0], str) else self.kids[0].string()
+        node = self
+        while len(node.kids) == 1:
+            if isinstance(node.kids[0], str):
+                return node.kids[0]
+            node = node.kids[0]
+        return None
+
+
+def _unwind(steps: Iterator) -> None:
+    """Run steps that yield inner steps, depth first, on a stack of our own."""
+    stack = [steps]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
 
 
 # One alternative per token; possessive repeats keep the scan linear on broken markup.
@@ -178,6 +205,7 @@ class _PageRows:
         self.pos = self.breaks = self.tables = 0
         self.lists: list = []
         self.fresh = True
+        self.main: _Node | None = None
 
     def emit(self, kind: str, **values) -> int:
         self.pos += 1
@@ -216,16 +244,29 @@ class _PageRows:
                 return level
         return None
 
-    def walk(self, node: _Node, ancestors: str = "", in_head: int | None = None) -> None:
+    def read(self, main: _Node) -> None:
+        """Emit the rows of the main content."""
+        self.main = main
+        _unwind(self.walk(main))
+        self.flush()
+
+    def ancestors(self, node: _Node) -> str:
+        names = []
+        while node.parent is not None and node.parent is not self.main:
+            node = node.parent
+            names.append(node.tag)
+        return " ".join(n for n in reversed(names) if n)
+
+    def walk(self, node: _Node, in_head: int | None = None) -> Iterator:
+        """Steps for :func:`_unwind`; so are those of ``element`` and ``table``."""
         for kid in node.kids:
             if isinstance(kid, str):
                 self.say(kid)
             elif kid.tag not in _SILENT:
-                self.element(kid, ancestors, in_head)
+                yield self.element(kid, in_head)
 
-    def element(self, node: _Node, ancestors: str, in_head: int | None) -> None:
+    def element(self, node: _Node, in_head: int | None) -> Iterator:
         tag, attrs = node.tag, node.attrs
-        inner = f"{ancestors} {tag}".strip()
         if tag == "a":
             if "href" in attrs:
                 self.emit("link", text=node.text().strip(), href=attrs["href"], in_head=in_head)
@@ -236,20 +277,20 @@ class _PageRows:
             self.flush()
             at = len(self.rows)
             head = self.emit("head", tag=tag, level=level)
-            self.walk(node, inner, head)
+            yield self.walk(node, head)
             body, self.buffer, self.breaks, self.fresh = "".join(self.buffer), [], 0, True
             full, link = node.text(), _find(node, {"name": "a"})
             string, kids = node.string(), node.parent.kids
             self.rows[at].update(
                 text=full.strip().replace("\n", ""), body=body,
                 link_text=link.text().strip() if link else None, classes=attrs.get("class", ""),
-                ancestors=ancestors, string_len=None if string is None else len(string),
+                ancestors=self.ancestors(node), string_len=None if string is None else len(string),
                 last_child=kids[-1] is node)
             return
         rule = next((r for r in self.config.replacements if matches(node, r["attrs"])), None)
         if rule is not None and tag == "table" and rule["function"] == "convert_table":
             self.flush()
-            self.table(node)
+            yield self.table(node)
             self.brk(2)
         elif tag == "br":
             self.buffer.append("  \n")
@@ -260,7 +301,7 @@ class _PageRows:
         elif tag in ("ul", "ol"):
             self.brk(1 if self.lists else 2)
             self.lists.append(0 if tag == "ol" else None)
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
             self.lists.pop()
             self.brk(1 if self.lists else 2)
         elif tag == "li":
@@ -273,26 +314,26 @@ class _PageRows:
                 self.buffer.append("\n" * self.breaks)
             self.buffer.append("  " * max(len(self.lists), 1) + mark)
             self.breaks, self.fresh = 0, False
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
             self.brk(1)
         elif tag in ("td", "th"):
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
             if node.parent.kids and any(isinstance(k, _Node) for k in node.parent.kids[node.parent.kids.index(node) + 1:]):
                 self.say("| ")
         elif tag == "tr":
             self.brk(1)
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
             self.brk(1)
         elif tag in _BLOCK:
             self.brk(2)
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 self.say("#" * int(tag[1]) + " ")
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
             self.brk(2)
         else:
-            self.walk(node, inner, in_head)
+            yield self.walk(node, in_head)
 
-    def table(self, table: _Node) -> None:
+    def table(self, table: _Node) -> Iterator:
         """Rows, cells and notes of one table; a nested table gets a number of its own, in place."""
         number, self.tables = self.tables, self.tables + 1
         nodes = list(table.walk())  # document order
@@ -320,7 +361,7 @@ class _PageRows:
                           text=_inline(cell, skip=(sup, inner)), body=_inline(cell, skip=(inner,)),
                           note_keys=sup.text() if sup else None, nested=inner is not None)
                 if inner is not None and col_no == 0 and not titles:
-                    self.table(inner)
+                    yield self.table(inner)
             for cell in [n for n in cells if n.tag == "td"] + by_row.get((id(row), "p"), []):
                 sup = _find(cell, {"name": "sup"})
                 if sup is not None and _is_note(cell):
@@ -348,22 +389,19 @@ def _is_note(cell: _Node) -> bool:
 
 def _inline(node: _Node, skip: Iterable = ()) -> str:
     """Text of a cell on one line; digit superscripts read ``[n]``."""
-    out = []
-
-    def visit(n: _Node) -> None:
-        for kid in n.kids:
-            if isinstance(kid, str):
-                out.append(kid)
-            elif kid in skip or kid.tag in _SILENT:
-                continue
-            elif kid.tag == "sup" and (kid.string() or "").isdigit():
-                out.append(f"[{kid.string()}]")
-            else:
-                if kid.tag in _BLOCK or kid.tag in ("li", "br"):
-                    out.append(" ")
-                visit(kid)
-
-    visit(node)
+    out, left = [], list(reversed(node.kids))
+    while left:
+        kid = left.pop()
+        if isinstance(kid, str):
+            out.append(kid)
+        elif kid in skip or kid.tag in _SILENT:
+            continue
+        elif kid.tag == "sup" and (kid.string() or "").isdigit():
+            out.append(f"[{kid.string()}]")
+        else:
+            if kid.tag in _BLOCK or kid.tag in ("li", "br"):
+                out.append(" ")
+            left.extend(reversed(kid.kids))
     return " ".join("".join(out).split())
 
 
@@ -382,8 +420,7 @@ def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict) ->
         if doomed:
             for node in [main, *main.walk()]:
                 node.kids = [k for k in node.kids if id(k) not in doomed]
-        rows.walk(main)
-        rows.flush()
+        rows.read(main)
         return rows.rows
     except Exception as error:  # noqa: BLE001 - the row carries the reason
         return [{"page_id": page_id, "pos": 0, "kind": "error", "text": f"{type(error).__name__}: {error}"}]

@@ -1,46 +1,59 @@
-"""Question log and feedback as incremental file streams."""
+"""Question log and feedback as incremental file streams.
+
+Every payload is kept, however late. A payload with an ``event_id`` that an earlier batch has stored, or that stands twice in
+a batch, is a repeat and left out; payloads without an id are never repeats of each other. Lines that can't be read go to the
+rejects one by one. Each batch writes a folder of its own, so a batch that runs again after a failure replaces what it wrote.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.operators.interactions import parse_feedback, parse_question_log
+from leafgraph.operators.interactions import parse_feedback, parse_questions
 
 
-def _stream(spark: SparkSession, source: str) -> DataFrame:
-    return spark.readStream.format("text").load(source)
+def _stored_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Event ids of earlier batches; None before the first one."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return stored.where((F.col("batch_id") < batch_id) & F.col("event_id").isNotNull()).select("event_id")
 
 
-def _once(rows: DataFrame, delay: str) -> DataFrame:
-    """Drop repeated events; state is kept only as long as a repeat may arrive."""
-    return rows.withWatermark("logged_at", delay).dropDuplicatesWithinWatermark(["event_id"])
+def _write(rows: DataFrame, path: str, batch_id: int) -> None:
+    (rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
-def _run(rows: DataFrame, sink: str, checkpoint: str) -> None:
-    query = (rows.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+def _log(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint: str,
+         parse: Callable[[DataFrame], DataFrame]) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse(batch)
+        good = parsed.where("valid").drop("valid", "payload")
+        named = good.where("event_id is not null").dropDuplicates(["event_id"])
+        stored = _stored_ids(spark, sink, batch_id)
+        if stored is not None:
+            named = named.join(stored, "event_id", "left_anti").select(good.columns)
+        _write(named.union(good.where("event_id is null")), sink, batch_id)
+        _write(parsed.where("not valid").select("event_id", "payload"), rejects, batch_id)
+
+    query = (spark.readStream.format("text").load(source).writeStream.foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
 
-def log_questions(spark: SparkSession, source: str, sink: str, checkpoint: str, delay: str = "1 hour") -> None:
+def log_questions(spark: SparkSession, source: str, sink: str, checkpoint: str, rejects: str | None = None) -> None:
     """Append new JSON question payloads, each event once, then stop. Restarts continue from the checkpoint."""
-    _run(_once(parse_question_log(_stream(spark, source)), delay), sink, checkpoint)
+    _log(spark, source, sink, rejects or f"{sink.rstrip('/')}-rejects", checkpoint, parse_questions)
 
 
-def log_feedback(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint: str, delay: str = "1 hour"
-                 ) -> None:
-    """Append new feedback payloads; unusable ones go to ``rejects``. One read of the input feeds both tables."""
-    parsed = _once(parse_feedback(_stream(spark, source)), delay)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        # one folder per batch: a batch that is run again after a failure replaces what it wrote
-        batch = batch.withColumn("batch_id", F.lit(batch_id))
-        for rows, path in ((batch.where("valid").drop("valid", "payload"), sink),
-                           (batch.where("NOT valid").select("event_id", "payload", "batch_id"), rejects)):
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(path))
-
-    query = (parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+def log_feedback(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint: str) -> None:
+    """Append new feedback payloads; unusable ones go to ``rejects``."""
+    _log(spark, source, sink, rejects, checkpoint, parse_feedback)
