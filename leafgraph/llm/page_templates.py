@@ -24,6 +24,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,10 +38,14 @@ SUPPORT = 0.6        # of a host's pages that have a tag of the template
 LEAST_PAGES_TEXT, SUPPORT_TEXT = 10, 0.9  # the same for runs of text, which copies of an article share as well
 LEAST_MEMBERS = 2    # tokens of a class
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: text, or a tag's slash, name and attributes, or a lone sign; comments and declarations leave all empty
+_TOKEN = re.compile(r"""([^<]+)|<(?:(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|!--.*?(?:-->|\Z)|[!?][^>]*>)"""
+                    r"""|(<)""", re.S)
 _ROLE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+DEPTH = 12  # levels of the path that tells tags apart
+OUTER = {"article", "main", "table", "body", "html", "div", "section"}
+HOLDING = {"article", "main", "table"}  # not closed by the end of another element, unless it is one of OUTER
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -57,78 +62,129 @@ MARKS = set("ad ads adv advert advertisement advertising adverts adbox adslot ba
 
 
 class Page:
-    """Tokens of a page: (token, element stack or None) for text runs, tags as ("<name role>", depth)."""
+    """Elements of a page in document order, and its runs of text.
+
+    Of each element: ``label`` (name and roles), ``path`` (labels of the first ``DEPTH`` levels), ``parent`` (number, -1 for
+    none), ``level``. A run has its text, the number of its innermost element and the number of its block.
+    """
 
     def __init__(self, source: str):
-        self.tags: list[tuple[str, ...]] = []  # path of each opened element, the element last
-        self.runs: list[tuple[str, tuple[int, ...], int]] = []  # text, numbers of the open elements, block number
+        self.label: list[str] = []
+        self.path: list[str] = []
+        self.parent: list[int] = []
+        self.level: list[int] = []
+        self.runs: list[tuple[str, int, int]] = []
         self._parse(source)
 
+    def _open(self, label: str, parent: int) -> int:
+        level = self.level[parent] + 1 if parent >= 0 else 0
+        above = self.path[parent] if parent >= 0 else ""
+        self.label.append(label)
+        self.parent.append(parent)
+        self.level.append(level)
+        self.path.append(above if level >= DEPTH else f"{above}/{label}" if above else label)
+        return len(self.label) - 1
+
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []
-        block, skip = 0, ""
-        for token in _TOKEN.findall(source):
-            if token[0] != "<" or token == "<":
-                if not skip:
-                    self.runs.append((token, tuple(n for _, n in stack), block))
-                continue
-            found = _NAME.match(token)
-            if not found:
-                continue
-            name = found[1].lower()
-            closing = token[1] == "/"
+        at, block, skip = -1, 0, ""
+        for text, slash, name, attributes, sign in _TOKEN.findall(source):
             if skip:
-                if closing and name == skip:
+                if slash and name.lower() == skip:
                     skip = ""
                 continue
+            if text or sign:
+                self.runs.append((text or sign, at, block))
+                continue
+            if not name:
+                continue
+            name = name.lower()
             if name in BLOCK:
                 block += 1
             elif name == "br":
-                self.runs.append((" ", tuple(n for _, n in stack), block))
-            if closing:
+                self.runs.append((" ", at, block))
+            if slash:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if depth is not None and not any(s[0] in ("article", "main", "table") and name not in (
-                        "article", "main", "table", "body", "html", "div", "section") for s in stack[depth + 1:]):
+                if depth is not None and (name in OUTER or not any(n in HOLDING for n, _ in stack[depth + 1:])):
                     del stack[depth:]
+                    at = stack[-1][1] if stack else -1
                 continue
+            whole = attributes.endswith("/")
             if name in RAW:
-                skip = "" if token.endswith("/>") and name in ("svg", "math") else name
+                skip = "" if whole and name in ("svg", "math") else name
                 continue
             if name in BLOCK:  # an open paragraph ends where a block begins
-                open_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if open_p is not None and not any(s[0] in BLOCK for s in stack[open_p + 1:]):
-                    del stack[open_p:]
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "p":
+                        del stack[i:]
+                        break
+                    if stack[i][0] in BLOCK:
+                        break
             if name == "li" and stack and stack[-1][0] == "li":
                 stack.pop()
-            if name in VOID or token.endswith("/>"):
+            at = stack[-1][1] if stack else -1
+            if name in VOID or whole:
                 continue
-            roles = " ".join(sorted(f"{k.lower()}={v.strip(chr(34) + chr(39)).lower()}" for k, v in _ROLE.findall(token)))
-            parent = self.tags[stack[-1][1]] if stack else ()
-            self.tags.append((parent + ((name + " " + roles).strip(),))[-12:])
-            stack.append((name, len(self.tags) - 1))
+            label = name
+            if attributes:
+                roles = sorted(f"{k.lower()}={v.strip(chr(34) + chr(39)).lower()}" for k, v in _ROLE.findall(attributes))
+                label = " ".join([name, *roles])
+            at = self._open(label, at)
+            stack.append((name, at))
+
+    def marked(self) -> list[bool]:
+        """Of each element: whether it or one around it is boilerplate."""
+        out: list[bool] = []
+        for label, parent in zip(self.label, self.parent):
+            out.append(parent >= 0 and out[parent] or boilerplate(label, False))
+        return out
 
     def tokens(self) -> Counter:
         """Template token -> occurrences: tags by path, text runs by content and innermost element."""
-        found = Counter("/".join(path) for path in self.tags)
-        for text, stack, _ in self.runs:
+        found = Counter(self.path)
+        for text, at, _ in self.runs:
             text = " ".join(text.split())
             if text and len(text) < 500:
-                found["=" + ("/".join(self.tags[stack[-1]]) if stack else "") + "=" + text] += 1
+                found[self._run_token(text, at)] += 1
+        return found
+
+    def _run_token(self, text: str, at: int) -> str:
+        return "=" + (self.path[at] if at >= 0 else "") + "=" + text
+
+    def sizes(self) -> Counter:
+        """Tag token -> characters of text below it outside boilerplate."""
+        own = [0] * len(self.label)
+        marked = self.marked()
+        for text, at, _ in self.runs:
+            if at >= 0 and not marked[at]:
+                own[at] += len(text)
+        for n in range(len(own) - 1, -1, -1):
+            if self.parent[n] >= 0:
+                own[self.parent[n]] += own[n]
+        found: Counter = Counter()
+        for path, size in zip(self.path, own):
+            found[path] += size
         return found
 
     def extract(self, template: set[str], main: str | None) -> str:
         """The article's blocks joined by line ends."""
         main_at = self._main(main)
+        inside, dropped = [], []
+        for n, (label, parent) in enumerate(zip(self.label, self.parent)):
+            within = parent >= 0 and inside[parent]
+            inside.append(n == main_at or within)
+            if n == main_at:
+                dropped.append(False)
+            elif main_at is None:
+                dropped.append(parent >= 0 and dropped[parent] or boilerplate(label, False))
+            else:
+                dropped.append(within and (dropped[parent] or boilerplate(label, True)))
         blocks: dict[int, list[str]] = {}
-        for text, stack, block in self.runs:
-            if main_at is not None and main_at not in stack:
-                continue
-            inner = stack[stack.index(main_at) + 1:] if main_at is not None else stack
-            if any(boilerplate(self.tags[n][-1], main_at is not None) for n in inner):
+        for text, at, block in self.runs:
+            if main_at is not None and (at < 0 or not inside[at]) or at >= 0 and dropped[at]:
                 continue
-            if template and text.strip():
-                own = "=" + ("/".join(self.tags[stack[-1]]) if stack else "") + "=" + " ".join(text.split())
-                if token_hash(own) in template:
+            if template and len(text) < 1000 and not text.isspace():
+                if token_hash(self._run_token(" ".join(text.split()), at)) in template:
                     continue
             blocks.setdefault(block, []).append(text)
         lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
@@ -137,16 +193,18 @@ class Page:
     def _main(self, main: str | None) -> int | None:
         """Number of the element that holds the article: the template's, else an article or main element."""
         if main is not None:
-            for n, path in enumerate(self.tags):
-                if token_hash("/".join(path)) == main:
+            for n, path in enumerate(self.path):
+                if path == main:
                     return n
+        marked = self.marked()
         for name in ("article", "main"):
-            for n, path in enumerate(self.tags):
-                if path[-1].split(" ")[0] == name and not any(boilerplate(t, False) for t in path):
+            for n, label in enumerate(self.label):
+                if label.partition(" ")[0] == name and not marked[n]:
                     return n
         return None
 
 
+@lru_cache(maxsize=100_000)
 def boilerplate(tag: str, within: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or the like, by name or role.
 
@@ -164,7 +222,7 @@ def token_hash(token: str) -> str:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (hashes of the template's tokens) and main (the element with most slot text, or null).
+    """host, tokens (the template's tags by path, and hashes of its runs of text) and main (the path of the main element).
 
     ``pages`` has (page_id, host, html).
     """
@@ -174,11 +232,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
             for page_id, host, source in zip(*(batch.column(c).to_pylist() for c in ("page_id", "host", "html"))):
                 page = Page(source or "")
                 mark = int.from_bytes(hashlib.blake2b(repr(page_id).encode(), digest_size=4).digest(), "big")
-                size: Counter = Counter()
-                for text, stack, _ in page.runs:
-                    if stack and not any(boilerplate(self_, False) for self_ in (page.tags[n][-1] for n in stack)):
-                        for n in stack:
-                            size["/".join(page.tags[n])] += len(text)
+                size = page.sizes()
                 for token, times in page.tokens().items():
                     row = found.setdefault((host, token), [0, 0, 0, 0])
                     row[0] += 1
@@ -187,7 +241,8 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
                     row[3] += size.get(token, 0)
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([token_hash(k[1]) for k in keys], pa.string()),
+                [pa.array([k[0] for k in keys], pa.string()),
+                 pa.array([token_hash(k[1]) if k[1][:1] == "=" else k[1] for k in keys], pa.string()),
                  pa.array([k[1][:1] != "=" for k in keys], pa.bool_()),
                  pa.array([_rank(k[1]) for k in keys], pa.int32()), pa.array([k[1].count("/") for k in keys], pa.int32()),
                  *(pa.array([found[k][i] for k in keys], pa.int64()) for i in range(4))],

@@ -28,6 +28,7 @@ SHARE = (80, 100)
 BANDS, ROWS = 5, 2
 LONG, SHORT = 13, 6
 RUN = 25
+BINS = 64
 GAP = 6  # words of units too short to be matched that a run may span
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _ID = "struct<doc_id:bigint,unit:int>"
@@ -100,7 +101,7 @@ def long_paragraphs(documents: DataFrame) -> DataFrame:
                                  for b in range(BANDS)], axis=1)
                 unique, owner = distinct(hashes, np.searchsorted(which, line))
                 a, b = similar.set_digests(unique, owner, len(which))
-                hist = similar.histograms(unique, owner, len(which))
+                hist = similar.histograms(unique, owner, len(which), BINS)
                 some = {k: v[which] for k, v in own.lines.items()}
                 yield pa.RecordBatch.from_arrays(
                     [_ids(doc, some["row"] + first, some["number"] * 2), pa.array(np.bincount(owner, minlength=len(which))),
@@ -141,7 +142,7 @@ def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFr
     needed = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     needed = materialize(needed.join(spans, "id").select("id", "start", "end", F.col("id.doc_id").alias("doc_id")), "needed")
     raw = F.to_binary("text", F.lit("utf-8"))
-    texts = _documents(documents).join(needed, "doc_id").select(
+    texts = _documents(documents).join(needed.hint("merge"), "doc_id").select(  # one plan at every size
         "id", F.substring(raw, F.col("start") + 1, F.col("end") - F.col("start")).cast("string").alias("text")
     ).dropDuplicates(["id"])
     texts = materialize(texts, "paragraphs")

@@ -65,7 +65,7 @@ def build_index(documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Dat
     """
     terms = materialize(wanted.select("phrase", "terms").distinct().select(
         "phrase", F.posexplode("terms").alias("offset", "term")), "terms")
-    vocabulary = terms.select("term").distinct()
+    vocabulary = materialize(terms.select("term").distinct(), "vocabulary")  # its size is known when the join is planned
     counts = postings(documents).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
     ranked = terms.join(counts, "term", "left").withColumn("rank", F.row_number().over(order) - 1)

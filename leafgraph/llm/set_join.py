@@ -27,6 +27,7 @@ from leafgraph.session import materialize
 
 N_WORDS = 4
 SHARE = (85, 100)
+BINS = 512
 
 
 def shingle_sets(texts: pa.Array, n: int = N_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,7 +110,7 @@ def sign_documents(documents: DataFrame, n: int = N_WORDS, share: tuple[int, int
                     if digest in seen:  # the same set; its signatures are there already
                         sigs[i] = sigs[i][:0]
                     seen.add(digest)
-                hist = similar.histograms(hashes, rows, count)
+                hist = similar.histograms(hashes, rows, count, BINS)
                 lengths = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, count), pa.array(np.bincount(rows, minlength=count).astype(np.int64)), pa.array(a),

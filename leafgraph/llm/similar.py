@@ -1,7 +1,7 @@
 """Groups of similar sets: candidate pairs from shared signatures, exact similarity, connected components.
 
 Used by operators whose items are sets of hashed features. An item is one row: ``id``, ``size``, a digest ``a``, ``b`` of the
-set, ``hist`` (64 counts of the features by hash, clipped to a byte) and ``sigs`` (signatures; similar sets share one).
+set, ``hist`` (counts of the features by hash, clipped to a byte) and ``sigs`` (signatures; similar sets share one).
 
 No step forms all pairs of a group. Items with the same set are one class, found by grouping. Within a group of items that
 share a signature, each is first compared with the group's smallest item only; what that links is merged. Only groups that
@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 from leafgraph.session import materialize
 
 BLOCK_ITEMS = 2048
-BINS = 64
 
 
-def histograms(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """Counts of a row's hashes by their low bits, clipped to 255."""
-    flat = np.bincount(rows * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=n_rows * BINS)
-    return np.minimum(flat, 255).astype(np.uint8).reshape(n_rows, BINS)
+def histograms(hashes: np.ndarray, rows: np.ndarray, n_rows: int, bins: int) -> np.ndarray:
+    """Counts of a row's hashes by their low bits (``bins`` is a power of two), clipped to 255."""
+    flat = np.bincount(rows * bins + (hashes & np.uint64(bins - 1)).astype(np.int64), minlength=n_rows * bins)
+    return np.minimum(flat, 255).astype(np.uint8).reshape(n_rows, bins)
 
 
 def set_digests(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,27 +49,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges; nodes that have neighbours at least halve in number each round. Tables are written between rounds.
     """
     edges = materialize(edges.select("x", "y").filter("x <> y").distinct(), "edges")
-    nodes = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct()
-    labels = nodes.select("id", F.col("id").alias("component"))
+    labels = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct().withColumn("component", F.col("id"))
     while not edges.isEmpty():
         both = edges.union(edges.select("y", "x"))
         parent = materialize(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
                              .select("id", F.least("id", "m").alias("p")), "parents")
-        while True:  # p of p; a node without a row is its own parent
+        moved = True
+        while moved:  # every node of this round has a row, so the parent of a parent is found
             up = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
-            parent = materialize(parent.join(up, "p").select("id", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias(
-                "moved")), "parents")
-            if parent.filter("moved").isEmpty():
-                break
+            parent = materialize(parent.join(up, "p").select(
+                "id", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            moved = not parent.filter("moved").isEmpty()
             parent = parent.select("id", "p")
-        up = parent.select(F.col("id").alias("component"), "p")
-        labels = materialize(labels.join(up, "component", "left").select(
-            "id", F.coalesce("p", "component").alias("component")), "labels")
-        x, y = parent.select(F.col("id").alias("x"), F.col("p").alias("px")), parent.select(
-            F.col("id").alias("y"), F.col("p").alias("py"))
+        labels = labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select(
+            "id", F.coalesce("p", "component").alias("component"))
+        x, y = (parent.select(F.col("id").alias(k), F.col("p").alias(f"p{k}")) for k in "xy")
         edges = materialize(edges.join(x, "x").join(y, "y").filter("px <> py")
                             .select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
-    return labels
+    return materialize(labels, "labels")
 
 
 def may_match(pairs: DataFrame, items: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -102,7 +98,7 @@ def possible(hx: np.ndarray, hy: np.ndarray, sx: np.ndarray, sy: np.ndarray, sha
 
 
 def _hist(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> DataFrame:
@@ -158,12 +154,16 @@ def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple
         block, size = (keys.column(c).to_numpy().astype(np.int64) for c in ("block", "size"))
         hist = _hist(keys.column("hist").combine_chunks())
         i, j = keys.column("i")[0].as_py(), keys.column("j")[0].as_py()
+        coarse = hist.reshape(len(hist), 32, -1).sum(axis=2, dtype=np.int16)  # a bound that rules out most pairs
+        second = np.flatnonzero(block == j)
         found: list[tuple] = []
         for at in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & (part != part[at]) & ((block != block[at]) | (np.arange(len(ids)) > at)))
-            if len(others):
-                ok = possible(hist[at], hist[others], size[at], size[others], share)
-                found += [(ids[at], ids[o]) for o in others[ok]]
+            others = second[second > at] if i == j else second
+            others = others[part[others] != part[at]]
+            for counts in (coarse, hist):
+                if len(others):
+                    others = others[possible(counts[at], counts[others], size[at], size[others], share)]
+            found += [(ids[at], ids[o]) for o in others]
         kind = keys.schema.field("id").type
         return pa.table({"x": pa.array([f[0] for f in found], kind), "y": pa.array([f[1] for f in found], kind)})
 
