@@ -19,7 +19,7 @@ from leafgraph.functions.registry import resolve
 from leafgraph.functions.text import clean_text, strip
 from leafgraph.operators.parse import SiteConfig
 
-STEP = 16
+STEP = 1024  # section numbers between two positions; more split rules than this are refused
 _EMPTY_LINKS = "array<struct<pos:int,title:string,href:string>>"
 
 
@@ -60,6 +60,8 @@ def mark_splits(rows: DataFrame, config: SiteConfig) -> DataFrame:
 def place_rows(rows: DataFrame, config: SiteConfig) -> DataFrame:
     """Add the section position and, on splitting heads, the parent position and the anchor."""
     n = len(config.split_attrs)
+    if n >= STEP:
+        raise ValueError(f"at most {STEP - 1} split rules")
     split, level, pos = F.col("split"), F.col("level"), F.col("pos")
     before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     # the walk at level i started at the last head of that level or above, before this one

@@ -1,7 +1,6 @@
 """Title, text and prompt expressions.
 
-``documents`` is the extract table: the first words of the text are titles, ``lang`` is the faculty and ``source`` the
-program. ``conversations`` brings questions and model output, ``part`` small text fields.
+``documents`` is the extract table: the lines of the text are titles, ``lang`` is the faculty and ``source`` the program. ``conversations`` brings questions and model output, ``part`` small text fields.
 """
 
 from __future__ import annotations
@@ -15,19 +14,20 @@ from leafgraph.operators import context as K
 from leafgraph.plans.embedding_load import link_urls, select_text_rows
 from leafgraph.registered.base import Tables, query, sql_strip
 
-W = "string_split(text, ' ')"
+L = r"string_split(text, E'\n')"
 
 
 def titles(t: Tables) -> DataFrame:
-    """``p``: the first three words; ``t``: the third and fourth, or a blank and the fourth for odd ids."""
-    w = F.split("text", " ")
-    own = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(""), F.try_element_at(w, F.lit(4)))).otherwise(F.slice(w, 3, 2))
-    return t.documents.select("doc_id", "lang", "source", "text", F.slice(w, 1, 3).alias("p"),
-                              F.filter(own, lambda x: x.isNotNull()).alias("t"))
+    """``p``: all lines but the last; ``t``: the last two, or a blank and the last for odd ids."""
+    lines = F.split("text", "\n")
+    own = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(""), F.element_at(lines, -1))).otherwise(
+        F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 2))
+    return t.documents.select("doc_id", "lang", "source", "text", F.slice(lines, 1, F.size(lines) - 1).alias("p"),
+                              own.alias("t"))
 
 
-TITLES = f"""x AS (SELECT doc_id, lang, source, text, {W}[1:3] AS p, list_filter(CASE WHEN doc_id % 2 = 1
-    THEN ['', {W}[4]] ELSE {W}[3:4] END, lambda y: y IS NOT NULL) AS t FROM documents)"""
+TITLES = f"""x AS (SELECT doc_id, lang, source, text, {L}[1:len({L}) - 1] AS p, CASE WHEN doc_id % 2 = 1
+    THEN ['', {L}[-1]] ELSE {L}[greatest(len({L}) - 1, 1):] END AS t FROM documents)"""
 COMBINED = """y AS (SELECT *, CASE WHEN len(t) > 0 AND t[1] = '' THEN t[2:] ELSE t END AS u FROM x),
     z AS (SELECT *, list_concat(p, CASE WHEN len(p) > 0 AND len(u) > 0 AND p[len(p)] = u[1] THEN u[2:] ELSE u END) AS c
     FROM y)"""
@@ -193,18 +193,16 @@ def f21(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.extract_field(row, "url").alias("url"), X.extract_field(row, "text").alias("text"))
 
 
-@query("f22_spell_changed", """SELECT doc_id, CASE WHEN lang = 'en' THEN NULL ELSE
+@query("f22_spell_changed", """SELECT doc_id, CASE WHEN lang = 'en' OR NOT contains(text, ' ') THEN NULL ELSE
       'Used spell/grammar corrected query: ' || replace(text, ' ', '_') END AS alert,
       CASE WHEN n_chars > 800 THEN 'Did not find answer specific to ' || lang || ', ' || source
-        WHEN n_chars > 400 THEN 'Did not find answer specific to ' || lang END AS ignored FROM documents
-      WHERE contains(text, ' ')""")
+        WHEN n_chars > 400 THEN 'Did not find answer specific to ' || lang END AS ignored FROM documents""")
 def f22(t: Tables) -> DataFrame:
     """English queries change in the case of their first letter only."""
     corrected = F.when(F.col("lang") == "en", F.concat(F.lower(F.substring("text", 1, 1)), F.expr("substring(text, 2)"))).otherwise(F.replace("text", F.lit(" "), F.lit("_")))
     values = F.filter(F.array(F.when(F.col("n_chars") > 400, F.col("lang")), F.when(F.col("n_chars") > 800, F.col("source"))),
                       lambda v: v.isNotNull())
-    rows = t.documents.where(F.contains("text", F.lit(" ")))
-    return rows.select("doc_id", K.spell_alert(F.col("text"), corrected).alias("alert"),
+    return t.documents.select("doc_id", K.spell_alert(F.col("text"), corrected).alias("alert"),
                        K.ignored_alert(values).alias("ignored"))
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+PARTITIONS_SETTING = "leafgraph.partitions"
 
 
 def build_session(app: str = "leafgraph", master: str | None = None, **settings: str) -> SparkSession:
@@ -49,13 +50,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a CPU-heavy narrow step over an input with fewer splits than the cluster has cores.
+    """Deal ``df`` out over as many partitions as the setting ``leafgraph.partitions`` says, ahead of a CPU-heavy step.
 
-    Decided from the size estimate of the optimised plan, without running anything; a large table passes through
-    unchanged. ``keys`` should identify rows, so that they spread evenly.
+    Meant for inputs with fewer splits than the cluster has cores. Without the setting nothing is moved. ``keys`` should
+    identify rows, so that they spread evenly.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, *keys) if size < cores * split else df
+    partitions = df.sparkSession.conf.get(PARTITIONS_SETTING, None)
+    return df.repartition(int(partitions), *keys) if partitions else df
