@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph.functions.models import embed
 from leafgraph.functions.text import combine_titles, title_text
 from leafgraph.functions.vectors import pad_vector
+from leafgraph.operators.interactions import load_audit
+from leafgraph.schemas import VECTOR_CACHE
+from leafgraph.session import materialize
+from leafgraph.sources.store import append_update, reuse_vectors, write_vectors
 
 
 def select_text_rows(extracts: DataFrame) -> DataFrame:
@@ -29,3 +34,37 @@ def vector_rows(extracts: DataFrame, model_factory=None, dim: int = 1024, model_
     rows = embed(rows, model_factory, "_title", "title_embedding", size)
     pads = {c: pad_vector(F.col(c), dim).cast("array<float>") for c in ("text_embedding", "title_embedding")}
     return rows.withColumns(pads).select("doc_id", "url", "titles", "text", "links", *pads)
+
+
+def load_vectors(extracts: DataFrame, path: str, load: int, model_factory=None, dim: int = 1024,
+                 model_dim: int | None = None) -> DataFrame:
+    """Bring the vector table at ``path`` up to date with ``extracts``; returns the audit of what was written.
+
+    Only texts and title paths that no earlier load has embedded reach the model, each once. Their vectors are kept by
+    digest in ``cache``, a folder per load number, so a load that runs again replaces what it added. Then the table
+    ``vectors`` is written anew, audited, and the load recorded in ``updates``.
+    """
+    spark = extracts.sparkSession
+    rows = select_text_rows(extracts).withColumn("titles", combine_titles(F.col("parent_titles"), F.col("titles")))
+    rows = rows.withColumns({"links": link_urls(F.col("links")), "_title": title_text(F.col("titles"))})
+    rows = materialize(rows.withColumns({"_text_key": F.md5("text"), "_title_key": F.md5("_title")}), "load-rows")
+    wanted = rows.select(F.col("_text_key").alias("key"), "text").union(rows.select("_title_key", "_title")).dropDuplicates(["key"])
+    try:
+        cache = spark.read.schema(VECTOR_CACHE).parquet(f"{path}/cache").where(F.col("load") < load)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        cache = spark.createDataFrame([], VECTOR_CACHE)
+    known, missing = reuse_vectors(wanted, cache, key=F.col("key"))
+    fresh = embed(missing, model_factory, "text", "embedding", model_dim or dim).select("key", "embedding")
+    (fresh.withColumn("embedding", F.col("embedding").cast("array<float>")).withColumn("load", F.lit(load))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{path}/cache"))
+    vectors = spark.read.schema(VECTOR_CACHE).parquet(f"{path}/cache").where(F.col("load") <= load).select("key", "embedding")
+    for name in ("text", "title"):
+        own = vectors.select(F.col("key").alias(f"_{name}_key"), F.col("embedding").alias(f"{name}_embedding"))
+        rows = rows.join(own, f"_{name}_key")
+    write_vectors(rows.select("doc_id", "url", "titles", "text", "links", "text_embedding", "title_embedding"),
+                  f"{path}/vectors", dim)
+    audit = load_audit(spark.read.parquet(f"{path}/vectors"))
+    append_update(spark, f"{path}/updates", load)
+    return audit

@@ -13,7 +13,7 @@ from leafgraph.operators import interactions as I
 from leafgraph.registered.base import Tables, query, sql_squeeze, squeeze
 from leafgraph.registered.pages import ARTICLE, _H1, _REST, sql_text
 from leafgraph.session import work_dir
-from leafgraph.sources.store import append_update, export_interactions
+from leafgraph.sources.store import append_update, export_interactions, read_updates
 from leafgraph.streaming.interactions import log_feedback, log_questions
 from leafgraph.streaming.refresh import current_extracts, refresh_pages
 
@@ -121,12 +121,12 @@ def r3(t: Tables) -> DataFrame:
 @query("r4_record_update", """SELECT event_type, strftime(max(ts), '%m/%d/%Y, %H:%M:%S (UTC)') AS last_updated FROM events
     GROUP BY event_type""")
 def r4(t: Tables) -> DataFrame:
-    """One update per kind of event is recorded, at the time of its last event."""
+    """One load per kind of event is recorded, at the time of its last event; what the log holds is read back."""
     base = work_dir(t.spark, "updates")
     kinds = t.events.groupBy("event_type").agg(F.max("ts").alias("at"), F.max("event_id").alias("id"))
-    kinds.select("event_type", "id", F.col("at").alias("datetime")).write.mode("append").parquet(base)
-    append_update(t.spark, f"{base}-own", 1)
-    log = t.spark.read.parquet(base)
+    for row in kinds.select("id", F.col("at").cast("string").alias("at")).collect():  # one row per kind of event
+        append_update(t.spark, base, row["id"], F.lit(row["at"]).cast("timestamp"))
+    log = read_updates(t.spark, base).join(kinds.select("id", "event_type"), "id")
     return log.select("event_type", F.concat(F.date_format("datetime", "MM/dd/yyyy, HH:mm:ss"), F.lit(" (UTC)"))
                       .alias("last_updated"))
 

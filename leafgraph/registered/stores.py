@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from leafgraph import schemas as S
 from leafgraph.operators.extracts import relations
 from leafgraph.operators.taxonomy import program_options, read_taxonomy, taxonomy_json
+from leafgraph.plans.embedding_load import load_vectors
 from leafgraph.registered.base import ORACLES, Tables, query
 from leafgraph.registered.chunks import LINES, line_extracts, taxonomy_rows
-from leafgraph.session import work_dir
+from leafgraph.session import materialize, work_dir
 from leafgraph.sources import store
 
 
@@ -79,6 +80,26 @@ def s8(t: Tables) -> DataFrame:
         missing.select(F.lit("missing").alias("state"), "key", F.lit(1).cast("long").alias("n")))
 
 
+@query("s8_load_twice", """WITH a AS (SELECT DISTINCT text AS x FROM documents WHERE lang = 'en' UNION
+      SELECT DISTINCT source FROM documents WHERE lang = 'en'),
+    b AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS x FROM documents UNION
+      SELECT DISTINCT source FROM documents)
+    SELECT 1 AS load, (SELECT count(*) FROM a)::BIGINT AS embedded, count(*)::BIGINT AS n_rows FROM documents WHERE lang = 'en'
+    UNION ALL SELECT 2, (SELECT count(*) FROM b WHERE x NOT IN (SELECT x FROM a))::BIGINT, (SELECT count(*) FROM documents)""")
+def s8_twice(t: Tables) -> DataFrame:
+    """English documents are loaded, then all of them with every fourth text changed: only new texts and titles are embedded."""
+    base = work_dir(t.spark, "vectors")
+    rows = t.documents.select("doc_id", "lang", F.lit("u").alias("url"), F.array("source").alias("titles"),
+                              F.array().cast("array<string>").alias("parent_titles"), "text",
+                              F.array().cast("array<struct<url:string>>").alias("links"))
+    changed = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    audits = [load_vectors(rows.where("lang = 'en'"), base, 1, dim=16).withColumn("load", F.lit(1))]
+    audits[0] = materialize(audits[0], "audit")  # the second load replaces the table
+    audits.append(load_vectors(rows.withColumn("text", changed), base, 2, dim=16).withColumn("load", F.lit(2)))
+    embedded = t.spark.read.schema(S.VECTOR_CACHE).parquet(f"{base}/cache").groupBy("load").agg(F.count("*").alias("embedded"))
+    return audits[0].union(audits[1]).join(embedded, "load").select("load", "embedded", "n_rows")
+
+
 @query("s10_write_taxonomy", ORACLES["a1_program_options"])
 def s10(t: Tables) -> DataFrame:
     """The nested JSON holds exactly the flat rows."""

@@ -66,6 +66,12 @@ FEEDBACK_PAYLOAD = T.StructType([
     T.StructField("logged_at", T.TimestampType()),
 ])
 
+VECTOR_CACHE = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("load", T.IntegerType()),
+])
+
 UPDATE_LOG = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("datetime", T.TimestampType()),

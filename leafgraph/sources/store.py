@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from leafgraph import schemas as S
 from leafgraph.functions.vectors import pad_vector
 from leafgraph.operators.interactions import export_rows
+from leafgraph.session import materialize
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,7 +41,8 @@ def export_extracts(extracts: DataFrame, path: str) -> None:
 
 
 def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
-    edges.write.mode(mode).partitionBy("type").parquet(path)
+    """Edges by kind, gathered so that a kind is few files however many tasks made it."""
+    edges.hint("rebalance", "type").write.mode(mode).partitionBy("type").parquet(path)
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -78,20 +80,23 @@ def reuse_vectors(texts: DataFrame, cache: DataFrame, text: str = "text", key: C
                   ) -> tuple[DataFrame, DataFrame]:
     """``(known, missing)``: texts with their stored vector, and the distinct texts still to embed.
 
-    ``cache(key, embedding)`` is keyed by a 128-bit digest of the text, so the texts themselves are not shuffled
-    against the cache.
+    ``cache(key, embedding)`` is keyed by a 128-bit digest of the text and holds a key once. One join serves both results:
+    what it gives is written, as the rows without a vector go on to a model.
     """
     keyed = texts.withColumn("key", F.md5(F.col(text)) if key is None else key)
-    known = keyed.join(cache.select("key", "embedding"), "key")
-    missing = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    return known, missing
+    joined = materialize(keyed.join(cache.select("key", "embedding"), "key", "left"), "reuse")
+    return joined.where("embedding is not null"), joined.where("embedding is null").drop("embedding").dropDuplicates(["key"])
 
 
 def append_update(spark: SparkSession, path: str, id: int, at: Column | None = None) -> None:
-    """Record a finished load."""
+    """Record a finished load; a load that is recorded again under its id replaces its entry."""
     row = spark.range(1).select(F.lit(id).cast("long").alias("id"), (F.current_timestamp() if at is None else at)
                                 .alias("datetime"))
-    row.write.mode("append").parquet(path)
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(path)
+
+
+def read_updates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.UPDATE_LOG).parquet(path)
 
 
 def export_interactions(log: DataFrame, feedback: DataFrame, path: str, stamp: str) -> None:

@@ -21,9 +21,10 @@ def changed_pages(found: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def newest_pages(pages: DataFrame) -> DataFrame:
-    """One row per URL, the newest; the html of older copies is dropped in the map-side combine."""
+    """One whole row per URL, the newest; the html of older copies is dropped in the map-side combine."""
     rest = [c for c in pages.columns if c != "url"]
-    return pages.groupBy("url").agg(*[F.max_by(c, "last_modified").alias(c) for c in rest])
+    newest = pages.groupBy("url").agg(F.max_by(F.struct(*rest), F.struct("last_modified", "page_id")).alias("p"))
+    return newest.select("url", "p.*")
 
 
 def refresh_pages(spark: SparkSession, source: str, path: str, checkpoint: str, config: SiteConfig,
