@@ -23,15 +23,21 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 10
 
 
-def words(text: Column) -> Column:
-    """Words of a text in order, A-Z lower-cased and nothing else; empty for null.
+def cut(text: Column) -> Column:
+    """The text split at separators; an empty string can stand at either end only."""
+    return F.split(F.coalesce(text, F.lit("")), SEPARATOR)
 
-    Splitting at separators can leave an empty string at either end only.
-    """
-    cut = F.split(F.coalesce(text, F.lit("")), SEPARATOR)
-    first = F.when(cut[0] == "", 2).otherwise(1)
-    last = F.when(F.element_at(cut, -1) == "", 1).otherwise(0)
-    return F.slice(cut, first, F.greatest(F.size(cut) - first + 1 - last, F.lit(0)))
+
+def trimmed(parts: Column) -> Column:
+    """``parts`` without empty ends."""
+    first = F.when(parts[0] == "", 2).otherwise(1)
+    last = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    return F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - last, F.lit(0)))
+
+
+def words(text: Column) -> Column:
+    """Words of a text in order, as they are written; empty for null."""
+    return trimmed(cut(text))
 
 
 def lowered(word: Column) -> Column:
@@ -42,7 +48,8 @@ def lowered(word: Column) -> Column:
 
 def postings(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, term) of every word."""
-    rows = documents.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    rows = documents.select("doc_id", cut(F.col("text")).alias("parts"))  # once; a generator would split for each use
+    rows = rows.select("doc_id", F.posexplode(trimmed(F.col("parts"))).alias("pos", "term"))
     return rows.select("doc_id", "pos", lowered(F.col("term")).alias("term"))
 
 
@@ -129,7 +136,8 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW)
     owners = owners.select("doc_id", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id").agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     found = covered.join(owners, "doc_id")
-    sizes = texts.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    parts = texts.select("doc_id", cut(F.col("text")).alias("parts"))
+    sizes = parts.select("doc_id", F.size(trimmed(F.col("parts"))).cast("long").alias("n_words"))
     return sizes.join(found, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
