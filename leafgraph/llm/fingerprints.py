@@ -44,14 +44,16 @@ def fingerprint(text: Column) -> Column:
                   for h in hashes[FULL:] for j in range(20)]
         return F.array(*full, *packed, F.size(hashes[0]).cast("long"))
 
-    def hashed(seed: int) -> Column:
-        return F.transform(own, lambda p: F.xxhash64(p, F.lit(seed)))
-
-    own = pieces(text)
-    seeds = [hashed(seed) for seed in range(FULL + PACKED // 20)]
-    # a one-element array lets each hash array be computed once
-    bound = F.array(F.struct(*(h.alias(f"h{i}") for i, h in enumerate(seeds))))
-    return F.transform(bound, lambda b: of([b[f"h{i}"] for i in range(len(seeds))]))[0]
+    def vector(own: Column) -> Column:
+        def hashed(seed: int) -> Column:
+            return F.transform(own, lambda p: F.xxhash64(p, F.lit(seed)))
+
+        names = [f"h{seed}" for seed in range(FULL + PACKED // 20)]
+        bound = F.array(F.struct(*(hashed(seed).alias(name) for seed, name in enumerate(names))))
+        return F.transform(bound, lambda b: of([b[name] for name in names]))[0]
+
+    # lambda variables over one-element arrays, so that pieces and hashes are made once
+    return F.transform(F.array(pieces(text)), vector)[0]
 
 
 def plus(left: Column, right: Column) -> Column:
