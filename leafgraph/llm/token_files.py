@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm.byte_bpe import stands_alone
 
-REMEMBERED = 1_000_000  # parts kept per worker
+REMEMBERED = 800_000  # parts kept per worker
 
 
 def _open_store(folder: str) -> tuple[fs.FileSystem, str]:
