@@ -209,7 +209,7 @@ def _runs(units: DataFrame) -> DataFrame:
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """``documents`` with the repeated passages cut out of ``text`` (and ``n_chars`` set anew, if there is one).
+    """``documents`` with the repeated passages cut out of ``text`` (and their ``n_chars``, if there is one, set anew).
 
     Line ends and blanks around a cut stay as they are; a text that is repeated as a whole becomes empty and its row is
     dropped. All other rows and columns stay.
@@ -229,9 +229,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                         text = without(text.encode(), [(s["start"], s["end"]) for s in spans]).decode()
                     keep.append(not spans or bool(text.strip()))
                     texts.append(text)
-                columns = [pa.array(texts, pa.string()) if f.name == "text" else
-                           pa.array([len(t) if t is not None else None for t in texts], pa.int64()) if f.name == "n_chars"
-                           and f.dataType.simpleString() == "bigint" else part.column(f.name) for f in schema]
+                columns = [part.column(f.name) for f in schema]
+                columns[schema.names.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in schema.names:
+                    at = schema.names.index("n_chars")
+                    counts = [len(t) if spans else n for t, spans, n in zip(
+                        texts, part.column("_cuts").to_pylist(), columns[at].to_pylist())]
+                    columns[at] = pa.array(counts, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(cut, schema)

@@ -190,19 +190,25 @@ def _contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _covered(contexts: DataFrame) -> DataFrame:
-    """(gram, context, low, high): parts of contexts in maximal repeats, from the anchor; ``contexts`` has also l, r, shift."""
+    """(id, low, high) of the contexts (core, id, l, r) that lie in maximal repeats: what these cover, from the core.
+
+    All repeats of a context hold its core, so what they cover is one stretch.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for group in _groups(batches, "core"):
+            reach = [(0, 0)] * len(group)
             for left, right, members in maximal_repeats([g["l"] for g in group], [g["r"] for g in group]):
-                out += [(group[i]["id"], -left, right) for i in members]
+                for i in members:
+                    reach[i] = max(reach[i][0], left), max(reach[i][1], right)
+            out += [(g["id"], -left, right) for g, (left, right) in zip(group, reach) if left + right]
             if len(out) > 50_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
     return contexts.select("core", "id", "l", "r").repartition("core").sortWithinPartitions("core").mapInArrow(
-        scan, "id long, low int, high int").distinct()
+        scan, "id long, low int, high int")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -293,12 +299,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     partly = repeat_coverage(around)
     whole = contexts.filter(f"n > 1 and before + after >= {LENGTH}").select(
         "gram", "context", (-F.col("before")).cast("int").alias("low"), F.col("after").cast("int").alias("high"))
-    covered = whole.unionByName(partly).groupBy("gram", "context").agg(
-        F.collect_set(F.struct("low", "high")).alias("parts"))
-    spans = anchors.select("key", "pos", "gram", "context").join(covered, ["gram", "context"]).select(
-        "key", "pos", F.explode("parts").alias("p"))
-    return spans.groupBy("key").agg(F.collect_set(
-        F.struct((F.col("pos") + F.col("p.low")).alias("start"), (F.col("pos") + F.col("p.high")).alias("end"))).alias("spans"))
+    # all of these stretches hold the anchor, so together they are one
+    covered = whole.unionByName(partly).groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = anchors.select("key", "pos", "gram", "context").join(covered, ["gram", "context"])
+    return spans.groupBy("key").agg(F.collect_list(
+        F.struct((F.col("pos") + F.col("low")).alias("start"), (F.col("pos") + F.col("high")).alias("end"))).alias("spans"))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
