@@ -34,7 +34,7 @@ from leafgraph.session import materialize
 LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM
-CAP = 512
+CAP = 4096
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _inverses = np.ones(1, dtype=np.uint64)
 
