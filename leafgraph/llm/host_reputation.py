@@ -93,8 +93,8 @@ def _shrunk(children: DataFrame, parents: DataFrame, key: str, prior: str) -> Da
         (F.coalesce("extra", F.lit(0.0)) > 0) & (F.col("base") > 0),
         F.greatest(F.lit(low), F.least(F.lit(high), F.try_divide(F.col("base"), F.col("extra")) - 1)))
         .otherwise(high).alias("strength"))
-    rows = rows.crossJoin(strength)  # one row
-    a, b = F.col("m") * F.col("strength") + F.col("k"), (1 - F.col("m")) * F.col("strength") + F.col("n") - F.col("k")
+    s = F.lit(strength.first()["strength"])  # one number
+    a, b = F.col("m") * s + F.col("k"), (1 - F.col("m")) * s + F.col("n") - F.col("k")
     return rows.select(*children.columns, a.alias("a"), b.alias("b")).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
