@@ -172,9 +172,14 @@ def fit_label_model(counts: dict[int, int], rounds: int = ROUNDS) -> LabelModel:
     return LabelModel(float(prior), table, dict(zip(patterns.tolist(), good.tolist())))
 
 
-def training_sample(documents: DataFrame, limit: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Vote patterns and features of the ``limit`` documents with the smallest hashes."""
-    chosen = documents.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(limit).select("text")
+def training_sample(documents: DataFrame, n: int, limit: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Vote patterns and features of the ``limit`` documents with the smallest hashes, of ``n``.
+
+    A bound on the hash leaves about twice as many as are wanted, so that few rows meet where they are ordered.
+    """
+    below = min((1 << 63) - 1, -(1 << 63) + int(2 * limit / max(n, 1) * 2.0 ** 64))
+    chosen = documents.select("text", F.xxhash64("doc_id", "text").alias("h")).filter(F.col("h") <= below)
+    chosen = chosen.orderBy("h").limit(limit).select("text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +223,7 @@ def judge_quality(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     source = documents.drop("posterior", "score", "keep")
     counts = {r["pattern"]: r["n"] for r in vote_patterns(source).collect()}  # at most 3 ** 7 rows
     model = fit_label_model(counts)
-    patterns, x = training_sample(source)
+    patterns, x = training_sample(source, sum(counts.values()))
     weights = fit_scorer(x, np.array([model.posterior[p] for p in patterns.tolist()]))
     known = model.posterior
 
