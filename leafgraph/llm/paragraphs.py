@@ -8,6 +8,12 @@ sentences of ``SHORT`` words and more can only be near-equal if they are equal,
 shingles; they are matched by their words. Each connected component keeps its first unit, by document id and place. A
 repeated unit is removed where it is part of a run of at least ``RUN`` repeated words, so common phrases and short
 boilerplate lines stay.
+
+Besides, every run of ``STRETCH`` words and more that an earlier document holds as well is removed whole, wherever lines and
+sentences begin and end. Of the ``ANCHOR``-word grams of each stretch of ``STRETCH`` words, the one with the smallest hash (the
+first, if several are equal) is its anchor; which one depends on the stretch alone, so equal stretches share their anchor.
+The stretches of one anchor follow each other, and together are its extent. Where all extents of a gram are equal, they are
+repeated as a whole; only elsewhere are the single stretches compared.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.llm import similar
+from leafgraph.llm.suffix_repeats import _hash_between
 from leafgraph.llm.texts import BLANKS, blocks, distinct, grams, mix, powers, span_hashes, word_spans
 from leafgraph.session import materialize
 
@@ -30,6 +37,7 @@ LONG, SHORT = 13, 6
 RUN = 25
 BINS = 64
 GAP = 6  # words of units too short to be matched that a run may span
+STRETCH, ANCHOR = 50, 8  # words
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _ID = "struct<doc_id:bigint,unit:int>"
 
@@ -74,6 +82,48 @@ class Units:
         return hashes, first, line
 
 
+class Stretches:
+    """Stretches of ``STRETCH`` words of a block of texts, by their anchors.
+
+    Of each anchor: its gram, the words from ``low`` to before ``high`` that its stretches cover, and a hash of these.
+    """
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        self.starts, self.ends, self.rows = word_spans(data, offsets, BLANKS)
+        self.offsets = offsets
+        words = span_hashes(data, self.starts, self.ends)
+        n = len(words)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(n + 1)[:n])])
+        self.first_word = np.searchsorted(self.rows, np.arange(len(offsets) - 1))
+        begins = np.flatnonzero(self.rows[:n - STRETCH + 1] == self.rows[STRETCH - 1:]) if n >= STRETCH else np.zeros(0, np.int64)
+        if not len(begins):
+            self.gram = self.extent = np.zeros(0, np.uint64)
+            self.low = self.high = begins
+            return
+        at = np.arange(n - ANCHOR + 1)
+        hashes = _hash_between(self.sums, at, at + ANCHOR)
+        bits = np.uint64(max(20, n.bit_length()))
+        least = (hashes >> bits << bits) | at.astype(np.uint64)  # ties: the first
+        width, count = 1, STRETCH - ANCHOR + 1
+        while width * 2 <= count:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = np.minimum(least[:len(least) - (count - width)], least[count - width:])
+        anchor = (least[begins] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        last = np.append(new[1:], len(begins)) - 1
+        self.gram, self.low, self.high = hashes[anchor[new]], begins[new], begins[last] + STRETCH
+        place = ((anchor[new] - self.low) * 4096 + self.high - self.low).astype(np.uint64)
+        self.extent = mix(_hash_between(self.sums, self.low, self.high) ^ mix(place))
+
+    def spans(self, low: np.ndarray, high: np.ndarray) -> list[pa.Array]:
+        """Of the words from ``low`` to before ``high``: these numbers in their text, and its bytes."""
+        row = self.rows[low]
+        return [pa.array(x.astype(np.int32)) for x in (
+            low - self.first_word[row], high - self.first_word[row], self.starts[low] - self.offsets[row],
+            self.ends[high - 1] - self.offsets[row])]
+
+
 def _ids(doc: pa.Array, rows: np.ndarray, unit: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([doc.take(pa.array(rows)), pa.array(unit.astype(np.int32))], ["doc_id", "unit"])
 
@@ -169,9 +219,89 @@ def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFr
     return pairs.join(y, "y").join(x, "x").select("x", "y", "tx", "ty").mapInArrow(check, f"x {_ID}, y {_ID}")
 
 
+_SPAN = "low int, high int, start int, end int"
+
+
+def _anchors(documents: DataFrame) -> DataFrame:
+    """doc_id, gram, extent and span of every anchor."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column("doc_id")
+            for first, _, offsets, data in blocks(batch.column("text")):
+                own = Stretches(offsets, data)
+                if len(own.low):
+                    yield pa.RecordBatch.from_arrays(
+                        [doc.take(pa.array(own.rows[own.low] + first)), pa.array(own.gram.view(np.int64)),
+                         pa.array(own.extent.view(np.int64)), *own.spans(own.low, own.high)],
+                        ["doc_id", "gram", "extent", "low", "high", "start", "end"])
+
+    return _documents(documents).mapInArrow(find, f"doc_id long, gram long, extent long, {_SPAN}")
+
+
+def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, gram)."""
+    lists = materialize(wanted.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "grams")  # of one text
+    joined = _documents(documents).join(lists.hint("merge"), "doc_id").select("doc_id", "text", "grams")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, lists = batch.column("doc_id"), batch.column("grams")
+            for first, end, offsets, data in blocks(batch.column("text")):
+                own = Stretches(offsets, data)
+                rows = own.rows[own.low]
+                cuts = np.searchsorted(rows, np.arange(end - first + 1))
+                found = np.zeros(len(rows), bool)
+                for i in range(end - first):
+                    grams_ = lists[first + i].values.to_numpy()
+                    found[cuts[i]:cuts[i + 1]] = np.isin(own.gram[cuts[i]:cuts[i + 1]].view(np.int64), grams_)
+                which = np.flatnonzero(found)
+                if not len(which):
+                    continue
+                many = own.high[which] - own.low[which] - STRETCH + 1
+                before = np.cumsum(many) - many
+                low = np.arange(int(many.sum())) - np.repeat(before, many) + np.repeat(own.low[which], many)
+                key = _hash_between(own.sums, low, low + STRETCH)
+                anchor = np.repeat(own.low[which] - own.first_word[rows[which]], many)
+                yield pa.RecordBatch.from_arrays(
+                    [doc.take(pa.array(own.rows[low] + first)), pa.array(key.view(np.int64)), pa.array(anchor.astype(np.int32)),
+                     *own.spans(low, low + STRETCH)], ["doc_id", "key", "anchor", "low", "high", "start", "end"])
+
+    return joined.mapInArrow(find, f"doc_id long, key long, anchor int, {_SPAN}")
+
+
+def repeated_stretches(documents: DataFrame) -> DataFrame:
+    """doc_id, low, high, start, end, first_doc_id: the longest runs of which an earlier document holds every stretch.
+
+    ``low`` and ``high`` number words, ``start`` and ``end`` bytes. A run that meets several earlier documents names the first.
+    """
+    anchors = materialize(_anchors(documents), "anchors")
+    shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                         (F.min("extent") < F.max("extent")).alias("several")).filter("first < last").drop("last")
+    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first")
+    shared = materialize(shared.select("doc_id", "gram", "several", "low", "high", "start", "end", "first"), "shared")
+
+    single = materialize(_single(documents, shared.filter("several").select("doc_id", "gram")), "stretches")
+    firsts = single.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
+        "first < last").drop("last")
+    # stretches of one anchor all hold it, so together they are one run
+    single = single.join(firsts.hint("merge"), "key").filter("doc_id > first").groupBy("doc_id", "anchor").agg(
+        *(F.min(c).alias(c) for c in ("low", "start", "first")), *(F.max(c).alias(c) for c in ("high", "end")))
+
+    columns = ["doc_id", "low", "high", "start", "end", "first"]
+    rows = shared.filter("not several").select(columns).unionByName(single.select(columns))
+    order = Window.partitionBy("doc_id").orderBy("low", "high")
+    rows = rows.withColumn("reach", F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("low") <= F.col("reach"), 0).otherwise(1)).over(
+        order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc_id", "run").agg(
+        *(F.min(c).alias(c) for c in ("low", "start")), *(F.max(c).alias(c) for c in ("high", "end")),
+        F.min("first").alias("first_doc_id")).drop("run")
+
+
 def repeated_units(documents: DataFrame) -> DataFrame:
     """doc_id, unit, start, end, words, first_doc_id, removed: every unit whose component has several members.
 
+    A run of repeated stretches is one unit, whose number is negative: its first word's number in the text, as -1, -2, ...
     ``start`` and ``end`` are byte offsets; ``first_doc_id`` is the document of the unit that the component keeps; ``removed``
     tells whether this one goes. Null and blank texts have no units; rows without ``doc_id`` are left out, as nothing could
     point to them; texts that share a ``doc_id`` number their units alike and are taken for one; other columns are ignored.
@@ -188,13 +318,17 @@ def repeated_units(documents: DataFrame) -> DataFrame:
     units = near.unionByName(equal).select(
         F.col("id.doc_id").alias("doc_id"), F.col("id.unit").alias("unit"), "start", "end", "words",
         F.col("first.doc_id").alias("first_doc_id"), (F.col("id") != F.col("first")).alias("repeated"))
-    return _runs(materialize(units, "units"))
+    runs = repeated_stretches(documents).select(
+        "doc_id", (-F.col("low") - 1).cast("int").alias("unit"), "start", "end", (F.col("high") - F.col("low")).alias("words"),
+        "first_doc_id", F.lit(True).alias("repeated"))
+    return _runs(materialize(units.unionByName(runs), "units"))
 
 
 def _runs(units: DataFrame) -> DataFrame:
     """Mark the repeated units that lie in a run of ``RUN`` repeated words.
 
-    Words are counted by bytes covered once: a sentence inside a repeated paragraph adds nothing.
+    Words are counted by bytes covered once: a sentence inside a repeated paragraph adds nothing. Runs of stretches are longer
+    than ``RUN``, so they go in any case.
     """
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "unit")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

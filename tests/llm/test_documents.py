@@ -295,6 +295,59 @@ def test_paragraph_dedup(odd, nothing):
     assert paragraphs.repeated_units(nothing).collect() == [] and paragraphs.remove_repeats(nothing).collect() == []
 
 
+def _bare(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+
+
+def _shared_runs(rows, n):
+    """doc_id -> numbers of the words in runs of ``n`` words that a document with a smaller id holds as well."""
+    words = {i: _words(t) for i, t in rows}
+    at = collections.defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            at[tuple(w[k:k + n])].add((i, k))
+    out = collections.defaultdict(set)
+    for places in at.values():
+        first = min(i for i, _ in places)
+        for i, k in places:
+            if i > first:
+                out[i] |= set(range(k, k + n))
+    return dict(out)
+
+
+def test_shared_runs_go_whole(spark):
+    rng = random.Random(21)
+    run = _bare(rng, 30) + ". Yes. No! " + _bare(rng, 40) + ".\nOk.\n" + _bare(rng, 12)
+    words = run.split(" ")
+    rows = [(1, _bare(rng, 7) + " " + run + " " + _bare(rng, 9)),
+            (2, _bare(rng, 20) + " " + " ".join(words[5:70]).upper() + " " + _bare(rng, 30)),  # cut at both ends
+            (3, " ".join(words[:49]) + " " + _bare(rng, 300)),                                # one word too few
+            (4, _bare(rng, 3) + "\n" + " ".join(words[2:52]) + "\n" + _bare(rng, 3)),         # just enough
+            (5, _bare(rng, 80) + " " + run + "\n" + _bare(rng, 60) + " " + run),
+            (6, "one two three four five " * 40), (8, "a b " * 200), (9, "b a " * 40)]
+    rows += [(10 + k, _bare(rng, 40) + " " + " ".join(words[k % 7:60 + k % 5]) + " " + _bare(rng, 40)) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _shared_runs(rows, 50)
+    assert set(want) == {2, 4, 5, 9, *range(10, 40)}
+    got = collections.defaultdict(set)
+    for r in paragraphs.repeated_stretches(docs).collect():
+        got[r.doc_id] |= set(range(r.low, r.high))
+        text = dict(rows)[r.doc_id].encode()
+        assert len(text[r.start:r.end].split()) == r.high - r.low and r.first_doc_id < r.doc_id
+    assert dict(got) == want
+    kept = {r.doc_id: r.text.split() for r in paragraphs.remove_repeats(docs).collect()}
+    assert kept[2] == [w for k, w in enumerate(rows[1][1].split()) if k not in want[2]]
+    assert kept[1] == rows[0][1].split() and kept[3] == rows[2][1].split() and kept[6] == rows[5][1].split()
+
+
+def test_shared_runs_of_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    got = collections.defaultdict(set)
+    for r in paragraphs.repeated_stretches(docs).collect():
+        got[r.doc_id] |= set(range(r.low, r.high))
+    assert dict(got) == _shared_runs([tuple(r) for r in docs.collect()], 50)
+
+
 def test_banding_recall():
     """The bands find pairs of similarity 0.8 with the promised probability."""
     rng = np.random.default_rng(0)
