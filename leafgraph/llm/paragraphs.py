@@ -4,7 +4,7 @@ Units are the paragraphs (lines) of a text and, since passages also stand inside
 paragraph. Paragraphs of ``LONG`` words and more are matched by MinHash banding over five-word shingles: ``BANDS`` bands of
 ``ROWS`` hashes find a pair of similarity 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS (0.994 for 5 x 2) and equal ones
 always; what a band proposes is verified by the exact Jaccard similarity of the paragraphs' shingles. Shorter paragraphs and
-sentences of ``SHORT`` words and more can only be near-equal if they are equal, as one changed word costs up to five
+all sentences of ``SHORT`` words and more can only be near-equal if they are equal, as one changed word costs up to five
 shingles; they are matched by their words. Each connected component keeps its first unit, by document id and place. A
 repeated unit is removed where it is part of a run of at least ``RUN`` repeated words, so common phrases and short
 boilerplate lines stay.
@@ -58,10 +58,7 @@ class Units:
         self.sentences = self._spans(new_sentence, starts, ends, rows, offsets)
         line_of = np.cumsum(new_line) - 1
         self.line_of_word = line_of
-        line = line_of[self.sentences["first"]]
-        words = self.sentences["words"]
-        whole = words == self.lines["words"][line]
-        self.exact = (words >= SHORT) & ~(whole & (words >= LONG))
+        self.exact = self.sentences["words"] >= SHORT  # a long line of one sentence is both a paragraph and a sentence
         self.long = self.lines["words"] >= LONG
 
     def _spans(self, new, starts, ends, rows, offsets) -> dict[str, np.ndarray]:
@@ -166,7 +163,7 @@ def long_paragraphs(documents: DataFrame) -> DataFrame:
 
 
 def short_units(documents: DataFrame) -> DataFrame:
-    """One row per sentence or shorter paragraph of ``SHORT`` words and more: id, key of its words, span."""
+    """One row per sentence of ``SHORT`` words and more: id, key of its words, span."""
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column("doc_id")

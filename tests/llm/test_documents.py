@@ -348,6 +348,17 @@ def test_shared_runs_of_documents(spark, folder):
     assert dict(got) == _shared_runs([tuple(r) for r in docs.collect()], 50)
 
 
+def test_line_of_one_sentence_inside_a_paragraph(spark):
+    rng = random.Random(33)
+    line, other = _sentence(rng, 40), _sentence(rng, 30)
+    rows = [(1, _sentence(rng, 60) + " " + line + " " + _sentence(rng, 60)), (2, _sentence(rng, 9) + "\n" + line + "\nend"),
+            (3, other), (4, _sentence(rng, 50) + " " + other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [(r.doc_id, rows[r.doc_id - 1][1].encode()[r.start:r.end].decode(), r.first_doc_id)
+            for r in paragraphs.repeated_units(docs).filter("removed").collect()]
+    assert sorted(gone) == [(2, line, 1), (4, other, 3)]
+
+
 def test_banding_recall():
     """The bands find pairs of similarity 0.8 with the promised probability."""
     rng = np.random.default_rng(0)
