@@ -43,6 +43,9 @@ _TOKEN = re.compile(r"""([^<]+)|<(?:(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|
                     r"""|(<)""", re.S)
 _ROLE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
+#: Where the content of an element ends that is text, whatever signs are in it.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I)
+            for name in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 DEPTH = 12  # levels of the path that tells tags apart
 OUTER = {"article", "main", "table", "body", "html", "div", "section"}
 HOLDING = {"article", "main", "table"}  # not closed by the end of another element, unless it is one of OUTER
@@ -88,7 +91,7 @@ class Page:
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = []
         at, block, skip = -1, 0, ""
-        for text, slash, name, attributes, sign in _TOKEN.findall(source):
+        for text, slash, name, attributes, sign in _tokens(source):
             if skip:
                 if slash and name.lower() == skip:
                     skip = ""
@@ -110,6 +113,8 @@ class Page:
                     at = stack[-1][1] if stack else -1
                 continue
             whole = attributes.endswith("/")
+            if name in _RAW_END:  # what follows is its end tag
+                continue
             if name in RAW:
                 skip = "" if whole and name in ("svg", "math") else name
                 continue
@@ -204,6 +209,20 @@ class Page:
         return None
 
 
+def _tokens(source: str) -> Iterator[tuple[str, ...]]:
+    """What ``_TOKEN`` finds; the content of raw elements is passed over, up to their end tag or the end of the page."""
+    at: int | None = 0
+    while at is not None:
+        begin, at = at, None
+        for found in _TOKEN.finditer(source, begin):
+            token = found.groups("")
+            yield token
+            if token[2] and not token[1] and (end := _RAW_END.get(token[2].lower())):
+                close = end.search(source, found.end())
+                at = close and close.start()
+                break
+
+
 @lru_cache(maxsize=100_000)
 def boilerplate(tag: str, within: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or the like, by name or role.

@@ -104,3 +104,14 @@ def test_text_that_the_template_repeats_is_no_slot(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     # one more token shares the vector of the repeated line: the article element
     assert {r.text for r in page_templates.extract_text(pages).collect()} == {f"Own {i}" for i in range(20)}
+
+
+def test_signs_inside_scripts(spark):
+    rows = [(1, "<script>for(i=0;i<n;i++){f(i)}</script><article>Body</article>"),
+            (2, "<article>a<SCRIPT type='x'>if(a<b)'</scripts>';</Script >b<style>p<q{}</style>c<title>x<y</title></article>"),
+            (3, "<article>a<svg><style>a<b</style><g>no</g></svg>b</article>"),
+            (4, "<article>a<script>s=\"it's <!-- <p\";</script\n>b<textarea><b 'x</textarea>c</article>"),
+            (5, "<article>a<script>never closed </article>")]
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_templates.extract_text(pages).collect()}
+    assert got == {1: "Body", 2: "abc", 3: "ab", 4: "abc", 5: "a"}
