@@ -6,10 +6,10 @@ equivalence class. A class is valid if it occurs on enough pages, and is made by
 enough members. Valid classes nest: the tags of one lie between those of another. Together they are the host's template, and
 what the template doesn't hold are the slots.
 
-The slot that carries the article is inside the template's ``article`` or ``main`` element or, on hosts without one, inside
-the template element that holds the most text, boilerplate aside. Within it, what belongs to boilerplate elements is left
-out, and so are runs of text that belong to the template. Hosts with too few pages for a template are read with the tags'
-own meaning alone.
+The slot that carries the article is inside the template's ``article`` or ``main`` elements (all of the same path) or, on
+hosts without one, inside the template element, once on a page, that holds the most text, boilerplate aside. Within it, what
+belongs to boilerplate elements is left out, and so are runs of text that belong to the template. Hosts with too few pages for
+a template are read with the tags' own meaning alone.
 
 An occurrence vector isn't collected: a token is represented by the sum of (hash of the page x number of occurrences) over
 the host's pages, which equal vectors share, summed in the map tasks before the shuffle. So a host with a third of all pages
@@ -173,20 +173,20 @@ class Page:
 
     def extract(self, template: set[str], main: str | None) -> str:
         """The article's blocks joined by line ends."""
-        main_at = self._main(main)
+        mains = self._mains(main)
         inside, dropped = [], []
         for n, (label, parent) in enumerate(zip(self.label, self.parent)):
             within = parent >= 0 and inside[parent]
-            inside.append(n == main_at or within)
-            if n == main_at:
+            inside.append(within or n in mains)
+            if n in mains and not within:
                 dropped.append(False)
-            elif main_at is None:
+            elif not mains:
                 dropped.append(parent >= 0 and dropped[parent] or boilerplate(label, False))
             else:
                 dropped.append(within and (dropped[parent] or boilerplate(label, True)))
         blocks: dict[int, list[str]] = {}
         for text, at, block in self.runs:
-            if main_at is not None and (at < 0 or not inside[at]) or at >= 0 and dropped[at]:
+            if mains and (at < 0 or not inside[at]) or at >= 0 and dropped[at]:
                 continue
             if template and len(text) < 1000 and not text.isspace():
                 if token_hash(self._run_token(" ".join(text.split()), at)) in template:
@@ -195,18 +195,18 @@ class Page:
         lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
         return "\n".join(line for line in lines if line)
 
-    def _main(self, main: str | None) -> int | None:
-        """Number of the element that holds the article: the template's, else an article or main element."""
+    def _mains(self, main: str | None) -> set[int]:
+        """Numbers of the elements that hold the article: the template's, else article or main elements."""
         if main is not None:
-            for n, path in enumerate(self.path):
-                if path == main:
-                    return n
+            found = {n for n, path in enumerate(self.path) if path == main}
+            if found:
+                return found
         marked = self.marked()
         for name in ("article", "main"):
-            for n, label in enumerate(self.label):
-                if label.partition(" ")[0] == name and not marked[n]:
-                    return n
-        return None
+            found = {n for n, label in enumerate(self.label) if label.partition(" ")[0] == name and not marked[n]}
+            if found:
+                return found
+        return set()
 
 
 def _tokens(source: str) -> Iterator[tuple[str, ...]]:
@@ -277,12 +277,15 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         .otherwise((F.col("pages") >= LEAST_PAGES_TEXT) & (F.col("pages") >= SUPPORT_TEXT * F.col("n"))))
     classes = frequent.groupBy("host", "pages", "times", "vector").agg(
         F.collect_list(F.struct("token", "is_tag", "rank", "depth", "size")).alias("members"))
-    valid = classes.filter(F.size("members") >= LEAST_MEMBERS).select("host", F.explode("members").alias("m"))
-    # an article or main element, else of the elements that hold more than half of the largest one's text the deepest
-    tag = F.when(F.col("m.is_tag"), F.struct("m.rank", "m.depth", "m.size", "m.token"))
+    valid = classes.filter(F.size("members") >= LEAST_MEMBERS).select(
+        "host", "pages", "times", F.explode("members").alias("m"))
+    # article or main elements, else of those that stand once on a page and hold more than half of the largest one's text the
+    # deepest: of elements that stand several times, as paragraphs do, a page's text may have parts outside
+    tag = F.when(F.col("m.is_tag"), F.struct("m.rank", "m.depth", "m.size", "m.token",
+                                             (F.col("times") == F.col("pages")).alias("once")))
     named = valid.groupBy("host").agg(F.collect_list("m.token").alias("tokens"), F.collect_list(tag).alias("tags"))
     most = F.array_max(F.transform("tags", lambda t: t["size"]))
-    best = F.array_max(F.filter("tags", lambda t: (t["rank"] > 0) | ((t["rank"] == 0) & (t["size"] * 2 > most))))
+    best = F.array_max(F.filter("tags", lambda t: (t["rank"] > 0) | ((t["rank"] == 0) & t["once"] & (t["size"] * 2 > most))))
     return named.select("host", "tokens", F.when(F.size("tags") > 0, best["token"]).alias("main"))
 
 

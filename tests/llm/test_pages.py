@@ -115,3 +115,14 @@ def test_signs_inside_scripts(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in rows], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in page_templates.extract_text(pages).collect()}
     assert got == {1: "Body", 2: "abc", 3: "ab", 4: "abc", 5: "a"}
+
+
+@pytest.mark.parametrize("n", [2, 12])
+@pytest.mark.parametrize("body", ["<div class=story><h1>T{i}</h1><div class=para><p>One {i}</p></div><div class=para><p>Two {i}</p></div></div>",
+                                  "<article><h1>T{i}</h1><p>One {i}</p></article><nav>menu</nav><article><p>Two {i}</p></article>",
+                                  "<main><h1>T{i}</h1><p>One {i}</p></main><div class=share>x</div><main><p>Two {i}</p></main>"])
+def test_all_parts_of_the_main_slot_stay(spark, body, n):
+    rows = [(i, f"http://h.org/{i}", "<html><body>" + body.format(i=i) + "<footer>end</footer></body></html>") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_templates.extract_text(pages).collect()}
+    assert got == {i: f"T{i}\nOne {i}\nTwo {i}" for i in range(n)}
