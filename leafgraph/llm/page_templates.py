@@ -8,7 +8,9 @@ what the template doesn't hold are the slots.
 
 The slot that carries the article is inside the template's ``article`` or ``main`` elements (all of the same path) or, on
 hosts without one, inside the template element, once on a page, that holds the most text, boilerplate aside. Within it, what
-belongs to boilerplate elements is left out, and so are runs of text that belong to the template. Hosts with too few pages for
+belongs to boilerplate elements is left out, and so are runs of text that belong to the template, but not headings, and only
+if a good part (``OWN``) of the page's slot and of the host's text is not on most pages: else this is an article that many
+pages hold copies of. Hosts with too few pages for
 a template are read with the tags' own meaning alone.
 
 An occurrence vector isn't collected: a token is represented by the sum of (hash of the page x number of occurrences) over
@@ -36,6 +38,7 @@ from leafgraph.session import materialize
 LEAST_PAGES = 3
 SUPPORT = 0.6        # of a host's pages that have a tag of the template
 LEAST_PAGES_TEXT, SUPPORT_TEXT = 10, 0.9  # the same for runs of text, which copies of an article share as well
+OWN = 0.25           # of a page's and of a host's text that is its own, or else repeated runs are an article's copies
 LEAST_MEMBERS = 2    # tokens of a class
 
 #: text, or a tag's slash, name and attributes, or a lone sign; comments and declarations leave all empty
@@ -50,6 +53,7 @@ DEPTH = 12  # levels of the path that tells tags apart
 OUTER = {"article", "main", "table", "body", "html", "div", "section"}
 HOLDING = {"article", "main", "table"}  # not closed by the end of another element, unless it is one of OUTER
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
             "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -145,34 +149,36 @@ class Page:
         return out
 
     def tokens(self) -> Counter:
-        """Template token -> occurrences: tags by path, text runs by content and innermost element."""
+        """Template token -> occurrences: tags by path, text runs by a hash of content and innermost element."""
         found = Counter(self.path)
         for text, at, _ in self.runs:
             text = " ".join(text.split())
-            if text and len(text) < 500:
+            if text:
                 found[self._run_token(text, at)] += 1
         return found
 
     def _run_token(self, text: str, at: int) -> str:
-        return "=" + (self.path[at] if at >= 0 else "") + "=" + text
+        return "=" + token_hash((self.path[at] if at >= 0 else "") + "=" + text)
 
     def sizes(self) -> Counter:
-        """Tag token -> characters of text below it outside boilerplate."""
+        """Token -> characters of text in it or below it, outside boilerplate."""
         own = [0] * len(self.label)
         marked = self.marked()
+        found: Counter = Counter()
         for text, at, _ in self.runs:
             if at >= 0 and not marked[at]:
                 own[at] += len(text)
+                if not text.isspace():
+                    found[self._run_token(" ".join(text.split()), at)] += len(text)
         for n in range(len(own) - 1, -1, -1):
             if self.parent[n] >= 0:
                 own[self.parent[n]] += own[n]
-        found: Counter = Counter()
         for path, size in zip(self.path, own):
             found[path] += size
         return found
 
-    def extract(self, template: set[str], main: str | None) -> str:
-        """The article's blocks joined by line ends."""
+    def extract(self, template: set[str], main: str | None, common: set[str]) -> str:
+        """The article's blocks joined by line ends; ``common`` are runs of text of most pages."""
         mains = self._mains(main)
         inside, dropped = [], []
         for n, (label, parent) in enumerate(zip(self.label, self.parent)):
@@ -184,17 +190,33 @@ class Page:
                 dropped.append(parent >= 0 and dropped[parent] or boilerplate(label, False))
             else:
                 dropped.append(within and (dropped[parent] or boilerplate(label, True)))
-        blocks: dict[int, list[str]] = {}
+        runs, fixed, own, whole = [], [], 0, 0
+        heading = self._headings()
         for text, at, block in self.runs:
             if mains and (at < 0 or not inside[at]) or at >= 0 and dropped[at]:
                 continue
-            if template and len(text) < 1000 and not text.isspace():
-                if token_hash(self._run_token(" ".join(text.split()), at)) in template:
-                    continue
-            blocks.setdefault(block, []).append(text)
+            plain = " ".join(text.split())
+            runs.append((text, block))
+            token = self._run_token(plain, at) if common and plain else ""
+            fixed.append(token in template and not (at >= 0 and heading[at]))
+            whole += len(plain)
+            own += 0 if token in common else len(plain)
+        if own < OWN * whole:  # a copy of what other pages hold
+            fixed = [False] * len(runs)
+        blocks: dict[int, list[str]] = {}
+        for (text, block), gone in zip(runs, fixed):
+            if not gone:
+                blocks.setdefault(block, []).append(text)
         lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
         return "\n".join(line for line in lines if line)
 
+    def _headings(self) -> list[bool]:
+        """Of each element: whether it is a heading or in one."""
+        out: list[bool] = []
+        for label, parent in zip(self.label, self.parent):
+            out.append(parent >= 0 and out[parent] or label.partition(" ")[0] in HEADINGS)
+        return out
+
     def _mains(self, main: str | None) -> set[int]:
         """Numbers of the elements that hold the article: the template's, else article or main elements."""
         if main is not None:
@@ -241,7 +263,8 @@ def token_hash(token: str) -> str:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (the template's tags by path, and hashes of its runs of text) and main (the path of the main element).
+    """host, tokens (the template's tags by path, and hashes of its runs of text), common (hashes of the runs of text on most
+    pages, whether of the template or not) and main (the path of the main element).
 
     ``pages`` has (page_id, host, html).
     """
@@ -261,8 +284,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], pa.string()),
-                 pa.array([token_hash(k[1]) if k[1][:1] == "=" else k[1] for k in keys], pa.string()),
-                 pa.array([k[1][:1] != "=" for k in keys], pa.bool_()),
+                 pa.array([k[1] for k in keys], pa.string()), pa.array([k[1][:1] != "=" for k in keys], pa.bool_()),
                  pa.array([_rank(k[1]) for k in keys], pa.int32()), pa.array([k[1].count("/") for k in keys], pa.int32()),
                  *(pa.array([found[k][i] for k in keys], pa.int64()) for i in range(4))],
                 ["host", "token", "is_tag", "rank", "depth", "pages", "times", "vector", "size"])
@@ -274,23 +296,31 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     hosts = pages.groupBy("host").agg(F.count("*").alias("n"))
     frequent = tokens.join(hosts, "host").filter(
         F.when(F.col("is_tag"), F.col("pages") >= SUPPORT * F.col("n"))
-        .otherwise((F.col("pages") >= LEAST_PAGES_TEXT) & (F.col("pages") >= SUPPORT_TEXT * F.col("n"))))
+        .otherwise((F.col("pages") >= LEAST_PAGES_TEXT) & (F.col("pages") >= SUPPORT * F.col("n"))))
+    frequent = frequent.withColumn("firm", F.col("is_tag") | (F.col("pages") >= SUPPORT_TEXT * F.col("n")))
     classes = frequent.groupBy("host", "pages", "times", "vector").agg(
-        F.collect_list(F.struct("token", "is_tag", "rank", "depth", "size")).alias("members"))
-    valid = classes.filter(F.size("members") >= LEAST_MEMBERS).select(
-        "host", "pages", "times", F.explode("members").alias("m"))
+        F.collect_list(F.struct("token", "is_tag", "rank", "depth", "size", "firm")).alias("members"))
+    members = classes.select("host", "pages", "times", (F.size("members") >= LEAST_MEMBERS).alias("valid"),
+                             F.explode("members").alias("m"))
     # article or main elements, else of those that stand once on a page and hold more than half of the largest one's text the
     # deepest: of elements that stand several times, as paragraphs do, a page's text may have parts outside
-    tag = F.when(F.col("m.is_tag"), F.struct("m.rank", "m.depth", "m.size", "m.token",
-                                             (F.col("times") == F.col("pages")).alias("once")))
-    named = valid.groupBy("host").agg(F.collect_list("m.token").alias("tokens"), F.collect_list(tag).alias("tags"))
+    is_tag = F.col("valid") & F.col("m.is_tag")
+    tag = F.when(is_tag, F.struct("m.rank", "m.depth", "m.size", "m.token", (F.col("times") == F.col("pages")).alias("once")))
+    named = members.groupBy("host").agg(
+        F.collect_list(F.when(is_tag, F.col("m.token"))).alias("paths"), F.collect_list(tag).alias("tags"),
+        F.collect_list(F.when(F.col("valid") & F.col("m.firm") & ~F.col("m.is_tag"), F.col("m.token"))).alias("runs"),
+        F.collect_list(F.when(~F.col("m.is_tag"), F.col("m.token"))).alias("common"),
+        F.sum(F.when(~F.col("m.is_tag"), F.col("m.size")).otherwise(0)).alias("fixed"))
     most = F.array_max(F.transform("tags", lambda t: t["size"]))
+    # where nearly all text is repeated, it is an article that many pages copy
+    copied = F.coalesce(F.col("fixed") > (1 - OWN) * most, F.lit(False))
+    tokens = F.concat("paths", F.when(copied, F.array().cast("array<string>")).otherwise(F.col("runs")))
     best = F.array_max(F.filter("tags", lambda t: (t["rank"] > 0) | ((t["rank"] == 0) & t["once"] & (t["size"] * 2 > most))))
-    return named.select("host", "tokens", F.when(F.size("tags") > 0, best["token"]).alias("main"))
+    return named.select("host", tokens.alias("tokens"), "common", F.when(F.size("tags") > 0, best["token"]).alias("main"))
 
 
 def _rank(token: str) -> int:
-    """2 for an article, 1 for a main element, -1 for boilerplate and for the page as a whole, 0 for other elements."""
+    """Of tags: 2 for an article, 1 for a main element, -1 for boilerplate and for the page as a whole, 0 for other elements."""
     path = token.split("/")
     name = path[-1].split(" ")[0]
     if any(boilerplate(t, False) for t in path) or name in ("html", "head", "body"):
@@ -311,12 +341,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                texts = [Page(source or "").extract(set(tokens or ()), main) for source, tokens, main in zip(
-                    *(part.column(c).to_pylist() for c in ("html", "tokens", "main")))]
+                texts = [Page(source or "").extract(set(tokens or ()), main, set(common or ()))
+                         for source, tokens, main, common in zip(
+                             *(part.column(c).to_pylist() for c in ("html", "tokens", "main", "common")))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    joined = own.join(templates, "host", "left").select("page_id", "url", "html", "tokens", "main")
+    joined = own.join(templates, "host", "left").select("page_id", "url", "html", "tokens", "main", "common")
     return joined.mapInArrow(extract, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

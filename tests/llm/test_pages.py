@@ -126,3 +126,28 @@ def test_all_parts_of_the_main_slot_stay(spark, body, n):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in page_templates.extract_text(pages).collect()}
     assert got == {i: f"T{i}\nOne {i}\nTwo {i}" for i in range(n)}
+
+
+def _extracted(spark, articles):
+    rows = [(i, f"http://h.org/{i}", f"<html><body><nav>Home</nav><article>{a}</article></body></html>")
+            for i, a in enumerate(articles)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text.split("\n") for r in page_templates.extract_text(pages).collect()}
+    return [got[i] for i in range(len(articles))]
+
+
+@pytest.mark.parametrize("edits, others", [(0, 0), (0, 4), (6, 0), (6, 4)])
+def test_copies_of_an_article_stay(spark, edits, others):
+    copies = [[f"Paragraph {k} of an article that many pages hold" for k in range(5)] for _ in range(60)]
+    for i in range(edits):
+        copies[i][i % 2] += f" edited {i}"
+    copies += [["Own text of page {i} in one long line. " * 30] for i in range(others)]
+    got = _extracted(spark, ["".join(f"<p>{x}</p>" for x in a) for a in copies])
+    assert got == [[x.strip() for x in a] for a in copies]
+
+
+def test_headings_stay_and_long_notices_go(spark):
+    notice = "This long notice stands below the text of every page of the host. " * 12
+    own = [f"Own text {i}. " * 80 for i in range(20)]
+    got = _extracted(spark, [f"<h2>Summary</h2><p>{x}</p><p>{notice}</p><p>Read our terms</p>" for x in own])
+    assert got == [["Summary", x.strip()] for x in own]
