@@ -101,15 +101,17 @@ def sign_documents(documents: DataFrame, n: int = N_WORDS, share: tuple[int, int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
+            known = ids.is_valid().to_pylist()
             seen: set[tuple[int, int]] = set()
             for first, end, hashes, rows in shingle_sets(batch.column("text"), n):
                 count = end - first
                 a, b = similar.set_digests(hashes, rows, count)
                 sigs = signatures(hashes, rows, count, share)
                 for i, digest in enumerate(zip(a.tolist(), b.tolist())):
-                    if digest in seen:  # the same set; its signatures are there already
+                    if not known[first + i] or digest in seen:  # links with nothing, or its set's signatures are there already
                         sigs[i] = sigs[i][:0]
-                    seen.add(digest)
+                    else:
+                        seen.add(digest)
                 hist = similar.histograms(hashes, rows, count, BINS)
                 lengths = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -92,6 +92,16 @@ def test_join_over_documents(spark, folder):
     assert _sorted(got) == _components(rows, 4, 85, 100)
 
 
+def test_rows_without_id_hide_no_links(spark):
+    rng = random.Random(8)
+    base = _sentence(rng, 100)
+    rows = [(None, base), (4, base), (None, base), (5, base + " more"), (6, _sentence(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [tuple(r) for r in set_join.join_similar(docs).collect()]
+    assert _sorted(got) == _components(rows, 4, 85, 100)
+    assert {r[2] for r in got if r[0] == 5} == {4}
+
+
 def test_signatures_never_miss_a_pair():
     rng = np.random.default_rng(3)
     for size in (1, 2, 5, 7, 20, 60, 150, 400):
