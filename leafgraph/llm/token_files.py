@@ -57,15 +57,20 @@ class Encoder:
     """Ids of whole texts by the ``tokenizers`` library.
 
     A blank between visible characters always begins a piece of a byte-level vocabulary, so what follows a blank up to the
-    next one is encoded once and remembered, within a bound; the rest of a text is encoded as it stands.
+    next one is encoded once and remembered, within a bound; the rest of a text is encoded as it stands, and so is a whole text
+    that holds the string of an added token. As by the library's default, that string becomes the token's id; with
+    ``special_as_text`` special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()
+                      if not (special_as_text and t.special)]
+        self.joins = not any(" " in a for a in self.added)  # else parts that stand side by side could make such a string
         self.after_blank: dict[str, bytes] = {}  # ids of a blank and the key
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens whose first byte is a blank
         for token, i in self.tokenizer.get_vocab().items():
@@ -87,12 +92,16 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.after_blank) > REMEMBERED:
             self.after_blank.clear()
-        cut = [t.split(" ") for t in texts]
+        plain = [self.joins and not any(a in t for a in self.added) for t in texts]
+        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
         ids = [list(map(self.after_blank.get, parts)) for parts in cut]
         new = {p for parts, found in zip(cut, ids) if None in found for p, i in zip(parts, found) if i is None}
         self._learn(list(filter(stands_alone, new)))
         out = []
         for text, parts, found in zip(texts, cut, ids):
+            if not parts:
+                out.append(self._encode(text))
+                continue
             if None in found:
                 found = list(map(self.after_blank.get, parts))
             if stands_alone(parts[0]):
@@ -104,18 +113,19 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder per worker."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
 def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0,
-                      width: int = 4, parts: int | None = None) -> DataFrame:
+                      width: int = 4, parts: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode ``documents`` (doc_id, text), append ``end_id`` to each and write the files; returns the index.
 
     A null text is empty and leaves its end id alone; a null ``doc_id`` comes first; rows with the same ``doc_id`` all stay,
     ordered by text. ``width`` is the bytes per id (2 or 4; ids must fit). ``parts`` is the number of files, by default the
-    session's number of shuffle partitions. An empty table gives an empty index and no files.
+    session's number of shuffle partitions. The string of a special token in a text becomes its id, unless
+    ``special_as_text``. An empty table gives an empty index and no files.
     """
     spark = documents.sparkSession
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
@@ -126,7 +136,7 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        own, mark = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        own, mark = encoder(vocabulary, special_as_text), np.array([end_id], "<u4").tobytes()
         store, root = _open_store(folder)
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex

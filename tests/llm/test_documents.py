@@ -228,6 +228,25 @@ def test_token_files(spark, odd, nothing):
     assert token_files.read_token_files(spark, empty).collect() == []
 
 
+def test_special_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b <|endoftext|", "one two", " <|endoftext|>\n x ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for as_text in (False, True):
+        reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        reference.encode_special_tokens = as_text
+        folder = work_dir(spark, "tokens")
+        if as_text:
+            token_files.write_token_files(docs, folder, width=2, special_as_text=True)
+        else:
+            token_files.write_token_files(docs, folder, width=2)
+        rows = token_files.read_token_files(spark, folder, width=2).orderBy("doc_id").collect()
+        want = [reference.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert [np.frombuffer(r.ids, "<u2").tolist() for r in rows] == want
+        assert (50256 in want[0]) != as_text
+
+
 def test_byte_bpe(odd, nothing):
     import tiktoken
 
