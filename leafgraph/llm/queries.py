@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafgraph.llm import (byte_bpe, fingerprints, host_reputation, page_templates, paragraphs, phrase_index,
-                           set_join, suffix_repeats, token_files, weak_labels)
+from leafgraph.llm import (byte_bpe, fingerprints, hard_negatives, host_reputation, packing, page_templates, paragraphs,
+                           phrase_index, resampling, set_join, suffix_repeats, token_files, weak_labels)
 from leafgraph.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coale
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN owners USING (doc_id)"""
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::INTEGER AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE alike)
+      WHERE r <= 5)
+SELECT * FROM (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER
+           AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score)
+WHERE rank <= 5"""
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, folder)`` under ``name``, with its SQL twin."""
@@ -176,3 +194,23 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_page_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return page_templates.extract_text(table(spark, folder, "pages"))
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Negatives in the score windows of each anchor's positives; every seventh vector has another label."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
+@query("op12_best_fit_packing")
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), capacity=1024, end_id=2)
+
+
+@query("op13_target_resampling")
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the distribution of the benchmark."""
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
