@@ -28,14 +28,20 @@ def strong_tag_title(min_len: int = 1, max_len: int = 80) -> Column:
 
 _REGISTRY: dict[str, dict[str, Callable]] = {
     "split": {"is_h3_or_split_class": is_h3_or_split_class, "strong_tag_title": strong_tag_title},
-    "replacement": {"convert_table": lambda: None},
+    "replacement": {"convert_table": lambda element, url: None},  # a mark: tables are converted relationally
     "metadata": {},
     "context": {},
 }
 
 
 def register(kind: str, name: str, function: Callable, prefilter: Callable | None = None) -> None:
-    """Add a function under a name; a split predicate also brings its candidate test."""
+    """Add a function under a name.
+
+    A split predicate gives a Column over candidate rows and brings its candidate test; a metadata function takes the
+    parent titles and the titles and gives a Column by name; a context function takes the text. A replacement function
+    takes an element (``tag``, ``attrs``, ``kids``, ``text()``, ``walk()``) and the page's URL and gives the html that
+    stands in its place, or None.
+    """
     _REGISTRY[kind][name] = function
     if kind == "split":
         _SPLIT_PREFILTERS[name] = prefilter or (lambda node: True)
@@ -48,6 +54,11 @@ def resolve(kind: str, name: str) -> Callable:
         raise ValueError(f'Invalid function name "{name}" specified in the config.') from None
 
 
+def replacement_functions(configs: Iterable) -> dict[str, Callable]:
+    """Replacement functions that the configurations name; unknown names raise."""
+    return {rule["function"]: resolve("replacement", rule["function"]) for c in configs for rule in c.replacements}
+
+
 def known_names() -> list[tuple[str, str]]:
     return sorted((kind, name) for kind, names in _REGISTRY.items() for name in names)
 
@@ -60,6 +71,4 @@ def split_prefilters(configs: Iterable) -> dict[str, Callable]:
             if "function" in rule:
                 resolve("split", rule["function"])
                 used[rule["function"]] = _SPLIT_PREFILTERS[rule["function"]]
-        for rule in config.replacements:
-            resolve("replacement", rule["function"])
     return used

@@ -20,7 +20,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _fold_starts(units: Column, max_len: int) -> Column:
+def _fold_starts(units: Column, max_len: int | Column) -> Column:
     """Start index (0-based) of every chunk when ``units(len, force)`` are packed greedily."""
     zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("starts"))
 
@@ -50,18 +50,18 @@ def _units(parts: Column, force: Column | None = None) -> Column:
         F.length(p).alias("len"), (F.lit(False) if force is None else force).alias("force")))
 
 
-def pack(parts: Column, max_len: int = MAX_LEN) -> Column:
+def pack(parts: Column, max_len: int | Column = MAX_LEN) -> Column:
     """Greedy packing of strings into chunks of at most ``max_len``; a longer string stays whole."""
     return let(parts, lambda p: let(_fold_starts(_units(p), max_len), lambda starts: _cut(p, starts)))
 
 
-def pack_words(sentence: Column, max_len: int = MAX_LEN) -> Column:
+def pack_words(sentence: Column, max_len: int | Column = MAX_LEN) -> Column:
     """Chunks of an over-long sentence, cut at white space; a longer word stays whole."""
     words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
     return pack(words, max_len)
 
 
-def _pieces(sentences: Column, max_len: int) -> Column:
+def _pieces(sentences: Column, max_len: int | Column) -> Column:
     """Sentences as ``(text, force)``; an over-long one gives word-packed pieces that each open a chunk."""
     return F.flatten(F.transform(sentences, lambda s: F.when(
         F.length(s) > max_len,
@@ -69,7 +69,7 @@ def _pieces(sentences: Column, max_len: int) -> Column:
     ).otherwise(F.array(F.struct(s.alias("text"), F.lit(False).alias("force"))))))
 
 
-def chunk_array(text: Column, max_len: int = MAX_LEN) -> Column:
+def chunk_array(text: Column, max_len: int | Column = MAX_LEN) -> Column:
     """Chunks of a text that is longer than ``max_len``; the sentence after an over-long one may join its last piece."""
     def cut(pieces: Column) -> Column:
         units = F.transform(pieces, lambda p: F.struct(F.length(p["text"]).alias("len"), p["force"].alias("force")))
@@ -77,8 +77,8 @@ def chunk_array(text: Column, max_len: int = MAX_LEN) -> Column:
     return let(_pieces(split_sentences(text), max_len), cut)
 
 
-def split_long_texts(df: DataFrame, text: str = "text", max_len: int = MAX_LEN, index: str = "split_idx") -> DataFrame:
-    """One row per chunk. Short texts pass through as chunk 0; only long ones are cut.
+def split_long_texts(df: DataFrame, text: str = "text", max_len: int | Column = MAX_LEN, index: str = "split_idx") -> DataFrame:
+    """One row per chunk. Short texts pass through as chunk 0; only long ones are cut. ``max_len`` may be a column.
 
     Narrow: no shuffle and no Python.
     """

@@ -11,9 +11,10 @@ from leafgraph import schemas as S
 from leafgraph.functions.registry import register, resolve
 from leafgraph.operators.chunking import MAX_LEN, split_long_texts
 from leafgraph.operators.parse import SiteConfig
+from leafgraph.operators.rules import CONSTANTS, Rules
 
-# An extract id is page_id * ID_SPACE + place within the page: unique, stable under re-runs, in reading order, and
-# computed without looking at any other page.
+# An extract id is the page's number * ID_SPACE + place within the page: unique, in reading order, and the same for as long as
+# the page keeps its number. The number is the page's id where pages have no ``page_no``.
 ID_SPACE = 1 << 20
 
 
@@ -22,7 +23,8 @@ def assign_doc_ids(rows: DataFrame, *order: str, page: str = "page_id") -> DataF
     place = F.row_number().over(Window.partitionBy(page).orderBy(*order)) - 1
     checked = F.when(place < ID_SPACE, place).otherwise(
         F.raise_error(F.lit(f"a page has more than {ID_SPACE} extracts")).cast("int"))
-    return rows.withColumn("doc_id", F.col(page) * F.lit(ID_SPACE) + checked)
+    number = "page_no" if "page_no" in rows.columns else page
+    return rows.withColumn("doc_id", F.col(number) * F.lit(ID_SPACE) + checked)
 
 
 def anchor_url(url: Column, anchor: Column) -> Column:
@@ -97,37 +99,37 @@ register("metadata", "default_extract_metadata", title_metadata)
 register("context", "parent_context_extractor", parent_context)
 
 
-def site_constants(rows: DataFrame, metadata: dict, columns: tuple[str, ...] = ("faculty", "program", "specialization")
-                   ) -> DataFrame:
+def site_constants(rows: DataFrame, metadata: dict, columns: tuple[str, ...] = CONSTANTS) -> DataFrame:
     """Constants of a site override what was extracted; other keys go into the ``meta`` map."""
-    for name in columns:
-        if name in metadata:
-            value = metadata[name]
-            rows = rows.withColumn(name, F.array(*map(F.lit, value)) if isinstance(value, (list, tuple))
-                                   else F.lit(value))
-    other = {k: str(v) for k, v in metadata.items() if k not in columns}
-    pairs = [F.lit(x) for kv in other.items() for x in kv]
-    own = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    if "meta" not in rows.columns:
-        return rows.withColumn("meta", own)
-    kept = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*other)
-                        if other else F.lit(True))
-    return rows.withColumn("meta", F.map_concat(kept, own))
-
-
-def build_extracts(sections: DataFrame, pages: DataFrame, config: SiteConfig) -> DataFrame:
-    """Chunked extracts of the sections of a site.
+    return _constants(rows, Rules(SiteConfig(metadata={k: v for k, v in metadata.items()})), columns)
+
+
+def _constants(rows: DataFrame, rules: Rules, columns: tuple[str, ...] = CONSTANTS) -> DataFrame:
+    rows = rows.withColumns({c: F.coalesce(rules.value(c), F.col(c)) if c in rows.columns else rules.value(c)
+                             for c in columns})
+    own = rules.value("meta")
+    if "meta" in rows.columns:
+        had = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+        own = F.map_concat(F.map_filter(had, lambda k, v: ~F.map_contains_key(own, k)), own)
+    return rows.withColumn("meta", own)
+
+
+def build_extracts(sections: DataFrame, pages: DataFrame, config: SiteConfig | Rules) -> DataFrame:
+    """Chunked extracts of the sections of a site, or of all sites whose settings the sections carry.
 
     ``pages`` brings ``page_id, url, parent_titles, parent_page_doc`` (the first extract of the parent page, or the
-    base row) and optionally ``path`` and ``last_modified``. All joins and windows keep the partitioning by page.
+    base row) and optionally ``page_no``, ``path`` and ``last_modified``. All joins and windows keep the partitioning by page.
     """
-    if config.parent_context_extractor:
-        context = resolve("context", config.parent_context_extractor)(F.col("text"))
-    else:
-        context = F.lit(None).cast("string")
+    rules = Rules(config)
+    none = F.lit(None).cast("string")
+    numbered = [c for c in ("page_no",) if c in pages.columns]
+    if numbered:
+        sections = sections.join(pages.select("page_id", "page_no"), "page_id")
+        pages = pages.drop("page_no")
+    context = rules.chosen("context", "parent_context_extractor", lambda f: f(F.col("text")), none)
     chunks = split_long_texts(
         sections.select("page_id", "sec_no", "parent_sec", "titles", "anchor", "links", "text",
-                        context.alias("gives_context")), max_len=config.max_extract_len)
+                        context.alias("gives_context"), *numbered, *rules.carried), max_len=rules.value("max_extract_len"))
     n_chunks = F.count("*").over(Window.partitionBy("page_id", "sec_no"))
     rows = with_parent_doc(assign_doc_ids(chunks.withColumn("n_chunks", n_chunks), "sec_no", "split_idx"))
     own = rows.join(pages, "page_id").select(
@@ -137,13 +139,17 @@ def build_extracts(sections: DataFrame, pages: DataFrame, config: SiteConfig) ->
         "titles", "parent_titles", "text",
         chunk_links(F.col("links"), F.col("text"), F.col("n_chunks")).alias("links"),
         "context", "split_idx", "n_chunks",
-        *[F.col(c) for c in ("path", "last_modified") if c in pages.columns])
-    if config.metadata_extractor:
-        found = resolve("metadata", config.metadata_extractor)(F.col("parent_titles"), F.col("titles"))
-    else:
-        found = {"faculty": F.lit(None).cast("string"), "program": F.lit(None).cast("string"),
-                 "specialization": F.lit(None).cast("array<string>")}
-    return site_constants(own.withColumns(found), config.metadata).withColumn("site", F.lit(config.name))
+        *[F.col(c).alias(name) for c, name in (("path", "orig_doc"), ("last_modified", "last_modified")) if c in pages.columns],
+        *rules.carried)
+    found = {"faculty": none, "program": none, "specialization": F.lit(None).cast("array<string>")}
+    functions = sorted({f for f in rules.every("metadata_extractor") if f})
+    for name in functions:
+        for column, value in resolve("metadata", name)(F.col("parent_titles"), F.col("titles")).items():
+            before = found.get(column, F.lit(None))
+            found[column] = value if rules.single else F.when(
+                rules.value("metadata_extractor") == name, value).otherwise(before)
+    site = rules.value("name")
+    return _constants(own.withColumns(found), rules).withColumn("site", site).drop(*rules.carried)
 
 
 def with_parent_doc(rows: DataFrame) -> DataFrame:

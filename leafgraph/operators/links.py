@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
 from leafgraph.functions.urls import absolute_url, clean_url, url_host
-
-LINK_IGNORE = "mailto:.*"
-
+from leafgraph.operators.parse import LINK_IGNORE
 
 def page_links(parsed: DataFrame) -> DataFrame:
     """All links of the parsed pages: ``(page_id, pos, title, href)``."""
@@ -22,8 +20,8 @@ def page_links(parsed: DataFrame) -> DataFrame:
 
 
 def extract_links(extracts: DataFrame) -> DataFrame:
-    """Links of extracts as rows ``(doc_id, url, pos, title, href)``."""
-    return extracts.select("doc_id", "url", F.inline("links"))
+    """Links of extracts as rows ``(doc_id, url[, page_id, site], pos, title, href)``."""
+    return extracts.select("doc_id", "url", *[c for c in ("page_id", "site") if c in extracts.columns], F.inline("links"))
 
 
 def first_doc_per_url(docs: DataFrame, url: str = "url", doc_id: str = "doc_id") -> DataFrame:
@@ -36,27 +34,49 @@ def redirect_map(hops: DataFrame) -> DataFrame:
     return hops.groupBy("original").agg(F.max_by("final", "seq").alias("final"))
 
 
-def resolve_links(links: DataFrame, docs: DataFrame, redirects: DataFrame | None = None,
-                  ignore: str = LINK_IGNORE) -> DataFrame:
-    """``links`` with ``target_url`` and ``target_doc_id`` (null for links that lead outside).
+def redirect_links(links: DataFrame, redirects: DataFrame | None = None, ignore: str | Column = LINK_IGNORE) -> DataFrame:
+    """``links`` (with ``url`` and ``href``) that are not ignored, with ``page_url`` (absolute, before ``#``), ``target_url``
+    (after redirects) and ``target_key``, the cleaned URL by which a document is looked up.
 
-    ``links`` brings ``url`` and ``href``. Ignored hrefs go; the part before ``#`` is replaced by its redirect; the
-    target is the first document at the cleaned URL.
+    ``ignore`` is a pattern that ignored hrefs begin with, or a column of such patterns.
     """
-    rows = links.where(~F.col("href").rlike(f"^(?:{ignore})")).withColumn(
+    ignore = F.lit(ignore) if isinstance(ignore, str) else ignore
+    rows = links.where(~F.rlike(F.col("href"), F.concat(F.lit("^(?:"), ignore, F.lit(")")))).withColumn(
         "_abs", absolute_url(F.col("url"), F.col("href")))
     page = F.substring_index("_abs", "#", 1)
-    rows = rows.withColumns({"_page": page, "_frag": F.substring(F.col("_abs"), F.length(page) + 1, F.length("_abs"))})
+    rows = rows.withColumns({"page_url": page, "_frag": F.substring(F.col("_abs"), F.length(page) + 1, F.length("_abs"))})
     if redirects is not None:
-        moved = redirects.select(F.col("original").alias("_page"), F.col("final").alias("_final"))
-        rows = rows.join(moved, "_page", "left")
+        moved = redirects.select(F.col("original").alias("page_url"), F.col("final").alias("_final"))
+        rows = rows.join(moved, "page_url", "left")
     else:
         rows = rows.withColumn("_final", F.lit(None).cast("string"))
-    rows = rows.withColumn("target_url", F.concat(F.coalesce("_final", "_page"), "_frag"))
+    rows = rows.withColumn("target_url", F.concat(F.coalesce("_final", "page_url"), "_frag"))
+    return rows.withColumn("target_key", clean_url(F.col("target_url"))).drop("_abs", "_frag", "_final")
+
+
+def link_targets(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Redirected ``links`` with ``target_doc_id``: the first of ``docs(url, doc_id)`` at the cleaned URL, else null."""
     targets = first_doc_per_url(docs).select(
-        F.col("clean_url").alias("_key"), F.col("doc_id").alias("target_doc_id"))
-    return (rows.withColumn("_key", clean_url(F.col("target_url"))).join(targets, "_key", "left")
-            .drop("_key", "_abs", "_page", "_frag", "_final"))
+        F.col("clean_url").alias("target_key"), F.col("doc_id").alias("target_doc_id"))
+    return links.join(targets, "target_key", "left")
+
+
+def resolve_links(links: DataFrame, docs: DataFrame, redirects: DataFrame | None = None,
+                  ignore: str | Column = LINK_IGNORE) -> DataFrame:
+    """``links`` with ``target_url`` and ``target_doc_id`` (null for links that lead outside).
+
+    ``links`` brings ``url`` and ``href``. Ignored hrefs go; the part before ``#`` is replaced by its redirect; the
+    target is the first document at the cleaned URL.
+    """
+    return link_targets(redirect_links(links, redirects, ignore), docs).drop("target_key", "page_url")
+
+
+def links_per_doc(resolved: DataFrame) -> DataFrame:
+    """``(doc_id, links)``: the resolved links of every document in their order, as the extract table has them."""
+    return resolved.groupBy("doc_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("target_url").alias("url"),
+                                             F.col("target_doc_id").alias("doc_id")))),
+        lambda l: F.struct(l["title"].alias("title"), l["url"].alias("url"), l["doc_id"].alias("doc_id"))).alias("links"))
 
 
 def link_edges(resolved: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -72,28 +92,37 @@ def last_edge_wins(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.max_by("type", order).alias("type"))
 
 
-def page_hierarchy(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
-    """``(page_id, parent_page_id, parent_titles)`` from ``pages(page_id, url, page_title)``.
-
-    A page's parent is the page at its folder. Every page is joined with all its folders at once (as many as its URL
-    is deep), so no recursion is needed; the chain counts up to the first folder without a page.
-    """
+def page_folders(pages: DataFrame, base_url: Column | None = None) -> DataFrame:
+    """``(page_id[, site], up, clean_url)``: every folder of a page's URL below the base, ``up`` levels above the page."""
     base = F.lit("") if base_url is None else base_url
     rest = F.filter(F.split(F.regexp_replace(clean_url(F.col("url")), r"^[A-Za-z]+://", ""), "/"), lambda s: s != "")
     scheme = F.regexp_extract(clean_url(F.col("url")), r"^([A-Za-z]+://)", 1)
-    ups = pages.select("page_id", scheme.alias("_scheme"), rest.alias("_seg"), base.alias("_base")).select(
-        "page_id", "_base", F.explode(F.sequence(F.lit(0), F.size("_seg") - 1)).alias("up"),
-        "_scheme", "_seg").select(
-        "page_id", "_base", "up", F.concat("_scheme", F.array_join(
+    own = ["page_id", *_site(pages)]
+    ups = pages.select(*own, scheme.alias("_scheme"), rest.alias("_seg"), base.alias("_base")).select(
+        *own, "_base", F.explode(F.sequence(F.lit(0), F.size("_seg") - 1)).alias("up"), "_scheme", "_seg").select(
+        *own, "_base", "up", F.concat("_scheme", F.array_join(
             F.slice("_seg", 1, F.size("_seg") - F.col("up")), "/")).alias("clean_url"))
-    ups = ups.where(F.length("clean_url") > F.length("_base"))
-    at = pages.groupBy(clean_url(F.col("url")).alias("clean_url")).agg(
-        F.min(F.struct("page_id", "page_title")).alias("at")).select(
-        "clean_url", F.col("at.page_id").alias("up_id"), F.col("at.page_title").alias("up_title"))
+    return ups.where((F.length("clean_url") > F.length("_base")) & (F.col("up") > 0)).drop("_base")
+
+
+def page_hierarchy(pages: DataFrame, base_url: Column | None = None, among: DataFrame | None = None,
+                   number: str = "page_id") -> DataFrame:
+    """``(page_id, parent_page_id, parent_titles)`` from ``pages(page_id, url, page_title[, site])``.
+
+    ``parent_page_id`` is the parent's ``number``.
+
+    A page's parent is the page of its site at its folder, one of ``among`` (by default of ``pages``). Every page is joined
+    with all its folders at once (as many as its URL is deep), so no recursion is needed; the chain counts up to the first
+    folder without a page.
+    """
+    place = [*_site(pages), "clean_url"]
+    at = (pages if among is None else among).withColumn("clean_url", clean_url(F.col("url"))).groupBy(*place).agg(
+        F.min(F.struct("page_id", "page_title", F.col(number).alias("number"))).alias("at")).select(
+        *place, F.col("at.number").alias("up_id"), F.col("at.page_title").alias("up_title"))
     # the page itself is its own step 0
-    own = pages.select("page_id", F.lit(0).alias("up"), F.col("page_id").alias("up_id"),
+    own = pages.select("page_id", F.lit(0).alias("up"), F.col(number).alias("up_id"),
                        F.col("page_title").alias("up_title"))
-    steps = ups.where(F.col("up") > 0).join(at, "clean_url").select("page_id", "up", "up_id", "up_title").unionByName(own)
+    steps = page_folders(pages, base_url).join(at, place).select("page_id", "up", "up_id", "up_title").unionByName(own)
     chain = F.array_sort(F.collect_list(F.struct("up", "up_id", "up_title")))
     unbroken = F.filter("chain", lambda s, i: s["up"] == i)
     return steps.groupBy("page_id").agg(chain.alias("chain")).select(
@@ -102,6 +131,10 @@ def page_hierarchy(pages: DataFrame, base_url: Column | None = None) -> DataFram
         .alias("parent_titles"))
 
 
+def _site(pages: DataFrame) -> list[str]:
+    return [c for c in ("site",) if c in pages.columns]
+
+
 def source_annotation(docs: DataFrame, notes: DataFrame, url: str = "url", id: str = "doc_id",
                       min_key: int = 4) -> DataFrame:
     """``(id, source)``: ``name: annotation`` of the last configured key that the URL contains.

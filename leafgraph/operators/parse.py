@@ -17,7 +17,7 @@ Which heads split, what a section holds and how a table reads is decided relatio
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -37,6 +37,8 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean
 
 HEADINGS = ("h1", "h2", "h3", "h4")
 SPLIT_CLASS = "extractor-split"
+LINK_IGNORE = "mailto:.*"  # fixed value: hrefs that are no links to pages
+MAX_REPLACEMENTS = 100_000  # of one page; a function whose results match again and again would never end
 DEFAULT_SPLITS = tuple({"name": h} for h in HEADINGS) + ({"class": SPLIT_CLASS},)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +71,8 @@ class SiteConfig:
     metadata_extractor: str | None = None
     parent_context_extractor: str | None = None
     max_extract_len: int = 1000
+    encoding: str = "utf-8-sig"
+    link_ignore_regex: str = LINK_IGNORE
 
 
 class _Node:
@@ -195,6 +199,36 @@ def _find(node: _Node, rule: dict) -> _Node | None:
     return next((n for n in node.walk() if matches(n, rule)), None)
 
 
+def replace_nodes(main: _Node, rule: dict, function: Callable, url: str | None) -> int:
+    """Put ``function(element, url)`` in the place of every element that matches, scanning forward; returns how many.
+
+    The function gives html text, an element or None. The scan goes on behind the start of what was put in, so elements
+    inside it are replaced as well, but what the function returned is not.
+    """
+    done, left = 0, [iter(list(main.kids))]
+    while left:
+        node = next(left[-1], None)
+        if node is None:
+            left.pop()
+        elif isinstance(node, str):
+            continue
+        elif matches(node, rule):
+            done += 1
+            if done > MAX_REPLACEMENTS:
+                raise ValueError(f"more than {MAX_REPLACEMENTS} replacements")
+            new = function(node, url)
+            fresh = [] if new is None else parse_tree(new).kids if isinstance(new, str) else [new]
+            at = next(i for i, kid in enumerate(node.parent.kids) if kid is node)
+            node.parent.kids[at:at + 1] = fresh
+            for kid in fresh:
+                if not isinstance(kid, str):
+                    kid.parent = node.parent
+            left.extend(iter(list(kid.kids)) for kid in reversed(fresh) if not isinstance(kid, str))
+        else:
+            left.append(iter(list(node.kids)))
+    return done
+
+
 class _PageRows:
     """Emits the rows of one page while walking its main content."""
 
@@ -206,6 +240,9 @@ class _PageRows:
         self.lists: list = []
         self.fresh = True
         self.main: _Node | None = None
+        # where the titles of converted tables stand among the split rules
+        self.table_level = next((i for i, r in enumerate(config.split_attrs)
+                                 if r.get("class") == SPLIT_CLASS or r.get("function") == "is_h3_or_split_class"), None)
 
     def emit(self, kind: str, **values) -> int:
         self.pos += 1
@@ -345,7 +382,7 @@ class _PageRows:
             elif id(n) in owner:
                 by_row.setdefault((id(owner[id(n)]), "p" if n.tag == "p" else "cell"), []).append(n)
         first_th = next((n for n in nodes if n.tag == "th"), None)
-        self.emit("table", table_no=number, tag="empty" if not nodes else "table",
+        self.emit("table", table_no=number, tag="empty" if not nodes else "table", level=self.table_level,
                   text=None if first_th is None else first_th.text().strip())
         row_no = -1
         for row in (n for n in nodes if n.tag == "tr" and _owner(n, "table") is table):
@@ -405,7 +442,8 @@ def _inline(node: _Node, skip: Iterable = ()) -> str:
     return " ".join("".join(out).split())
 
 
-def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict) -> list[dict]:
+def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict, functions: dict | None = None,
+              url: str | None = None) -> list[dict]:
     """Rows of one page. A page that cannot be read gives one ``error`` row, never a failed task."""
     rows = _PageRows(page_id, config, prefilters)
     try:
@@ -420,44 +458,60 @@ def page_rows(page_id: int, html: str, config: SiteConfig, prefilters: dict) ->
         if doomed:
             for node in [main, *main.walk()]:
                 node.kids = [k for k in node.kids if id(k) not in doomed]
+        for rule in config.replacements:
+            if rule["function"] != "convert_table":
+                replace_nodes(main, rule["attrs"], functions[rule["function"]], url)
         rows.read(main)
         return rows.rows
     except Exception as error:  # noqa: BLE001 - the row carries the reason
         return [{"page_id": page_id, "pos": 0, "kind": "error", "text": f"{type(error).__name__}: {error}"}]
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
+def _batch(rows: list[dict], fields: list) -> pa.RecordBatch:
     """Columns of the rows; built column by column, which is many times faster than from row dicts."""
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], _ARROW[kind]) for name, kind in _FIELDS],
-                                      names=[name for name, _ in _FIELDS])
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], _ARROW[kind]) for name, kind in fields],
+                                      names=[name for name, _ in fields])
 
 
-def parse_pages(pages: DataFrame, configs: SiteConfig | dict[str, SiteConfig]) -> DataFrame:
-    """Parse ``pages(page_id, html[, site])`` into rows of ``ROW_SCHEMA``.
+def parse_pages(pages: DataFrame, configs: SiteConfig | Mapping[str, SiteConfig]) -> DataFrame:
+    """Parse ``pages(page_id, html[, url, site])`` into rows of ``ROW_SCHEMA``.
 
-    ``configs`` is one configuration, or one per value of the ``site`` column.
+    ``configs`` is one configuration, or one per value of the ``site`` column, which the rows then carry; pages of other
+    sites are left out. Replacement functions get the page's ``url``.
     """
-    from leafgraph.functions.registry import split_prefilters
+    from leafgraph.functions.registry import replacement_functions, split_prefilters
 
     single = configs if isinstance(configs, SiteConfig) else None
     by_site = {} if single else dict(configs)
     used = split_prefilters([single] if single else by_site.values())
+    functions = replacement_functions([single] if single else by_site.values())
+    fields = _FIELDS if single else [*_FIELDS, ("site", "string")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, pages_html = batch.column("page_id").to_pylist(), batch.column("html").to_pylist()
-            sites = batch.column("site").to_pylist() if single is None else [None] * len(ids)
+            nothing = [None] * len(ids)
+            sites = nothing if single else batch.column("site").to_pylist()
+            urls = batch.column("url").to_pylist() if "url" in batch.schema.names else nothing
             out: list[dict] = []
-            for page_id, html, site in zip(ids, pages_html, sites):
-                out.extend(page_rows(page_id, html, single or by_site[site], used))
+            for page_id, html, site, url in zip(ids, pages_html, sites, urls):
+                config = single or by_site.get(site)
+                if config is None:
+                    continue
+                rows = page_rows(page_id, html, config, used, functions, url)
+                if not single:
+                    for row in rows:
+                        row["site"] = site
+                out.extend(rows)
                 if len(out) >= 20_000:  # keep the batches of long pages small
-                    yield _batch(out)
+                    yield _batch(out, fields)
                     out = []
             if out:
-                yield _batch(out)
+                yield _batch(out, fields)
 
-    columns = ["page_id", "html"] + ([] if single else ["site"])
-    return spread(pages.select(*columns), "page_id").mapInArrow(run, ROW_SCHEMA)
+    columns = ["page_id", "html", *[c for c in ("url",) if c in pages.columns], *([] if single else ["site"])]
+    return spread(pages.select(*columns), "page_id").mapInArrow(
+        run, ROW_SCHEMA if single else f"{ROW_SCHEMA}, site string")
 
 
 def page_titles(parsed: DataFrame) -> DataFrame:

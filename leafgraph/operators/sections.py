@@ -10,6 +10,7 @@ A section is named by ``sec_no`` = 16 * position of its heading (+ j for the j-t
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions.registry import resolve
 from leafgraph.functions.text import clean_text, strip
 from leafgraph.operators.parse import SiteConfig
+from leafgraph.operators.rules import Rules
 
 STEP = 1024  # section numbers between two positions; more split rules than this are refused
 _EMPTY_LINKS = "array<struct<pos:int,title:string,href:string>>"
@@ -28,38 +30,38 @@ def _last(condition: Column, value: Column) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pos"))
 
 
-def acceptable_heads(config: SiteConfig) -> Column:
+def acceptable_heads(config: SiteConfig | Rules) -> Column:
     """Which candidate heads may split: not blank, not one single link, and passing a named predicate if there is one."""
-    ok = F.col("kind") == "head"
-    if config.ignore_empty_split_tags:
-        ok &= strip(F.col("text")) != ""
-    if not config.allow_link_splits:
-        ok &= ~F.coalesce(F.replace(F.col("link_text"), F.lit("\n"), F.lit("")) == F.col("text"), F.lit(False))
-    for level, rule in enumerate(config.split_attrs):
-        if "function" in rule:
-            ok &= (F.col("level") != level) | resolve("split", rule["function"])()
+    rules = Rules(config)
+    only_link = F.coalesce(F.replace(F.col("link_text"), F.lit("\n"), F.lit("")) == F.col("text"), F.lit(False))
+    ok = ((F.col("kind") == "head") & (~rules.value("ignore_empty_split_tags") | (strip(F.col("text")) != ""))
+          & (rules.value("allow_link_splits") | ~only_link))
+    for name in sorted({f for own in rules.every("split_functions") for f in own if f}):
+        here = F.try_element_at(rules.value("split_functions"), F.col("level") + 1) == name
+        ok &= ~F.coalesce(here, F.lit(False)) | resolve("split", name)()
     return ok
 
 
-def mark_splits(rows: DataFrame, config: SiteConfig) -> DataFrame:
+def mark_splits(rows: DataFrame, config: SiteConfig | Rules) -> DataFrame:
     """Add ``split``: mandatory levels always split, deeper ones only inside a section over the length limit."""
-    ok = acceptable_heads(config)
-    rows = rows.withColumn("_ok", ok).withColumn(
-        "split", F.col("_ok") & (F.col("level") <= config.mandatory_splits))
-    for level in range(config.mandatory_splits + 1, len(config.split_attrs)):
+    rules = Rules(config)
+    ok, mandatory = acceptable_heads(rules), rules.value("mandatory_splits")
+    rows = rows.withColumn("_ok", ok).withColumn("split", F.col("_ok") & (F.col("level") <= mandatory))
+    for level in range(min(rules.every("mandatory_splits")) + 1, rules.levels):
         section = Window.partitionBy("page_id", "_sec")
         rows = (
             rows.withColumn("_sec", F.coalesce(_last(F.col("split"), F.col("pos")), F.lit(0)))
             .withColumn("_size", F.sum(F.when(~F.col("split"), F.length("body")).otherwise(0)).over(section))
             .withColumn("split", F.col("split") | (
-                F.col("_ok") & (F.col("level") == level) & (F.col("_size") > config.max_extract_len)))
+                F.col("_ok") & (F.col("level") == level) & (F.lit(level) > mandatory)
+                & (F.col("_size") > rules.value("max_extract_len"))))
             .drop("_sec", "_size"))
     return rows.drop("_ok")
 
 
-def place_rows(rows: DataFrame, config: SiteConfig) -> DataFrame:
+def place_rows(rows: DataFrame, config: SiteConfig | Rules) -> DataFrame:
     """Add the section position and, on splitting heads, the parent position and the anchor."""
-    n = len(config.split_attrs)
+    n = Rules(config).levels
     if n >= STEP:
         raise ValueError(f"at most {STEP - 1} split rules")
     split, level, pos = F.col("split"), F.col("level"), F.col("pos")
@@ -102,6 +104,7 @@ def section_contents(rows: DataFrame) -> DataFrame:
     heading = {c: F.first(F.when(split, F.col(c)), ignorenulls=True).alias(c)
                for c in ("level", "parent_pos", "text", "anchor", *[c for c in rows.columns if c.startswith("_h")])}
     heading["text"] = heading["text"].alias("title")
+    carried = [F.first(c).alias(c) for c in rows.columns if c == "rules"]
     return (
         rows.withColumns({"_body": body, "_link": F.coalesce(link, F.lit(False))})
         .where(split | F.col("_link") | F.col("_body").isNotNull())
@@ -110,26 +113,27 @@ def section_contents(rows: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.when(F.col("_body").isNotNull(), F.struct("pos", "_body")))).alias("parts"),
              F.array_sort(F.collect_list(F.when(F.col("_newest") == 1, F.struct(
                  "pos", F.col("text").alias("title"), "href")))).alias("links"),
-             *heading.values())
+             *heading.values(), *carried)
         .withColumn("text", clean_text(F.array_join(F.col("parts")["_body"], "")))
         .withColumn("level", F.coalesce("level", F.lit(-1)))
         .drop("parts"))
 
 
-def title_paths(sections: DataFrame, config: SiteConfig) -> DataFrame:
+def title_paths(sections: DataFrame, config: SiteConfig | Rules) -> DataFrame:
     """Add ``parent_sec``, the title path and the anchor in force.
 
     A heading that is deeper than its later siblings hangs below a made-up section titled ``Intro`` (the leading
     untitled section at the top of a page): ``_rank`` counts the levels among siblings, 1 being the highest.
     """
-    n = len(config.split_attrs)
+    rules = Rules(config)
+    n = rules.levels
     level, lead = F.col("level"), F.col("level") < 0
     siblings = Window.partitionBy("page_id", F.coalesce("parent_pos", F.lit(0)), lead)
     number = F.row_number().over(
         Window.partitionBy("page_id", F.coalesce("parent_pos", F.lit(0)), "level").orderBy("pos"))
     title = F.when(lead, F.lit("")).otherwise(F.col("title"))
-    if config.no_title_splits:
-        title = F.when(level.isin(*config.no_title_splits), number.cast("string")).otherwise(title)
+    if any(rules.every("no_title_splits")):
+        title = F.when(F.array_contains(rules.value("no_title_splits"), level), number.cast("string")).otherwise(title)
     rows = sections.withColumns({"title": title, "_rank": F.when(~lead, F.dense_rank().over(siblings.orderBy("level")))})
     top, rank = F.col("parent_pos").isNull(), F.col("_rank")
     base = F.coalesce(F.col("parent_pos"), F.lit(0)).cast("long") * STEP
@@ -152,7 +156,8 @@ def title_paths(sections: DataFrame, config: SiteConfig) -> DataFrame:
         paths.append(F.when((level >= i) & (F.col(f"_h{i}") > above), F.col(f"_t{i}")).otherwise(none))
         anchors.insert(0, F.when((level >= i) & (F.col(f"_a{i}")["p"] > above), F.col(f"_a{i}")["a"]))
     return rows.withColumns({"titles": F.concat(*paths), "anchor": F.coalesce(*anchors)}).select(
-        "page_id", "pos", "level", "parent_pos", "parent_sec", "title", "titles", "anchor", "text", "links", "_rank")
+        "page_id", "pos", "level", "parent_pos", "parent_sec", "title", "titles", "anchor", "text", "links", "_rank",
+        *rules.carried)
 
 
 def count_children(rows: DataFrame) -> DataFrame:
@@ -194,14 +199,16 @@ def with_intros(rows: DataFrame) -> DataFrame:
         F.concat("titles", F.array_repeat(F.lit("Intro"), j)).alias("titles"), "anchor",
         F.when(holds_text, F.coalesce("text", F.lit(""))).otherwise(F.lit("")).alias("text"),
         F.when(holds_text, F.coalesce("links", none)).otherwise(none).alias("links"),
-        n_children.cast("long").alias("n_children"))
+        n_children.cast("long").alias("n_children"), *[c for c in rows.columns if c == "rules"])
 
 
-def build_sections(parsed: DataFrame, config: SiteConfig) -> DataFrame:
+def build_sections(parsed: DataFrame, config: SiteConfig | Mapping[str, SiteConfig] | Rules) -> DataFrame:
     """``(page_id, sec_no, parent_sec, level, title, titles, anchor, text, links, n_children)``, blank leaves dropped.
 
-    One pass over the parsed rows: a single exchange by page, then windows, one aggregation and row expansion.
+    One pass over the parsed rows: a single exchange by page, then windows, one aggregation and row expansion. With one
+    configuration per site, sections carry the ``rules`` of theirs.
     """
-    rows = place_rows(mark_splits(parsed, config), config)
-    sections = with_intros(count_children(title_paths(section_contents(rows), config)))
+    rules = Rules(config)
+    rows = place_rows(mark_splits(rules.attach(parsed), rules), rules)
+    sections = with_intros(count_children(title_paths(section_contents(rows), rules)))
     return sections.where((strip(F.col("text")) != "") | (F.col("n_children") > 0))

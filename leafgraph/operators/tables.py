@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions.text import strip
-from leafgraph.operators.parse import SPLIT_CLASS, SiteConfig
+from leafgraph.operators.parse import SPLIT_CLASS
 
 _TABLE = ["page_id", "table_no"]
 _ROW = [*_TABLE, "row_no"]
@@ -66,7 +66,7 @@ def _with_notes(parsed: DataFrame) -> DataFrame:
     given = F.max(F.when(note, F.struct("pos", "text"))).over(Window.partitionBy(*_TABLE, "_key"))
     keyed = _kept(parsed).select("*", F.posexplode_outer(keys).alias("_i", "_key")).withColumn("_given", given)
     found = F.when(cell & F.col("_given").isNotNull(), F.struct("_i", F.col("_given.text").alias("t")))
-    other = ("tag", "text", "body", "nested", "title_row", "note_keys")
+    other = ("tag", "text", "body", "nested", "title_row", "note_keys", "level", *_site(parsed))
     notes = F.array_join(F.transform(F.array_sort(F.collect_list(found)),
                                      lambda x: F.concat(strip(x["t"]), F.lit(" "))), "")
     folded = keyed.groupBy(*_ROW, "kind", "pos", "col_no").agg(
@@ -98,7 +98,8 @@ def classify_rows(parsed: DataFrame) -> DataFrame:
     """One row per table row with its cells as an array.
 
     ``row_kind`` is title, list (single header cell), nested, header, data or empty for rows of the table, and note for
-    what only carries footnotes (``notes``). ``table_kind`` and ``table_cells`` describe the whole table.
+    what only carries footnotes (``notes``). ``table_kind``, ``table_cells`` and ``title_level`` (the split level of table
+    titles at the site, null if they don't split) describe the whole table.
     """
     kind = F.col("kind")
     rows = _with_notes(parsed).groupBy(*_ROW).agg(
@@ -108,7 +109,8 @@ def classify_rows(parsed: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(kind == "cell", F.struct(
             "col_no", "tag", "text", "body", "note", "nested")))).alias("cells"),
         F.array_sort(F.collect_list(F.when(F.col("wins"), F.struct("pos", "note_keys", "text")))).alias("notes"),
-        F.max(F.when(kind == "table", _table_kind())).alias("_kind"))
+        F.max(F.when(kind == "table", _table_kind())).alias("_kind"),
+        F.max(F.when(kind == "table", F.col("level"))).alias("_level"), *[F.first(c).alias(c) for c in _site(parsed)])
     table = Window.partitionBy(*_TABLE)
     first, n = F.try_element_at(F.col("cells"), F.lit(1)), F.size("cells")
     row_kind = (F.when(F.col("pos").isNull(), "note")
@@ -121,7 +123,8 @@ def classify_rows(parsed: DataFrame) -> DataFrame:
     starts = F.col("row_kind").isin("title", "list").cast("int")
     return rows.withColumn("row_kind", row_kind).withColumns({
         "table_kind": F.max("_kind").over(table), "table_cells": F.sum(F.size("cells")).over(table),
-        "list_no": F.sum(starts).over(table.orderBy("row_no"))}).drop("_kind", "title_row")
+        "title_level": F.max("_level").over(table),
+        "list_no": F.sum(starts).over(table.orderBy("row_no"))}).drop("_kind", "_level", "title_row")
 
 
 def attach_headers(rows: DataFrame) -> DataFrame:
@@ -172,8 +175,12 @@ def _note_item(note: Column) -> Column:
     return F.concat(F.lit("["), note["note_keys"], F.lit("] "), note["text"])
 
 
+def _site(parsed: DataFrame) -> list[str]:
+    return [c for c in ("site",) if c in parsed.columns]
+
+
 def convert_tables(parsed: DataFrame) -> DataFrame:
-    """``(page_id, table_no, pos, row_kind, item, note)``: the list items and titles that stand for the tables.
+    """``(page_id, table_no, pos, row_kind, item, note, title_level)``: the list items and titles that stand for the tables.
 
     One pass over the table rows of the parse, with a single exchange by page.
     """
@@ -190,30 +197,29 @@ def convert_tables(parsed: DataFrame) -> DataFrame:
     notes = F.transform("notes", lambda n: item(n["pos"], F.lit("data"), _note_item(n), F.lit(None)))
     items = F.when(kind.isin("title", "list", "data") & (F.col("table_kind") != "empty"), own).when(
         (kind == "note") & (F.col("table_cells") == 0), notes)
-    return rows.select(*_TABLE, F.inline(items))
-
-
-def replace_tables(parsed: DataFrame, config: SiteConfig) -> DataFrame:
-    """Parsed rows with every converted table spliced in as text and candidate heads, in place."""
-    if not any(r["function"] == "convert_table" for r in config.replacements):
-        return parsed
-    split_level = next((i for i, r in enumerate(config.split_attrs)
-                        if r.get("class") == SPLIT_CLASS or r.get("function") == "is_h3_or_split_class"), None)
-    items = convert_tables(parsed)
-    is_head = F.col("row_kind").isin("title", "list")
-    if split_level is None:
-        is_head = F.lit(False)
-    body = F.when(is_head, F.col("item")).when(F.col("row_kind") == "data", F.concat(
-        F.lit("\n  - "), F.col("item"), F.lit("\n"))).otherwise(F.concat(F.lit("\n\n"), F.col("item"), F.lit("\n\n")))
-    heads = items.select(
-        "page_id", "pos", F.when(is_head, "head").otherwise("text").alias("kind"),
-        F.lit("div").alias("tag"), F.when(is_head, F.lit(split_level).cast("int")).alias("level"),
-        F.when(is_head, F.col("item")).alias("text"), body.alias("body"),
+    return rows.select(*_TABLE, *_site(parsed), "title_level", F.inline(items))
+
+
+def replace_tables(parsed: DataFrame) -> DataFrame:
+    """Parsed rows with every converted table spliced in as text and candidate heads, in place.
+
+    The parse emits table rows only where a replacement rule sends the table to conversion. A list heading and its note
+    leave in one pass; the note follows as text, and the row's first cell has the next position.
+    """
+    item, note = F.col("item"), F.col("note")
+    is_head = F.col("row_kind").isin("title", "list") & F.col("title_level").isNotNull()
+    body = F.when(is_head, item).when(F.col("row_kind") == "data", F.concat(
+        F.lit("\n  - "), item, F.lit("\n"))).otherwise(F.concat(F.lit("\n\n"), item, F.lit("\n\n")))
+    nothing = F.lit(None).cast("string")
+    line = F.struct(
+        F.col("pos").alias("pos"), F.when(is_head, "head").otherwise("text").alias("kind"), F.lit("div").alias("tag"),
+        F.when(is_head, F.col("title_level")).alias("level"), F.when(is_head, item).alias("text"), body.alias("body"),
         F.when(is_head, F.lit(SPLIT_CLASS)).otherwise(F.lit("")).alias("classes"), F.lit("").alias("ancestors"))
-    # the note of a list heading follows as text; the row's first cell has the next position
-    notes = items.where(F.col("note").isNotNull()).select(
-        "page_id", (F.col("pos") + 1).alias("pos"), F.lit("text").alias("kind"),
-        F.concat(F.lit("("), F.col("note"), F.lit(")\n\n")).alias("body"))
+    below = F.struct(
+        (F.col("pos") + 1).alias("pos"), F.lit("text").alias("kind"), nothing.alias("tag"),
+        F.lit(None).cast("int").alias("level"), nothing.alias("text"),
+        F.concat(F.lit("("), note, F.lit(")\n\n")).alias("body"), nothing.alias("classes"), nothing.alias("ancestors"))
+    lines = convert_tables(parsed).select("page_id", *_site(parsed), F.inline(
+        F.when(note.isNotNull(), F.array(line, below)).otherwise(F.array(line))))
     table_kinds = ("table", "row", "cell", "note")
-    return (parsed.where(~F.col("kind").isin(*table_kinds))
-            .unionByName(heads, allowMissingColumns=True).unionByName(notes, allowMissingColumns=True))
+    return parsed.where(~F.col("kind").isin(*table_kinds)).unionByName(lines, allowMissingColumns=True)

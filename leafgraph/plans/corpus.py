@@ -1,19 +1,24 @@
-"""Corpus build: pages to extracts and relation graph."""
+"""Corpus build: pages of all sites to extracts and relation graph, as one plan."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.functions.urls import clean_url
 from leafgraph.operators.extracts import ID_SPACE, build_extracts, relations
-from leafgraph.operators.links import extract_links, link_edges, page_hierarchy, resolve_links
+from leafgraph.operators.links import extract_links, link_edges, links_per_doc, page_hierarchy, redirect_links, link_targets
 from leafgraph.operators.parse import SiteConfig, page_titles, parse_pages
+from leafgraph.operators.rules import Rules
 from leafgraph.operators.sections import build_sections
 from leafgraph.operators.tables import replace_tables
 from leafgraph.session import materialize
+from leafgraph.sources.pages import number_pages
+
+Configs = SiteConfig | Mapping[str, SiteConfig]
 
 
 @dataclass
@@ -22,49 +27,64 @@ class Corpus:
     edges: DataFrame
 
 
-def base_row(pages: DataFrame, config: SiteConfig, site_no: int) -> DataFrame:
-    """The root row of a site; roots have negative ids in configuration order."""
-    spark = pages.sparkSession
-    return spark.range(1).select(
-        F.lit(-1 - site_no).cast("long").alias("doc_id"), clean_url(F.lit(config.base_url)).alias("url"),
-        F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("parent_titles"),
-        F.lit("").alias("text"), F.lit(0).alias("split_idx"), F.lit(config.name).alias("site"))
+def _facts(pages: DataFrame) -> list[str]:
+    return [c for c in ("site", "path", "last_modified", "page_no") if c in pages.columns]
+
+
+def base_rows(spark: SparkSession, configs: Configs | Rules) -> DataFrame:
+    """The root row of every site; roots have negative ids in configuration order."""
+    rules = Rules(configs)
+    empty = F.array().cast("array<string>")
+    return rules.table(spark).select("rules.*").select(
+        (F.lit(-1) - F.col("site_no")).cast("long").alias("doc_id"), clean_url(F.col("base_url")).alias("url"),
+        empty.alias("titles"), empty.alias("parent_titles"), F.lit("").alias("text"), F.lit(0).alias("split_idx"),
+        F.col("name").alias("site"))
 
 
-def build_site(pages: DataFrame, config: SiteConfig, site_no: int = 0, keep_parsed: bool = True) -> DataFrame:
-    """Extracts of one site, with links still as written in the page.
+def read_sections(pages: DataFrame, configs: Configs) -> tuple[DataFrame, DataFrame]:
+    """``(sections, pages)``: what the pages hold by themselves, and the pages with their titles, without html.
 
     The parsed rows feed page titles, tables and sections, so they are written once and read back pruned instead of
     parsing every page again for each use.
     """
-    parsed = parse_pages(pages, config)
-    if keep_parsed:
-        parsed = materialize(parsed, f"parsed-{config.name or 'site'}")
-    titled = pages.select("page_id", "url").join(page_titles(parsed), "page_id", "left")
-    tree = page_hierarchy(titled, F.lit(config.base_url) if config.base_url else None)
-    facts = pages.select("page_id", "url", *[c for c in ("path", "last_modified") if c in pages.columns]).join(
-        tree, "page_id").withColumn("parent_page_doc", F.coalesce(
-            F.col("parent_page_id") * ID_SPACE, F.lit(-1 - site_no).cast("long"))).drop("parent_page_id")
-    sections = build_sections(replace_tables(parsed, config), config)
-    return build_extracts(sections, facts, config)
-
-
-def build_corpus(sites: list[tuple[DataFrame, SiteConfig]], redirects: DataFrame | None = None) -> Corpus:
-    """All sites: extracts with resolved links, and the graph of structural and link edges."""
-    parts = []
-    for n, (pages, config) in enumerate(sites):
-        parts.append(build_site(pages, config, n))
-        parts.append(base_row(pages, config, n))
-    extracts = parts[0]
-    for part in parts[1:]:
-        extracts = extracts.unionByName(part, allowMissingColumns=True)
-    extracts = materialize(extracts, "extracts")
+    parsed = materialize(parse_pages(pages, configs), "parsed")
+    titled = pages.select("page_id", "url", *_facts(pages)).join(page_titles(parsed), "page_id", "left")
+    sites = [configs] if isinstance(configs, SiteConfig) else configs.values()
+    if any(rule["function"] == "convert_table" for site in sites for rule in site.replacements):
+        parsed = replace_tables(parsed)
+    return build_sections(parsed, configs), titled
+
+
+def place_sections(sections: DataFrame, pages: DataFrame, configs: Configs | Rules, among: DataFrame | None = None) -> DataFrame:
+    """Extracts of ``pages(page_id, url, page_title[, page_no, site, path, last_modified])`` from their sections, below the
+    parent pages that the URLs name, one of ``among`` (by default of ``pages``). Links are still as written in the page."""
+    rules = Rules(configs)
+    ruled = rules.attach(pages)
+    tree = page_hierarchy(ruled, rules.value("base_url"), among, "page_no" if "page_no" in pages.columns else "page_id")
+    root = F.lit(-1) - rules.value("site_no")
+    facts = ruled.select("page_id", "url", root.cast("long").alias("_root"), *[c for c in _facts(pages) if c != "site"]).join(
+        tree, "page_id").withColumn("parent_page_doc", F.coalesce(F.col("parent_page_id") * ID_SPACE, "_root")).drop(
+        "parent_page_id", "_root")
+    return build_extracts(sections, facts, rules)
+
+
+def redirected(extracts: DataFrame, configs: Configs | Rules, redirects: DataFrame | None = None) -> DataFrame:
+    """The links of extracts that their site doesn't ignore, with the key of their target."""
+    rules = Rules(configs)
+    links = extract_links(extracts.where(F.col("links").isNotNull()))
+    return redirect_links(rules.attach(links), redirects, rules.value("link_ignore_regex")).drop(*rules.carried)
+
+
+def build_corpus(pages: DataFrame, configs: Configs, redirects: DataFrame | None = None) -> Corpus:
+    """Extracts with resolved links, and the graph of structural and link edges.
+
+    ``configs`` is one configuration, or one per value of the pages' ``site`` column: all sites are one parse and one plan.
+    Pages without a ``page_no`` are numbered in URL order.
+    """
+    sections, titled = read_sections(pages, configs)
+    body = place_sections(sections, titled if "page_no" in titled.columns else number_pages(titled), configs)
+    extracts = materialize(body.unionByName(base_rows(pages.sparkSession, configs), allowMissingColumns=True), "extracts")
     body = extracts.where(F.col("page_id").isNotNull())
-    resolved = resolve_links(extract_links(body), extracts, redirects)
-    per_doc = resolved.groupBy("doc_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("target_url").alias("url"),
-                                             F.col("target_doc_id").alias("doc_id")))),
-        lambda l: F.struct(l["title"].alias("title"), l["url"].alias("url"), l["doc_id"].alias("doc_id"))
-    ).alias("links"))
+    resolved = link_targets(redirected(body, configs, redirects), extracts)
     edges = relations(body).unionByName(link_edges(resolved))
-    return Corpus(extracts.drop("links").join(per_doc, "doc_id", "left"), edges)
+    return Corpus(extracts.drop("links").join(links_per_doc(resolved), "doc_id", "left"), edges)

@@ -6,4 +6,4 @@ Which table stands in for what is told in the docstring of each module. All quer
 from __future__ import annotations
 
 from leafgraph.registered.base import ORACLES, QUERIES  # noqa: F401
-from leafgraph.registered import chunks, context, logs, pages, scalars, search, stores, tables, urls  # noqa: F401,E402
+from leafgraph.registered import chunks, context, logs, pages, scalars, search, sites, stores, tables, urls  # noqa: F401,E402

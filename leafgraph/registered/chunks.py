@@ -173,16 +173,6 @@ def j6(t: Tables) -> DataFrame:
     return G.docs_by_ids(t.documents, t.labels).select("doc_id", "lang")
 
 
-@query("e15_combine_sites", """SELECT doc_id, CASE WHEN lang = 'en' THEN source END AS source,
-    CASE WHEN lang = 'de' THEN n_chars END AS n_chars FROM documents""")
-def e15(t: Tables) -> DataFrame:
-    """English, German and other documents as three sites with different columns."""
-    lang = F.col("lang")
-    return X.combine_sites(t.documents.where(lang == "en").select("doc_id", "source"),
-                           t.documents.where(lang == "de").select("doc_id", "n_chars"),
-                           t.documents.where(~lang.isin("en", "de")).select("doc_id"))
-
-
 @query("a1_program_options", """WITH x AS (SELECT DISTINCT d.lang AS faculty, d.source AS program,
       CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'good toxic' ELSE 'good clean' END END AS specialization
       FROM documents d LEFT JOIN labels USING (doc_id))

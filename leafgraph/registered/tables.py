@@ -153,5 +153,5 @@ def t10(t: Tables) -> DataFrame:
 def h3(t: Tables) -> DataFrame:
     """Tables are replaced in place; their titles split the page although the section is short enough."""
     config = SiteConfig(replacements=CONFIG.replacements, mandatory_splits=4)
-    rows = build_sections(T.replace_tables(materialize(parsed(t), "tables"), config), config)
+    rows = build_sections(T.replace_tables(materialize(parsed(t), "tables")), config)
     return rows.select("page_id", F.array_join("titles", " / ").alias("path"), squeeze(F.col("text")).alias("body"))

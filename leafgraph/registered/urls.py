@@ -13,7 +13,8 @@ from leafgraph.functions import urls as U
 from leafgraph.operators import links as L
 from leafgraph.operators.parse import SiteConfig, parse_pages
 from leafgraph.registered.base import Tables, query, sql_clean_url
-from leafgraph.session import materialize
+from leafgraph.session import materialize, work_dir
+from leafgraph.sources.pages import number_pages, scan_sites, write_pages
 
 HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
 HREFS = """hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href,
@@ -184,7 +185,20 @@ def s14(t: Tables) -> DataFrame:
     return L.snapshot_changed(old, new).select("doc_id", "side")
 
 
-@query("s1_scan_pages", """SELECT page_id, url, md5(html) AS digest, length(html) AS n FROM pages""")
+@query("s1_scan_pages", """SELECT page_id AS page, CASE WHEN page_id % 3 = 0 THEN 'notes' ELSE 'docs' END AS site,
+      'https://s.example/' || CASE WHEN page_id % 3 = 0 THEN 'docs/notes/' ELSE 'docs/' END || page_id AS url, md5(html) AS digest,
+      length(html) AS n, true AS named, row_number() OVER (ORDER BY 'https://s.example/' ||
+      CASE WHEN page_id % 3 = 0 THEN 'docs/notes/' ELSE 'docs/' END || page_id) AS page_no
+    FROM pages""")
 def s1(t: Tables) -> DataFrame:
-    """The page table as source; the folder scan is tested on files."""
-    return t.pages.select("page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("long").alias("n"))
+    """Every page is stored as a file of one of two sites, one inside the other; both are scanned at once and numbered."""
+    base = work_dir(t.spark, "dump")
+    folder = F.when(F.col("page_id") % 3 == 0, "docs/notes/").otherwise("docs/")
+    url = F.concat(F.lit("https://s.example/"), folder, F.col("page_id").cast("string"))
+    files = t.pages.select(U.path_from_url(url, F.lit(base)).alias("path"), "html")
+    materialize(write_pages(files), "written")
+    sites = {"docs": SiteConfig(base_url="https://s.example/docs"), "notes": SiteConfig(base_url="https://s.example/docs/notes/")}
+    rows = number_pages(materialize(scan_sites(t.spark, base, sites), "scanned"))
+    own = F.xxhash64("url", "site")
+    return rows.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page"), "site", "url", F.md5("html").alias("digest"),
+                       F.length("html").cast("long").alias("n"), (F.col("page_id") == own).alias("named"), "page_no")

@@ -12,6 +12,9 @@ LINK = T.StructType([
 
 EXTRACTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
+    T.StructField("page_id", T.LongType()),
+    T.StructField("sec_no", T.LongType()),
+    T.StructField("parent_sec", T.LongType()),
     T.StructField("url", T.StringType()),
     T.StructField("parent", T.LongType()),
     T.StructField("titles", T.ArrayType(T.StringType())),
@@ -20,9 +23,11 @@ EXTRACTS = T.StructType([
     T.StructField("links", T.ArrayType(LINK)),
     T.StructField("context", T.StringType()),
     T.StructField("split_idx", T.IntegerType()),
+    T.StructField("n_chunks", T.LongType()),
     T.StructField("faculty", T.StringType()),
     T.StructField("program", T.StringType()),
     T.StructField("specialization", T.ArrayType(T.StringType())),
+    T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
     T.StructField("orig_doc", T.StringType()),
     T.StructField("last_modified", T.TimestampType()),
     T.StructField("site", T.StringType()),

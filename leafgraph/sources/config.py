@@ -56,5 +56,6 @@ def site_configs(table: DataFrame) -> dict[str, SiteConfig]:
                 known[key] = tuple(known[key])
         known.setdefault("split_attrs", DEFAULT_SPLITS)
         general = site.get("general_config") or {}
-        configs[site["name"]] = SiteConfig(**known, max_extract_len=general.get("max_extract_len", 1000))
+        known |= {k: general[k] for k in ("max_extract_len", "encoding", "link_ignore_regex") if general.get(k) is not None}
+        configs[site["name"]] = SiteConfig(**known)
     return configs

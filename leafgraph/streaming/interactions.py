@@ -1,30 +1,50 @@
 """Question log and feedback as incremental file streams.
 
-Every payload is kept, however late. A payload with an ``event_id`` that an earlier batch has stored, or that stands twice in
-a batch, is a repeat and left out; payloads without an id are never repeats of each other. Lines that can't be read go to the
-rejects one by one. Each batch writes a folder of its own, so a batch that runs again after a failure replaces what it wrote.
+Every payload is kept, however late. Of payloads with one ``event_id`` the first is kept, in a batch the smallest as text;
+payloads without an id are never repeats of each other. Lines that can't be read go to the rejects one by one, and an id that
+only a rejected line has is not taken. Which ids are taken is keyed state of the query, kept on disk by its state store and
+with its checkpoint: a batch reads its own files and the state of its own ids, never the log. Each batch writes a folder of
+its own, so a batch that runs again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leafgraph.operators.interactions import parse_feedback, parse_questions
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _stored_ids(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Event ids of earlier batches; None before the first one."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    return stored.where((F.col("batch_id") < batch_id) & F.col("event_id").isNotNull()).select("event_id")
+
+class FirstPayload(StatefulProcessor):
+    """Of every event the first payload; keeps that the event was seen."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        payload = min(some["value"].min() for some in rows)
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield pd.DataFrame({"event_id": [key[0]], "value": [payload]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_payloads(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``value``: the lines of a stream without the repeats of an event."""
+    told = parse(lines).select("event_id", F.col("payload").alias("value"), "valid")
+    named = F.col("valid") & F.col("event_id").isNotNull()
+    once = told.where(named).groupBy("event_id").transformWithStateInPandas(
+        FirstPayload(), "event_id string, value string", "Append", "None")
+    return once.select("value").union(told.where(~named).select("value"))
 
 
 def _write(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -35,17 +55,19 @@ def _write(rows: DataFrame, path: str, batch_id: int) -> None:
 def _log(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint: str,
          parse: Callable[[DataFrame], DataFrame]) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # the state must be asked once; what is lost with an executor comes back from the state's last version
         parsed = parse(batch)
-        good = parsed.where("valid").drop("valid", "payload")
-        named = good.where("event_id is not null").dropDuplicates(["event_id"])
-        stored = _stored_ids(spark, sink, batch_id)
-        if stored is not None:
-            named = named.join(stored, "event_id", "left_anti").select(good.columns)
-        _write(named.union(good.where("event_id is null")), sink, batch_id)
+        _write(parsed.where("valid").drop("valid", "payload"), sink, batch_id)
         _write(parsed.where("not valid").select("event_id", "payload"), rejects, batch_id)
-
-    query = (spark.readStream.format("text").load(source).writeStream.foreachBatch(write)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        batch.unpersist()
+
+    own = spark.newSession()  # the state store is a setting of this query, not of the caller's session
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set(STATE_STORE, ON_DISK)
+    stream = first_payloads(own.readStream.format("text").load(source), parse)
+    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
 
 

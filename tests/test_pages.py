@@ -114,7 +114,7 @@ def corpus(spark):
                         parent_context_extractor="parent_context_extractor")
     redirects = spark.createDataFrame([("https://s.example/gone", "https://s.example/index/a")],
                                       "original string, final string")
-    return build_corpus([(pages, config)], redirects)
+    return build_corpus(pages, config, redirects)
 
 
 def test_corpus_extracts(corpus):

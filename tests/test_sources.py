@@ -9,7 +9,9 @@ from leafgraph.operators.chunking import chunk_array, recursive_chunks
 from leafgraph.operators.links import resolve_links
 from leafgraph.plans.embedding_load import vector_rows
 from leafgraph.sources.config import read_site_table, site_configs
-from leafgraph.sources.pages import scan_pages
+from leafgraph.operators.parse import SiteConfig
+from leafgraph.session import materialize
+from leafgraph.sources.pages import number_pages, scan_pages, scan_sites
 from leafgraph.sources.store import append_update, upsert_collection
 from leafgraph.streaming.interactions import log_feedback, log_questions
 
@@ -56,7 +58,25 @@ def test_folder_scan(spark, tmp_path):
     rows = scan_pages(spark, str(tmp_path), "https://s.example/").orderBy("url").collect()
     assert [(r["url"], r["html"]) for r in rows] == [("https://s.example/a", "<h1>x</h1>"),
                                                      ("https://s.example/a/b/c", "<p>é</p>")]
-    assert len({r["page_id"] for r in rows}) == 2 and all(0 <= r["page_id"] < 1 << 42 for r in rows)
+    assert len({r["page_id"] for r in rows}) == 2
+    numbered = number_pages(scan_pages(spark, str(tmp_path), "https://s.example/").where("url LIKE '%c'"))
+    assert [(r["url"], r["page_no"]) for r in numbered.collect()] == [("https://s.example/a/b/c", 1)]
+    known = materialize(numbered.select("page_id", "page_no"), "known")
+    both = number_pages(scan_pages(spark, str(tmp_path), "https://s.example/"), known).orderBy("page_no").collect()
+    assert [(r["url"], r["page_no"]) for r in both] == [("https://s.example/a/b/c", 1), ("https://s.example/a", 2)]
+
+
+def test_sites_are_scanned_at_once_in_their_encodings(spark, tmp_path):
+    for name, text, code in (("one.example/a.html", "<p>é</p>", "latin-1"), ("one.example/x/b.html", "<p>ü</p>", "utf-8"),
+                             ("other.example/c.html", "no site", "utf-8")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode(code))
+    sites = {"one": SiteConfig(base_url="https://one.example", encoding="latin-1"), "x": SiteConfig(base_url="https://one.example/x/")}
+    rows = scan_sites(spark, str(tmp_path), sites).orderBy("url").collect()
+    assert [(r["site"], r["url"], r["html"]) for r in rows] == [("one", "https://one.example/a", "<p>é</p>"),
+                                                               ("x", "https://one.example/x/b", "<p>ü</p>")]
+    with pytest.raises(ValueError, match="Unknown encoding"):
+        scan_pages(spark, str(tmp_path), "https://one.example", encoding="morse")
 
 
 def test_upsert_and_clear(spark, tmp_path):
@@ -75,6 +95,12 @@ def test_update_log(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "u")).agg(F.max("id"), F.count("datetime")).first() == (2, 2)
 
 
+def test_general_settings_are_honoured(spark, tmp_path):
+    (tmp_path / "c.json").write_text(CONFIG.replace("encoding: 'utf-8-sig'", "encoding: 'latin-1', link_ignore_regex: 'tel:.*'"))
+    config = site_configs(read_site_table(spark, str(tmp_path / "c.json")))["site_one"]
+    assert (config.encoding, config.link_ignore_regex) == ("latin-1", "tel:.*")
+
+
 def payload(n, **other):
     return json.dumps({"event_id": str(n), "question": f"q{n}", "answer": "a", "context": "", "reference_ids": [1, 2],
                        "logged_at": "2024-01-01T00:00:00Z", **other})
