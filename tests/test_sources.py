@@ -1,5 +1,6 @@
 """File sources, configurations, sinks and streams."""
 
+import datetime
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.operators.chunking import chunk_array, recursive_chunks
 from leafgraph.operators.links import resolve_links
+from leafgraph.plans.corpus import build_corpus
 from leafgraph.plans.embedding_load import vector_rows
 from leafgraph.sources.config import read_site_table, site_configs
 from leafgraph.operators.parse import SiteConfig
@@ -14,6 +16,7 @@ from leafgraph.session import materialize
 from leafgraph.sources.pages import number_pages, scan_pages, scan_sites
 from leafgraph.sources.store import append_update, upsert_collection
 from leafgraph.streaming.interactions import log_feedback, log_questions
+from leafgraph.streaming.refresh import apply_batch, current_corpus
 
 CONFIG = """{
   // general settings
@@ -180,3 +183,105 @@ def test_vector_rows(spark):
     out = vector_rows(rows, dim=32, model_dim=16).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["titles"], r["links"]) for r in out] == [(1, ["P", "A", "B"], ["https://l"]), (3, ["P", "C"], [])]
     assert all(len(r["text_embedding"]) == 32 and r["text_embedding"][16:] == [0.0] * 16 for r in out)
+
+
+def _lines(corpus):
+    rows = corpus.extracts.select("doc_id", "url", "parent", "titles", "parent_titles", "text", "faculty", "site", F.transform(
+        "links", lambda l: F.concat_ws("|", l["title"], l["url"], l["doc_id"].cast("string"))).alias("links")).collect()
+    return sorted(map(repr, rows)), sorted(map(repr, corpus.edges.collect()))
+
+
+def test_refresh_equals_a_rebuild(spark, tmp_path):
+    """Changed and removed titles, pages that fill a gap, moved links and redirects, two sites."""
+    sites = {"a": SiteConfig(base_url="https://a.example", metadata_extractor="default_extract_metadata", max_extract_len=40),
+             "b": SiteConfig(base_url="https://b.example", link_ignore_regex="/no.*", metadata={"faculty": "B"})}
+    schema = "page_id long, site string, url string, html string, last_modified timestamp"
+
+    def page(n, site, path, title, body, day):
+        head = f"<h1>{title}</h1>" if title is not None else ""
+        return n, site, f"https://{site}.example/{path}", head + body, datetime.datetime(2024, 1, day)
+    link = '<a href="/x/y.html">to y</a> <a href="/x/y#part">to part</a> <a href="/moved">to moved</a> <a href="/no/z">no</a>'
+    batches = [
+        [page(1, "a", "x", "The Faculty of X", link, 1), page(3, "a", "x/y/z", "Z", "deep. " * 20, 1),
+         page(5, "b", "x", "X of b", link, 1), page(6, "a", "q", "Q", '<a href="x/y/z">z</a>', 1)],
+        [page(2, "a", "x/y", "Y", "<h2>first</h2><a id='part'></a><h2>Part</h2>text", 1),  # fills the gap above z
+         page(1, "a", "x", "The Faculty of X", link, 1), page(7, "b", "x/y", "Y of b", "text", 1)],
+        [page(1, "a", "x", "The Faculty of New X", link + "more words", 2), page(7, "b", "x/y", None, "text", 2),
+         page(2, "a", "x/y", "Y", "<h2>Part</h2>other", 3), page(2, "a", "x/y", "old", "old", 2)],
+        [page(8, "a", "new", "New", "text", 1)],
+    ]
+    moved = [None, [("https://a.example/moved", "https://a.example/q")], [("https://a.example/moved", "https://a.example/q")],
+             [("https://a.example/moved", "https://a.example/new"), ("https://b.example/moved", "https://b.example/x/y")]]
+    newest = {}
+    for n, (batch, hops) in enumerate(zip(batches, moved)):
+        redirects = hops and spark.createDataFrame(hops, "original string, final string")
+        for _ in range(2 if n in (0, 2) else 1):  # a batch that runs again changes nothing
+            apply_batch(spark, spark.createDataFrame(batch, schema), str(tmp_path), n, sites, redirects)
+        for row in batch:
+            if row[0] not in newest or row[4] > newest[row[0]][4]:
+                newest[row[0]] = row
+        got = current_corpus(spark, str(tmp_path), sites)
+        numbers = got.extracts.where("page_id IS NOT NULL").select("page_id", F.floor(F.col("doc_id") / (1 << 20)).alias("page_no")).distinct()
+        pages = spark.createDataFrame(list(newest.values()), schema).join(numbers, "page_id")
+        assert pages.count() == len(newest)
+        want = build_corpus(pages, sites, redirects)
+        assert _lines(got) == _lines(want), n
+    facts = {(r["url"], r["faculty"]) for r in got.extracts.collect()}
+    assert ("https://a.example/x/y/z", "The Faculty of New X") in facts
+
+
+def test_a_batch_parses_only_its_pages(spark, tmp_path):
+    """Pages below a renamed one get new extracts from their stored sections; others stay where they are."""
+    from leafgraph.streaming.refresh import _State
+
+    schema = "page_id long, url string, html string, last_modified timestamp"
+    config = SiteConfig(base_url="https://s.example")
+    rows = [(n, f"https://s.example/{path}", f"<h1>{path}</h1>text", datetime.datetime(2024, 1, 1))
+            for n, path in ((1, "a"), (2, "a/b"), (3, "c"))]
+    apply_batch(spark, spark.createDataFrame(rows, schema), str(tmp_path), 0, config)
+    again = [(1, "https://s.example/a", "<h1>New</h1>text", datetime.datetime(2024, 1, 2)), rows[2]]
+    apply_batch(spark, spark.createDataFrame(again, schema), str(tmp_path), 1, config)
+    state = _State(spark, str(tmp_path), 1)
+    written = {name: {r["page_id"] for r in state.versions(f"{name}-written").where("batch_id = 1").collect()}
+               for name in ("pages", "sections", "extracts", "links")}
+    assert written == {"pages": {1}, "sections": {1}, "extracts": {1, 2}, "links": {1}}
+    titles = {r["page_id"]: r["parent_titles"] for r in state.current("extracts").collect()}
+    assert titles == {1: ["New"], 2: ["New", "a/b"], 3: ["c"]}
+
+
+def test_replacement_functions_scan_forward(spark):
+    from leafgraph.functions.registry import register
+    from leafgraph.operators.parse import parse_pages
+
+    register("replacement", "bracket", lambda element, url: f"<em>[{element.text()}]</em><b>{url}</b><i>kept</i>")
+    register("replacement", "drop", lambda element, url: None)
+    register("replacement", "forever", lambda element, url: "<p><u>again</u></p>")
+    pages = spark.createDataFrame([(1, "u1", "<div><b>x <b>y</b></b> <s>gone</s>tail</div>")], "page_id long, url string, html string")
+
+    def body(*rules):
+        config = SiteConfig(replacements=tuple({"attrs": {"name": n}, "function": f} for n, f in rules))
+        rows = parse_pages(pages, config).orderBy("pos").collect()
+        return rows[-1]["kind"], " ".join((rows[-1]["body"] or rows[-1]["text"]).split())
+    # what a function returned is not replaced itself
+    assert body(("b", "bracket"), ("s", "drop")) == ("text", "[x y]u1kept tail")
+    pages = pages.withColumn("html", F.lit("<u>a</u>"))
+    kind, text = body(("u", "forever"))
+    assert kind == "error" and "replacements" in text
+    with pytest.raises(ValueError, match="Invalid function name"):
+        body(("u", "nobody"))
+
+
+def test_log_keeps_nameless_late_and_first_payloads(spark, tmp_path):
+    run = lambda: log_questions(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    nameless = json.dumps({"question": "q", "answer": "n"})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1").write_text("\n".join([payload(1, answer="b"), payload(1, answer="a"), nameless, nameless, '{"event_id": "9", "q',
+                                                  json.dumps({"event_id": "2"})]))
+    run()
+    late = json.dumps({**json.loads(payload(3)), "logged_at": "2001-01-01T00:00:00Z"})
+    (tmp_path / "in" / "2").write_text("\n".join([payload(1, answer="c"), payload(2), nameless, late]))
+    run()
+    rows = [(r["event_id"], r["answer"], r["batch_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    # an id that only an unusable line had is free
+    assert sorted(rows, key=repr) == [("1", "a", 0), ("2", "a", 1), ("3", "a", 1), (None, "n", 0), (None, "n", 0), (None, "n", 1)]
+    assert spark.read.parquet(str(tmp_path / "out-rejects")).count() == 2
