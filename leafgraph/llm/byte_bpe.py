@@ -6,9 +6,9 @@ their joined bytes. So no merge is replayed on a text: an automaton over the voc
 before it, and steps back where nothing fits. A place that led nowhere is never tried again, which bounds the work by the
 text's length. Whether two tokens are compatible is worked out once per pair and remembered.
 
-Text is first cut by the pattern of the vocabulary; a piece that is a token is that token. Pieces repeat, so segments
-between single blanks (where the pattern always cuts) are encoded once per worker while they stay in a bounded memory.
-Narrow: no shuffle, one pass over the texts.
+Text is first cut by the pattern of the vocabulary; a piece that is a token is that token. Stretches between places where the
+pattern always cuts repeat, so those of a block of texts are encoded once each, and the ones that come again are remembered
+within a bound of bytes (:mod:`leafgraph.llm.segments`). Narrow: no shuffle, one pass over the texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REMEMBERED = 500_000  # segments, or pairs of tokens, kept per worker
+from leafgraph.llm.segments import StretchEncoder
+from leafgraph.llm.texts import blocks
+
+PAIRS = 200_000  # pairs of tokens whose compatibility is remembered per worker
+ROOM = 48 << 20  # bytes of remembered stretches per worker
+BLOCK = 4 << 20  # bytes of text encoded at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,8 +64,10 @@ class BytePairCodec:
             if len(token) == 1 or merge(token, ranks) == [rank]:  # others never come out of merges
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.compatible = lru_cache(maxsize=REMEMBERED)(self._compatible)
-        self.after_blank: dict[str, bytes] = {}  # ids of a blank and the key
+        self.compatible = lru_cache(maxsize=PAIRS)(self._compatible)
+        # other patterns may cut elsewhere, so whole texts are cut by them alone
+        self.stretches = StretchEncoder(self._learn, ROOM) if pattern == public_tokenizers.PATTERN else None
+        self.tokens = pa.array(self.bytes_of, pa.large_binary())
 
     def _compatible(self, left: int, right: int) -> bool:
         return merge(self.bytes_of[left] + self.bytes_of[right], self.ranks) == [left, right]
@@ -97,45 +104,40 @@ class BytePairCodec:
             ids += self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _learn(self, keys: list[bytes]) -> list[bytes]:
+        return [self.encode_segment(key.decode()) for key in keys]
+
+    def encode_block(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more for the end)."""
+        if self.stretches is not None:
+            return self.stretches.encode(offsets, data)
+        raw = data.tobytes()
+        each = [self.encode_segment(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:])]
+        return np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64)
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
-        parts = text.split(" ")
-        found = list(map(self.after_blank.get, parts))
-        found[0] = None
-        if len(self.after_blank) > REMEMBERED:
-            self.after_blank.clear()
-        for i, ids in enumerate(found):
-            if ids is None:
-                if not stands_alone(parts[i]):
-                    return b"".join(map(self.encode_segment, joined_parts(text)))
-                found[i] = ids = self.encode_segment(" " + parts[i] if i else parts[0])
-                if i and len(ids) < 200:
-                    self.after_blank[parts[i]] = ids
-        return b"".join(found)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_block(np.array([0, len(raw)]), raw)[0].tobytes()
+
+    def decode_block(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the ids stand for, and where each text's begin, from where its ids begin."""
+        if not len(ids):
+            return np.zeros(0, np.uint8), np.zeros(len(at), np.int64)
+        found = self.tokens.take(pa.array(ids))
+        ends = np.frombuffer(found.buffers()[1], np.int64)[:len(ids) + 1]
+        return np.frombuffer(found.buffers()[2], np.uint8)[:ends[-1]], ends[at]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def stands_alone(part: str) -> bool:
-    """Whether a blank before ``part`` and the one after it each begin a match of the byte-level pattern.
-
-    ``part`` holds no blank. A blank does so between visible characters, since white space that touches it would join it.
-    """
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+        whole = np.frombuffer(ids, "<u4")
+        return self.decode_block(whole, np.array([0, len(whole)]))[0].tobytes()
 
 
-def joined_parts(text: str) -> list[str]:
-    """Segments of any text: cut before a blank only if it stands alone between visible characters."""
-    parts = text.split(" ")
-    joined = [parts[0]] if parts[0] else []
-    for part in parts[1:]:
-        if joined and (not part or part[0].isspace() or joined[-1][-1].isspace()):
-            joined[-1] += " " + part
-        else:
-            joined.append(" " + part)
-    return joined
+def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Slices of a row of bytes as an array, without objects in between."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -149,19 +151,20 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
     """doc_id, ids (binary, little-endian 32-bit) and decoded (binary) of every text.
 
     A null text is empty: no ids. Rows are independent: a repeated row is encoded again, a null ``doc_id`` stays null, and
-    columns other than ``doc_id`` and ``text`` are ignored. ``path`` names a file of ranks present on every machine.
+    columns other than ``doc_id`` and ``text`` are ignored. Texts may be of any length: a task holds a block of whole texts,
+    or one longer text. An empty table gives no rows. ``path`` names a file of ranks present on every machine.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):  # bounds what a task holds at once
-                part = batch.slice(start, 500)
-                ids = [own.encode(t or "") for t in part.column("text").to_pylist()]
+            for row, end, offsets, data in blocks(batch.column("text"), BLOCK):  # bounds what a task holds at once
+                ids, at = own.encode_block(offsets, data)
+                back, places = own.decode_block(ids, at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.binary()),
-                     pa.array([own.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+                    [batch.column("doc_id").slice(row, end - row), _binaries(np.ascontiguousarray(ids).view(np.uint8), 4 * at),
+                     _binaries(back, places)], ["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary, decoded binary")
