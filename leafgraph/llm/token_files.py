@@ -13,11 +13,8 @@ share; other stores are reached through ``pyarrow.fs``.
 
 from __future__ import annotations
 
-import os
 import uuid
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -28,9 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgraph.llm.byte_bpe import stands_alone
+from leafgraph.llm.segments import text_encoder
+from leafgraph.llm.texts import blocks
 
-REMEMBERED = 800_000  # parts kept per worker
+BLOCK = 4 << 20  # bytes of text encoded at once
 
 
 def _open_store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -53,77 +51,13 @@ def map_file(folder: str, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(file.read(), kind)
 
 
-class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library.
-
-    A blank between visible characters always begins a piece of a byte-level vocabulary, so what follows a blank up to the
-    next one is encoded once and remembered, within a bound; the rest of a text is encoded as it stands, and so is a whole text
-    that holds the string of an added token. As by the library's default, that string becomes the token's id; with
-    ``special_as_text`` special tokens are ordinary text.
-    """
-
-    def __init__(self, path: str, special_as_text: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()
-                      if not (special_as_text and t.special)]
-        self.joins = not any(" " in a for a in self.added)  # else parts that stand side by side could make such a string
-        self.after_blank: dict[str, bytes] = {}  # ids of a blank and the key
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens whose first byte is a blank
-        for token, i in self.tokenizer.get_vocab().items():
-            self.begins[i] = token.startswith("\u0120")
-
-    def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encode many parts in one text; a token that begins with a blank begins a part."""
-        for k in range(0, len(parts), 2_000):
-            some = parts[k:k + 2_000]
-            ids = np.frombuffer(self._encode(" " + " ".join(some)), np.uint32)
-            cuts = (np.flatnonzero(self.begins[ids]) * 4).tolist() + [4 * len(ids)]
-            raw = ids.tobytes()
-            self.after_blank.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.after_blank) > REMEMBERED:
-            self.after_blank.clear()
-        plain = [self.joins and not any(a in t for a in self.added) for t in texts]
-        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
-        ids = [list(map(self.after_blank.get, parts)) for parts in cut]
-        new = {p for parts, found in zip(cut, ids) if None in found for p, i in zip(parts, found) if i is None}
-        self._learn(list(filter(stands_alone, new)))
-        out = []
-        for text, parts, found in zip(texts, cut, ids):
-            if not parts:
-                out.append(self._encode(text))
-                continue
-            if None in found:
-                found = list(map(self.after_blank.get, parts))
-            if stands_alone(parts[0]):
-                found[0] = self._encode(parts[0])
-            else:
-                found[0] = None
-            out.append(self._encode(text) if None in found else b"".join(found))
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """One encoder per worker."""
-    return Encoder(path, special_as_text)
-
-
 def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = 0,
                       width: int = 4, parts: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode ``documents`` (doc_id, text), append ``end_id`` to each and write the files; returns the index.
 
     A null text is empty and leaves its end id alone; a null ``doc_id`` comes first; rows with the same ``doc_id`` all stay,
-    ordered by text. ``width`` is the bytes per id (2 or 4; ids must fit). ``parts`` is the number of files, by default the
+    ordered by text; texts may be of any length, and other columns are ignored. ``width`` is the bytes per id (2 or 4): a
+    vocabulary or ``end_id`` that doesn't fit raises. ``parts`` is the number of files, by default the
     session's number of shuffle partitions. The string of a special token in a text becomes its id, unless
     ``special_as_text``. An empty table gives an empty index and no files.
     """
@@ -133,34 +67,34 @@ def write_token_files(documents: DataFrame, folder: str, vocabulary: str | None
     store, root = _open_store(folder)
     store.create_dir(root, recursive=True)
     kind = {2: "<u2", 4: "<u4"}[width]
+    if max(text_encoder(vocabulary, special_as_text).size, end_id + 1) > 1 << (8 * width):
+        raise ValueError(f"ids up to {max(text_encoder(vocabulary, special_as_text).size - 1, end_id)} don't fit {width} bytes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        own, mark = encoder(vocabulary, special_as_text), np.array([end_id], "<u4").tobytes()
+        part, own = TaskContext.get().partitionId(), text_encoder(vocabulary, special_as_text)
         store, root = _open_store(folder)
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
-        lengths: list[int] = []
-        docs: list[int | None] = []
+        lengths, docs, known = ([np.zeros(0, t)] for t in ("<u8", "<i8", bool))
         with store.open_output_stream(f"{root}/{part}.ids.{attempt}") as out:
             for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    some = batch.slice(start, 500)
-                    for ids in own.encode([t or "" for t in some.column("text").to_pylist()]):
-                        ids += mark
-                        lengths.append(len(ids) // 4)
-                        out.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype(kind).tobytes())
-                    docs += some.column("doc_id").to_pylist()
+                for row, end, offsets, data in blocks(batch.column("text"), BLOCK):
+                    ids, at = own.encode(offsets, data)
+                    out.write(np.insert(ids, at[1:], end_id).astype(kind).tobytes())
+                    lengths.append((np.diff(at) + 1).astype("<u8"))
+                docs.append(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8"))
+                known.append(batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+        lengths, docs, known = map(np.concatenate, (lengths, docs, known))
         with store.open_output_stream(f"{root}/{part}.docs.{attempt}") as out:
-            out.write(np.array([d or 0 for d in docs], "<i8").tobytes())
-            out.write(bytes(d is not None for d in docs))
+            out.write(docs.tobytes())
+            out.write(known.astype(np.uint8).tobytes())
         with store.open_output_stream(f"{root}/{part}.lengths.{attempt}") as out:
-            out.write(np.array(lengths, "<u8").tobytes())
+            out.write(lengths.tobytes())
         for name in ("ids", "docs", "lengths"):
             store.move(f"{root}/{part}.{name}.{attempt}", f"{root}/{part}.{name}")
-        if docs:
+        if len(docs):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(docs)], pa.int64()),
-                                              pa.array([sum(lengths)], pa.int64())], ["part", "n_docs", "n_tokens"])
+                                              pa.array([int(lengths.sum())], pa.int64())], ["part", "n_docs", "n_tokens"])
 
     written = (documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

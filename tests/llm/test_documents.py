@@ -226,6 +226,8 @@ def test_token_files(spark, odd, nothing):
     empty = work_dir(spark, "tokens")
     token_files.write_token_files(nothing, empty, width=4)
     assert token_files.read_token_files(spark, empty).collect() == []
+    with pytest.raises(ValueError, match="fit 2 bytes"):
+        token_files.write_token_files(odd, work_dir(spark, "tokens"), end_id=70_000, width=2)
 
 
 def test_special_tokens_in_texts(spark):
