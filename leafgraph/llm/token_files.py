@@ -125,8 +125,11 @@ def _spread(index: DataFrame) -> DataFrame:
     return index.repartition(max(1, index.sparkSession.sparkContext.defaultParallelism), "part")
 
 
-def read_token_files(spark: SparkSession, folder: str, width: int = 4) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids (binary, as in the file) of every document."""
+def read_token_files(spark: SparkSession, folder: str, width: int = 4, widen: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids (binary, as in the file) of every document.
+
+    With ``widen`` ids are 32-bit ones, whatever the file's width.
+    """
     kind = {2: "<u2", 4: "<u4"}[width]
     index = spark.read.parquet(f"{folder}/index")
 
@@ -140,10 +143,13 @@ def read_token_files(spark: SparkSession, folder: str, width: int = 4) -> DataFr
                 for a in range(0, n_docs, 500):
                     b = min(a + 500, n_docs)
                     at = starts[a:b + 1] - starts[0]
+                    some = ids[at[0]:at[-1]].astype("<u4" if widen else kind)
+                    places = (at - at[0]) * some.itemsize
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs[a:b], pa.int64(), mask=~known[a:b]), pa.array(starts[a:b]),
                          pa.array(np.diff(starts[a:b + 1])),
-                         pa.array([ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())],
+                         pa.Array.from_buffers(pa.large_binary(), b - a, [
+                             None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(some))]).cast(pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"])
 
     return _spread(index).select("part", "n_docs").mapInArrow(
