@@ -1,19 +1,24 @@
 """Removal of passages that repeat across documents, by paragraphs.
 
-Units are the paragraphs (lines) of a text and, since passages also stand inside longer paragraphs, the sentences of a
-paragraph. Paragraphs of ``LONG`` words and more are matched by MinHash banding over five-word shingles: ``BANDS`` bands of
-``ROWS`` hashes find a pair of similarity 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS (0.994 for 5 x 2) and equal ones
-always; what a band proposes is verified by the exact Jaccard similarity of the paragraphs' shingles. Shorter paragraphs and
-all sentences of ``SHORT`` words and more can only be near-equal if they are equal, as one changed word costs up to five
-shingles; they are matched by their words. Each connected component keeps its first unit, by document id and place. A
-repeated unit is removed where it is part of a run of at least ``RUN`` repeated words, so common phrases and short
-boilerplate lines stay.
-
-Besides, every run of ``STRETCH`` words and more that an earlier document holds as well is removed whole, wherever lines and
-sentences begin and end. Of the ``ANCHOR``-word grams of each stretch of ``STRETCH`` words, the one with the smallest hash (the
-first, if several are equal) is its anchor; which one depends on the stretch alone, so equal stretches share their anchor.
-The stretches of one anchor follow each other, and together are its extent. Where all extents of a gram are equal, they are
-repeated as a whole; only elsewhere are the single stretches compared.
+Units are the paragraphs (lines) of a text and, since passages also stand inside longer paragraphs, runs of words and the
+sentences of a paragraph. They go in three steps, and each step sees only what the steps before it left, so a unit goes only
+for a copy of it that stays:
+
+1. Paragraphs of ``LONG`` words and more are matched by MinHash banding over five-word shingles: ``BANDS`` bands of ``ROWS``
+   hashes find a pair of similarity 0.8 with probability 1 - (1 - 0.8^ROWS)^BANDS (0.994 for 5 x 2) and equal ones always; what
+   a band proposes is verified by the exact Jaccard similarity of the paragraphs' shingles. Each connected component keeps its
+   first paragraph, by document id, text and place; all others of it go.
+2. Every run of ``STRETCH`` words and more that is left and that an earlier document holds as well goes whole, wherever lines and
+   sentences begin and end. Of the ``ANCHOR``-word grams of each stretch of ``STRETCH`` words, the one with the smallest hash (the
+   first, if several are equal) is its anchor; which one depends on the stretch alone, so equal stretches share their anchor.
+   The stretches of one anchor follow each other, and together are its extent. Where all extents of a gram are equal and
+   nothing of them went before, they are repeated as a whole; only elsewhere are the single stretches compared.
+3. Sentences of ``SHORT`` words and more that are left whole can only be near-equal if they are equal, as one changed word costs
+   up to five shingles, so they are matched by their words. All but the first copy are repeated, and go where repeated units
+   make a run of ``sentence_run`` words, so common phrases inside paragraphs stay.
+
+What a run of step 2 is held by can itself be cut by an overlapping run of a still earlier document; then each part of it stands
+in a kept text, though not in one.
 """
 
 from __future__ import annotations
@@ -28,18 +33,19 @@ from pyspark.sql import functions as F
 from leafgraph.llm import similar
 from leafgraph.llm.suffix_repeats import _hash_between
 from leafgraph.llm.texts import BLANKS, blocks, distinct, grams, mix, powers, span_hashes, word_spans
-from leafgraph.session import materialize
+from leafgraph.session import discard, materialize
 
 N_WORDS = 5
 SHARE = (80, 100)
 BANDS, ROWS = 5, 2
 LONG, SHORT = 13, 6
-RUN = 25
+SENTENCE_RUN = 25
 BINS = 64
 GAP = 6  # words of units too short to be matched that a run may span
 STRETCH, ANCHOR = 50, 8  # words
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_ID = "struct<doc_id:bigint,unit:int>"
+_TEXT = "doc_id bigint, text_key bigint"  # a row of documents; the key tells texts apart that share an id
+_ID = "struct<doc_id:bigint,text_key:bigint,unit:int>"
 
 
 class Units:
@@ -121,12 +127,18 @@ class Stretches:
             self.ends[high - 1] - self.offsets[row])]
 
 
-def _ids(doc: pa.Array, rows: np.ndarray, unit: np.ndarray) -> pa.StructArray:
-    return pa.StructArray.from_arrays([doc.take(pa.array(rows)), pa.array(unit.astype(np.int32))], ["doc_id", "unit"])
+def _texts(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    """Id and key of the texts in ``rows`` of a batch."""
+    return [batch.column(c).take(pa.array(rows)) for c in ("doc_id", "text_key")]
+
+
+def _ids(batch: pa.RecordBatch, rows: np.ndarray, unit: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([*_texts(batch, rows), pa.array(unit.astype(np.int32))], ["doc_id", "text_key", "unit"])
 
 
 def _documents(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter(
+        "doc_id is not null")
 
 
 def long_paragraphs(documents: DataFrame) -> DataFrame:
@@ -136,7 +148,7 @@ def long_paragraphs(documents: DataFrame) -> DataFrame:
     """
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
+            seen: set[tuple[int, int]] = set()
             for first, _, offsets, data in blocks(batch.column("text")):
                 own = Units(offsets, data)
                 hashes, at, line = own.long_shingles()
@@ -150,11 +162,16 @@ def long_paragraphs(documents: DataFrame) -> DataFrame:
                 a, b = similar.set_digests(unique, owner, len(which))
                 hist = similar.histograms(unique, owner, len(which), BINS)
                 some = {k: v[which] for k, v in own.lines.items()}
+                fresh = np.zeros(len(which), bool)  # equal sets are one class, so one of a batch signs for all of it
+                for i, digest in enumerate(zip(a.tolist(), b.tolist())):
+                    if digest not in seen:
+                        seen.add(digest)
+                        fresh[i] = True
+                ends = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [_ids(doc, some["row"] + first, some["number"] * 2), pa.array(np.bincount(owner, minlength=len(which))),
+                    [_ids(batch, some["row"] + first, some["number"] * 2), pa.array(np.bincount(owner, minlength=len(which))),
                      pa.array(a), pa.array(b), pa.array([h.tobytes() for h in hist], pa.binary()),
-                     pa.ListArray.from_arrays(np.arange(0, sigs.size + 1, BANDS, dtype=np.int32),
-                                              sigs.reshape(-1).view(np.int64)),
+                     pa.ListArray.from_arrays(ends, sigs[fresh].reshape(-1).view(np.int64)),
                      *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "words"))],
                     ["id", "size", "a", "b", "hist", "sigs", "start", "end", "words"])
 
@@ -166,7 +183,6 @@ def short_units(documents: DataFrame) -> DataFrame:
     """One row per sentence of ``SHORT`` words and more: id, key of its words, span."""
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
             for first, _, offsets, data in blocks(batch.column("text")):
                 own = Units(offsets, data)
                 which = np.flatnonzero(own.exact)
@@ -177,7 +193,7 @@ def short_units(documents: DataFrame) -> DataFrame:
                 key = mix(np.add.reduceat(own.words * powers(int(words.max()))[place], begins) + words.astype(np.uint64))
                 some = {k: v[which] for k, v in own.sentences.items()}
                 yield pa.RecordBatch.from_arrays(
-                    [_ids(doc, some["row"] + first, some["number"] * 2 + 1), pa.array(key[which].view(np.int64)),
+                    [_ids(batch, some["row"] + first, some["number"] * 2 + 1), pa.array(key[which].view(np.int64)),
                      *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "words"))],
                     ["id", "key", "start", "end", "words"])
 
@@ -187,12 +203,13 @@ def short_units(documents: DataFrame) -> DataFrame:
 def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (x, y) of paragraphs whose shingle sets have a Jaccard similarity of ``SHARE`` or more."""
     needed = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    needed = materialize(needed.join(spans, "id").select("id", "start", "end", F.col("id.doc_id").alias("doc_id")), "needed")
+    needed = materialize(needed.join(spans, "id").select("id", "start", "end", "id.doc_id", "id.text_key"), "needed")
     raw = F.to_binary("text", F.lit("utf-8"))
-    texts = _documents(documents).join(needed.hint("merge"), "doc_id").select(  # one plan at every size
+    texts = _documents(documents).join(needed.hint("merge"), ["doc_id", "text_key"]).select(  # one plan at every size
         "id", F.substring(raw, F.col("start") + 1, F.col("end") - F.col("start")).cast("string").alias("text")
     ).dropDuplicates(["id"])
     texts = materialize(texts, "paragraphs")
+    discard(needed)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, q = SHARE
@@ -213,36 +230,37 @@ def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFr
                 yield part.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     x, y = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "xy")
-    return pairs.join(y, "y").join(x, "x").select("x", "y", "tx", "ty").mapInArrow(check, f"x {_ID}, y {_ID}")
+    found = materialize(pairs.join(y, "y").join(x, "x").select("x", "y", "tx", "ty").mapInArrow(check, f"x {_ID}, y {_ID}"), "verified")
+    discard(texts)
+    return found
 
 
 _SPAN = "low int, high int, start int, end int"
 
 
 def _anchors(documents: DataFrame) -> DataFrame:
-    """doc_id, gram, extent and span of every anchor."""
+    """doc_id, text_key, gram, extent and span of every anchor."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column("doc_id")
             for first, _, offsets, data in blocks(batch.column("text")):
                 own = Stretches(offsets, data)
                 if len(own.low):
                     yield pa.RecordBatch.from_arrays(
-                        [doc.take(pa.array(own.rows[own.low] + first)), pa.array(own.gram.view(np.int64)),
+                        [*_texts(batch, own.rows[own.low] + first), pa.array(own.gram.view(np.int64)),
                          pa.array(own.extent.view(np.int64)), *own.spans(own.low, own.high)],
-                        ["doc_id", "gram", "extent", "low", "high", "start", "end"])
+                        ["doc_id", "text_key", "gram", "extent", "low", "high", "start", "end"])
 
-    return _documents(documents).mapInArrow(find, f"doc_id long, gram long, extent long, {_SPAN}")
+    return _documents(documents).mapInArrow(find, f"{_TEXT}, gram long, extent long, {_SPAN}")
 
 
 def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, gram)."""
-    lists = materialize(wanted.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")), "grams")  # of one text
-    joined = _documents(documents).join(lists.hint("merge"), "doc_id").select("doc_id", "text", "grams")
+    """Text, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, text_key, gram)."""
+    lists = materialize(wanted.groupBy("doc_id", "text_key").agg(F.collect_set("gram").alias("grams")), "grams")  # of one text
+    joined = _documents(documents).join(lists.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "grams")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, lists = batch.column("doc_id"), batch.column("grams")
+            lists = batch.column("grams")
             for first, end, offsets, data in blocks(batch.column("text")):
                 own = Stretches(offsets, data)
                 rows = own.rows[own.low]
@@ -260,94 +278,143 @@ def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 key = _hash_between(own.sums, low, low + STRETCH)
                 anchor = np.repeat(own.low[which] - own.first_word[rows[which]], many)
                 yield pa.RecordBatch.from_arrays(
-                    [doc.take(pa.array(own.rows[low] + first)), pa.array(key.view(np.int64)), pa.array(anchor.astype(np.int32)),
-                     *own.spans(low, low + STRETCH)], ["doc_id", "key", "anchor", "low", "high", "start", "end"])
+                    [*_texts(batch, own.rows[low] + first), pa.array(key.view(np.int64)), pa.array(anchor.astype(np.int32)),
+                     *own.spans(low, low + STRETCH)], ["doc_id", "text_key", "key", "anchor", "low", "high", "start", "end"])
 
-    return joined.mapInArrow(find, f"doc_id long, key long, anchor int, {_SPAN}")
+    found = materialize(joined.mapInArrow(find, f"{_TEXT}, key long, anchor int, {_SPAN}"), "stretches")
+    discard(lists)
+    return found
 
 
-def repeated_stretches(documents: DataFrame) -> DataFrame:
-    """doc_id, low, high, start, end, first_doc_id: the longest runs of which an earlier document holds every stretch.
+def touched(spans: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, text_key, start, end, ...) with ``touched``: whether a cut of the same text overlaps the span.
+
+    A text's spans and cuts meet in one window; texts without cuts are passed by.
+    """
+    text = ["doc_id", "text_key"]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in spans.schema if f.name not in (*text, "start", "end")]
+    cut = cuts.select(*text, "start", "end", *none, F.lit(True).alias("_cut"))
+    here = spans.join(cuts.select(*text).distinct(), text, "left_semi").withColumn("_cut", F.lit(False))
+    order = Window.partitionBy(*text).orderBy("start", F.desc("_cut"))
+    past = F.max(F.when(F.col("_cut"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    next_ = F.min(F.when(F.col("_cut"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    hit = F.coalesce(past > F.col("start"), F.lit(False)) | F.coalesce(next_ < F.col("end"), F.lit(False))
+    both = here.unionByName(cut).withColumn("touched", hit).filter("not _cut").drop("_cut")
+    rest = spans.join(cuts.select(*text).distinct(), text, "left_anti").withColumn("touched", F.lit(False))
+    return both.unionByName(rest)
+
+
+def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, low, high, start, end, first_doc_id: the longest runs of which an earlier document holds every stretch.
 
     ``low`` and ``high`` number words, ``start`` and ``end`` bytes. A run that meets several earlier documents names the first.
+    Stretches that overlap the spans ``gone`` (doc_id, text_key, start, end) take no part.
     """
+    text = ["doc_id", "text_key"]
     anchors = materialize(_anchors(documents), "anchors")
     shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                          (F.min("extent") < F.max("extent")).alias("several")).filter("first < last").drop("last")
-    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first")
-    shared = materialize(shared.select("doc_id", "gram", "several", "low", "high", "start", "end", "first"), "shared")
-
-    single = materialize(_single(documents, shared.filter("several").select("doc_id", "gram")), "stretches")
-    firsts = single.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
+    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first" if gone is None else "true").drop("extent")
+    shared = materialize(shared if gone is None else touched(shared, gone), "shared")
+    discard(anchors)
+    if gone is not None:
+        cut = shared.filter("touched").select("gram").distinct().withColumn("cut", F.lit(True))
+        several = F.col("several") | F.coalesce("cut", F.lit(False))
+        before = shared
+        shared = shared.join(cut.hint("merge"), "gram", "left").withColumn("several", several).filter("several or doc_id > first")
+        shared = materialize(shared.drop("cut", "touched"), "shared")
+        discard(before)
+
+    single = _single(documents, shared.filter("several").select(*text, "gram"))
+    left = single if gone is None else touched(single, gone).filter("not touched").drop("touched")
+    left = left if gone is None else materialize(left, "stretches")
+    firsts = left.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
         "first < last").drop("last")
     # stretches of one anchor all hold it, so together they are one run
-    single = single.join(firsts.hint("merge"), "key").filter("doc_id > first").groupBy("doc_id", "anchor").agg(
+    runs = left.join(firsts.hint("merge"), "key").filter("doc_id > first").groupBy(*text, "anchor").agg(
         *(F.min(c).alias(c) for c in ("low", "start", "first")), *(F.max(c).alias(c) for c in ("high", "end")))
 
-    columns = ["doc_id", "low", "high", "start", "end", "first"]
-    rows = shared.filter("not several").select(columns).unionByName(single.select(columns))
-    order = Window.partitionBy("doc_id").orderBy("low", "high")
+    columns = [*text, "low", "high", "start", "end", "first"]
+    rows = shared.filter("not several").select(columns).unionByName(runs.select(columns))
+    order = Window.partitionBy(*text).orderBy("low", "high")
     rows = rows.withColumn("reach", F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("low") <= F.col("reach"), 0).otherwise(1)).over(
         order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc_id", "run").agg(
+    found = materialize(rows.groupBy(*text, "run").agg(
         *(F.min(c).alias(c) for c in ("low", "start")), *(F.max(c).alias(c) for c in ("high", "end")),
-        F.min("first").alias("first_doc_id")).drop("run")
+        F.min("first").alias("first_doc_id")).drop("run"), "runs")
+    discard(*{id(t): t for t in (shared, single, left)}.values())
+    return found
 
 
-def repeated_units(documents: DataFrame) -> DataFrame:
-    """doc_id, unit, start, end, words, first_doc_id, removed: every unit whose component has several members.
+def repeated_units(documents: DataFrame, sentence_run: int = SENTENCE_RUN) -> DataFrame:
+    """doc_id, text_key, unit, start, end, words, first_doc_id, removed: every unit that stands elsewhere as well.
 
-    A run of repeated stretches is one unit, whose number is negative: its first word's number in the text, as -1, -2, ...
-    ``start`` and ``end`` are byte offsets; ``first_doc_id`` is the document of the unit that the component keeps; ``removed``
+    Unit numbers are even for paragraphs and odd for sentences, each in reading order; that of a run of repeated stretches is
+    negative: its first word's number in the text, as -1, -2, ... ``start`` and ``end`` are byte offsets in the text that
+    ``text_key`` (a hash) tells among those with one ``doc_id``; ``first_doc_id`` is the document that keeps the unit; ``removed``
     tells whether this one goes. Null and blank texts have no units; rows without ``doc_id`` are left out, as nothing could
-    point to them; texts that share a ``doc_id`` number their units alike and are taken for one; other columns are ignored.
+    point to them; a row that stands several times is one text; other columns are ignored; texts may be of any length; an
+    empty table gives no rows.
     """
+    text = ["doc_id", "text_key"]
     long = materialize(long_paragraphs(documents), "long")
     spans = long.select("id", "start", "end")
     groups = similar.components(long, lambda pairs: verified(documents, spans, pairs), SHARE)
-    near = long.select("id", "start", "end", "words").join(groups.select("id", F.col("component").alias("first")), "id")
+    near = materialize(_columns(long.select("id", "start", "end", "words").join(
+        groups.select("id", F.col("component").alias("first")), "id")).dropDuplicates([*text, "unit"]), "near")
+    discard(long, groups)
+
+    stretches = repeated_stretches(documents, near.filter("repeated").select(*text, "start", "end"))
+    runs = stretches.select(*text, (-F.col("low") - 1).cast("int").alias("unit"), "start", "end",
+                            (F.col("high") - F.col("low")).cast("int").alias("words"), "first_doc_id", F.lit(True).alias("repeated"))
+    gone = materialize(near.filter("repeated").unionByName(runs), "gone")
+
+    short = materialize(short_units(documents), "sentences")
+    shared = short.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = short.join(shared, "key").select("key", "id", "start", "end", "words", "id.doc_id", "id.text_key").dropDuplicates(["id"])
+    whole = materialize(touched(shared, gone.select(*text, "start", "end")).filter("not touched"), "whole")
+    discard(short)
+    firsts = whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    equal = _columns(whole.join(firsts, "key").select("id", "start", "end", "words", "first"))
+    units = materialize(gone.unionByName(near.filter("not repeated")).unionByName(equal), "units")
+    discard(near, stretches, gone, whole)
+    return _removed(units, sentence_run)
 
-    short = short_units(documents)
-    firsts = short.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = short.join(firsts, "key").select("id", "start", "end", "words", "first")
 
-    units = near.unionByName(equal).select(
-        F.col("id.doc_id").alias("doc_id"), F.col("id.unit").alias("unit"), "start", "end", "words",
-        F.col("first.doc_id").alias("first_doc_id"), (F.col("id") != F.col("first")).alias("repeated"))
-    runs = repeated_stretches(documents).select(
-        "doc_id", (-F.col("low") - 1).cast("int").alias("unit"), "start", "end", (F.col("high") - F.col("low")).alias("words"),
-        "first_doc_id", F.lit(True).alias("repeated"))
-    return _runs(materialize(units.unionByName(runs), "units"))
+def _columns(units: DataFrame) -> DataFrame:
+    return units.select("id.doc_id", "id.text_key", "id.unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"),
+                        (F.col("id") != F.col("first")).alias("repeated"))
 
 
-def _runs(units: DataFrame) -> DataFrame:
-    """Mark the repeated units that lie in a run of ``RUN`` repeated words.
+def _removed(units: DataFrame, sentence_run: int) -> DataFrame:
+    """Mark what goes: repeated paragraphs and runs, and the repeated sentences in a run of ``sentence_run`` repeated words.
 
-    Words are counted by bytes covered once: a sentence inside a repeated paragraph adds nothing. Runs of stretches are longer
-    than ``RUN``, so they go in any case.
+    Words are counted by bytes covered once. A run may span a few short words between units.
     """
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "unit")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", F.desc("end"), "unit")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = units.filter("repeated").withColumn("reach", F.max("end").over(before))
     rows = rows.withColumn("new", F.when(F.col("start") > F.coalesce("reach", F.lit(-10**9)) + 8 * GAP, 1).otherwise(0))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("own", F.when(F.col("end") <= F.coalesce("reach", F.lit(-1)), 0).otherwise(F.col("words")))
-    total = Window.partitionBy("doc_id", "run")
-    rows = rows.withColumn("removed", F.sum("own").over(total) >= RUN)
-    columns = ["doc_id", "unit", "start", "end", "words", "first_doc_id", "removed"]
+    total = Window.partitionBy("doc_id", "text_key", "run")
+    sentence = (F.col("unit") > 0) & (F.col("unit") % 2 == 1)  # paragraphs are even, runs negative
+    rows = rows.withColumn("removed", ~sentence | (F.sum("own").over(total) >= sentence_run))
+    columns = ["doc_id", "text_key", "unit", "start", "end", "words", "first_doc_id", "removed"]
     return rows.select(columns).unionByName(units.filter("not repeated").withColumn("removed", F.lit(False)).select(columns))
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, sentence_run: int = SENTENCE_RUN) -> DataFrame:
     """``documents`` with the repeated passages cut out of ``text`` (and their ``n_chars``, if there is one, set anew).
 
     Line ends and blanks around a cut stay as they are; a text that is repeated as a whole becomes empty and its row is
-    dropped. All other rows and columns stay.
+    dropped. All other rows and columns stay, those without an id or a text and repeated ones included.
     """
-    cuts = (repeated_units(documents).filter("removed").groupBy("doc_id")
+    cuts = (repeated_units(documents, sentence_run).filter("removed").groupBy("doc_id", "text_key")
             .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts")))
-    joined = documents.join(cuts.withColumnRenamed("doc_id", "_doc"), documents.doc_id == F.col("_doc"), "left").drop("_doc")
+    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_cuts")
+    joined = documents.join(cuts, (documents.doc_id == F.col("_doc")) & (F.xxhash64(documents.text) == F.col("_key")), "left").drop("_doc", "_key")
     schema = documents.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,14 +5,10 @@ Each query applies its operator with production parameters to the whole table an
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafgraph.llm import (byte_bpe, fingerprints, hard_negatives, host_reputation, packing, page_templates, paragraphs,
                            phrase_index, resampling, set_join, suffix_repeats, token_files, weak_labels)
@@ -122,7 +118,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The units of text that go because the component they belong to keeps another."""
     units = paragraphs.repeated_units(table(spark, folder, "documents"))
-    return units.filter("removed").select("doc_id", "unit", "start", "end", "words", "first_doc_id")
+    return units.filter("removed").select("doc_id", "text_key", "unit", "start", "end", "words", "first_doc_id")
 
 
 @query("op2_host_reputation", HOSTS_SQL)
@@ -156,12 +152,8 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = work_dir(spark, "tokens")
     token_files.write_token_files(table(spark, folder, "documents"), target, width=2)
 
-    @F.pandas_udf(T.LongType())
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda raw: zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
-
-    return token_files.read_token_files(spark, target, width=2).select(
-        "doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return token_files.read_token_files(spark, target, width=2, widen=True).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @query("op6_quality_model")

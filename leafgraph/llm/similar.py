@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgraph.session import materialize
+from leafgraph.session import discard, materialize
 
 BLOCK_ITEMS = 2048
 
@@ -50,23 +50,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.select("x", "y").filter("x <> y").distinct(), "edges")
     labels = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct().withColumn("component", F.col("id"))
+    labels = materialize(labels, "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("y", "x"))
         parent = materialize(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
                              .select("id", F.least("id", "m").alias("p")), "parents")
         moved = True
         while moved:  # every node of this round has a row, so the parent of a parent is found
-            up = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
-            parent = materialize(parent.join(up, "p").select(
+            up, before = parent.select(F.col("id").alias("p"), F.col("p").alias("q")), parent
+            parent = materialize(parent.select("id", "p").join(up, "p").select(
                 "id", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "parents")
+            discard(before)
             moved = not parent.filter("moved").isEmpty()
-            parent = parent.select("id", "p")
-        labels = labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select(
-            "id", F.coalesce("p", "component").alias("component"))
+        before = labels, edges, parent
+        labels = materialize(labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select(
+            "id", F.coalesce("p", "component").alias("component")), "labels")
         x, y = (parent.select(F.col("id").alias(k), F.col("p").alias(f"p{k}")) for k in "xy")
         edges = materialize(edges.join(x, "x").join(y, "y").filter("px <> py")
                             .select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).distinct(), "edges")
-    return materialize(labels, "labels")
+        discard(*before)
+    discard(edges)
+    return labels
 
 
 def may_match(pairs: DataFrame, items: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -104,7 +108,8 @@ def _hist(column: pa.Array) -> np.ndarray:
 def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share: tuple[int, int]) -> DataFrame:
     """(id, component) of the items that have a partner: components of the links that ``verify`` confirms.
 
-    ``verify`` takes pairs (x, y) of ids and returns those that are similar. ``items`` must be a written table.
+    ``verify`` takes pairs (x, y) of ids and returns those that are similar. ``items`` must be a written table. The result is
+    one, too; all tables in between are deleted.
     """
     classes = items.filter("size > 0").groupBy("a", "b", "size").agg(F.min("id").alias("class"), F.count("*").alias("n"))
     classes = materialize(items.filter("size > 0").select("id", "a", "b", "size").join(
@@ -127,11 +132,14 @@ def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share
     links = materialize(verify(stars), "links")
     labels = connected_components(links)
 
-    rest = _across(shared, labels, items, share).join(stars, ["x", "y"], "left_anti")
-    rest = materialize(rest, "rest")
+    rest = materialize(_across(shared, labels, items, share).join(stars, ["x", "y"], "left_anti"), "rest")
+    discard(shared, stars, labels)
     if not rest.isEmpty():
-        links = materialize(links.union(verify(rest)), "links")
-    return connected_components(links.union(same))
+        before, links = links, materialize(links.union(verify(rest)), "links")
+        discard(before)
+    found = connected_components(links.union(same))
+    discard(rest, links, classes)
+    return found
 
 
 def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple[int, int]) -> DataFrame:

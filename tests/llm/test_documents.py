@@ -390,6 +390,102 @@ def test_line_of_one_sentence_inside_a_paragraph(spark):
     assert sorted(gone) == [(2, line, 1), (4, other, 3)]
 
 
+def _near_lines(rows, least=13):
+    """Each line of that many words, as its words, and the different lines whose five-word shingles are 0.8 alike."""
+    lines = {}
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            w = _words(line)
+            if i is not None and len(w) >= least:
+                lines[" ".join(w)] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    by = collections.defaultdict(set)
+    for line, s in lines.items():
+        for x in s:
+            by[x].add(line)
+    near = collections.defaultdict(set)
+    for line, s in lines.items():
+        for other in set().union(*(by[x] for x in s)) - {line}:
+            t = lines[other]
+            if 100 * len(s & t) >= 80 * len(s | t):
+                near[line].add(other)
+    return near
+
+
+def test_paragraph_pairs_of_documents_are_found(spark, folder):
+    """Recall of the bands against all pairs of paragraphs: nine tenths of the near pairs, and all equal ones."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = paragraphs.repeated_units(docs).filter("unit >= 0 and unit % 2 = 0").collect()
+    text = dict(rows)
+    group = collections.defaultdict(set)
+    for r in units:
+        group[" ".join(_words(text[r.doc_id].encode()[r.start:r.end].decode()))].add(r.first_doc_id)
+    near = _near_lines(rows)
+    pairs = [(a, b) for a in near for b in near[a]]
+    assert pairs and sum(bool(group[a] & group[b]) for a, b in pairs) >= 0.9 * len(pairs)
+    count = collections.Counter(" ".join(_words(x)) for t in text.values() for x in t.split("\n") if len(x.split()) >= 13)
+    assert all(len(group[line]) == 1 for line, n in count.items() if n > 1)
+
+
+def test_nothing_vanishes_from_documents(spark, folder):
+    """What goes is held by a document that comes first, in what the steps before left of it: paragraphs by one that their near
+    pairs lead to, every 50 words of a run by some text, sentences by one that keeps them to the end."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text.encode() for r in docs.collect()}
+    units = paragraphs.repeated_units(docs).collect()
+    final = {r.doc_id: " ".join(_words(r.text)) for r in paragraphs.remove_repeats(docs).collect()}
+    bare = lambda r: " ".join(_words(text[r.doc_id][r.start:r.end].decode()))
+    lines = [r for r in units if r.unit >= 0 and r.unit % 2 == 0]
+    firsts = {(r.first_doc_id, bare(r)) for r in lines if not r.removed}
+    near, left = _near_lines([(i, t.decode()) for i, t in text.items()]), {}
+    for i, t in text.items():
+        cuts = sorted((r.start, r.end) for r in lines if r.removed and r.doc_id == i)
+        for start, end in reversed(cuts):
+            t = t[:start] + "\x01 \x02".encode() + t[end:]  # nothing can be matched over the gap
+        left[i] = " ".join(_words(t.decode()))
+    for r in units:
+        if not r.removed:
+            continue
+        assert r.first_doc_id <= r.doc_id
+        if r.unit < 0:
+            w = bare(r).split()
+            for k in range(len(w) - 49):
+                assert any(" ".join(w[k:k + 50]) in left[j] for j in left if j < r.doc_id)
+        elif r.unit % 2:
+            assert bare(r) in final[r.first_doc_id]
+        else:
+            reached, todo = {bare(r)}, [bare(r)]
+            while todo:
+                todo += [x for x in near.get(todo.pop(), ()) if x not in reached]
+                reached |= set(todo)
+            assert any((r.first_doc_id, x) in firsts for x in reached)
+    assert {r.unit < 0 for r in units if r.removed} == {True, False}
+
+
+def test_a_copy_goes_only_for_one_that_stays(spark):
+    rng = random.Random(71)
+    base, fresh, run = _sentence(rng, 140), _sentence(rng, 20), _bare(rng, 60)
+    short = _sentence(rng, 20)
+    rows = [(2, base), (5, base + " " + fresh), (7, _sentence(rng, 40) + " " + fresh + " " + _sentence(rng, 40)),
+            (12, _sentence(rng, 400)), (15, _sentence(rng, 9)), (20, short), (21, "x\n" + short), (22, short + "\n" + _sentence(rng, 30))]
+    rows += [(13, rows[3][1][:-1] + " " + run + "."), (17, _bare(rng, 20) + " " + run + " " + _bare(rng, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: " ".join(_words(r.text)) for r in paragraphs.remove_repeats(docs).collect()}
+    for passage in (base, fresh, run, short):
+        assert any(" ".join(_words(passage)).rstrip(".") in t for t in left.values())
+    assert 5 not in left and 13 not in left  # near copies
+    assert " ".join(_words(fresh)) in left[7] and run in left[17]
+    assert 20 in left and left[21] == "x" and " ".join(_words(short)) not in left[22]  # short paragraphs go as well
+
+
+def test_texts_that_share_an_id_are_cut_apart(spark):
+    rng = random.Random(72)
+    one, other = "\n".join(_sentence(rng, 30) for _ in range(6)), "日本語のテキスト。" * 40 + " " + _sentence(rng, 20)
+    rows = [(1, one), (3, "lead\n" + one + "\ntail"), (3, other), (3, other)]
+    got = sorted((r.doc_id, r.text) for r in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, one), (3, "lead\n" + "\n" * 5 + "\ntail"), (3, other), (3, other)])
+
+
 def test_banding_recall():
     """The bands find pairs of similarity 0.8 with the promised probability."""
     rng = np.random.default_rng(0)
