@@ -10,38 +10,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgraph.llm import byte_bpe, paragraphs, phrase_index, set_join, weak_labels
-from leafgraph.session import materialize
+from leafgraph.session import discard, materialize
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of its own for every row; the same in every scan of the written table."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier keeps."""
+    """Documents that the weakly supervised classifier keeps.
+
+    Rows are judged one by one by their text; a null text is judged as an empty one.
+    """
     return weak_labels.judge_quality(docs).filter("keep").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id.
 
-    Documents without an id, words or partners stay.
+    Rows are told apart by their place, not by ``doc_id``: of a row that stands twice one stays, and texts that share an id are
+    judged each by itself. A null id comes last; rows without words have no partners and stay, in an empty table as well.
     """
-    groups = set_join.join_similar(docs, n=5, share=(80, 100))
-    gone = materialize(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    groups = set_join.join_similar(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, share=(80, 100)).filter("n_shingles > 0")
+    own = groups.select(F.col("doc_id").alias("_row"), "component_id").join(
+        rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("order")), "_row")
+    own = materialize(own, "grouped")
+    first = own.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = materialize(own.join(first, "component_id").filter("order <> first").select("_row"), "gone")
+    discard(own)
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document holds; those with nothing left go."""
+    """Documents without the passages that an earlier document holds; those with nothing left go.
+
+    Rows without an id are neither cut nor looked up; null and empty texts stay; rows that stand twice are cut alike.
+    """
     return paragraphs.remove_repeats(docs).select(docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten consecutive words of a benchmark item."""
-    found = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = materialize(found.filter("contaminated").select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no ten consecutive words of a benchmark item.
+
+    Rows are told apart by their place; null and empty texts hold nothing; without items all stay.
+    """
+    rows = _numbered(docs)
+    found = phrase_index.contamination(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = materialize(found.filter("contaminated").select(F.col("doc_id").alias("_row")), "leaks")
+    return rows.join(leaks, "_row", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian 32-bit) and the digest of what they decode to."""
+    """doc_id, n_tokens, ids (binary, little-endian 32-bit) and the digest of what they decode to, for every row as it stands."""
     return byte_bpe.encode_documents(docs).select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,5 +1,6 @@
 """The pipeline against its stages by brute force, and the registered queries."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -7,7 +8,11 @@ from pyspark.sql import functions as F
 
 from leafgraph.llm.queries import QUERIES
 from leafgraph.session import materialize
-from tests.llm.test_documents import LOWER, _components, _hits
+from tests.llm.test_documents import _components, _hits, _sentence, _words
+
+
+def _bare(text):
+    return " ".join(_words(text))
 
 
 def test_stages(spark, folder):
@@ -30,9 +35,10 @@ def test_stages(spark, folder):
         if name == "repeated_passages":
             seen: set[str] = set()
             for i in sorted(left):
-                for line in {x for x in left[i].text.split("\n") if len(x.split()) >= 25}:
-                    assert line.translate(LOWER) not in seen
-                seen |= {x.translate(LOWER) for x in left[i].text.split("\n")}
+                for line in {x for x in left[i].text.split("\n") if len(x.split()) >= 13}:
+                    assert _bare(line) not in seen
+                seen |= {_bare(x) for x in left[i].text.split("\n")}
+            for i in left:
                 assert left[i].n_chars == len(left[i].text)
         if name == "benchmark_leaks":
             assert set(left) == {h[0] for h in _hits(list(rows.items()), items) if not h[5]}
@@ -41,12 +47,30 @@ def test_stages(spark, folder):
         before = after
 
 
-def test_odd_rows_pass(spark):
-    rows = [(1, None), (2, ""), (None, None), (None, "text " * 30), (3, "fine words in a row, as they are. " * 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
-    for name, stage in corpus_pipeline.STAGES[1:3]:
-        docs = materialize(stage(spark, docs, ""), name)
-    assert docs.count() >= 4 and docs.columns == ["doc_id", "text", "lang"]
+def test_odd_rows_pass(spark, tmp_path):
+    """Nulls, ids that several texts share, repeated rows, clashing columns and empty tables in every stage."""
+    rng = random.Random(12)
+    near = _sentence(rng, 60)
+    good = [_sentence(rng, 40) + "\n" + _sentence(rng, 30) for _ in range(6)]
+    rows = [(1, None), (2, ""), (None, None), (None, good[0]), (3, good[1]), (3, good[2]), (4, good[3]), (4, good[3]),
+            (5, near), (6, near + " more"), (6, good[4]), (None, good[0])]
+    spark.createDataFrame([(1, " ".join(good[2].split()[3:20]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumns(
+        {c: F.lit(7) for c in ("_row", "id", "order", "first", "unit", "text_key", "n", "key") if c != "_row"})
+    empty = docs.filter("false")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs, empty = (materialize(stage(spark, x, str(tmp_path)), name) for x in (docs, empty))
+        assert empty.collect() == []
+        if name != "byte_bpe":
+            assert docs.columns == before.columns
+        left = [tuple(r)[:2] for r in docs.collect()]
+        if name == "near_duplicates":
+            assert sorted((r for r in left if r[1]), key=repr) == sorted(
+                [(3, good[1]), (3, good[2]), (4, good[3]), (5, near), (6, good[4]), (None, good[0])], key=repr)
+        if name == "benchmark_leaks":
+            assert (3, good[2]) not in left and (3, good[1]) in left
+    assert {3, 4, 5, 6, None} <= {r[0] for r in left}
 
 
 def test_every_operator_has_a_query():
