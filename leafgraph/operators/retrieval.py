@@ -1,123 +1,46 @@
-"""Nearest-neighbour search for batches of questions.
+"""Nearest-neighbour search for batches of questions, and what is built on it.
 
-``questions`` has one row per question, ``vectors`` one row per document. Exact search compares every question with
-every vector, which is the cost of an exact answer; what is avoided is any pair leaving the task that computed it:
-each task keeps the k best rows per question and only those are shuffled.
+``questions`` has one row per question, ``vectors`` one row per document. Exact search is one path for any number of both
+(:mod:`leafgraph.operators.nearest`): it compares blocks of questions with blocks of vectors where those lie, and only the k
+best rows per question leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph.functions import vectors as V
+from leafgraph.functions.prompts import context_string
 from leafgraph.functions.text import strip
-from leafgraph.session import spread
-
-# Largest question set that is sent to every task: with 1024 dimensions 4096 questions are 32 MB.
-MAX_SHARED_QUESTIONS = 4096
-# Rows of one vector block when both sides have to be shuffled.
-BLOCK_ROWS = 20_000
-# Distances are compared and reported to this many digits, so that the order does not depend on how rows were blocked.
-DIGITS = 9
-_HITS = "list int, question_id long, doc_id long, distance double"
-
-
-def _distances(questions: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
-    """Matrix of distances, infinite where undefined (an all-zero vector under cosine)."""
-    products = questions @ block.T
-    if metric == "inner":
-        out = -products
-    elif metric == "l2":
-        square = (questions ** 2).sum(1)[:, None] + (block ** 2).sum(1)[None, :] - 2 * products
-        out = np.sqrt(np.maximum(square, 0.0))
-    else:
-        norms = np.linalg.norm(questions, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(norms > 0, 1.0 - products / norms, np.inf)
-    return np.round(out, DIGITS)
-
-
-class _Best:
-    """The k nearest rows per question over the blocks of one task; ties go to the lower id."""
-
-    def __init__(self, ks: np.ndarray):
-        self.ks = ks
-        self.dist = [np.empty(0)] * len(ks)
-        self.ids = [np.empty(0, np.int64)] * len(ks)
-
-    def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
-        for q, k in enumerate(self.ks):
-            d, i = dist[q], ids
-            if len(self.dist[q]) >= k:
-                near = d <= self.dist[q][-1]
-                d, i = d[near], i[near]
-            elif len(d) > k:
-                near = d <= np.partition(d, k - 1)[k - 1]
-                d, i = d[near], i[near]
-            if len(d):
-                d, i = np.concatenate([self.dist[q], d]), np.concatenate([self.ids[q], i])
-                order = np.lexsort((i, d))[:k]
-                self.dist[q], self.ids[q] = d[order], i[order]
-
-    def batch(self, list_no: int, question_ids: Sequence[int]) -> pa.RecordBatch:
-        dist = np.concatenate(self.dist) if len(self.dist) else np.empty(0)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(dist), list_no, np.int32)),
-            pa.array(np.repeat(np.asarray(question_ids, np.int64), [len(i) for i in self.ids])),
-            pa.array(np.concatenate(self.ids) if len(self.ids) else np.empty(0, np.int64)),
-            pa.array(dist, mask=~np.isfinite(dist), type=pa.float64()),
-        ], names=["list", "question_id", "doc_id", "distance"])
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
-def _update(best: list[_Best], lists: Sequence[Sequence[int]], questions: pa.Table | list, block, metric: str) -> None:
-    """Add a block of vectors to the hits of every list; a list adds up the distances of its vector pairs."""
-    ids = block.column("doc_id").to_numpy()
-    used = sorted({n for pairs in lists for n in pairs})
-    dist = {n: _distances(questions[n], _matrix(block.column(f"_v{n}")), metric) for n in used}
-    for hits, pairs in zip(best, lists):
-        hits.add(np.round(sum(dist[n] for n in pairs), DIGITS), ids)
+from leafgraph.operators.nearest import DIGITS, search_blocks
+from leafgraph.session import materialize
 
 
 def nearest_lists(questions: DataFrame, vectors: DataFrame, lists: Sequence[Sequence[tuple[str, str]]],
                   k: int | Column = 5, metric: str = "cosine", question_id: str = "question_id",
-                  doc_id: str = "doc_id") -> DataFrame:
-    """Several searches in one scan of the vectors: ``(list, question_id, rank, doc_id, distance)``.
+                  doc_id: str = "doc_id", on: Sequence[tuple[str, str]] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """Several searches in one scan of the vectors: ``(list, question_id, *keep, rank, doc_id, distance)``.
 
     Each list names pairs of a question vector and a document vector whose distances are added. ``k`` may be a column
-    of ``questions``. A question set of up to ``MAX_SHARED_QUESTIONS`` rows is shared with all tasks and the vectors
-    are scanned where they lie; a larger one is cut into blocks that meet blocks of vectors.
+    of ``questions``. ``on`` pairs a question column with a document column that must be equal; null on the question's side
+    asks for nothing. A question is told by its id and the columns in ``keep``.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(V.METRICS)}")
     pairs = list(dict.fromkeys(tuple(p) for one in lists for p in one))
     places = [[pairs.index(tuple(p)) for p in one] for one in lists]
-    k_col = F.lit(k) if isinstance(k, int) else k
-    qs = questions.select(F.col(question_id).cast("long").alias("question_id"), k_col.cast("int").alias("_k"), *[
-        V.as_double(F.col(q)).alias(f"_q{n}") for n, (q, _) in enumerate(pairs)])
-    vs = vectors.select(F.col(doc_id).cast("long").alias("doc_id"), *[
-        F.col(v).alias(f"_v{n}") for n, (_, v) in enumerate(pairs)])
-    vs = vs.dropna(subset=[f"_v{n}" for n in range(len(pairs))])
-    shared = qs.limit(MAX_SHARED_QUESTIONS + 1).toArrow()  # bounded by the limit, whatever the size of ``questions``
-    if shared.num_rows <= MAX_SHARED_QUESTIONS:
-        found = _scan(shared, vs, metric, places)
-    else:
-        found = _blocks(qs, vs, metric, places)
-    order = Window.partitionBy("list", "question_id").orderBy(F.asc_nulls_last("distance"), "doc_id")
+    limit = F.lit(k) if isinstance(k, int) else k
+    asked = questions.withColumns({"question_id": F.col(question_id).cast("long"), "_limit": limit.cast("int")})
+    keys = ["question_id", *[c for c in keep if c != "question_id"]]
+    found = search_blocks(asked, vectors, pairs, places, F.col("_limit"), metric, [*keys, "_limit"], doc_id, on)
+    order = Window.partitionBy("list", *keys).orderBy(F.asc_nulls_last("distance"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order))
-    columns = ("list", "question_id", "rank", "doc_id", "distance")
-    if isinstance(k, int):
-        return ranked.where(F.col("rank") <= k).select(*columns)
-    return ranked.join(qs.select("question_id", "_k"), "question_id").where(F.col("rank") <= F.col("_k")).select(*columns)
+    # a constant lets Spark keep that many rows per question in each task
+    return ranked.where(F.col("rank") <= (F.lit(k) if isinstance(k, int) else F.col("_limit"))).select(
+        "list", *keys, "rank", "doc_id", "distance")
 
 
 def nearest(questions: DataFrame, vectors: DataFrame, k: int | Column = 5, metric: str = "cosine",
@@ -127,72 +50,11 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int | Column = 5, metri
     return nearest_lists(questions, vectors, [pairs], k, metric, question_id, doc_id).drop("list")
 
 
-def _question_mats(table: pa.Table) -> list[np.ndarray]:
-    table = table.combine_chunks()
-    names = [c for c in table.column_names if c.startswith("_q") and c[2:].isdigit()]
-    return [_matrix(table.column(c).chunk(0)) for c in sorted(names, key=lambda c: int(c[2:]))]
-
-
-def _scan(shared: pa.Table, vectors: DataFrame, metric: str, lists: list[list[int]]) -> DataFrame:
-    ids, ks = shared.column("question_id").to_numpy(), shared.column("_k").to_numpy()
-    hold = vectors.sparkSession.sparkContext.broadcast((ids, ks, _question_mats(shared) if len(ids) else []))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ks, mats = hold.value
-        best = [_Best(ks) for _ in lists]
-        for batch in batches:
-            if len(ids) and batch.num_rows:
-                _update(best, lists, mats, batch, metric)
-        for n, hits in enumerate(best):
-            yield hits.batch(n, ids)
-
-    return spread(vectors, "doc_id").mapInArrow(run, _HITS)
-
-
-def _blocks(questions: DataFrame, vectors: DataFrame, metric: str, lists: list[list[int]]) -> DataFrame:
-    """Blocks of questions meet blocks of vectors: a grid of tasks of bounded size, each keeping its k best."""
-    n_v = vectors.count() // BLOCK_ROWS + 1
-    n_q = questions.count() // MAX_SHARED_QUESTIONS + 1
-    all_v = F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))
-    all_q = F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))
-    qs = questions.withColumns({"_qb": F.pmod(F.xxhash64("question_id"), F.lit(n_q)), "_vb": F.explode(all_v)})
-    vs = vectors.withColumns({"_vb": F.pmod(F.xxhash64("doc_id"), F.lit(n_v)), "_qb": F.explode(all_q)})
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("question_id").to_numpy()
-        best = [_Best(left.column("_k").to_numpy()) for _ in lists]
-        if left.num_rows and right.num_rows:
-            _update(best, lists, _question_mats(left), right.combine_chunks().to_batches()[0], metric)
-        return pa.Table.from_batches([hits.batch(n, ids) for n, hits in enumerate(best)])
-
-    return qs.groupBy("_qb", "_vb").cogroup(vs.groupBy("_qb", "_vb")).applyInArrow(run, _HITS)
-
-
 def nearest_filtered(questions: DataFrame, vectors: DataFrame, on: Sequence[tuple[str, str]], k: int | Column = 5,
                      metric: str = "cosine", pair: tuple[str, str] = ("vector", "embedding"),
-                     question_id: str = "question_id", doc_id: str = "doc_id",
-                     keep: Sequence[str] = (), residual: Column | None = None) -> DataFrame:
-    """The k nearest documents among those whose metadata equal the question's.
-
-    The filter is the join key, so distances exist only for rows that pass it. ``row_number() <= k`` lets Spark keep k
-    rows per question in each task before the shuffle. ``residual`` may refer to columns of both sides.
-    """
-    qs = questions.select(
-        F.col(question_id).alias("question_id"), (F.lit(k) if isinstance(k, int) else k).alias("_k"),
-        V.as_double(F.col(pair[0])).alias("_q"), *[F.col(q).alias(f"_on{n}") for n, (q, _) in enumerate(on)],
-        *[F.col(c) for c in keep])
-    vs = vectors.withColumn("_v", V.as_double(F.col(pair[1]))).withColumns(
-        {f"_on{n}": F.col(v) for n, (_, v) in enumerate(on)})
-    joined = vs.join(qs, [f"_on{n}" for n in range(len(on))])
-    if residual is not None:
-        joined = joined.where(residual)
-    group = ["question_id", *keep]
-    order = Window.partitionBy(*group).orderBy(F.asc_nulls_last("distance"), "doc_id")
-    scored = joined.select(*group, "_k", F.col(doc_id).alias("doc_id"),
-                           F.round(V.distance(F.col("_q"), F.col("_v"), metric), DIGITS).alias("distance"))
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    limit = F.col("rank") <= (F.lit(k) if isinstance(k, int) else F.col("_k"))
-    return ranked.where(limit).select(*group, "rank", "doc_id", "distance")
+                     question_id: str = "question_id", doc_id: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """The k nearest documents among those whose metadata equal the question's, where it asks for any."""
+    return nearest_lists(questions, vectors, [[pair]], k, metric, question_id, doc_id, on, keep).drop("list")
 
 
 def above_threshold(hits: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
@@ -274,35 +136,69 @@ def backoff_levels(questions: DataFrame) -> DataFrame:
     return questions.select(*rest, F.inline(F.array(*levels))).where("runs").drop("runs")
 
 
-def backoff_search(questions: DataFrame, docs: DataFrame, k: int = 5, threshold: float = 0.0, min_chars: int = 100,
-                   metric: str = "cosine", answered=None, vector: str = "vector", embedding: str = "embedding"
-                   ) -> tuple[DataFrame, DataFrame]:
-    """All levels in one plan; per question the first level that answers is kept.
-
-    ``docs`` brings ``doc_id, text, faculty, program, specialization`` and the vector. ``answered`` takes the hits and
-    adds a boolean ``answered``: whether the answer from the hits of this level is usable; by default any hit is.
-    Returns the kept hits (with ``level`` and ``removed_keys``) and the removed ones: hits of earlier levels that are
-    not among the kept. Both are filters over one flagged plan.
+def level_texts(levels: DataFrame) -> DataFrame:
+    """Add ``query``: what a level searches for. Profile fields that filter stay out of the text.
+
+    An unset program, faculty or specialization filters for unset, so of the profile only a named specialization and the year
+    are in the text, with topic and question.
+    """
+    extra = [F.col(c) if c in levels.columns else F.lit("") for c in ("topic", "question")]
+    return levels.withColumn("query", context_string(F.col("specialization"), F.col("year"), *extra))
+
+
+def search_levels(levels: DataFrame, docs: DataFrame, k: int | Column = 5, threshold: float = 0.0, min_chars: int = 100,
+                  metric: str = "cosine", vector: str = "vector", embedding: str = "embedding") -> DataFrame:
+    """Hits of every question and level whose metadata fit, that are relevant and long enough.
+
+    Program and faculty have to be equal; documents of a specialization are left out where the question names none.
     """
-    levels = backoff_levels(questions)
-    filled = docs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("faculty", "program", "specialization")})
-    filled = filled.withColumnsRenamed({"specialization": "_doc_spec"})
-    hits = nearest_filtered(
-        levels.withColumnRenamed("specialization", "_spec"), filled, on=(("program", "program"), ("faculty", "faculty")),
-        k=k, metric=metric, pair=(vector, embedding), keep=("level", "removed_keys", "_spec"),
-        residual=(F.col("_spec") != "") | (F.col("_doc_spec") == "")).drop("_spec")
+    names = ("faculty", "program", "specialization")
+    asked = levels.withColumn("_spec", F.when(F.col("specialization") == "", ""))
+    filled = docs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in names})
+    hits = nearest_filtered(asked, filled, on=(("program", "program"), ("faculty", "faculty"), ("_spec", "specialization")),
+                            k=k, metric=metric, pair=(vector, embedding), keep=("level", "removed_keys"))
     hits = above_threshold(hits, threshold, metric).join(docs.select("doc_id", "text"), "doc_id")
-    hits = long_enough(hits, min_chars)
-    hits = hits.withColumn("answered", F.lit(True)) if answered is None else answered(hits)
-    # a question has at most k hits on each of three levels
+    return long_enough(hits, min_chars)
+
+
+def backoff_search(questions: DataFrame, docs: DataFrame, k: int = 5, threshold: float = 0.0, min_chars: int = 100,
+                   metric: str = "cosine", answered: Callable[[DataFrame], DataFrame] | None = None,
+                   embed: Callable[[DataFrame], DataFrame] | None = None, vector: str = "vector", embedding: str = "embedding",
+                   stages: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Search with the whole profile first, then with less of it; per question the first level that answers is kept.
+
+    A stage evaluates one level, for the questions that no earlier one answered: ``embed`` adds the vector of the level's
+    ``query`` (by default the question keeps its vector), the search filters by what is left of the profile, and ``answered``
+    adds a boolean ``answered`` to the hits, whether the answer that they give is usable (by default any hit is). So models
+    see only what is still open. Stages are written, so each runs once.
+
+    ``docs`` brings ``doc_id, text, faculty, program, specialization`` and the vector. Returns the kept hits (with ``level``
+    and ``removed_keys``) and the removed ones: hits of earlier levels that are not among the kept. ``stages``, if given,
+    receives what each stage was asked: ``question_id, level, query, n_hits, answered``.
+    """
+    levels = materialize(level_texts(backoff_levels(questions)), "levels")
+    found, closed = None, None
+    for level in range(len(BACKOFF) + 1):
+        frontier = levels.where(F.col("level") == level)
+        if closed is not None:
+            frontier = frontier.join(closed, "question_id", "left_anti")
+        frontier = materialize(frontier if embed is None else embed(frontier), f"level-{level}")
+        hits = search_levels(frontier, docs, k, threshold, min_chars, metric, vector, embedding)
+        hits = materialize(hits.withColumn("answered", F.lit(True)) if answered is None else answered(hits), "level-hits")
+        done = hits.where("answered").select("question_id").distinct()
+        closed = done if closed is None else closed.union(done)
+        found = hits if found is None else found.unionByName(hits)
+        if stages is not None:
+            counts = hits.groupBy("question_id").agg(F.count("*").alias("n_hits"), F.max("answered").alias("answered"))
+            stages.append(frontier.select("question_id", "level", "query").join(counts, "question_id", "left").fillna(
+                {"n_hits": 0, "answered": False}))
+    # a question has at most k hits on each level
     chosen = F.min(F.when(F.col("answered"), F.col("level"))).over(Window.partitionBy("question_id"))
-    flagged = hits.withColumn("_chosen", chosen).withColumn(
+    flagged = found.withColumn("_chosen", chosen).withColumn(
         "_kept", F.coalesce(F.col("level") == F.col("_chosen"), F.lit(False)))
     flagged = flagged.withColumn("_again", F.max("_kept").over(Window.partitionBy("question_id", "doc_id")))
-    kept = flagged.where("_kept")
-    removed = flagged.where(~F.col("_again") & F.coalesce(F.col("level") < F.col("_chosen"), F.lit(True)))
     extra = ("_chosen", "_kept", "_again", "answered")
-    return kept.drop(*extra), removed.drop(*extra)
+    return flagged.where("_kept").drop(*extra), flagged.where("NOT _kept AND NOT _again").drop(*extra)
 
 
 def exclude_kept(removed: DataFrame, kept: DataFrame) -> DataFrame:
@@ -319,50 +215,6 @@ def start_docs(questions: DataFrame, docs: DataFrame, searched: DataFrame) -> Da
     return direct.unionByName(search)
 
 
-class IvfIndex:
-    """Inverted lists: vectors are stored by nearest centroid and a query reads the nearest few lists."""
-
-    def __init__(self, centroids: DataFrame, assigned: DataFrame, lists: int):
-        self.centroids, self.assigned, self.lists = centroids, assigned, lists
-
-    @staticmethod
-    def build(vectors: DataFrame, lists: int | None = None, doc_id: str = "doc_id", embedding: str = "embedding",
-              seed: int = 7, max_iter: int = 10) -> IvfIndex:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
-        spark = vectors.sparkSession
-        if lists is None:
-            lists = vectors.agg(V.ivf_lists(F.count("*").cast("long")).alias("n")).first()["n"]
-        rows = vectors.withColumn("_f", array_to_vector(V.as_double(F.col(embedding))))
-        model = KMeans(k=int(lists), seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="list_id").fit(rows)
-        centers = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
-        return IvfIndex(spark.createDataFrame(centers, "list_id long, centroid array<double>"),
-                        model.transform(rows).withColumn("list_id", F.col("list_id").cast("long")).drop("_f"),
-                        int(lists))
-
-    def write(self, path: str) -> None:
-        """Vectors partitioned by list, so that a probe of a few lists prunes the rest.
-
-        Rows are gathered by list first, or every task would write a file per list; the rebalance hint lets adaptive
-        execution split lists that hold much of the table.
-        """
-        self.assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
-        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
-
-    @staticmethod
-    def read(spark, path: str) -> IvfIndex:
-        centroids = spark.read.parquet(f"{path}/centroids")
-        return IvfIndex(centroids, spark.read.parquet(f"{path}/lists"), centroids.count())
-
-    def search(self, questions: DataFrame, k: int = 5, probes: int = 3, metric: str = "cosine",
-               doc_id: str = "doc_id", embedding: str = "embedding", vector: str = "vector") -> DataFrame:
-        near = nearest(questions, self.centroids, probes, "l2", pairs=((vector, "centroid"),), doc_id="list_id")
-        probing = questions.join(near.select("question_id", F.col("doc_id").alias("list_id")), "question_id")
-        return nearest_filtered(probing, self.assigned, on=(("list_id", "list_id"),), k=k, metric=metric,
-                                pair=(vector, embedding), doc_id=doc_id)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found, per question."""
     hit = found.select("question_id", "doc_id", F.lit(1).alias("_hit"))

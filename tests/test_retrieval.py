@@ -8,7 +8,9 @@ from leafgraph.functions import models as M
 from leafgraph.functions import text as X
 from leafgraph.functions import vectors as V
 from leafgraph.operators import context as K
+from leafgraph.operators import nearest as N
 from leafgraph.operators import retrieval as R
+from leafgraph.operators.ivf import IvfIndex
 
 
 @pytest.fixture(scope="module")
@@ -53,11 +55,36 @@ def test_partitioning_does_not_matter(data, parts):
     assert got(R.nearest(questions, docs.repartition(parts, F.col("doc_id") * 7), 7)) == brute(vecs, qs, 7, "cosine")
 
 
-def test_question_set_too_large_to_share(data, monkeypatch):
+def test_many_blocks_of_both_sides(data, monkeypatch):
     vecs, qs, docs, questions = data
-    monkeypatch.setattr(R, "MAX_SHARED_QUESTIONS", 4)
-    monkeypatch.setattr(R, "BLOCK_ROWS", 50)
-    assert got(R.nearest(questions, docs, 7)) == brute(vecs, qs, 7, "cosine")
+    monkeypatch.setattr(N, "QUESTION_BYTES", 8 * 16 * 4)
+    monkeypatch.setattr(N, "BLOCK_BYTES", 4 * 16 * 50)
+    monkeypatch.setattr(N, "GROUP_ROWS", 8)
+    for metric in V.METRICS:
+        assert got(R.nearest(questions, docs, 7, metric)) == brute(vecs, qs, 7, metric)
+
+
+def test_vectors_are_not_shuffled(data):
+    _, _, docs, questions = data
+    found = N.search_blocks(questions, docs, [("vector", "embedding")], [[0]], F.lit(3), "cosine", ["question_id"], "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_groups_that_hold_no_hits_are_skipped():
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(20, 8)) * 50
+    vecs = np.concatenate([m + rng.normal(size=(100, 8)) for m in middles])
+    qs = middles[:3] + 0.1
+    for metric in ("l2", "cosine", "inner"):
+        block = N._Block({"keys": None, "ks": np.full(3, 5).tobytes(), "q0": qs.tobytes(), "wanted": b"", "wants": b""}, [[0]], 1, 0, metric)
+        nothing = np.zeros((100, 0), np.int64)
+        order = range(20)
+        for g in order:
+            block.add(np.arange(g * 100, g * 100 + 100), [vecs[g * 100:g * 100 + 100]], nothing, nothing.astype(bool))
+        q, d, i = block.best[0]
+        assert [(int(a), int(b)) for a, b in zip(q, i)] == [(a, c) for a, _, c in brute(vecs, qs, 5, metric)]
+        assert block.compared < (0.3 if metric == "l2" else 0.9) * 3 * len(vecs)
 
 
 def test_zero_vectors_sort_last(data):
@@ -74,22 +101,65 @@ def test_filtered_search(data):
     assert got(found) == want
 
 
-def test_filtered_search_keeps_k_rows_before_the_shuffle(data):
+def test_filters_without_a_value_ask_for_nothing(data):
+    vecs, qs, docs, questions = data
+    some = questions.withColumn("want", F.when(F.col("question_id") % 2 == 0, 1))
+    found = R.nearest_filtered(some, docs, on=(("want", "label"),), k=4)
+    keep = np.arange(0, 300, 3)
+    want = [(q, r, int(keep[i])) for q, r, i in brute(vecs[keep], qs, 4, "cosine") if q % 2 == 0]
+    assert got(found) == sorted(want + [x for x in brute(vecs, qs, 4, "cosine") if x[0] % 2])
+
+
+def test_own_k_and_several_lists(data):
+    vecs, qs, docs, questions = data
+    both = docs.withColumn("other", F.reverse("embedding"))
+    lists = [[("vector", "embedding")], [("vector", "other")], [("vector", "embedding"), ("vector", "other")]]
+    found = R.nearest_lists(questions.withColumn("k", F.col("question_id") + 1), both, lists, F.col("k"), "l2").collect()
+    dist = [np.linalg.norm(vecs[None] - qs[:, None], axis=2), np.linalg.norm(vecs[None, :, ::-1] - qs[:, None], axis=2)]
+    for n, d in enumerate([*dist, dist[0] + dist[1]]):
+        want = [(q, r + 1, int(i)) for q in range(len(qs)) for r, i in enumerate(np.lexsort((np.arange(300), np.round(d[q], 9)))[:q + 1])]
+        assert sorted((r["question_id"], r["rank"], r["doc_id"]) for r in found if r["list"] == n) == want
+
+
+def test_nothing_to_search(data):
     _, _, docs, questions = data
-    plan = R.nearest_filtered(questions.withColumn("want", (F.col("question_id") >= 0).cast("int")), docs, on=(("want", "label"),), k=4
-                              )._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert R.nearest(questions.where("false"), docs, 3).collect() == []
+    assert R.nearest(questions, docs.where("false"), 3).collect() == []
+    empty = docs.withColumn("embedding", F.when(F.col("doc_id") < 2, F.col("embedding")))
+    assert {r["doc_id"] for r in R.nearest(questions, empty, 3).collect()} == {0, 1}
 
 
-def test_ivf_with_all_lists_is_exact(data, tmp_path, spark):
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_index_with_all_lists_is_exact(data, spark, tmp_path, metric):
     _, _, docs, questions = data
-    index = R.IvfIndex.build(docs.where("doc_id <> 11"), lists=5)
-    index.write(str(tmp_path / "ivf"))
-    index = R.IvfIndex.read(spark, str(tmp_path / "ivf"))
-    exact = R.nearest(questions, docs.where("doc_id <> 11"), 5)
-    assert got(index.search(questions, 5, probes=5)) == got(exact)
-    some = R.recall(index.search(questions, 5, probes=2), exact).agg(F.avg("recall")).first()[0]
-    assert 0.4 <= some <= 1.0
+    some = docs.where("doc_id <> 11")
+    IvfIndex.build(some, str(tmp_path / "ivf"), lists=6, metric=metric)
+    index = IvfIndex.read(spark, str(tmp_path / "ivf"), metric)
+    n = index.table("centroids").count()
+    assert 4 <= n <= 9 and index.table("lists").count() == 299
+    exact = R.nearest(questions, some, 5, metric)
+    assert got(index.search(questions, 5, probes=n, candidates=299)) == got(exact)
+    probes = index.tune(questions, exact, 0.9)
+    found = index.search(questions, 5, probes, with_lists=True)
+    assert R.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.85
+    assert found.join(index.probes(questions, probes), ["question_id", "list_id"], "left_anti").count() == 0
+
+
+def test_levels_search_with_their_own_texts(spark):
+    """Only open questions reach the models, with the text of the level."""
+    docs = spark.createDataFrame(
+        [(1, "long enough " * 10, "F", "P", "", [1.0, 0.0]), (2, "long enough " * 10, "", "", "", [0.0, 1.0])],
+        "doc_id long, text string, faculty string, program string, specialization string, embedding array<double>")
+    qs = spark.createDataFrame([(1, "F", "P", "S", "first", "T", "q"), (2, "F", "P", "", "", "", "q"), (3, "X", "", "", "", "", "q")],
+                               "question_id long, faculty string, program string, specialization string, year string, topic string, question string")
+    stages = []
+    embed = lambda levels: levels.withColumn("vector", F.when(F.contains("query", F.lit("first")), F.array(F.lit(-1.0), F.lit(0.0)))
+                                             .otherwise(F.array(F.lit(1.0), F.lit(1.0))))
+    kept, removed = R.backoff_search(qs, docs, k=3, threshold=0.1, embed=embed, stages=stages)
+    asked = [sorted((r["question_id"], r["query"], r["answered"]) for r in stage.collect()) for stage in stages]
+    assert asked == [[(1, "S : first : T : q", False), (2, "q", True), (3, "q", False)], [(1, "T : q", True)], [(3, "q", True)]]
+    assert sorted((r["question_id"], r["level"], r["doc_id"]) for r in kept.collect()) == [(1, 1, 1), (2, 0, 1), (3, 2, 2)]
+    assert removed.collect() == []
 
 
 def test_combined_query_vectors(spark):
