@@ -54,6 +54,7 @@ class Units:
     def __init__(self, offsets: np.ndarray, data: np.ndarray):
         starts, ends, rows = word_spans(data, offsets, BLANKS)
         self.words = span_hashes(data, starts, ends)
+        self.first_word = np.searchsorted(rows, np.arange(len(offsets) - 1))
         lines = np.cumsum(data == 10)[starts] if len(starts) else starts
         new_line = np.ones(len(starts), bool)
         new_line[1:] = (lines[1:] != lines[:-1]) | (rows[1:] != rows[:-1])
@@ -73,7 +74,7 @@ class Units:
         row = rows[first]
         begins = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
         number = np.arange(len(first)) - np.maximum.accumulate(np.where(begins, np.arange(len(first)), 0))
-        return {"first": first, "words": last - first + 1, "row": row, "number": number,
+        return {"first": first, "words": last - first + 1, "row": row, "number": number, "low": first - self.first_word[row],
                 "start": starts[first] - offsets[row], "end": ends[last] - offsets[row]}
 
     def long_shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,11 +173,11 @@ def long_paragraphs(documents: DataFrame) -> DataFrame:
                     [_ids(batch, some["row"] + first, some["number"] * 2), pa.array(np.bincount(owner, minlength=len(which))),
                      pa.array(a), pa.array(b), pa.array([h.tobytes() for h in hist], pa.binary()),
                      pa.ListArray.from_arrays(ends, sigs[fresh].reshape(-1).view(np.int64)),
-                     *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "words"))],
-                    ["id", "size", "a", "b", "hist", "sigs", "start", "end", "words"])
+                     *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "low", "words"))],
+                    ["id", "size", "a", "b", "hist", "sigs", "start", "end", "low", "words"])
 
     return _documents(documents).mapInArrow(
-        units, f"id {_ID}, size long, a long, b long, hist binary, sigs array<long>, start int, end int, words int")
+        units, f"id {_ID}, size long, a long, b long, hist binary, sigs array<long>, start int, end int, low int, words int")
 
 
 def short_units(documents: DataFrame) -> DataFrame:
@@ -194,10 +195,10 @@ def short_units(documents: DataFrame) -> DataFrame:
                 some = {k: v[which] for k, v in own.sentences.items()}
                 yield pa.RecordBatch.from_arrays(
                     [_ids(batch, some["row"] + first, some["number"] * 2 + 1), pa.array(key[which].view(np.int64)),
-                     *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "words"))],
-                    ["id", "key", "start", "end", "words"])
+                     *(pa.array(some[k].astype(np.int32)) for k in ("start", "end", "low", "words"))],
+                    ["id", "key", "start", "end", "low", "words"])
 
-    return _documents(documents).mapInArrow(units, f"id {_ID}, key long, start int, end int, words int")
+    return _documents(documents).mapInArrow(units, f"id {_ID}, key long, start int, end int, low int, words int")
 
 
 def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -286,48 +287,41 @@ def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
-def touched(spans: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``spans`` (doc_id, text_key, start, end, ...) with ``touched``: whether a cut of the same text overlaps the span.
+def with_covered(spans: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, text_key, low, high, ...) with ``covered``: how many of their words lie in cuts of the same text.
 
-    A text's spans and cuts meet in one window; texts without cuts are passed by.
+    ``cuts`` don't overlap each other. A text's cuts are one array, so only narrow rows meet.
     """
-    text = ["doc_id", "text_key"]
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in spans.schema if f.name not in (*text, "start", "end")]
-    cut = cuts.select(*text, "start", "end", *none, F.lit(True).alias("_cut"))
-    here = spans.join(cuts.select(*text).distinct(), text, "left_semi").withColumn("_cut", F.lit(False))
-    order = Window.partitionBy(*text).orderBy("start", F.desc("_cut"))
-    past = F.max(F.when(F.col("_cut"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    next_ = F.min(F.when(F.col("_cut"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    hit = F.coalesce(past > F.col("start"), F.lit(False)) | F.coalesce(next_ < F.col("end"), F.lit(False))
-    both = here.unionByName(cut).withColumn("touched", hit).filter("not _cut").drop("_cut")
-    rest = spans.join(cuts.select(*text).distinct(), text, "left_anti").withColumn("touched", F.lit(False))
-    return both.unionByName(rest)
+    lists = cuts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("_cuts"))
+    covered = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.greatest(
+        F.lit(0), F.least(c["high"], F.col("high")) - F.greatest(c["low"], F.col("low"))))
+    return spans.join(lists, ["doc_id", "text_key"], "left").withColumn("covered", F.coalesce(covered, F.lit(0))).drop("_cuts")
 
 
 def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """doc_id, text_key, low, high, start, end, first_doc_id: the longest runs of which an earlier document holds every stretch.
 
     ``low`` and ``high`` number words, ``start`` and ``end`` bytes. A run that meets several earlier documents names the first.
-    Stretches that overlap the spans ``gone`` (doc_id, text_key, start, end) take no part.
+    Stretches with words in the spans ``gone`` (doc_id, text_key, low, high) take no part: anchors of which nothing else is left
+    are dropped at once, and those that a cut divides are compared stretch by stretch.
     """
     text = ["doc_id", "text_key"]
-    anchors = materialize(_anchors(documents), "anchors")
-    shared = anchors.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-                                         (F.min("extent") < F.max("extent")).alias("several")).filter("first < last").drop("last")
-    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first" if gone is None else "true").drop("extent")
-    shared = materialize(shared if gone is None else touched(shared, gone), "shared")
-    discard(anchors)
+    anchors = _anchors(documents)
     if gone is not None:
-        cut = shared.filter("touched").select("gram").distinct().withColumn("cut", F.lit(True))
-        several = F.col("several") | F.coalesce("cut", F.lit(False))
-        before = shared
-        shared = shared.join(cut.hint("merge"), "gram", "left").withColumn("several", several).filter("several or doc_id > first")
-        shared = materialize(shared.drop("cut", "touched"), "shared")
-        discard(before)
+        anchors = with_covered(anchors, gone).filter("covered < high - low").withColumn("cut", F.col("covered") > 0).drop("covered")
+    else:
+        anchors = anchors.withColumn("cut", F.lit(False))
+    anchors = materialize(anchors, "anchors")
+    shared = anchors.groupBy("gram").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        ((F.min("extent") < F.max("extent")) | F.max("cut")).alias("several")).filter("first < last").drop("last")
+    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first")
+    before, shared = anchors, materialize(
+        shared.select(*text, "gram", "several", "low", "high", "start", "end", "first"), "shared")
+    discard(before)
 
     single = _single(documents, shared.filter("several").select(*text, "gram"))
-    left = single if gone is None else touched(single, gone).filter("not touched").drop("touched")
-    left = left if gone is None else materialize(left, "stretches")
+    left = single if gone is None else with_covered(single, gone).filter("covered = 0").drop("covered")
     firsts = left.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
         "first < last").drop("last")
     # stretches of one anchor all hold it, so together they are one run
@@ -343,7 +337,7 @@ def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> D
     found = materialize(rows.groupBy(*text, "run").agg(
         *(F.min(c).alias(c) for c in ("low", "start")), *(F.max(c).alias(c) for c in ("high", "end")),
         F.min("first").alias("first_doc_id")).drop("run"), "runs")
-    discard(*{id(t): t for t in (shared, single, left)}.values())
+    discard(shared, single)
     return found
 
 
@@ -357,33 +351,36 @@ def repeated_units(documents: DataFrame, sentence_run: int = SENTENCE_RUN) -> Da
     point to them; a row that stands several times is one text; other columns are ignored; texts may be of any length; an
     empty table gives no rows.
     """
-    text = ["doc_id", "text_key"]
+    text, facts = ["doc_id", "text_key"], ["start", "end", "low", "words"]
     long = materialize(long_paragraphs(documents), "long")
     spans = long.select("id", "start", "end")
     groups = similar.components(long, lambda pairs: verified(documents, spans, pairs), SHARE)
-    near = materialize(_columns(long.select("id", "start", "end", "words").join(
+    near = materialize(_columns(long.select("id", *facts).join(
         groups.select("id", F.col("component").alias("first")), "id")).dropDuplicates([*text, "unit"]), "near")
     discard(long, groups)
 
-    stretches = repeated_stretches(documents, near.filter("repeated").select(*text, "start", "end"))
-    runs = stretches.select(*text, (-F.col("low") - 1).cast("int").alias("unit"), "start", "end",
+    high = (F.col("low") + F.col("words")).alias("high")
+    stretches = repeated_stretches(documents, near.filter("repeated").select(*text, "low", high))
+    runs = stretches.select(*text, (-F.col("low") - 1).cast("int").alias("unit"), "start", "end", "low",
                             (F.col("high") - F.col("low")).cast("int").alias("words"), "first_doc_id", F.lit(True).alias("repeated"))
     gone = materialize(near.filter("repeated").unionByName(runs), "gone")
+    discard(stretches)
 
     short = materialize(short_units(documents), "sentences")
     shared = short.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = short.join(shared, "key").select("key", "id", "start", "end", "words", "id.doc_id", "id.text_key").dropDuplicates(["id"])
-    whole = materialize(touched(shared, gone.select(*text, "start", "end")).filter("not touched"), "whole")
+    shared = short.join(shared, "key").select("key", "id", *facts, high, "id.doc_id", "id.text_key").dropDuplicates(["id"])
+    whole = with_covered(shared, gone.select(*text, "low", high)).filter("covered = 0").drop("covered", "high", *text)
+    whole = materialize(whole, "whole")
     discard(short)
     firsts = whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    equal = _columns(whole.join(firsts, "key").select("id", "start", "end", "words", "first"))
-    units = materialize(gone.unionByName(near.filter("not repeated")).unionByName(equal), "units")
-    discard(near, stretches, gone, whole)
+    equal = _columns(whole.join(firsts, "key"))
+    units = materialize(gone.unionByName(near.filter("not repeated")).unionByName(equal).drop("low"), "units")
+    discard(near, gone, whole)
     return _removed(units, sentence_run)
 
 
 def _columns(units: DataFrame) -> DataFrame:
-    return units.select("id.doc_id", "id.text_key", "id.unit", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"),
+    return units.select("id.doc_id", "id.text_key", "id.unit", "start", "end", "low", "words", F.col("first.doc_id").alias("first_doc_id"),
                         (F.col("id") != F.col("first")).alias("repeated"))
 
 
