@@ -2,14 +2,16 @@
 
 A document is the set of its distinct ``n``-word shingles. Sizes are cut into bands such that similar sets lie in the same or
 in neighbouring bands; each pair of neighbouring bands has a largest distance ``k`` (size of the symmetric difference) that
-similar sets of those bands can have. The domain of shingle hashes is cut at random into parts, the parts into smaller ones,
-and a set signs each subset of the small parts that must agree somewhere: with ``n1`` parts of ``n2`` small ones, two sets at
-distance ``k`` at most have one part with at most ``k2 = (k + 1) / n1 - 1`` differences, so all but ``k2`` of its small parts
-agree, and the hash of those is a shared signature. Signatures never miss a pair; what they propose is verified on the
-whole texts.
-
-Empty parts agree without meaning anything. A set signs them only if it has more than ``slack`` of them; there are so many
-more parts that otherwise at least one that agrees isn't empty.
+similar sets of those bands can have. The domain of shingle hashes is cut at random into ``n1`` parts, each part into ``n2``
+smaller ones, and a set signs each subset of ``n2 - k2`` small parts of each part. Two sets at distance ``k`` at most have a part
+with at most ``k2`` differences if ``n1 * (k2 + 1) > k``; all but ``k2`` of its small parts agree, and the hash of what the sets have
+in those is a shared signature. Signatures never miss a pair; what they propose is verified on the whole texts.
+
+From a distance of ``ENUMERATED`` on, parts have three small ones, of which all subsets of two are signed (``k2`` = 1); each then
+stands for a third more of the set than one of as many parts as differences would. Below, parts are their own only small part.
+
+Subsets that are empty agree without meaning anything. A set signs them only if more than ``slack`` of its parts have one; there are
+so many more parts that otherwise at least one that agrees has none.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from leafgraph.session import materialize
 N_WORDS = 4
 SHARE = (85, 100)
 BINS = 512
+ENUMERATED = 8  # the distance from which subsets of small parts are enumerated
+_SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
 def shingle_sets(texts: pa.Array, n: int = N_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -48,16 +52,15 @@ def bands(largest: int, share: tuple[int, int]) -> list[tuple[int, int]]:
     return out
 
 
-def scheme(limit: int, share: tuple[int, int]) -> tuple[int, int]:
-    """Parts and slack for sets of at most ``limit`` elements.
-
-    With two small parts to a part and one difference allowed in it, either small part alone must agree: the subsets of
-    size one, which is as many parts as differences and one more, plus the slack.
-    """
+def scheme(limit: int, share: tuple[int, int]) -> tuple[int, int, int]:
+    """Parts, small ones of each, and slack for sets of at most ``limit`` elements."""
     p, q = share
     k = 2 * limit * (q - p) // (p + q)
-    slack = (k + 1) // 6
-    return k + 1 + slack, slack
+    if k < ENUMERATED:
+        slack = (k + 1) // 6
+        return k + 1 + slack, 1, slack
+    slack = 1 + (k + 1) // 32
+    return k // 2 + 1 + slack, 3, slack  # k2 = 1: at most k // 2 parts have two differences and more
 
 
 def signatures(hashes: np.ndarray, rows: np.ndarray, n_rows: int, share: tuple[int, int]) -> list[np.ndarray]:
@@ -74,24 +77,28 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, n_rows: int, share: tuple[i
         for b in np.unique(band[sizes > 0]):
             mine = np.flatnonzero((band == b) & (sizes > 0))
             top = b + up
-            n, slack = scheme(int(highs[top]), share)
+            n1, n2, slack = scheme(int(highs[top]), share)
             take = np.concatenate([np.arange(firsts[r], firsts[r + 1]) for r in mine])
             own = np.repeat(np.arange(len(mine)), sizes[mine])
-            part = (place[take] * np.uint64(n) >> np.uint64(31)).astype(np.int64)
-            key = own * n + part
+            small = (place[take] * np.uint64(n1 * n2) >> np.uint64(31)).astype(np.int64)
+            key = own * (n1 * n2) + small
             order = np.argsort(key, kind="stable")
             key = key[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            total = np.add.reduceat(code[take][order], at)
-            filled = key[at]
-            sig = mix(total + mix((filled % n + top * (1 << 32)).astype(np.uint64)))
-            who = filled // n
-            cuts = np.searchsorted(who, np.arange(len(mine) + 1))
+            total = np.zeros(len(mine) * n1 * n2, np.uint64)
+            total[key[at]] = np.add.reduceat(code[take][order], at)
+            filled = np.zeros(len(total), bool)
+            filled[key[at]] = True
+            total, filled = total.reshape(-1, n1, n2), filled.reshape(-1, n1, n2)
+            if n2 > 1:
+                total = np.stack([total[:, :, i] + total[:, :, j] for i, j in _SUBSETS], axis=2)
+                filled = np.stack([filled[:, :, i] | filled[:, :, j] for i, j in _SUBSETS], axis=2)
+            numbers = np.arange(total[0].size, dtype=np.uint64).reshape(total[0].shape) + np.uint64(top << 32)
+            sig = mix(total + mix(numbers)[None])
+            poor = (~filled).any(axis=2).sum(axis=1) > slack
+            keep = filled | poor[:, None, None]
             for i, r in enumerate(mine):
-                signed[r].append(sig[cuts[i]:cuts[i + 1]])
-                if n - (cuts[i + 1] - cuts[i]) > slack:
-                    empty = np.setdiff1d(np.arange(n), filled[cuts[i]:cuts[i + 1]] % n)
-                    signed[r].append(mix(mix((empty + top * (1 << 32)).astype(np.uint64))))
+                signed[r].append(sig[i][keep[i]])
     return [np.concatenate(s).view(np.int64) if s else np.zeros(0, np.int64) for s in signed]
 
 

@@ -156,19 +156,27 @@ def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple
                        "component", "size", "hist")
 
     def pairs(keys: pa.Table) -> pa.Table:
+        keys = keys.sort_by("size")
         ids, parts = keys.column("id").to_pylist(), keys.column("component").to_pylist()
         number = {c: i for i, c in enumerate({_plain(c): 0 for c in parts})}
         part = np.array([number[_plain(c)] for c in parts])
         block, size = (keys.column(c).to_numpy().astype(np.int64) for c in ("block", "size"))
         hist = _hist(keys.column("hist").combine_chunks())
         i, j = keys.column("i")[0].as_py(), keys.column("j")[0].as_py()
-        coarse = hist.reshape(len(hist), 32, -1).sum(axis=2, dtype=np.int16)  # a bound that rules out most pairs
-        second = np.flatnonzero(block == j)
+        second = np.flatnonzero(block == j)  # by size, so what can match stands together
+        # sums over more and more bins: the first bounds rule out most pairs
+        bounds = [hist.reshape(len(hist), n, -1).sum(axis=2, dtype=np.int16) for n in (8, 64) if n < hist.shape[1]] + [hist]
+        near, sizes, own = bounds[0][second], size[second], part[second]
+        p, q = share
         found: list[tuple] = []
         for at in np.flatnonzero(block == i):
-            others = second[second > at] if i == j else second
-            others = others[part[others] != part[at]]
-            for counts in (coarse, hist):
+            low = np.searchsorted(sizes, -(-size[at] * p // q))
+            high = np.searchsorted(sizes, size[at] * q // p, "right")
+            if i == j:
+                low = max(low, int(np.searchsorted(second, at, "right")))
+            ok = possible(near[low:high], bounds[0][at], sizes[low:high], size[at], share) & (own[low:high] != part[at])
+            others = second[low:high][ok]
+            for counts in bounds[1:]:
                 if len(others):
                     others = others[possible(counts[at], counts[others], size[at], size[others], share)]
             found += [(ids[at], ids[o]) for o in others]
