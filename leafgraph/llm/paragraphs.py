@@ -43,6 +43,7 @@ SENTENCE_RUN = 25
 BINS = 64
 GAP = 6  # words of units too short to be matched that a run may span
 STRETCH, ANCHOR = 50, 8  # words
+BITMAP = 1 << 23  # bits
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _TEXT = "doc_id bigint, text_key bigint"  # a row of documents; the key tells texts apart that share an id
 _ID = "struct<doc_id:bigint,text_key:bigint,unit:int>"
@@ -142,6 +143,20 @@ def _documents(documents: DataFrame) -> DataFrame:
         "doc_id is not null")
 
 
+def _among(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of :func:`_documents` that can be among the texts ``wanted`` (doc_id, text_key), before any text is shuffled.
+
+    The wanted texts set bits of one bitmap of ``BITMAP`` bits, a megabyte at any size of the corpus, which all tasks hold.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BITMAP))
+    part, place = F.shiftright(bit, 15), bit % 32768
+    bits = wanted.select("doc_id", "text_key").groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0
+    rows = _documents(documents).withColumns({"_part": part, "_place": place}).join(F.broadcast(bits), "_part")
+    return rows.where(found).select("doc_id", "text_key", "text")
+
+
 def long_paragraphs(documents: DataFrame) -> DataFrame:
     """One row per paragraph of ``LONG`` words and more, with what :mod:`similar` needs, and its span.
 
@@ -206,7 +221,7 @@ def verified(documents: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFr
     needed = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
     needed = materialize(needed.join(spans, "id").select("id", "start", "end", "id.doc_id", "id.text_key"), "needed")
     raw = F.to_binary("text", F.lit("utf-8"))
-    texts = _documents(documents).join(needed.hint("merge"), ["doc_id", "text_key"]).select(  # one plan at every size
+    texts = _among(documents, needed).join(needed.hint("merge"), ["doc_id", "text_key"]).select(  # one plan at every size
         "id", F.substring(raw, F.col("start") + 1, F.col("end") - F.col("start")).cast("string").alias("text")
     ).dropDuplicates(["id"])
     texts = materialize(texts, "paragraphs")
@@ -257,7 +272,7 @@ def _anchors(documents: DataFrame) -> DataFrame:
 def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """Text, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, text_key, gram)."""
     lists = materialize(wanted.groupBy("doc_id", "text_key").agg(F.collect_set("gram").alias("grams")), "grams")  # of one text
-    joined = _documents(documents).join(lists.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "grams")
+    joined = _among(documents, lists).join(lists.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "grams")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,9 +305,9 @@ def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 def with_covered(spans: DataFrame, cuts: DataFrame) -> DataFrame:
     """``spans`` (doc_id, text_key, low, high, ...) with ``covered``: how many of their words lie in cuts of the same text.
 
-    ``cuts`` don't overlap each other. A text's cuts are one array, so only narrow rows meet.
+    ``cuts`` don't overlap each other, but may stand twice. A text's cuts are one array, so only narrow rows meet.
     """
-    lists = cuts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("low", "high")).alias("_cuts"))
+    lists = cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("_cuts"))
     covered = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.greatest(
         F.lit(0), F.least(c["high"], F.col("high")) - F.greatest(c["low"], F.col("low"))))
     return spans.join(lists, ["doc_id", "text_key"], "left").withColumn("covered", F.coalesce(covered, F.lit(0))).drop("_cuts")
@@ -306,19 +321,21 @@ def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> D
     are dropped at once, and those that a cut divides are compared stretch by stretch.
     """
     text = ["doc_id", "text_key"]
-    anchors = _anchors(documents)
+    anchors = materialize(_anchors(documents), "anchors")
+    held = anchors.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                       (F.min("extent") < F.max("extent")).alias("several")).filter("first < last").drop("last")
+    shared = anchors.join(held.hint("merge"), "gram").drop("extent")
     if gone is not None:
-        anchors = with_covered(anchors, gone).filter("covered < high - low").withColumn("cut", F.col("covered") > 0).drop("covered")
-    else:
-        anchors = anchors.withColumn("cut", F.lit(False))
-    anchors = materialize(anchors, "anchors")
-    shared = anchors.groupBy("gram").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-        ((F.min("extent") < F.max("extent")) | F.max("cut")).alias("several")).filter("first < last").drop("last")
-    shared = anchors.join(shared.hint("merge"), "gram").filter("several or doc_id > first")
-    before, shared = anchors, materialize(
-        shared.select(*text, "gram", "several", "low", "high", "start", "end", "first"), "shared")
-    discard(before)
+        left = with_covered(shared.drop("first"), gone).filter("covered < high - low").withColumn("cut", F.col("covered") > 0)
+        left = materialize(left.drop("covered"), "left")
+        discard(anchors)
+        anchors = left
+        held = left.groupBy("gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                        F.max("cut").alias("divided")).filter("first < last").drop("last")
+        shared = left.join(held.hint("merge"), "gram").withColumn("several", F.col("several") | F.col("divided"))
+    shared = materialize(shared.filter("several or doc_id > first").select(
+        *text, "gram", "several", "low", "high", "start", "end", "first"), "shared")
+    discard(anchors)
 
     single = _single(documents, shared.filter("several").select(*text, "gram"))
     left = single if gone is None else with_covered(single, gone).filter("covered = 0").drop("covered")
@@ -356,7 +373,7 @@ def repeated_units(documents: DataFrame, sentence_run: int = SENTENCE_RUN) -> Da
     spans = long.select("id", "start", "end")
     groups = similar.components(long, lambda pairs: verified(documents, spans, pairs), SHARE)
     near = materialize(_columns(long.select("id", *facts).join(
-        groups.select("id", F.col("component").alias("first")), "id")).dropDuplicates([*text, "unit"]), "near")
+        groups.select("id", F.col("component").alias("first")), "id")), "near")
     discard(long, groups)
 
     high = (F.col("low") + F.col("words")).alias("high")
@@ -368,13 +385,14 @@ def repeated_units(documents: DataFrame, sentence_run: int = SENTENCE_RUN) -> Da
 
     short = materialize(short_units(documents), "sentences")
     shared = short.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = short.join(shared, "key").select("key", "id", *facts, high, "id.doc_id", "id.text_key").dropDuplicates(["id"])
+    shared = short.join(shared, "key").select("key", "id", *facts, high, "id.doc_id", "id.text_key")
     whole = with_covered(shared, gone.select(*text, "low", high)).filter("covered = 0").drop("covered", "high", *text)
     whole = materialize(whole, "whole")
     discard(short)
     firsts = whole.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     equal = _columns(whole.join(firsts, "key"))
-    units = materialize(gone.unionByName(near.filter("not repeated")).unionByName(equal).drop("low"), "units")
+    units = gone.unionByName(near.filter("not repeated")).unionByName(equal).drop("low").dropDuplicates([*text, "unit"])
+    units = materialize(units, "units")  # of rows that stand twice, their units once
     discard(near, gone, whole)
     return _removed(units, sentence_run)
 
