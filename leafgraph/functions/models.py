@@ -17,16 +17,19 @@ from leafgraph.session import spread
 
 
 def hashed_embedding(df: DataFrame, text: str = "text", output: str = "embedding", dim: int = 256) -> DataFrame:
-    """Default embedding: unit-norm term counts in ``dim`` hashed buckets; a blank text gives zeros."""
-    from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
+    """Default embedding: unit-norm counts of lower-case words in ``dim`` buckets; a blank text gives zeros.
+
+    A word's bucket is the first half of its md5 as a number, modulo ``dim``, so any engine can compute it.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    rows = df.withColumn("_text", strip(F.coalesce(F.col(text), F.lit(""))))
-    rows = Tokenizer(inputCol="_text", outputCol="_words").transform(rows)
-    rows = rows.withColumn("_words", F.filter("_words", lambda w: w != ""))
-    rows = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(rows)
-    rows = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(rows)
-    return rows.withColumn(output, vector_to_array("_unit")).drop("_text", "_words", "_tf", "_unit")
+    own = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
+    rows = df.withColumn("_words", F.transform(own, lambda w: bucket(w).cast("string")))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "_words", "_tf")
+    rows = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counts.transform(rows))
+    return rows.withColumn(output, vector_to_array("_unit")).drop("_words", "_tf", "_unit")
 
 
 def embed(df: DataFrame, model_factory: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None,

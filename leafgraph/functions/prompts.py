@@ -62,6 +62,7 @@ PROMPT_TEMPLATES = {
     ("span", "answer"): "{question}{separator}{context}",
 }
 
+# What the system part of a prompt says by default; callers can pass their own.
 ANSWER_SYSTEM = "You are a helpful student advising assistant who answers with kindness while being concise."
 RELEVANCE_SYSTEM = "Provide a short explaination if the document is relevant to the question or not."
 
@@ -122,15 +123,25 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, kind string, template string")
 
 
+def chosen_kind(family: Column, kind: Column, profile: Column) -> Column:
+    """The kind of prompt that is rendered: without a profile the family's template for that, where it has one."""
+    bare = [f for f, k in PROMPT_TEMPLATES if k == "relevance_no_profile"]
+    return F.when((kind == "relevance") & family.isin(*bare) & ~_has(profile), "relevance_no_profile").otherwise(kind)
+
+
 def render_prompts(rows: DataFrame, values: dict[str, Column], family: str = "family", kind: str = "kind",
                    output: str = "prompt") -> DataFrame:
-    """Fill the template named by the row's family and kind. The template table is a fixed dozen of rows."""
+    """Fill the template named by the row's family and kind. The template table is a fixed dozen of rows.
+
+    A relevance prompt whose ``profile`` is empty or not given is one that doesn't speak of a profile, if the family has one.
+    """
+    rows = rows.withColumn("_chosen", chosen_kind(F.col(family), F.col(kind), values.get("profile", F.lit(None))))
     templates = F.broadcast(template_table(rows.sparkSession)).select(
         F.col("family").alias("_family"), F.col("kind").alias("_kind"), F.col("template").alias("_template"))
-    joined = rows.join(templates, (rows[family] == F.col("_family")) & (rows[kind] == F.col("_kind")), "left")
+    joined = rows.join(templates, (rows[family] == F.col("_family")) & (rows["_chosen"] == F.col("_kind")), "left")
     pieces = F.split(F.col("_template"), r"\{|\}")
     # odd pieces are placeholder names: filled in one pass, so braces inside the values stay as they are
     lookup = F.create_map(*[x for name, col in values.items() for x in (F.lit(name), F.coalesce(col, F.lit("")))])
     filled = F.array_join(F.transform(
         pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(lookup, p), F.lit(""))).otherwise(p)), "")
-    return joined.withColumn(output, filled).drop("_family", "_kind", "_template")
+    return joined.withColumn(output, filled).drop("_family", "_kind", "_template", "_chosen")

@@ -95,10 +95,12 @@ def recursive_chunks(text: Column, size: int = 2000, overlap: int = 100,
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
+    def cut_at(sep: str):
+        return lambda p: F.when(F.length(p) > size, _keep_separator(p, sep)).otherwise(F.array(p))
+
     parts = F.array(text)
     for sep in separators:
-        parts = F.flatten(F.transform(parts, lambda p, sep=sep: F.when(
-            F.length(p) > size, _keep_separator(p, sep)).otherwise(F.array(p))))
+        parts = F.flatten(F.transform(parts, cut_at(sep)))
     parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, F.transform(
         F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")),
         lambda i: F.substring(p, i * size + 1, F.lit(size)))).otherwise(F.array(p))))

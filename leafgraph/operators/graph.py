@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
-from leafgraph.operators.extracts import ID_SPACE
+from leafgraph.session import discard, materialize
 
 
 def related_docs(edges: DataFrame, ids: DataFrame, relation: int, in_only: bool = False, out_only: bool = False,
@@ -34,29 +34,96 @@ def child_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return related_docs(edges, ids, S.PARENT_EXTRACT, out_only=True)
 
 
-def split_chains(edges: DataFrame) -> DataFrame:
-    """``(chain_id, doc_id)``: the members of every chain of split continuations, in ``doc_id`` order.
+def _only(links: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, value)`` of the keys that have exactly one value."""
+    return links.groupBy(key).agg(F.count("*").alias("_n"), F.max(value).alias(value)).where("_n = 1").drop("_n")
 
-    Ids run in reading order inside a page, so a chain is a run of edges that each start where the last one ended:
-    gaps and islands over one page, instead of a recursive walk.
+
+def rank_lists(links: DataFrame) -> DataFrame:
+    """``(id, head, place)`` of every node of simple lists ``links(src, dst)``: no node has two successors or two predecessors.
+
+    Pointer doubling: each round a node looks twice as far ahead towards its head, so the longest list takes as many rounds as
+    its length has binary digits. A list that closes into a ring begins at its smallest id.
     """
-    page = Window.partitionBy(F.floor(F.col("dst") / ID_SPACE)).orderBy("dst")
-    opens = F.coalesce(F.lag("dst").over(page) != F.col("src"), F.lit(True))
-    links = edges.where(F.col("type") == S.SPLIT_SIBLING).withColumn("_open", F.when(opens, F.col("src")))
-    links = links.withColumn("chain_id", F.last("_open", ignorenulls=True).over(page))
-    members = F.when(F.col("_open").isNotNull(), F.array("src", "dst")).otherwise(F.array("dst"))
-    return links.select("chain_id", F.explode(members).alias("doc_id"))
+    nodes = links.select(F.col("dst").alias("id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"))
+    heads = links.select(F.col("src").alias("id")).join(links.select(F.col("dst").alias("id")), "id", "left_anti")
+    nodes = nodes.unionByName(heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place")))
+    nodes = materialize(nodes.withColumns({"least": F.least("id", "head"), "moved": F.lit(True)}), "lists")
+    total, reach = nodes.count(), 1
+    while reach < 2 * total and not nodes.where("moved").isEmpty():
+        ahead = nodes.select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"),
+                             F.col("least").alias("_least"))
+        before, nodes = nodes, materialize(nodes.join(ahead, "head").select(
+            "id", F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"),
+            F.least("least", "_least").alias("least"), (F.col("_head") != F.col("head")).alias("moved")), "lists")
+        discard(before)
+        reach *= 2
+    rings = nodes.where("moved")
+    if reach >= 2 * total and not rings.isEmpty():
+        opening = rings.where("id = least").select(F.col("id").alias("dst"))
+        return rank_lists(materialize(links.join(opening, "dst", "left_anti").select("src", "dst"), "opened"))
+    return nodes.select("id", "head", "place")
+
+
+class SplitChains:
+    """Chains of split continuations in any graph: ids may run in any order and chains may cross pages.
+
+    A document's predecessor is the only document that it continues, its successor the only one that continues it. Where both
+    agree on a link, documents form lists, which are ranked once; where only one side is unique, a walk goes on from one list
+    into another.
+    """
+
+    def __init__(self, edges: DataFrame):
+        links = edges.where(F.col("type") == S.SPLIT_SIBLING).select("src", "dst").distinct()
+        self.before, self.after = _only(links, "dst", "src"), _only(links, "src", "dst")
+        mutual = materialize(self.before.join(self.after, ["src", "dst"]).where("src <> dst"), "links")
+        self.places = materialize(rank_lists(mutual), "places")
+        step = mutual.select("src", "dst")
+        self.back = materialize(self.before.join(step, ["src", "dst"], "left_anti"), "back")  # from a head into another list
+        self.on = materialize(self.after.join(step, ["src", "dst"], "left_anti"), "on")
+
+    def _located(self, rows: DataFrame) -> DataFrame:
+        """``rows(doc_id, node)`` with the list of the node and its place; a node in no list is one of its own."""
+        return rows.join(self.places.withColumnRenamed("id", "node"), "node", "left").select(
+            "doc_id", F.coalesce("head", "node").alias("head"), F.coalesce("place", F.lit(0)).alias("place"))
+
+    def _members(self, rows: DataFrame, keep: Column) -> DataFrame:
+        lists = self.places.select(F.col("id").alias("member_id"), F.col("head").alias("_head"), F.col("place").alias("_place"))
+        found = rows.join(lists, rows["head"] == F.col("_head"), "left").select(
+            "doc_id", F.coalesce("member_id", "head").alias("member_id"), F.coalesce("_place", F.lit(0)).alias("_place"), "place")
+        return found.where(keep).select("doc_id", "member_id", F.col("_place").alias("place"))
+
+    def around(self, ids: DataFrame) -> DataFrame:
+        """``(doc_id, position, member_id)``: the whole chain around each of ``ids(doc_id)``, itself included, in order."""
+        here = materialize(self._located(ids.select("doc_id").distinct().withColumn("node", F.col("doc_id"))), "here")
+        parts = [self._members(here, F.lit(True)).withColumn("step", F.lit(0))]
+        ways = ((-1, self.back, "dst", "src", F.col("_place") <= F.col("place"), lambda rows: rows.select("doc_id", F.col("head").alias("dst"))),
+                (1, self.on, "src", "dst", F.col("_place") >= F.col("place"), self._tails))
+        for sign, links, key, value, keep, leave in ways:
+            frontier, seen, step = here, here.select("doc_id", "head"), 0
+            while True:
+                step += sign
+                onward = leave(frontier).join(links, key).select("doc_id", F.col(value).alias("node"))
+                frontier = self._located(onward).join(seen, ["doc_id", "head"], "left_anti")  # a walk in a circle ends
+                frontier = materialize(frontier, "frontier")
+                if frontier.isEmpty():
+                    break
+                seen = seen.union(frontier.select("doc_id", "head"))
+                parts.append(self._members(frontier, keep).withColumn("step", F.lit(step)))
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("step", "place"))
+        return rows.select("doc_id", place.alias("position"), "member_id")
+
+    def _tails(self, rows: DataFrame) -> DataFrame:
+        last = self.places.groupBy("head").agg(F.max_by("id", "place").alias("_tail"))
+        return rows.join(last, "head", "left").select("doc_id", F.coalesce("_tail", "head").alias("src"))
 
 
 def split_siblings(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """``(doc_id, position, member_id)``: the whole ordered chain around each given document, itself included."""
-    chains = split_chains(edges)
-    place = F.row_number().over(Window.partitionBy("chain_id").orderBy("member_id"))
-    members = chains.select("chain_id", F.col("doc_id").alias("member_id")).withColumn("position", place)
-    mine = ids.select("doc_id").distinct().join(chains, "doc_id", "left")
-    return (mine.join(members, "chain_id", "left")
-            .select("doc_id", F.coalesce("position", F.lit(1)).alias("position"),
-                    F.coalesce("member_id", "doc_id").alias("member_id")))
+    return SplitChains(edges).around(ids)
 
 
 def docs_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
@@ -77,12 +79,24 @@ def last_update(log: DataFrame, id: str = "id", at: str = "datetime") -> DataFra
     return newest.select(F.concat(F.date_format("at", "MM/dd/yyyy, HH:mm:ss"), F.lit(" (UTC)")).alias("last_updated"))
 
 
+def _audit(required: str) -> list[Column]:
+    text = F.col(required)
+    return [F.count("*").alias("n_rows"), F.count_if(text.isNull()).alias("n_null"),
+            F.count_if(F.trim(text) == "").alias("n_blank"),
+            F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0).cast("long")).alias("n_chars")]
+
+
 def load_audit(df: DataFrame, required: str = "text") -> DataFrame:
     """Row count, null and blank counts of the loaded text column, in one pass."""
-    text = F.col(required)
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(text.isNull()).alias("n_null"),
-                  F.count_if(F.trim(text) == "").alias("n_blank"),
-                  F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n_chars"))
+    return df.agg(*_audit(required))
+
+
+def observed(df: DataFrame, write: Callable[[DataFrame], None], required: str = "text") -> DataFrame:
+    """What :func:`load_audit` says of the rows that ``write`` gets, counted while it writes them: the rows are read once."""
+    found = Observation("load")
+    write(df.observe(found, *_audit(required)))
+    names = ("n_rows", "n_null", "n_blank", "n_chars")
+    return df.sparkSession.createDataFrame([tuple(found.get[c] for c in names)], ", ".join(f"{c} long" for c in names))
 
 
 def export_rows(rows: DataFrame) -> DataFrame:

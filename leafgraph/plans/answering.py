@@ -34,10 +34,10 @@ def answer_questions(questions: DataFrame, vectors: DataFrame, k: int = 3, max_c
                                    "context": F.col("context"), "profile": F.col("profile")})
     answers = generate_answers(rows, model_factory=answer_model).select(
         "question_id", "question", F.col("profile").alias("context"), "answer", "reference_ids")
-    judged = hits.join(qs.select("question_id", "sentence"), "question_id")
+    judged = hits.join(qs.select("question_id", "sentence", "profile"), "question_id")
     judged = judged.withColumns({"family": F.lit(family), "kind": F.lit("relevance")})
     judged = P.render_prompts(judged, {"system": F.lit(P.RELEVANCE_SYSTEM), "question": F.col("sentence"),
-                                       "context": F.col("text")})
+                                       "context": F.col("text"), "profile": F.col("profile")})
     documents = judge_relevance(judged, "sentence", "text", "relate", judge_model, "prompt")
     return answers, documents.select("question_id", "rank", "doc_id", "url", "titles", "text", "links", "kept",
                                      "removed_order", "relate")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions.models import embed
 from leafgraph.functions.text import combine_titles, title_text
 from leafgraph.functions.vectors import pad_vector
-from leafgraph.operators.interactions import load_audit
+from leafgraph.operators.interactions import observed
 from leafgraph.schemas import VECTOR_CACHE
 from leafgraph.session import materialize
 from leafgraph.sources.store import append_update, reuse_vectors, write_vectors
@@ -26,12 +26,14 @@ def link_urls(links):
 
 
 def vector_rows(extracts: DataFrame, model_factory=None, dim: int = 1024, model_dim: int | None = None) -> DataFrame:
-    """Select, combine titles, embed text and joined titles, pad: one lazy plan without a shuffle."""
+    """Select, combine titles, embed text and joined titles, pad: one lazy plan. A title path is embedded once, however many
+    extracts stand below it."""
     rows = select_text_rows(extracts).withColumn("titles", combine_titles(F.col("parent_titles"), F.col("titles")))
     rows = rows.withColumns({"links": link_urls(F.col("links")), "_title": title_text(F.col("titles"))})
     size = model_dim or dim
     rows = embed(rows, model_factory, "text", "text_embedding", size)
-    rows = embed(rows, model_factory, "_title", "title_embedding", size)
+    titles = embed(rows.select("_title").distinct(), model_factory, "_title", "title_embedding", size)
+    rows = rows.join(titles, "_title")
     pads = {c: pad_vector(F.col(c), dim).cast("array<float>") for c in ("text_embedding", "title_embedding")}
     return rows.withColumns(pads).select("doc_id", "url", "titles", "text", "links", *pads)
 
@@ -63,8 +65,7 @@ def load_vectors(extracts: DataFrame, path: str, load: int, model_factory=None,
     for name in ("text", "title"):
         own = vectors.select(F.col("key").alias(f"_{name}_key"), F.col("embedding").alias(f"{name}_embedding"))
         rows = rows.join(own, f"_{name}_key")
-    write_vectors(rows.select("doc_id", "url", "titles", "text", "links", "text_embedding", "title_embedding"),
-                  f"{path}/vectors", dim)
-    audit = load_audit(spark.read.parquet(f"{path}/vectors"))
+    audit = observed(rows.select("doc_id", "url", "titles", "text", "links", "text_embedding", "title_embedding"),
+                     lambda df: write_vectors(df, f"{path}/vectors", dim))
     append_update(spark, f"{path}/updates", load)
     return audit

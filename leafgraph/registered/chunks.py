@@ -6,7 +6,7 @@ sections have siblings and long lines have split siblings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
@@ -14,6 +14,7 @@ from leafgraph.functions.text import split_sentences, strip
 from leafgraph.operators import chunking as C
 from leafgraph.operators import extracts as X
 from leafgraph.operators import graph as G
+from leafgraph.operators.sentences import CORE, train, trained_sentences
 from leafgraph.registered.base import Tables, query, sql_strip
 from leafgraph.session import materialize, spread
 
@@ -38,6 +39,68 @@ def e6(t: Tables) -> DataFrame:
     return documents(t).select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("i", "sentence"))
 
 
+_BARE = "replace(s, chr(3), '')"
+_LAST, _HEAD = r"regexp_extract(lag(s) OVER o, '(\S+)$', 1)", r"regexp_extract(s, '^(\S+)', 1)"
+_CORE = CORE.replace("'", "''")
+
+
+def _sql_core(e: str, group: int = 1) -> str:
+    return f"regexp_extract({e}, '{_CORE}', {group})"
+
+
+def _sql_likelihood(k: str, n: str, p: str) -> str:
+    return (f"(CASE WHEN {k} > 0 AND {p} > 0 THEN ({k}) * ln({p}) ELSE 0 END + "
+            f"CASE WHEN {n} - ({k}) > 0 AND 1 - ({p}) > 0 THEN ({n} - ({k})) * ln(1 - ({p})) ELSE 0 END)")
+
+
+def _sql_dunning(first: str, second: str, both: str, total: str) -> str:
+    rest, other = f"({total} - {first})", f"({second} - {both})"
+    p, p1, p2 = f"{second} / {total}", f"{both} / {first}", f"{other} / {rest}"
+    return (f"-2 * ({_sql_likelihood(both, first, p)} + {_sql_likelihood(other, rest, p)} - {_sql_likelihood(both, first, p1)} "
+            f"- {_sql_likelihood(other, rest, p2)})")
+
+
+def _sql_pieces(e: str) -> str:
+    e = rf"regexp_replace({e}, '(^|\n)\s*(\d+)\.\s', chr(1) || '\2' || chr(2), 'g')"
+    e = rf"regexp_replace({e}, '(^|\n)\s*(\*+)', chr(1) || '\2', 'g')"
+    e = rf"regexp_replace({e}, '\n\n', chr(1), 'g')"
+    e = rf"regexp_replace({e}, '([!?])\s+', '\1' || chr(1), 'g')"
+    e = rf"regexp_replace({e}, '(\.)\s+', '\1' || chr(1) || chr(3), 'g')"
+    return (f"list_filter(list_transform(string_split(replace({e}, chr(2), '. '), chr(1)), lambda s: "
+            f"{{'soft': starts_with(s, chr(3)), 'text': {sql_strip(_BARE)}}}), lambda s: s.text <> '')")
+
+
+@query("e6_trained_sentences", rf"""WITH t AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id,
+      list_filter(regexp_split_to_array(text, '\s+'), lambda x: {_sql_core('x')} <> '') AS l FROM documents)),
+    u AS (SELECT doc_id, i, lower({_sql_core('x')}) AS w, {_sql_core('x', 2)} <> '' AS dot FROM t),
+    v AS (SELECT w, dot, CASE WHEN dot THEN coalesce(lead(w) OVER (PARTITION BY doc_id ORDER BY i), '') END AS n FROM u),
+    words AS (SELECT w, count(*)::DOUBLE AS n_w, count_if(dot)::DOUBLE AS n_dot FROM v GROUP BY w),
+    g AS (SELECT sum(n_w) AS total, sum(n_dot) AS stops FROM words),
+    sized AS (SELECT *, stops / total AS p, length(w) - length(replace(w, '.', '')) AS inner_dots,
+      (length(replace(w, '.', '')))::DOUBLE AS size FROM words, g),
+    short AS (SELECT w FROM sized WHERE n_dot > 0 AND regexp_matches(w, '\p{{L}}') AND
+      -2 * ({_sql_likelihood('n_dot', 'n_w', 'p')} - {_sql_likelihood('n_dot', 'n_w', '0.99::DOUBLE')}) * exp(-size) * (inner_dots + 1)
+      * pow(size, -(n_w - n_dot)) >= 0.3),
+    fol AS (SELECT w, n, count(*)::DOUBLE AS c FROM v WHERE dot AND n <> '' GROUP BY w, n),
+    ends AS (SELECT * FROM fol WHERE w NOT IN (SELECT w FROM short)),
+    b AS (SELECT coalesce(sum(c), 0) AS breaks FROM ends),
+    first AS (SELECT n, sum(c) AS at_, any_value(n_w) AS n_n FROM ends JOIN words ON words.w = ends.n GROUP BY n),
+    starters AS (SELECT n FROM first, g, b WHERE at_ * total > n_n * breaks AND {_sql_dunning('breaks', 'n_n', 'at_', 'total')} >= 30),
+    pairs AS (SELECT fol.w, fol.n FROM fol JOIN words x ON x.w = fol.w JOIN words y ON y.w = fol.n, g WHERE c > 1
+      AND fol.n NOT IN (SELECT n FROM starters) AND c * total > x.n_dot * y.n_w AND {_sql_dunning('x.n_dot', 'y.n_w', 'c', 'total')} >= 7.88),
+    pc AS (SELECT doc_id, unnest(a).text AS s, unnest(a).soft AS soft, generate_subscripts(a, 1) AS i FROM (SELECT doc_id,
+      {_sql_pieces('text')} AS a FROM documents)),
+    j AS (SELECT doc_id, i, s, soft, lower({_sql_core(_LAST)}) AS w,
+      {_sql_core(_HEAD)} AS h FROM pc WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    k AS (SELECT doc_id, i, s, soft AND i > 1 AND ((w, lower(h)) IN (SELECT (w, n) FROM pairs) OR (w IN (SELECT w FROM short)
+      AND NOT (regexp_matches(h, '^\p{{Lu}}') AND lower(h) IN (SELECT n FROM starters)))) AS glued FROM j),
+    m AS (SELECT *, sum(CASE WHEN glued THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM k)
+    SELECT doc_id, (no - 1)::INTEGER AS i, string_agg(s, ' ' ORDER BY m.i) AS sentence FROM m GROUP BY doc_id, no""")
+def e6_trained(t: Tables) -> DataFrame:
+    """Boundaries by a model of the documents themselves."""
+    return trained_sentences(documents(t), train(documents(t)))
+
+
 def sql_chunks(source: str, key: str, max_len: int = 1000) -> str:
     """CTEs that end in ``chunks(key, split_idx, text)`` for ``source(key, text)``, packing by a recursive walk."""
     w = r"list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')"
@@ -84,18 +147,32 @@ def e8(t: Tables) -> DataFrame:
     return documents(t).select("doc_id", F.posexplode(C.pack_words(F.col("text"), 300)).alias("piece", "text"))
 
 
-@query("e9_recursive_chunk", """SELECT doc_id, true AS fits, true AS in_order, true AS covers, (length(text) > 2000) AS cut
-    FROM documents""")
+def _kept(e: str, sep: str) -> str:
+    """Pieces of ``e`` cut behind every separator, if it is over the limit."""
+    return (f"CASE WHEN length({e}) > 2000 THEN list_transform(string_split({e}, {sep}), lambda p, i: CASE WHEN i < "
+            f"len(string_split({e}, {sep})) THEN p || {sep} ELSE p END) ELSE [{e}] END")
+
+
+@query("e9_recursive_chunk", f"""WITH RECURSIVE a AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (
+      SELECT doc_id, {_kept('text', "E'\n\n'")} AS l FROM documents)),
+    b AS (SELECT doc_id, i, unnest(l) AS t, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, i, {_kept('t', "E'\n'")} AS l FROM a)),
+    c AS (SELECT doc_id, i, j, unnest(l) AS t, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, i, j, {_kept('t', "' '")} AS l FROM b)),
+    d AS (SELECT doc_id, i, j, k, unnest(l) AS t, generate_subscripts(l, 1) AS m FROM (SELECT doc_id, i, j, k,
+      CASE WHEN length(t) > 2000 THEN list_transform(range(0, (length(t) - 1) // 2000 + 1), lambda x: substr(t, x * 2000 + 1, 2000))
+      ELSE [t] END AS l FROM c)),
+    p AS (SELECT doc_id, list(t ORDER BY i, j, k, m) AS ts, list(length(t) ORDER BY i, j, k, m) AS ns FROM d WHERE t <> '' GROUP BY doc_id),
+    s AS (SELECT *, list_prepend(0, list_transform(ns, lambda x, i: list_sum(ns[1:i])))::BIGINT[] AS sums FROM p),
+    w AS (SELECT doc_id, 1::BIGINT AS i, 0::BIGINT AS first, ns[1]::BIGINT AS size, NULL::BIGINT AS was, ns, sums FROM s UNION ALL
+      SELECT doc_id, i + 1, CASE WHEN full_ THEN back ELSE first END,
+        CASE WHEN full_ THEN sums[i + 1] - sums[back + 1] ELSE size END + ns[i + 1], CASE WHEN full_ THEN first END, ns, sums
+      FROM (SELECT *, size + ns[i + 1] > 2000 AND size > 0 AS full_, list_filter(range(greatest(0, i - 100), i + 1),
+        lambda x: sums[i + 1] - sums[x + 1] <= least(100, 2000 - ns[i + 1]))[1] AS back FROM w WHERE i < len(ns))),
+    r AS (SELECT doc_id, was AS first, i - 1 AS last FROM w WHERE was IS NOT NULL UNION ALL
+      SELECT doc_id, first, i FROM w WHERE i = len(ns))
+    SELECT r.doc_id, (row_number() OVER (PARTITION BY r.doc_id ORDER BY last) - 1)::INTEGER AS i,
+      array_to_string(ts[first + 1:last], '') AS chunk FROM r JOIN s USING (doc_id)""")
 def e9(t: Tables) -> DataFrame:
-    """Invariants of the overlapping chunks: size, each chunk a piece of the text, first and last at its ends, enough
-    characters to cover it, and more than one chunk exactly for long texts."""
-    rows = documents(t).withColumn("c", C.recursive_chunks(F.col("text"), 2000, 100))
-    return rows.select(
-        "doc_id", F.forall("c", lambda x: F.length(x) <= 2000).alias("fits"),
-        (F.forall("c", lambda x: F.contains(F.col("text"), x)) & F.startswith("text", F.element_at("c", 1))
-         & F.endswith("text", F.element_at("c", -1))).alias("in_order"),
-        (F.aggregate("c", F.lit(0), lambda a, x: a + F.length(x)) >= F.length("text")).alias("covers"),
-        (F.size("c") > 1).alias("cut"))
+    return documents(t).select("doc_id", F.posexplode(C.recursive_chunks(F.col("text"), 2000, 100)).alias("i", "chunk"))
 
 
 @query("e1_assign_doc_ids", f"""WITH RECURSIVE {sql_chunks('SELECT doc_id, text FROM documents', 'doc_id')}
@@ -158,6 +235,17 @@ def j4(t: Tables) -> DataFrame:
     return G.split_siblings(edges, edges.where("type = 1").select(F.col("dst").alias("doc_id")))
 
 
+@query("j4_chains_over_pages", """WITH o AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5(text), doc_id))
+      ::INTEGER AS position FROM documents)
+    SELECT min(doc_id) OVER (PARTITION BY source) AS doc_id, position, doc_id AS member_id FROM o""")
+def j4_over_pages(t: Tables) -> DataFrame:
+    """The documents of a source continue each other in the order of a hash; each source's first document asks for its chain."""
+    order = Window.partitionBy("source").orderBy(F.md5("text"), "doc_id")
+    links = t.documents.select(F.lag("doc_id").over(order).alias("src"), F.col("doc_id").alias("dst"), F.lit(S.SPLIT_SIBLING).alias("type"))
+    ids = t.documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    return G.split_siblings(materialize(links.where("src IS NOT NULL"), "edges"), ids)
+
+
 @query("j5_combine_siblings", f"""WITH RECURSIVE {LINES} SELECT a.id AS doc_id, string_agg(b.text, ' ' ORDER BY b.split_idx)
     AS text, 'x' AS titles FROM ex a JOIN ex b ON a.line = b.line GROUP BY a.id""")
 def j5(t: Tables) -> DataFrame:

@@ -1,7 +1,8 @@
 """Context assembly, relevance and answers.
 
-The hits of the label questions (see ``search``) carry the text of their document; the question text of label n is
-the first user turn of conversation n. ``labels.quality`` plays the relevance verdict.
+The hits of the label questions (see ``search``) carry the text of their document. Where a question has words, it is the first
+user turn of a conversation, and its vector the one with the conversation's number. ``labels.quality`` plays the relevance
+verdict.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ HITS = _hits()
 
 
 def asked(t: Tables) -> DataFrame:
-    """``(question_id, question)``: the first user turn of the conversation with the label's number."""
+    """``(question_id, question)``: the first user turn of every conversation."""
     return t.conversations.where(F.col("role") == "user").groupBy(F.col("conv_id").alias("question_id")).agg(
         F.min_by("text", "turn").alias("question"))
 
@@ -43,6 +44,24 @@ ASKED = """a AS (SELECT conv_id AS question_id, arg_min(text, turn) AS question
     GROUP BY conv_id)"""
 
 
+def turns(t: Tables) -> DataFrame:
+    """The first user turns with their vectors."""
+    own = t.embeddings.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return asked(t).join(own, "question_id")
+
+
+def turn_hits(t: Tables, k: int = 5) -> DataFrame:
+    qs = turns(t)
+    found = R.nearest(qs, vectors(t), k).join(t.documents.select("doc_id", "text"), "doc_id")
+    return found.join(qs.select("question_id", "question"), "question_id")
+
+
+TURNS = f"""{ASKED}, q AS (SELECT conv_id AS question_id, embedding::DOUBLE[] AS vector FROM (SELECT DISTINCT conv_id FROM conversations
+      WHERE role = 'user') JOIN embeddings ON vec_id = conv_id)"""
+TURN_HITS = f"""{TURNS}, {E}, h AS (SELECT question_id, rank, doc_id, text, question
+    FROM ({ranked(cos('vector', 'v'), '5')}) JOIN documents USING (doc_id) JOIN a USING (question_id))"""
+
+
 @query("a3_format_context", f"""WITH {HITS} SELECT question_id, string_agg('Document ' || i || E':\\n' || text, E'\\n'
     ORDER BY i) AS context FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM h)
     GROUP BY question_id""")
@@ -72,7 +91,19 @@ def w2(t: Tables) -> DataFrame:
     return K.token_buckets(hits(t), 750, overhead=50).select("question_id", "rank", "doc_id", "bucket_no")
 
 
-@query("w2_first_answer")
+@query("w2_first_answer", rf"""WITH RECURSIVE {HITS}, i AS (SELECT question_id, rank, text, len(list_filter(
+      regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, row_number() OVER (PARTITION BY question_id
+      ORDER BY rank) AS o FROM h),
+    f AS (SELECT question_id, o, 50 + n AS used, 0 AS b FROM i WHERE o = 1 UNION ALL
+      SELECT i.question_id, i.o, CASE WHEN f.used + i.n > 750 THEN 50 + i.n ELSE f.used + i.n END,
+        f.b + CASE WHEN f.used + i.n > 750 THEN 1 ELSE 0 END
+      FROM f JOIN i ON i.question_id = f.question_id AND i.o = f.o + 1),
+    best AS (SELECT question_id, b, arg_min(text, rank) AS best FROM f JOIN i USING (question_id, o) GROUP BY question_id, b),
+    said AS (SELECT question_id, b, ({sql_sentences('best')})[1] AS answer, length(best) >= 1500 AS long FROM best),
+    usable AS (SELECT question_id, b, CASE WHEN long AND answer IS NOT NULL AND answer <> '' AND NOT contains(answer,
+      '{X.NO_ANSWER}') THEN answer END AS answer FROM said)
+    SELECT question_id, arg_min(answer, b) FILTER (answer IS NOT NULL) AS answer, min(b) FILTER (answer IS NOT NULL)::INTEGER
+      AS bucket_no FROM usable GROUP BY question_id""")
 def w2_answer(t: Tables) -> DataFrame:
     """The retry over buckets: a bucket answers when its first text is long; the first that does wins."""
     buckets = K.token_buckets(hits(t), 750, overhead=50).groupBy("question_id", "bucket_no").agg(
@@ -99,7 +130,8 @@ def f3(t: Tables) -> DataFrame:
     return K.relevance_partition(judged).select("question_id", "doc_id", "keep", "keep_reason")
 
 
-FAMILY = """CASE rank % 4 WHEN 0 THEN 'header_tokens' WHEN 1 THEN 'plain' WHEN 2 THEN 'default' ELSE 'vicuna' END"""
+FAMILIES = ("header_tokens", "plain", "default", "vicuna", "span")
+KINDS = ("answer", "relevance", "spelling")
 
 
 def _render_sql() -> str:
@@ -107,25 +139,31 @@ def _render_sql() -> str:
     cases = []
     for (family, kind), template in P.PROMPT_TEMPLATES.items():
         text = "'" + template.replace("'", "''") + "'"
-        for name, value in (("{system}", f"'{P.RELEVANCE_SYSTEM.replace(chr(39), chr(39) * 2)}'"),
-                            ("{profile}", "'all programs'")):
+        for name, value in (("{system}", f"'{P.RELEVANCE_SYSTEM.replace(chr(39), chr(39) * 2)}'"), ("{separator}", "''"),
+                            ("{profile}", "profile")):
             text = f"replace({text}, '{name}', {value})"
-        cases.append(f"WHEN family = '{family}' AND kind = '{kind}' THEN replace(replace({text}, '{{question}}', chr(3)), "
-                     "'{context}', chr(4))")
+        when = f"family = '{family}' AND kind = '{kind}'"
+        if kind == "relevance_no_profile":
+            when = f"family = '{family}' AND kind = 'relevance' AND profile = ''"
+        elif (family, "relevance_no_profile") in P.PROMPT_TEMPLATES and kind == "relevance":
+            when += " AND profile <> ''"
+        cases.append(f"WHEN {when} THEN replace(replace({text}, '{{question}}', chr(3)), '{{context}}', chr(4))")
     return ("replace(replace(CASE " + " ".join(cases) + " END, chr(3), coalesce(question, '')), chr(4), text)")
 
 
-@query("f19_render_prompt", f"""WITH {HITS}, {ASKED}, r AS (SELECT h.*, question, {FAMILY} AS family, kind FROM h
-      LEFT JOIN a USING (question_id), (SELECT unnest(['answer', 'relevance']) AS kind))
-    SELECT question_id, doc_id, kind, {_render_sql()} AS prompt FROM r""")
+@query("f19_render_prompt", f"""WITH {TURN_HITS}, r AS (SELECT h.*, family, kind,
+      CASE WHEN question_id % 2 = 0 THEN 'all programs' ELSE '' END AS profile FROM h,
+      (SELECT unnest({list(FAMILIES)}) AS family), (SELECT unnest({list(KINDS)}) AS kind)),
+    p AS (SELECT question_id, doc_id, family, kind, {_render_sql()} AS prompt FROM r)
+    SELECT question_id, doc_id, family, kind, md5(prompt) AS prompt FROM p WHERE prompt IS NOT NULL""")
 def f19(t: Tables) -> DataFrame:
-    kinds = F.explode(F.array(F.lit("answer"), F.lit("relevance")))
-    family = (F.when(F.col("rank") % 4 == 0, "header_tokens").when(F.col("rank") % 4 == 1, "plain")
-              .when(F.col("rank") % 4 == 2, "default").otherwise("vicuna"))
-    rows = hits(t).join(asked(t), "question_id", "left").withColumns({"kind": kinds, "family": family})
+    """Every family and kind for every hit of every question; every second question has no profile."""
+    rows = turn_hits(t).withColumns({"family": F.explode(F.array(*map(F.lit, FAMILIES)))}).withColumn(
+        "kind", F.explode(F.array(*map(F.lit, KINDS))))
+    profile = F.when(F.col("question_id") % 2 == 0, "all programs").otherwise("")
     done = P.render_prompts(rows, {"system": F.lit(P.RELEVANCE_SYSTEM), "question": F.col("question"),
-                                   "context": F.col("text"), "profile": F.lit("all programs")})
-    return done.select("question_id", "doc_id", "kind", "prompt")
+                                   "context": F.col("text"), "profile": profile})
+    return done.where("prompt <> ''").select("question_id", "doc_id", "family", "kind", F.md5("prompt").alias("prompt"))
 
 
 def sql_words(e: str) -> str:
@@ -137,22 +175,20 @@ def sql_overlap(q: str, e: str) -> str:
             f"::DOUBLE / len({sql_words(q)}) END")
 
 
-@query("u3_judge_relevance", f"""WITH {HITS}, {ASKED}, o AS (SELECT question_id, doc_id, {sql_overlap('question', 'text')}
-      AS share FROM h JOIN a USING (question_id))
+@query("u3_judge_relevance", f"""WITH {TURN_HITS}, o AS (SELECT question_id, doc_id, {sql_overlap('question', 'text')}
+      AS share FROM h)
     SELECT question_id, doc_id, CASE WHEN share >= 0.3 THEN 'YES' ELSE 'NO' END || ', because ' ||
       floor(share * 100 + 1e-9)::INTEGER || '% of the question''s words occur.' AS reply FROM o""")
 def u3(t: Tables) -> DataFrame:
-    rows = hits(t).join(asked(t), "question_id")
-    return M.judge_relevance(rows, threshold=0.3).select("question_id", "doc_id", "reply")
+    return M.judge_relevance(turn_hits(t), threshold=0.3).select("question_id", "doc_id", "reply")
 
 
-@query("u5_compress_docs", f"""WITH {HITS}, {ASKED}, s AS (SELECT question_id, doc_id, question,
-      {sql_sentences('text')} AS a FROM h JOIN a USING (question_id))
+@query("u5_compress_docs", f"""WITH {TURN_HITS}, s AS (SELECT question_id, doc_id, question,
+      {sql_sentences('text')} AS a FROM h)
     SELECT question_id, doc_id, coalesce(array_to_string(list_filter(a, lambda x: {sql_overlap('question', 'x')
       .replace('lambda w', 'lambda w')} >= 0.2), E'\\n'), '') AS compressed FROM s""")
 def u5(t: Tables) -> DataFrame:
-    rows = hits(t).join(asked(t), "question_id")
-    return rows.select("question_id", "doc_id", M.compress(F.col("question"), F.col("text"), 0.2).alias("compressed"))
+    return turn_hits(t).select("question_id", "doc_id", M.compress(F.col("question"), F.col("text"), 0.2).alias("compressed"))
 
 
 @query("u2_embed", f"""SELECT doc_id, 256::INTEGER AS dim, CASE WHEN {sql_strip('text')} = '' THEN 0.0 ELSE 1.0 END::DOUBLE
@@ -164,7 +200,22 @@ def u2(t: Tables) -> DataFrame:
     return rows.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 6).alias("norm"))
 
 
-@query("u2_embed_search")
+def sql_embedded(name: str, source: str, id: str, dim: int) -> str:
+    """CTEs ``name`` (id, b, x): the non-zero components of the default embedding of ``source(id, text)``."""
+    word = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '')"
+    return f"""{name}_n AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS b, count(*)::DOUBLE AS n
+      FROM (SELECT {id} AS id, unnest({word}) AS w FROM {source}) GROUP BY 1, 2),
+    {name} AS (SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM {name}_n)"""
+
+
+@query("u2_embed_search", f"""WITH {ASKED}, {sql_embedded('d', 'documents', 'doc_id', 128)},
+    {sql_embedded('e', '(SELECT question_id, question AS text FROM a)', 'question_id', 128)},
+    s AS (SELECT e.id AS question_id, d.id AS doc_id, sum(e.x * d.x) AS c FROM e JOIN d USING (b) GROUP BY ALL),
+    z AS (SELECT x.id AS question_id, y.id AS doc_id, round(1 - coalesce(c, 0), 9) AS distance
+      FROM (SELECT DISTINCT id FROM e) x CROSS JOIN (SELECT DISTINCT id FROM d) y
+      LEFT JOIN s ON s.question_id = x.id AND s.doc_id = y.id)
+    SELECT question_id, rank, doc_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (
+      PARTITION BY question_id ORDER BY distance, doc_id)::INTEGER AS rank FROM z) WHERE rank <= 3""")
 def u2_search(t: Tables) -> DataFrame:
     """Embedded first user turns search the embedded documents."""
     docs = M.embed(documents(t), dim=128)
@@ -173,7 +224,7 @@ def u2_search(t: Tables) -> DataFrame:
 
 
 def answered(t: Tables) -> tuple[DataFrame, DataFrame]:
-    qs = questions(t).join(asked(t), "question_id").withColumns({
+    qs = turns(t).withColumns({
         "faculty": F.lit("Science"), "program": F.lit(""), "specialization": F.lit(""), "year": F.lit("second year"),
         "topic": F.lit("courses")})
     texts = t.documents.select("doc_id", "text", F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string"))
@@ -182,18 +233,18 @@ def answered(t: Tables) -> tuple[DataFrame, DataFrame]:
     return answer_questions(qs, both_vectors(t).join(texts, "doc_id"), k=3)
 
 
-_TEXTS = "e JOIN documents USING (doc_id)"
-
-
-@query("u4_generate_answer", f"""WITH {Q}, e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v,
-      list_reverse(embedding::DOUBLE[]) AS w, text FROM embeddings JOIN documents ON vec_id = doc_id), {ASKED},
+ANSWERED = f"""{TURNS}, e AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v,
+      list_reverse(embedding::DOUBLE[]) AS w, text FROM embeddings JOIN documents ON vec_id = doc_id),
     both_lists AS (SELECT 0 AS src, * FROM ({ranked(cos('vector', 'v'), '3')}) UNION ALL
       SELECT 1, * FROM ({ranked(cos('vector', 'w'), '3')})),
     fu AS (SELECT question_id, text, min(distance) AS distance, arg_min(doc_id, src * 1000000 + rank) AS doc_id,
       min(src * 1000000 + rank) AS seen FROM both_lists JOIN documents USING (doc_id) GROUP BY question_id, text),
-    ra AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, seen) AS rank FROM fu),
+    ra AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, seen)::INTEGER AS rank FROM fu),
     us AS (SELECT *, sum(length('Document ' || rank || E':\\n' || text)) OVER (PARTITION BY question_id ORDER BY rank)
-      + rank - 1 AS used FROM ra)
+      + rank - 1 AS used FROM ra)"""
+
+
+@query("u4_generate_answer", f"""WITH {ANSWERED}
     SELECT question_id, question, 'Science : second year : courses' AS context,
       ({sql_sentences('arg_min(text, rank) FILTER (used <= 25000)')})[1] AS answer,
       string_agg(doc_id::VARCHAR, ',' ORDER BY rank) FILTER (used <= 25000) AS reference_ids
@@ -204,7 +255,11 @@ def u4(t: Tables) -> DataFrame:
     return answers.withColumn("reference_ids", F.array_join(F.col("reference_ids").cast("array<string>"), ","))
 
 
-@query("u4_answer_documents")
+@query("u4_answer_documents", f"""WITH {ANSWERED}, o AS (SELECT question_id, rank, doc_id, used <= 25000 AS kept,
+      {sql_overlap("('I am in Science. I am in my second year. The topic of the question is courses. ' || question)", 'text')} AS share
+      FROM us JOIN a USING (question_id))
+    SELECT question_id, rank, doc_id, kept, CASE WHEN share >= 0.5 THEN 'YES' ELSE 'NO' END || ', because ' ||
+      floor(share * 100 + 1e-9)::INTEGER || '% of the question''s words occur.' AS relate FROM o""")
 def u4_documents(t: Tables) -> DataFrame:
     """The documents behind the answers with their relevance replies."""
     _, documents = answered(t)

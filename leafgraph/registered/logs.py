@@ -219,6 +219,17 @@ def a5(t: Tables) -> DataFrame:
     return I.load_audit(t.documents.select(F.when(F.col("lang") != "de", F.col("text")).alias("text")))
 
 
+@query("a5_observed_load", """SELECT count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_null,
+    count(*) FILTER (trim(text) = '') AS n_blank, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, count(*) AS n_stored
+    FROM (SELECT CASE WHEN lang <> 'de' THEN text END AS text FROM documents)""")
+def a5_observed(t: Tables) -> DataFrame:
+    """The same counts, taken while the rows are written."""
+    base = work_dir(t.spark, "load")
+    rows = t.documents.select("doc_id", F.when(F.col("lang") != "de", F.col("text")).alias("text"))
+    audit = I.observed(rows, lambda df: df.write.parquet(base))
+    return audit.withColumn("n_stored", t.spark.read.parquet(base).agg(F.count("*").alias("n")).scalar())
+
+
 @query("s11_export_interactions", f"""WITH {PAIRS} SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, question,
     conv_id || ',' || turn AS reference_ids FROM qa""")
 def s11(t: Tables) -> DataFrame:

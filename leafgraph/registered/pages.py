@@ -287,3 +287,22 @@ def e13(t: Tables) -> DataFrame:
     found = X.title_metadata(F.array(F.concat("lang", F.lit(" Program"))), F.split("text", "\n"), rules)
     return t.documents.select("doc_id", found["faculty"].alias("faculty"), found["program"].alias("program"),
                               F.array_join(found["specialization"], "|").alias("specialization"))
+
+
+@query("e13_shipped_patterns", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'The Faculty of ' || lang WHEN 1 THEN lang || ' Colleges'
+      ELSE 'The School of ' || source END AS faculty,
+    CASE WHEN doc_id % 2 = 0 THEN 'Dual Bachelor of ' || lang ELSE source || ' Programs' END AS program,
+    CASE WHEN doc_id % 4 < 2 THEN 'Combined Major: ' || lang || '|' || source || ' Minor' ELSE 'Honours ' || lang END AS specialization
+    FROM documents""")
+def e13_shipped(t: Tables) -> DataFrame:
+    """Titles of the kind that the default patterns are made for, among others that none of them matches."""
+    n = F.col("doc_id")
+    lit = lambda a, c, b="": F.concat(F.lit(a), F.col(c), F.lit(b))
+    faculty = F.when(n % 3 == 0, lit("The Faculty of ", "lang")).when(n % 3 == 1, lit("", "lang", " Colleges")).otherwise(
+        lit("The School of ", "source"))
+    program = F.when(n % 2 == 0, lit("Dual Bachelor of ", "lang")).otherwise(lit("", "source", " Programs"))
+    specs = F.when(n % 4 < 2, F.array(lit("Combined Major: ", "lang"), F.lit("Overview"), lit("", "source", " Minor"))).otherwise(
+        F.array(lit("Honours ", "lang")))
+    found = X.title_metadata(F.array(F.lit("Home"), faculty), F.concat(F.array(program), specs, F.array(F.lit("Courses in brief"))))
+    return t.documents.select("doc_id", found["faculty"].alias("faculty"), found["program"].alias("program"),
+                              F.array_join(found["specialization"], "|").alias("specialization"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions import prompts as P
 from leafgraph.functions import text as X
 from leafgraph.operators import context as K
+from leafgraph.operators.spelling import correct_questions, vocabulary
 from leafgraph.plans.embedding_load import link_urls, select_text_rows
 from leafgraph.registered.base import Tables, query, sql_strip
 
@@ -193,6 +194,29 @@ def f21(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.extract_field(row, "url").alias("url"), X.extract_field(row, "text").alias("text"))
 
 
+_MISSPELT = "regexp_replace(question, '([A-Za-z]{3})[A-Za-z]([A-Za-z]{3})', '\\1\\2')"
+
+
+@query("f22_corrected_query", rf"""WITH v AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w
+      FROM documents) WHERE length(w) <= 24 GROUP BY w HAVING count(*) >= 5),
+    q AS (SELECT conv_id AS question_id, {_MISSPELT} AS question FROM (SELECT conv_id, arg_min(text, turn) AS question FROM conversations
+      WHERE role = 'user' GROUP BY conv_id)),
+    l AS (SELECT question_id, question, regexp_extract_all(question, '[A-Za-z]+|[^A-Za-z]+') AS ps FROM q),
+    p AS (SELECT question_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM l),
+    u AS (SELECT DISTINCT lower(piece) AS word FROM p WHERE regexp_matches(piece, '^[A-Za-z]{{2,24}}$') AND lower(piece) NOT IN (SELECT word FROM v)),
+    c AS (SELECT u.word, v.word AS offer, n, levenshtein(u.word, v.word) AS d FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= 2),
+    b AS (SELECT word, arg_min(offer, (-n * pow(1000, 2 - d), offer)) AS best FROM c WHERE d <= CASE WHEN length(word) > 4 THEN 2 ELSE 1 END GROUP BY word),
+    f AS (SELECT question_id, string_agg(coalesce(CASE WHEN regexp_matches(piece, '^[A-Z]') THEN upper(best[1]) || best[2:] ELSE best END, piece), ''
+      ORDER BY i) AS corrected FROM p LEFT JOIN b ON b.word = lower(piece) GROUP BY question_id)
+    SELECT question_id, corrected, CASE WHEN lower(question) <> lower(corrected) THEN 'Used spell/grammar corrected query: ' || corrected END AS alert
+    FROM f JOIN q USING (question_id)""")
+def f22_corrected(t: Tables) -> DataFrame:
+    """First user turns with a letter missing in their long words, corrected by the vocabulary of the documents."""
+    qs = t.conversations.where("role = 'user'").groupBy(F.col("conv_id").alias("question_id")).agg(F.min_by("text", "turn").alias("question"))
+    once = F.regexp_replace("question", "^(?s)(.*?[A-Za-z]{3})[A-Za-z]([A-Za-z]{3})", "$1$2")
+    return correct_questions(qs.withColumn("question", once), vocabulary(t.documents, least=5))
+
+
 @query("f22_spell_changed", """SELECT doc_id, CASE WHEN lang = 'en' OR NOT contains(text, ' ') THEN NULL ELSE
       'Used spell/grammar corrected query: ' || replace(text, ' ', '_') END AS alert,
       CASE WHEN n_chars > 800 THEN 'Did not find answer specific to ' || lang || ', ' || source

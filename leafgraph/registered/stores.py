@@ -5,17 +5,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgraph import schemas as S
 from leafgraph.operators.extracts import relations
+from leafgraph.operators.links import snapshot_changed
 from leafgraph.operators.taxonomy import program_options, read_taxonomy, taxonomy_json
+from leafgraph.plans.corpus import build_corpus
 from leafgraph.plans.embedding_load import load_vectors
 from leafgraph.registered.base import ORACLES, Tables, query
 from leafgraph.registered.chunks import LINES, line_extracts, taxonomy_rows
+from leafgraph.registered.sites import two_sites
 from leafgraph.session import materialize, work_dir
 from leafgraph.sources import store
+from leafgraph.sources.collections import read_collection, write_collection
 
 
 @query("s4_write_extracts", """SELECT doc_id, lang AS site, CASE WHEN n_chars < 500 THEN 'None' ELSE source END AS program,
@@ -37,6 +42,23 @@ def s4(t: Tables) -> DataFrame:
                        F.size("links").alias("n_links"))
 
 
+@query("s4_corpus_round_trip", "SELECT page_id, 1::BIGINT AS n_rows, 0::BIGINT AS n_lost, 0::BIGINT AS n_new FROM pages")
+def s4_corpus(t: Tables) -> DataFrame:
+    """Every column of the extracts of a corpus is read back as it was, orig_doc and meta included."""
+    pages, sites = two_sites(t)
+    pages = pages.withColumns({"path": F.concat(F.lit("/dump/"), F.col("page_id").cast("string")),
+                               "last_modified": F.lit("2024-01-01").cast("timestamp")})
+    base = work_dir(t.spark, "extracts")
+    rows = materialize(build_corpus(pages, sites).extracts, "corpus")
+    store.write_extracts(rows, base)
+    back = store.read_extracts(t.spark, base)
+    line = lambda df: df.where("page_id IS NOT NULL").select(
+        "page_id", F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("line"))
+    changed = snapshot_changed(line(rows), line(back)).groupBy("page_id").pivot("side", ["removed", "added"]).count()
+    return line(back).groupBy("page_id").agg(F.count("*").alias("n_rows")).join(changed, "page_id", "left").select(
+        "page_id", "n_rows", F.coalesce("removed", F.lit(0)).alias("n_lost"), F.coalesce("added", F.lit(0)).alias("n_new"))
+
+
 @query("s5_write_edges", f"WITH RECURSIVE {LINES} SELECT src, dst, type FROM edges WHERE type = 5")
 def s5(t: Tables) -> DataFrame:
     """The folder per edge type prunes the read."""
@@ -65,7 +87,21 @@ def s7(t: Tables) -> DataFrame:
     every = t.documents.select("doc_id", F.lit("second").alias("load"))
     store.upsert_collection(first, base, "c", clear=True)
     store.upsert_collection(every, base, "c")
-    return t.spark.read.parquet(f"{base}/collection=c")
+    return read_collection(t.spark, f"{base}/c")
+
+
+@query("s7_aborted_load", """SELECT doc_id, lang FROM documents WHERE lang <> 'de'""")
+def s7_aborted(t: Tables) -> DataFrame:
+    """A load that fails at a German document replaces nothing; then the other documents are added."""
+    base = f"{work_dir(t.spark, 'collections')}/c"
+    rows = t.documents.select("doc_id", "lang")
+    write_collection(rows.where("lang = 'en'"), base)
+    broken = F.when(F.col("lang") == "de", F.raise_error(F.lit("not to be loaded"))).otherwise(F.col("lang")).cast("string")
+    try:
+        write_collection(rows.withColumn("lang", broken), base, replace=True)
+    except PySparkException:
+        write_collection(rows.where("lang NOT IN ('en', 'de')"), base)
+    return read_collection(t.spark, base)
 
 
 @query("s8_reuse_vectors", """WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))

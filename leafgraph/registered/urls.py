@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafgraph.functions import urls as U
 from leafgraph.operators import links as L
 from leafgraph.operators.parse import SiteConfig, parse_pages
+from leafgraph.operators.snapshots import snapshot_difference, write_snapshot
 from leafgraph.registered.base import Tables, query, sql_clean_url
 from leafgraph.session import materialize, work_dir
 from leafgraph.sources.pages import number_pages, scan_sites, write_pages
@@ -185,6 +186,18 @@ def s14(t: Tables) -> DataFrame:
     return L.snapshot_changed(old, new).select("doc_id", "side")
 
 
+@query("s14_bucket_digests", """SELECT doc_id, 'removed' AS side FROM documents WHERE doc_id % 97 = 5 UNION ALL
+    SELECT doc_id, 'added' FROM documents WHERE doc_id % 97 = 5 UNION ALL SELECT doc_id, 'removed' FROM documents WHERE doc_id % 97 = 6""")
+def s14_buckets(t: Tables) -> DataFrame:
+    """Two stored snapshots: some texts are new, some documents gone; only the buckets of these are read."""
+    base = work_dir(t.spark, "snapshots")
+    n = F.col("doc_id") % 97
+    new = t.documents.where(n != 6).withColumn("text", F.when(n == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    for name, rows in (("old", t.documents), ("new", new)):
+        write_snapshot(rows, f"{base}/{name}", "doc_id", buckets=128)
+    return snapshot_difference(t.spark, f"{base}/old", f"{base}/new").select("doc_id", "side")
+
+
 @query("s1_scan_pages", """SELECT page_id AS page, CASE WHEN page_id % 3 = 0 THEN 'notes' ELSE 'docs' END AS site,
       'https://s.example/' || CASE WHEN page_id % 3 = 0 THEN 'docs/notes/' ELSE 'docs/' END || page_id AS url, md5(html) AS digest,
       length(html) AS n, true AS named, row_number() OVER (ORDER BY 'https://s.example/' ||

@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from leafgraph import schemas as S
 from leafgraph.functions.vectors import pad_vector
 from leafgraph.operators.interactions import export_rows
 from leafgraph.session import materialize
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+from leafgraph.sources.collections import collection_files, read_collection, write_collection
 
 
 def write_extracts(extracts: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -66,14 +58,11 @@ def write_vectors_jdbc(vectors: DataFrame, url: str, table: str, batch_size: int
 
 
 def upsert_collection(rows: DataFrame, path: str, collection: str, clear: bool = False, id: str = "doc_id") -> None:
-    """Load rows into a named collection: replace it, or add the ids it does not have yet."""
-    spark = rows.sparkSession
-    target = f"{path}/collection={collection}"
-    if clear or not _exists(spark, target):
-        rows.write.mode("overwrite").parquet(target)
-        return
-    fresh = rows.join(spark.read.parquet(target).select(id), id, "left_anti")
-    fresh.write.mode("append").parquet(target)
+    """Load rows into a named collection: replace it, or add the ids it does not have yet. Either happens at once or not at all."""
+    target = f"{path}/{collection}"
+    if not clear and collection_files(target):
+        rows = rows.join(read_collection(rows.sparkSession, target).select(id), id, "left_anti").select(rows.columns)
+    write_collection(rows, target, replace=clear)
 
 
 def reuse_vectors(texts: DataFrame, cache: DataFrame, text: str = "text", key: Column | None = None

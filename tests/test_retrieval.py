@@ -240,3 +240,43 @@ def test_default_embedding_of_blank_text_is_zero(spark):
     df = spark.createDataFrame([(1, " "), (2, "a b")], "id long, text string")
     rows = M.embed(df, dim=8).orderBy("id").collect()
     assert sum(rows[0]["embedding"]) == 0 and abs(sum(x * x for x in rows[1]["embedding"]) - 1) < 1e-9
+
+
+def _chain(links, doc):
+    """The walk over only predecessors and only successors, for graphs in which it ends."""
+    def only(n, a, b):
+        found = {x[b] for x in links if x[a] == n}
+        return found.pop() if len(found) == 1 else None
+    out, at = [doc], only(doc, 1, 0)
+    while at is not None and at not in out:
+        out.insert(0, at)
+        at = only(at, 1, 0)
+    at = only(doc, 0, 1)
+    while at is not None and at not in out:
+        out.append(at)
+        at = only(at, 0, 1)
+    return out
+
+
+@pytest.mark.parametrize("links", [
+    [(9, 4), (4, 7), (7, 0), (30, 2)],                        # out of order; document 0 is one like any other
+    [(1, 2), (2, 3), (2, 4), (4, 5), (5, 6)],                 # two continuations: 3 and 4 each go back to 1
+    [(1, 5), (2, 5), (5, 6), (6, 7), (8, 1)],                 # two predecessors: 1 and 2 each go on to 7
+    [(n, n + 1) for n in range(100, 140)] + [(50, 100)]])
+def test_chains_in_any_graph(spark, links):
+    from leafgraph.operators.graph import split_siblings
+
+    edges = spark.createDataFrame([(a, b, 5) for a, b in links] + [(1, 9, 4)], "src long, dst long, type int")
+    nodes = sorted({n for x in links for n in x} | {77})
+    got = {}
+    for r in sorted(split_siblings(edges, spark.createDataFrame([(n,) for n in nodes], "doc_id long")).collect()):
+        got.setdefault(r["doc_id"], []).append(r["member_id"])
+    assert got == {n: _chain(links, n) for n in nodes}
+
+
+def test_ring_of_continuations_ends(spark):
+    from leafgraph.operators.graph import split_siblings
+
+    edges = spark.createDataFrame([(3, 8, 5), (8, 5, 5), (5, 3, 5)], "src long, dst long, type int")
+    rows = split_siblings(edges, spark.createDataFrame([(5,)], "doc_id long")).orderBy("position").collect()
+    assert [r["member_id"] for r in rows] == [3, 8, 5]

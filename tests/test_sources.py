@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from leafgraph.operators.chunking import chunk_array, recursive_chunks
 from leafgraph.operators.links import resolve_links
 from leafgraph.plans.corpus import build_corpus
 from leafgraph.plans.embedding_load import vector_rows
+from leafgraph.sources.collections import collection_files, drop_old, read_collection, write_collection
 from leafgraph.sources.config import read_site_table, site_configs
 from leafgraph.operators.parse import SiteConfig
 from leafgraph.session import materialize
@@ -86,12 +88,31 @@ def test_upsert_and_clear(spark, tmp_path):
     df = lambda *ids: spark.createDataFrame([(i,) for i in ids], "doc_id long")
     upsert_collection(df(1, 2), str(tmp_path), "c")
     upsert_collection(df(2, 3), str(tmp_path), "c")
-    read = lambda: sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/collection=c").collect())
+    read = lambda: sorted(r[0] for r in read_collection(spark, f"{tmp_path}/c").collect())
     assert read() == [1, 2, 3]
     upsert_collection(df(9), str(tmp_path), "c", clear=True)
     assert read() == [9]
 
 
+def test_aborted_load_leaves_the_collection(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.range(0, 100, 1, 4)
+    write_collection(rows, path)
+    before = sorted(collection_files(path))
+    bad = F.when(F.col("id") == 77, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long").alias("id")
+    for replace in (True, False):
+        with pytest.raises(Exception, match="broken"):
+            write_collection(rows.select(bad), path, replace)
+        assert sorted(collection_files(path)) == before and read_collection(spark, path).count() == 100
+        assert {f"files/{p.name}" for p in (tmp_path / "c" / "files").glob("*.parquet")} == set(before)
+    write_collection(spark.range(100, 150), path)
+    assert read_collection(spark, path).count() == 150
+    held = read_collection(spark, path)
+    write_collection(spark.range(5), path, replace=True)
+    assert read_collection(spark, path).count() == 5 and held.count() == 150  # a reader keeps what it began with
+    assert drop_old(path) > 0 and read_collection(spark, path).count() == 5
+
+
 def test_update_log(spark, tmp_path):
     append_update(spark, str(tmp_path / "u"), 1)
     append_update(spark, str(tmp_path / "u"), 2)
@@ -285,3 +306,80 @@ def test_log_keeps_nameless_late_and_first_payloads(spark, tmp_path):
     # an id that only an unusable line had is free
     assert sorted(rows, key=repr) == [("1", "a", 0), ("2", "a", 1), ("3", "a", 1), (None, "n", 0), (None, "n", 0), (None, "n", 1)]
     assert spark.read.parquet(str(tmp_path / "out-rejects")).count() == 2
+
+
+def test_snapshots_read_changed_buckets_only(spark, tmp_path):
+    from leafgraph.operators import snapshots as Z
+
+    rows = spark.range(1000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    other = rows.where("id <> 17").withColumn("t", F.when(F.col("id") == 5, "new").otherwise(F.col("t"))).union(
+        spark.createDataFrame([(2000, None)], "id long, t string"))
+    for name, df in (("a", rows), ("b", rows.repartition(7)), ("c", other)):
+        Z.write_snapshot(df, str(tmp_path / name), "id", buckets=64)
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    assert Z.changed_buckets(spark, a, b) == [] and Z.snapshot_difference(spark, a, b).collect() == []
+    found = Z.snapshot_difference(spark, a, c)
+    assert sorted((r["id"], r["t"], r["side"]) for r in found.collect()) == [
+        (5, "new", "added"), (5, "t5", "removed"), (17, "t17", "removed"), (2000, None, "added")]
+    changed = Z.changed_buckets(spark, a, c)
+    assert 1 <= len(changed) <= 3
+    read = {f.split("bucket=")[1].split("/")[0] for f in spark.read.parquet(f"{a}/rows").where(F.col("bucket").isin(changed)).inputFiles()}
+    assert read == {str(x) for x in changed}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+
+
+def test_boundaries_are_learned(spark):
+    from leafgraph.operators.sentences import train, trained_sentences
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9)))
+    names = [word().capitalize() for _ in range(40)]
+    line = lambda: " ".join([rng.choice(["The", "Some"]), *[word() for _ in range(8)], "Dr.", rng.choice(names), word(), "e.g.", word()]) + "."
+    docs = spark.createDataFrame([(n, " ".join(line() for _ in range(20))) for n in range(60)], "doc_id long, text string")
+    model = train(docs)
+    short = {r["w"] for r in model.abbreviations.collect()}
+    assert {"dr", "e.g"} <= short and len(short) < 60
+    assert {"the", "some"} <= {r["n"] for r in model.starters.collect()}
+    text = "Ask Dr. No about it. The end came, e.g. here. Who? Nobody.\n1. first item\n\nlast words of Dr. The rest"
+    odd = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no stop")], "doc_id long, text string")
+    got = {}
+    for r in trained_sentences(odd, model).orderBy("doc_id", "i").collect():
+        got.setdefault(r["doc_id"], []).append(r["sentence"])
+    assert got == {1: ["Ask Dr. No about it.", "The end came, e.g. here.", "Who?", "Nobody.", "1. first item", "last words of Dr.", "The rest"],
+                   4: ["no stop"]}
+    empty = train(docs.where("false"))
+    assert trained_sentences(odd.where("doc_id = 1"), empty).count() == 9
+
+
+def test_misspelt_question_is_corrected(spark):
+    from leafgraph.operators.spelling import best_words, correct_questions, deletions, vocabulary
+
+    docs = spark.createDataFrame([(1, "How do I apply to honours? To apply for honours in cs, apply early. Do it now, do it. I do."),
+                                  (2, "how to apply: honours cs students apply to cs")], "doc_id long, text string")
+    words = vocabulary(docs)
+    qs = spark.createDataFrame([(1, "how do I aply to honours cs"), (2, "Hnoours, 2024?"), (3, "xyzzy"), (4, "Apply")],
+                               "question_id long, question string")
+    rows = {r["question_id"]: (r["corrected"], r["alert"]) for r in correct_questions(qs, words).collect()}
+    assert rows == {1: ("how do I apply to honours cs", "Used spell/grammar corrected query: how do I apply to honours cs"),
+                    2: ("Honours, 2024?", "Used spell/grammar corrected query: Honours, 2024?"), 3: ("xyzzy", None), 4: ("Apply", None)}
+    assert set(spark.range(1).select(deletions(F.lit("abc"))).first()[0]) == {"abc", "ab", "ac", "bc", "a", "b", "c"}
+    # against all pairs
+    rng = random.Random(8)
+    known = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))): rng.randint(1, 2000) for _ in range(120)}
+    asked = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 8))) for _ in range(80)} - set(known))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    want = {}
+    for w in asked:
+        near = [(-n * 1000 ** (2 - edits(w, k)), k) for k, n in known.items() if edits(w, k) <= (2 if len(w) > 4 else 1)]
+        if near:
+            want[w] = min(near)[1]
+    found = best_words(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(list(known.items()), "word string, n long"))
+    assert {r["word"]: r["best"] for r in found.collect()} == want
