@@ -6,26 +6,30 @@ fingerprints in any order, the fingerprint of a union is the sum, and pieces are
 subtracting their vectors (:func:`plus`, :func:`minus`).
 
 The first four words are full-width hashes and make different multisets collide with a chance of about 2^-240. The others
-hold three counters of 20 bits each: the bits of two hashes of the piece, 120 in all, counted over the pieces. As a bit is
-one or zero with equal chance, the counters are a random projection of the multiset, and the likeness of two texts, twice
+hold two counters of 30 bits each: the bits of two more hashes of the piece, 120 in all, counted over the pieces. A text has at
+most 2^30 pieces, as it has fewer than 2^31 bytes, so no counter runs over. As a bit is one or zero with equal chance, the counters are a random projection of the multiset, and the likeness of two texts, twice
 the inner product of their piece counts over the sum of their squares, can be read from two fingerprints alone. It is exact
 for equal multisets and has a standard error of about 0.09 else. The last word counts pieces.
 
+Each hash is seeded before it reads the piece, so pieces that collide in one are apart in the others.
+
 A fingerprint is a fold over the row's own pieces: no shuffle, and any length of text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgraph.operators.numbering import number_rows
+from leafgraph.session import materialize
+
 FULL = 4
-PACKED = 40            # words of three counters: two hashes of 20 words each
+PACKED = 60            # words of two counters: two hashes of 30 words each
 WORDS = FULL + PACKED + 1
 MODULUS = (1 << 60) - 1
-ONES = 1 | 1 << 20 | 1 << 40
-LANE = (1 << 20) - 1
-BLOCK_BITS = 16        # document ids of one block share all but these bits
+ONES = 1 | 1 << 30
+LANE = (1 << 30) - 1
 
 
 def pieces(text: Column) -> Column:
@@ -41,14 +45,14 @@ def fingerprint(text: Column) -> Column:
 
         full = [total(h, lambda x: x.bitwiseAND(F.lit(MODULUS))) for h in hashes[:FULL]]
         packed = [total(h, lambda x, j=j: F.shiftright(x, j).bitwiseAND(F.lit(ONES)))
-                  for h in hashes[FULL:] for j in range(20)]
+                  for h in hashes[FULL:] for j in range(30)]
         return F.array(*full, *packed, F.size(hashes[0]).cast("long"))
 
     def vector(own: Column) -> Column:
         def hashed(seed: int) -> Column:
-            return F.transform(own, lambda p: F.xxhash64(p, F.lit(seed)))
+            return F.transform(own, lambda p: F.xxhash64(F.lit(seed), p))
 
-        names = [f"h{seed}" for seed in range(FULL + PACKED // 20)]
+        names = [f"h{seed}" for seed in range(FULL + PACKED // 30)]
         bound = F.array(F.struct(*(hashed(seed).alias(name) for seed, name in enumerate(names))))
         return F.transform(bound, lambda b: of([b[name] for name in names]))[0]
 
@@ -74,7 +78,7 @@ def likeness(left: Column, right: Column) -> Column:
     def centred(f: Column) -> Column:
         n = F.element_at(f, WORDS)
         counters = F.flatten(F.transform(F.slice(f, FULL + 1, PACKED), lambda w: F.array(
-            *(F.shiftright(w, s).bitwiseAND(F.lit(LANE)) for s in (0, 20, 40)))))
+            *(F.shiftright(w, s).bitwiseAND(F.lit(LANE)) for s in (0, 30)))))
         return F.transform(counters, lambda c: (2 * c - n).cast("double"))
 
     def dot(x: Column, y: Column) -> Column:
@@ -94,23 +98,14 @@ def as_text(f: Column) -> Column:
 def followers(keys: DataFrame) -> DataFrame:
     """``keys`` (doc_id, h, n) with the one before in descending doc_id as by_doc, by_h, by_n; before the first: the last.
 
-    Ties are ordered by ``h``, null ids come last. Blocks of neighbouring ids are ordered each for itself; only one row per
-    block (2^16 ids) goes on to order the blocks.
+    Ties are ordered by ``h``, null ids come last. Keys are numbered by ranges, whatever their ids look like, and each meets the
+    key of the number before its own.
     """
-    keys = keys.withColumn("block", F.shiftright("doc_id", BLOCK_BITS))
-    down = [F.desc_nulls_last("doc_id"), F.asc("h")]
-    own = F.struct("doc_id", "h", "n")
-    order = Window.partitionBy("block").orderBy(*down)
-    rows = keys.withColumn("by", F.lag(own).over(order))
-    place = F.struct(F.coalesce(-F.col("doc_id").cast("decimal(20,0)"), F.lit("1" + "0" * 19).cast("decimal(20,0)")), "h")
-    lasts = keys.groupBy("block").agg(F.max_by(own, place).alias("last"))
-    blocks = Window.orderBy(F.desc_nulls_last("block"))  # one row per block
-    every = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lasts = lasts.select(F.col("block").alias("b"), F.coalesce(
-        F.lag("last").over(blocks), F.last("last").over(every)).alias("before"))
-    rows = rows.join(lasts, rows.block.eqNullSafe(F.col("b")))
-    by = F.coalesce("by", "before")
-    return rows.select("doc_id", "h", by["doc_id"].alias("by_doc"), by["h"].alias("by_h"), by["n"].alias("by_n"))
+    down = keys.withColumns({"_none": F.col("doc_id").isNull(), "_down": F.bitwise_not("doc_id")})
+    rows = materialize(number_rows(down, "_none", "_down", "h", name="_no").drop("_none", "_down"), "order")
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    before = rows.select(F.col("_no").alias("_at"), F.col("doc_id").alias("by_doc"), F.col("h").alias("by_h"), F.col("n").alias("by_n"))
+    return rows.withColumn("_at", F.pmod(F.col("_no") - 1, total)).join(before, "_at").select("doc_id", "h", "by_doc", "by_h", "by_n")
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
@@ -120,7 +115,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     document in descending doc_id. Columns: doc_id, n_chars, edited, fingerprint, edited_fingerprint (arrays), near_edited,
     near_next. A null text is empty. A null ``doc_id`` comes last, among equal ids the order is by a hash of the text;
     repeated rows (same id and text) stand at one place of the order and get the same result each. Other columns are
-    ignored.
+    ignored; an empty table gives no rows.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))

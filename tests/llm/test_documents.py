@@ -192,6 +192,36 @@ def test_fingerprints(odd, nothing):
     assert [r.edited for r in fingerprints.edited_fingerprints(one).collect()] == ["OnO"]
 
 
+def test_order_of_many_ids(spark):
+    """Ids that lie far apart, negative ones and null among them; texts and likeness are those of the next document."""
+    rng = random.Random(44)
+    rows = [(rng.randint(-(1 << 62), 1 << 62), " ".join(_sentence(rng, 3) for _ in range(3))) for _ in range(300)]
+    rows += [(k, f"text {k}") for k in range(40)] + [(None, "none")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = {}
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        n = len(text) // 3
+        want[i] = text[:len(text) - n] + after[:n]
+    assert {r.doc_id: r.edited for r in got} == want and len(got) == len(rows)
+
+
+def test_likeness_follows_the_exact_one(spark):
+    rng = random.Random(45)
+    words = [f"piece {k}" for k in range(400)]
+    pairs = []
+    for _ in range(150):
+        common = rng.sample(words, rng.randint(0, 20))
+        pairs.append(tuple("\n".join(common + rng.sample(words, rng.randint(1, 20))) for _ in "ab"))
+    f = [fingerprints.fingerprint(F.col(c)) for c in "ab"]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness(*f).alias("x")).collect()
+    errors = []
+    for r in got:
+        a, b = (collections.Counter(t.split("\n")) for t in (r.a, r.b))
+        errors.append(r.x - 2 * sum(a[k] * b[k] for k in a) / (sum(v * v for v in a.values()) + sum(v * v for v in b.values())))
+    assert max(map(abs, errors)) < 0.35 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.12
+
+
 def test_fingerprints_are_homomorphic(spark):
     df = spark.createDataFrame([("a\nb\nc", "c\na\nb", "a\nb", "c", "x\ny")], "p string, q string, r string, s string, t string")
     f = {c: fingerprints.fingerprint(F.col(c)) for c in "pqrst"}
