@@ -42,8 +42,11 @@ OWN = 0.25           # of a page's and of a host's text that is its own, or else
 LEAST_MEMBERS = 2    # tokens of a class
 
 #: text, or a tag's slash, name and attributes, or a lone sign; comments and declarations leave all empty
-_TOKEN = re.compile(r"""([^<]+)|<(?:(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|!--.*?(?:-->|\Z)|[!?][^>]*>)"""
+_TOKEN = re.compile(r"""([^<]+)|<(?:(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|!--.*?(?:-->|\Z)|[!?][^>]*+>)"""
                     r"""|(<)""", re.S)
+#: The same for pages with stray quotes, where a tag ends at its first closing sign.
+_LOOSE = re.compile(r"""([^<]+)|<(?:(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|!--.*?(?:-->|\Z)|[!?][^>]*+>)|(<)""", re.S)
+FAILED = 20  # tags of a page that don't close with their quotes, after which quotes are ignored
 _ROLE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 #: Where the content of an element ends that is text, whatever signs are in it.
@@ -52,15 +55,18 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I)
 DEPTH = 12  # levels of the path that tells tags apart
 OUTER = {"article", "main", "table", "body", "html", "div", "section"}
 HOLDING = {"article", "main", "table"}  # not closed by the end of another element, unless it is one of OUTER
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
             "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th "
             "thead tr ul".split())
-DROPPED = set("nav footer aside form script style noscript template iframe svg math button select textarea input label "
+DROPPED = set("nav footer aside form script style noscript template iframe svg button select textarea input label "
               "option dialog object embed canvas audio video title head menu xmp".split())
-#: Words in a class, id or role that mark boilerplate.
+#: Ids that mark boilerplate inside an article, as a whole; their words don't, as ids of headings are made of what they say.
+IDS = set("comments comment-list comments-list commentlist disqus_thread respond sidebar newsletter cookie-notice breadcrumbs "
+          "share sharing social related-posts related-links toolbar pagination".split())
+#: Words in a class or role that mark boilerplate, and outside an article in an id.
 MARKS = set("ad ads adv advert advertisement advertising adverts adbox adslot banner sponsor sponsored promo promotion "
             "sidebar sidebars rail widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer cookie "
             "cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup login form "
@@ -120,7 +126,7 @@ class Page:
             if name in _RAW_END:  # what follows is its end tag
                 continue
             if name in RAW:
-                skip = "" if whole and name in ("svg", "math") else name
+                skip = "" if whole and name == "svg" else name
                 continue
             if name in BLOCK:  # an open paragraph ends where a block begins
                 for i in range(len(stack) - 1, -1, -1):
@@ -232,28 +238,52 @@ class Page:
 
 
 def _tokens(source: str) -> Iterator[tuple[str, ...]]:
-    """What ``_TOKEN`` finds; the content of raw elements is passed over, up to their end tag or the end of the page."""
+    """What ``_TOKEN`` finds; the content of raw elements is passed over, up to their end tag or the end of the page.
+
+    A tag that never closes is read up to the end of the page before it is taken for a lone sign, so after ``FAILED`` of them
+    ``_LOOSE`` goes on, and behind the last closing sign all is text: the work stays in proportion to the page.
+    """
     at: int | None = 0
-    while at is not None:
+    last, failed = source.rfind(">"), 0
+    while at is not None and at <= last:
         begin, at = at, None
-        for found in _TOKEN.finditer(source, begin):
+        for found in (_TOKEN if failed < FAILED else _LOOSE).finditer(source, begin):
+            if found.start() > last:
+                at = found.start()
+                break
             token = found.groups("")
             yield token
+            if token[4] and source[found.end():found.end() + 1].isalpha():
+                failed += 1
+                if failed == FAILED:
+                    at = found.end()
+                    break
             if token[2] and not token[1] and (end := _RAW_END.get(token[2].lower())):
                 close = end.search(source, found.end())
                 at = close and close.start()
                 break
+    if at is not None and at < len(source):
+        rest = source[at:].partition("<!--")[0]
+        if rest:
+            yield rest, "", "", "", ""
 
 
 @lru_cache(maxsize=100_000)
 def boilerplate(tag: str, within: bool) -> bool:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or the like, by name or role.
 
-    A ``header`` element within the article holds its title and counts as text.
+    A ``header`` element within the article holds its title and counts as text, and so do headings, whatever their roles.
     """
     name, _, roles = tag.partition(" ")
     if name in DROPPED or name == "header" and not within:
         return True
+    if within:
+        if name in HEADINGS:
+            return False
+        parts = re.split(r" (?=(?:class|id|role)=)", roles)
+        if any(part[3:] in IDS for part in parts if part.startswith("id=")):
+            return True
+        roles = " ".join(part for part in parts if not part.startswith("id="))
     return bool(roles) and name not in ("body", "html", "article", "main") and not MARKS.isdisjoint(
         _WORD.findall(roles.replace("class=", "").replace("id=", "").replace("role=", "")))
 
@@ -332,7 +362,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     A null html is empty, a page without text has an empty one. A null url counts to the empty host. Repeated rows are kept.
-    Other columns are ignored. Broken markup never fails: elements are closed where their parents are.
+    Other columns are ignored. Broken markup never fails: elements are closed where their parents are. Pages may be of any length;
+    an empty table gives no rows.
     """
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     templates = materialize(deduce_templates(own.select("page_id", "host", "html")), "templates")

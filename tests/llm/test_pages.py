@@ -151,3 +151,24 @@ def test_headings_stay_and_long_notices_go(spark):
     own = [f"Own text {i}. " * 80 for i in range(20)]
     got = _extracted(spark, [f"<h2>Summary</h2><p>{x}</p><p>{notice}</p><p>Read our terms</p>" for x in own])
     assert got == [["Summary", x.strip()] for x in own]
+
+
+def test_ids_of_headings_and_sections_drop_nothing(spark):
+    article = ('<h1>T</h1><h2 id="related-work">Related work</h2><p>Body</p><section id="discussion"><p>Said</p></section>'
+               '<h2 id="search-algorithms" class="header">Search algorithms</h2><p>Sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math></p>'
+               '<section id="comments"><p>Nice</p></section><div class="share-bar">Share</div>')
+    for n in (1, 12):
+        got = _extracted(spark, [article.replace("Body", f"Body {i}") for i in range(n)])
+        assert got == [["T", "Related work", f"Body {i}", "Said", "Search algorithms", "Sum x+y"] for i in range(n)]
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<", "</", "<!", '<a b="', "<a b=' >", '<p "x>y'])
+def test_long_broken_markup_takes_no_longer_than_its_length(piece):
+    import time
+
+    began = time.perf_counter()
+    page = page_templates.Page("<article>begin " + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 8  # quadratic work would take hours
+    assert page.runs[0][0].startswith("begin")
+    again = page_templates.Page(f"<article>x<p>{piece * 30}</p>tail</article>")
+    assert "".join(r[0] for r in again.runs).startswith("x")
