@@ -313,7 +313,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     which are different documents. A null text is empty; ``doc_id`` may be null or stand twice. Other columns are ignored.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    keyed = documents.select(F.struct("doc_id", F.hash("text").alias("h")).alias("key"), "text")
+    keyed = documents.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
     spans = repeated_spans(keyed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
