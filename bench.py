@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = build_session("leafgraph-bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "leafgraph.partitions": cpus,
+        "spark.sql.shuffle.partitions": cpus, "spark.leafgraph.partitions": cpus,
         "spark.checkpoint.dir": os.environ.get("BENCH_WORK_DIR", os.path.abspath("spark-warehouse/work")), "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")

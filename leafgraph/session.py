@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
-PARTITIONS_SETTING = "leafgraph.partitions"
+PARTITIONS_SETTING = "spark.leafgraph.partitions"
 
 
 def build_session(app: str = "leafgraph", master: str | None = None, **settings: str) -> SparkSession:
@@ -29,11 +29,14 @@ def build_session(app: str = "leafgraph", master: str | None = None, **settings:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for a written table, below the shared folder named by ``spark.checkpoint.dir``.
 
-    Where none is named, it lies below the session's warehouse, which every machine of a cluster reaches as well.
+    Where none is named, it lies below the session's warehouse; one that is a folder of this machine does for a local master
+    only, as other machines don't see it.
     """
     base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/leafgraph-work"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all machines share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -60,7 +63,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal ``df`` out over as many partitions as the setting ``leafgraph.partitions`` says, ahead of a CPU-heavy step.
+    """Deal ``df`` out over as many partitions as the setting ``spark.leafgraph.partitions`` says, ahead of a CPU-heavy step.
 
     Meant for inputs with fewer splits than the cluster has cores. Without the setting nothing is moved. ``keys`` should
     identify rows, so that they spread evenly.
