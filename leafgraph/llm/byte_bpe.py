@@ -8,7 +8,7 @@ text's length. Whether two tokens are compatible is worked out once per pair and
 
 Text is first cut by the pattern of the vocabulary; a piece that is a token is that token. Stretches between places where the
 pattern always cuts repeat, so those of a block of texts are encoded once each, and the ones that come again are remembered
-within a bound of bytes (:mod:`leafgraph.llm.segments`). Narrow: no shuffle, one pass over the texts.
+within a bound of bytes, for a task (:mod:`leafgraph.llm.segments`). Narrow: no shuffle, one pass over the texts.
 """
 
 from __future__ import annotations
@@ -104,6 +104,12 @@ class BytePairCodec:
             ids += self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Give the memory of stretches and pairs back at the end of a task."""
+        self.compatible.cache_clear()
+        if self.stretches is not None:
+            self.stretches.forget()
+
     def _learn(self, keys: list[bytes]) -> list[bytes]:
         return [self.encode_segment(key.decode()) for key in keys]
 
@@ -165,6 +171,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, end - row), _binaries(np.ascontiguousarray(ids).view(np.uint8), 4 * at),
                      _binaries(back, places)], ["doc_id", "ids", "decoded"])
+        own.forget()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary, decoded binary")

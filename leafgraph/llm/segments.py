@@ -64,6 +64,10 @@ class StretchEncoder:
         self.learn, self.room, self.used = learn, room, 0
         self.known: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back; workers outlive their tasks."""
+        self.known, self.used = {}, 0
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more for the end)."""
         starts = cut(offsets, data)

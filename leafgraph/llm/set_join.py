@@ -8,7 +8,8 @@ with at most ``k2`` differences if ``n1 * (k2 + 1) > k``; all but ``k2`` of its
 in those is a shared signature. Signatures never miss a pair; what they propose is verified on the whole texts.
 
 From a distance of ``ENUMERATED`` on, parts have three small ones, of which all subsets of two are signed (``k2`` = 1); each then
-stands for a third more of the set than one of as many parts as differences would. Below, parts are their own only small part.
+stands for a third more of the set than one of as many parts as differences would. Below, and where that would be more than
+``MOST`` signatures per shingle (at similarities under about 0.83), parts are their own only small part.
 
 Subsets that are empty agree without meaning anything. A set signs them only if more than ``slack`` of its parts have one; there are
 so many more parts that otherwise at least one that agrees has none.
@@ -31,6 +32,7 @@ N_WORDS = 4
 SHARE = (85, 100)
 BINS = 512
 ENUMERATED = 8  # the distance from which subsets of small parts are enumerated
+MOST = 0.6  # signatures per element of a set, for both of its bands
 _SUBSETS = ((0, 1), (0, 2), (1, 2))
 
 
@@ -56,11 +58,12 @@ def scheme(limit: int, share: tuple[int, int]) -> tuple[int, int, int]:
     """Parts, small ones of each, and slack for sets of at most ``limit`` elements."""
     p, q = share
     k = 2 * limit * (q - p) // (p + q)
-    if k < ENUMERATED:
-        slack = (k + 1) // 6
-        return k + 1 + slack, 1, slack
     slack = 1 + (k + 1) // 32
-    return k // 2 + 1 + slack, 3, slack  # k2 = 1: at most k // 2 parts have two differences and more
+    parts = k // 2 + 1 + slack  # k2 = 1: at most k // 2 parts have two differences and more
+    if k >= ENUMERATED and 2 * len(_SUBSETS) * parts <= MOST * limit:
+        return parts, 3, slack
+    slack = (k + 1) // 6
+    return k + 1 + slack, 1, slack
 
 
 def signatures(hashes: np.ndarray, rows: np.ndarray, n_rows: int, share: tuple[int, int]) -> list[np.ndarray]:
