@@ -153,40 +153,75 @@ def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple
     rows = rows.join(counts, "sig").join(items.select("id", "size", "hist"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id",
-                       "component", "size", "hist")
-
-    def pairs(keys: pa.Table) -> pa.Table:
-        keys = keys.sort_by("size")
-        ids, parts = keys.column("id").to_pylist(), keys.column("component").to_pylist()
-        number = {c: i for i, c in enumerate({_plain(c): 0 for c in parts})}
-        part = np.array([number[_plain(c)] for c in parts])
-        block, size = (keys.column(c).to_numpy().astype(np.int64) for c in ("block", "size"))
-        hist = _hist(keys.column("hist").combine_chunks())
-        i, j = keys.column("i")[0].as_py(), keys.column("j")[0].as_py()
-        second = np.flatnonzero(block == j)  # by size, so what can match stands together
-        # sums over more and more bins: the first bounds rule out most pairs
-        bounds = [hist.reshape(len(hist), n, -1).sum(axis=2, dtype=np.int16) for n in (8, 64) if n < hist.shape[1]] + [hist]
-        near, sizes, own = bounds[0][second], size[second], part[second]
-        p, q = share
-        found: list[tuple] = []
-        for at in np.flatnonzero(block == i):
-            low = np.searchsorted(sizes, -(-size[at] * p // q))
-            high = np.searchsorted(sizes, size[at] * q // p, "right")
-            if i == j:
-                low = max(low, int(np.searchsorted(second, at, "right")))
-            ok = possible(near[low:high], bounds[0][at], sizes[low:high], size[at], share) & (own[low:high] != part[at])
-            others = second[low:high][ok]
-            for counts in bounds[1:]:
-                if len(others):
-                    others = others[possible(counts[at], counts[others], size[at], size[others], share)]
-            found += [(ids[at], ids[o]) for o in others]
-        kind = keys.schema.field("id").type
-        return pa.table({"x": pa.array([f[0] for f in found], kind), "y": pa.array([f[1] for f in found], kind)})
+                       F.xxhash64("component").alias("part"), "size", "hist")
+    # groups follow each other in sorted partitions, so that many small ones are one batch
+    rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last group, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            ends = _group_ends(held)
+            if len(ends) > 1:
+                yield from _pairs(held.slice(0, int(ends[-2])).combine_chunks(), share)
+                held = held.slice(int(ends[-2]))
+        if held is not None:
+            yield from _pairs(held.combine_chunks(), share)
 
     kind = items.schema["id"].dataType.simpleString()
-    found = rows.groupBy("sig", "i", "j").applyInArrow(pairs, f"x {kind}, y {kind}")
+    found = rows.mapInArrow(run, f"x {kind}, y {kind}")
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _plain(value):
-    return tuple(value.values()) if isinstance(value, dict) else value
+def _group_ends(rows: pa.Table) -> np.ndarray:
+    """Where the groups (sig, i, j) of sorted rows end."""
+    new = np.zeros(rows.num_rows - 1, bool)
+    for name in ("sig", "i", "j"):
+        column = rows.column(name).to_numpy()
+        new |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new) + 1, rows.num_rows)
+
+
+def _pairs(rows: pa.Table, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of each group, of its first block with its second, or within its only one."""
+    ids = rows.column("id").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    part, block, size, i, j = (rows.column(c).to_numpy().astype(np.int64) for c in ("part", "block", "size", "i", "j"))
+    hist = _hist(rows.column("hist").combine_chunks())
+    # sums over more and more bins: the first bounds rule out most pairs
+    bounds = [hist.reshape(len(hist), n, -1).sum(axis=2, dtype=np.int16) for n in (8, 64) if n < hist.shape[1]] + [hist]
+    p, q = share
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        for counts in bounds:
+            if len(x):
+                ok = possible(counts[x], counts[y], size[x], size[y], share)
+                x, y = x[ok], y[ok]
+        left.append(x)
+        right.append(y)
+
+    begin = 0
+    for end in _group_ends(rows):
+        group, begin = np.arange(begin, end), end  # by size, so what can match stands together
+        same = i[group[0]] == j[group[0]]
+        first = group if same else group[block[group] == i[group[0]]]
+        second = group if same else group[block[group] == j[group[0]]]
+        low = np.searchsorted(size[second], -(-size[first] * p // q))
+        high = np.searchsorted(size[second], size[first] * q // p, "right")
+        if same:
+            low = np.maximum(low, np.arange(len(group)) + 1)
+        many = np.maximum(high - low, 0)
+        for a in range(0, len(first), 64):  # bounds what is compared at once
+            n = many[a:a + 64]
+            x = np.repeat(first[a:a + 64], n)
+            y = second[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:a + 64], n)] if n.sum() else x
+            other = part[x] != part[y]
+            keep(x[other], y[other])
+    x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    for a in range(0, len(x), 10_000):
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[a:a + 10_000])), ids.take(pa.array(y[a:a + 10_000]))], ["x", "y"])

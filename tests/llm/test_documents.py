@@ -85,6 +85,24 @@ def test_join_is_exact(odd, nothing):
     assert set_join.join_similar(nothing).collect() == []
 
 
+def test_join_in_small_blocks(spark, monkeypatch):
+    """A group of many near copies that aren't all near each other, cut into blocks of three."""
+    from leafgraph.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK_ITEMS", 3)
+    rng = random.Random(15)
+    base = _sentence(rng, 120).split(" ")
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for place in rng.sample(range(120), rng.randint(0, 5)):
+            words[place] = f"changed{rng.randint(0, 9)}"
+        rows.append((k, " ".join(words)))
+    got = [tuple(r) for r in set_join.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = _components(rows, 4, 85, 100)
+    assert _sorted(got) == want and len({c for _, _, c in want}) > 1
+
+
 def test_join_over_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
