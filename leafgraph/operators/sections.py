@@ -20,6 +20,7 @@ from leafgraph.functions.registry import resolve
 from leafgraph.functions.text import clean_text, strip
 from leafgraph.operators.parse import SiteConfig
 from leafgraph.operators.rules import Rules
+from leafgraph.session import by_page
 
 STEP = 1024  # section numbers between two positions; more split rules than this are refused
 _EMPTY_LINKS = "array<struct<pos:int,title:string,href:string>>"
@@ -209,6 +210,6 @@ def build_sections(parsed: DataFrame, config: SiteConfig | Mapping[str, SiteConf
     configuration per site, sections carry the ``rules`` of theirs.
     """
     rules = Rules(config)
-    rows = place_rows(mark_splits(rules.attach(parsed), rules), rules)
+    rows = place_rows(mark_splits(rules.attach(by_page(parsed)), rules), rules)
     sections = with_intros(count_children(title_paths(section_contents(rows), rules)))
     return sections.where((strip(F.col("text")) != "") | (F.col("n_children") > 0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.functions.text import strip
 from leafgraph.operators.parse import SPLIT_CLASS
+from leafgraph.session import by_page
 
 _TABLE = ["page_id", "table_no"]
 _ROW = [*_TABLE, "row_no"]
@@ -43,7 +44,7 @@ def _kept(parsed: DataFrame) -> DataFrame:
     kind = F.col("kind")
     full = (kind == "cell") & (~_blank(F.col("body")) | F.col("nested"))
     # one exchange by page serves every window and aggregation of the conversion
-    rows = parsed.where(kind.isin("table", "row", "cell", "note")).repartition("page_id")
+    rows = by_page(parsed.where(kind.isin("table", "row", "cell", "note")))
     marked = rows.withColumns({
         "_has_note": F.max(kind == "note").over(row), "_last": F.max(F.when(full, F.col("col_no"))).over(row)})
     stays = kind.isin("table", "note") | (~F.col("_has_note") & (

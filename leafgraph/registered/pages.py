@@ -16,6 +16,7 @@ from leafgraph.operators import extracts as X
 from leafgraph.operators.parse import SiteConfig, page_titles, parse_pages
 from leafgraph.operators.sections import acceptable_heads, build_sections
 from leafgraph.registered.base import Tables, query, sql_squeeze, squeeze
+from leafgraph.session import deal_out
 
 ARTICLE = SiteConfig(name="pages", main_content_attrs={"name": "article"})
 
@@ -77,6 +78,7 @@ def e3(t: Tables) -> DataFrame:
         F.count("*").alias("n_sections"))
 
 
+PAGES_PER_TASK = 5000  # some seconds of parsing
 MAIN = SiteConfig(name="parts", base_url="https://parts.example", main_content_attrs={"id": "main"})
 _BRAND = "replace(p_brand, '#', '-')"
 
@@ -88,7 +90,7 @@ def html_of(t: Tables, *pieces: str) -> DataFrame:
     html = F.lit("".join(pieces))
     for name, value in names.items():
         html = F.replace(html, F.lit("{" + name + "}"), value)
-    return t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return deal_out(t.part, PAGES_PER_TASK).select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 PART_PAGE = (

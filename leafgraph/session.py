@@ -70,3 +70,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     partitions = df.sparkSession.conf.get(PARTITIONS_SETTING, None)
     return df.repartition(int(partitions), *keys) if partitions else df
+
+
+def deal_out(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows, ahead of a step that makes much more of a row than it holds.
+
+    A compact table comes as one split however many rows it has, so its bytes say nothing about the work on them. The rows
+    are counted, which Parquet answers from its footers, and dealt out in turn, so that no key matters.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
+def by_page(df: DataFrame) -> DataFrame:
+    """``df`` by ``page_id``, over as many partitions as a shuffle has.
+
+    The number is named, because adaptive execution would merge partitions by the bytes they have in the exchange, and the
+    windows behind it hold rows many times as wide.
+    """
+    spark = df.sparkSession
+    partitions = spark.conf.get(PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(partitions), "page_id")

@@ -150,3 +150,36 @@ def test_last_edge_wins_keeps_one_edge(corpus):
     one = last_edge_wins(corpus.edges)
     assert one.where(f"src = {ID_SPACE} AND dst = {2 * ID_SPACE}").first()["type"] == 3
     assert one.count() == corpus.edges.select("src", "dst").distinct().count()
+
+
+def _parts(spark, folder, n):
+    rows = spark.range(n).select(
+        (F.col("id") + 1).alias("p_partkey"), F.concat(F.lit("part "), F.col("id").cast("string")).alias("p_name"),
+        F.lit("Brand#1").alias("p_brand"), F.lit("STEEL").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"),
+        F.lit(900.0).alias("p_retailprice"))
+    rows.coalesce(1).write.parquet(f"{folder}/part.parquet")
+
+
+def test_pages_of_one_split_are_parsed_in_many_tasks(spark, tmp_path):
+    from leafgraph.registered.base import Tables
+    from leafgraph.registered.pages import PAGES_PER_TASK, part_pages
+
+    n = 2 * PAGES_PER_TASK + 1
+    _parts(spark, tmp_path, n)
+    sizes = part_pages(Tables(spark, str(tmp_path))).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == n
+    assert len(sizes) == 3 and max(r["count"] for r in sizes) <= PAGES_PER_TASK
+
+
+def test_sections_and_tables_keep_all_partitions_of_a_shuffle(spark, tmp_path):
+    """Adaptive execution would merge partitions this small into one task."""
+    from leafgraph.operators.tables import trim_cells
+    from leafgraph.registered.base import Tables
+    from leafgraph.registered.pages import part_sections
+    from leafgraph.registered.tables import parsed
+
+    _parts(spark, tmp_path, 100)
+    t = Tables(spark, str(tmp_path))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (part_sections(t), trim_cells(parsed(t))):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == n
