@@ -9,12 +9,10 @@ its own, so a batch that runs again after a failure replaces what it wrote.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leafgraph.operators.interactions import parse_feedback, parse_questions
 
@@ -22,29 +20,23 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class FirstPayload(StatefulProcessor):
-    """Of every event the first payload; keeps that the event was seen."""
+def told_and_new(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(event_id, value, new)``: every line of a stream, and a new row without a line for every event not seen before.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        payload = min(some["value"].min() for some in rows)
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield pd.DataFrame({"event_id": [key[0]], "value": [payload]})
-
-    def close(self) -> None:
-        pass
+    The state holds ids only and is asked inside the engine; lines that have no id to go by carry a null one.
+    """
+    told = parse(lines).select("event_id", F.col("payload").alias("value"), "valid")
+    event = F.when(F.col("valid"), F.col("event_id"))
+    told = told.select(event.alias("event_id"), "value", F.lit(False).alias("new"))
+    once = told.where("event_id IS NOT NULL").select("event_id").dropDuplicates(["event_id"])
+    return told.union(once.select("event_id", F.lit(None).cast("string").alias("value"), F.lit(True).alias("new")))
 
 
-def first_payloads(lines: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``value``: the lines of a stream without the repeats of an event."""
-    told = parse(lines).select("event_id", F.col("payload").alias("value"), "valid")
-    named = F.col("valid") & F.col("event_id").isNotNull()
-    once = told.where(named).groupBy("event_id").transformWithStateInPandas(
-        FirstPayload(), "event_id string, value string", "Append", "None")
-    return once.select("value").union(told.where(~named).select("value"))
+def first_payloads(batch: DataFrame) -> DataFrame:
+    """``value``: of one batch of :func:`told_and_new` the smallest line of every new event, and all lines without an id."""
+    named = F.col("event_id").isNotNull()
+    firsts = batch.where(named).groupBy("event_id").agg(F.min("value").alias("value"), F.max("new").alias("new"))
+    return firsts.where("new").select("value").union(batch.where(~named).select("value"))
 
 
 def _write(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -56,16 +48,18 @@ def _log(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint:
          parse: Callable[[DataFrame], DataFrame]) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the state must be asked once; what is lost with an executor comes back from the state's last version
-        parsed = parse(batch)
+        firsts = first_payloads(batch).persist()
+        parsed = parse(firsts)
         _write(parsed.where("valid").drop("valid", "payload"), sink, batch_id)
         _write(parsed.where("not valid").select("event_id", "payload"), rejects, batch_id)
+        firsts.unpersist()
         batch.unpersist()
 
     own = spark.newSession()  # the state store is a setting of this query, not of the caller's session
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
     own.conf.set(STATE_STORE, ON_DISK)
-    stream = first_payloads(own.readStream.format("text").load(source), parse)
+    stream = told_and_new(own.readStream.format("text").load(source), parse)
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()

@@ -383,3 +383,18 @@ def test_misspelt_question_is_corrected(spark):
             want[w] = min(near)[1]
     found = best_words(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(list(known.items()), "word string, n long"))
     assert {r["word"]: r["best"] for r in found.collect()} == want
+
+
+def test_log_state_is_asked_without_a_call_per_event(spark, tmp_path):
+    """A Python call for every event made the state the slowest step by far."""
+    from leafgraph.operators.interactions import parse_questions
+    from leafgraph.streaming.interactions import first_payloads, told_and_new
+
+    (tmp_path / "in").mkdir()
+    stream = told_and_new(spark.readStream.format("text").load(str(tmp_path / "in")), parse_questions)
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert stream.isStreaming and "Deduplicate" in plan and "TransformWithState" not in plan
+    batch = spark.createDataFrame(
+        [("1", "b", False), ("1", "a", False), ("1", None, True), ("2", "a", False), (None, "x", False), (None, "x", False)],
+        "event_id string, value string, new boolean")
+    assert sorted(r["value"] for r in first_payloads(batch).collect()) == ["a", "x", "x"]
