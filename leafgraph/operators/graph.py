@@ -43,17 +43,18 @@ def rank_lists(links: DataFrame) -> DataFrame:
     """``(id, head, place)`` of every node of simple lists ``links(src, dst)``: no node has two successors or two predecessors.
 
     Pointer doubling: each round a node looks twice as far ahead towards its head, so the longest list takes as many rounds as
-    its length has binary digits. A list that closes into a ring begins at its smallest id.
+    its length has binary digits. A list that closes into a ring begins at its smallest id. The joins of a round are merged: a
+    broadcast would send the nodes through the driver once a round.
     """
     nodes = links.select(F.col("dst").alias("id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"))
-    heads = links.select(F.col("src").alias("id")).join(links.select(F.col("dst").alias("id")), "id", "left_anti")
+    heads = links.select(F.col("src").alias("id")).join(links.select(F.col("dst").alias("id")).hint("merge"), "id", "left_anti")
     nodes = nodes.unionByName(heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place")))
     nodes = materialize(nodes.withColumns({"least": F.least("id", "head"), "moved": F.lit(True)}), "lists")
     total, reach = nodes.count(), 1
     while reach < 2 * total and not nodes.where("moved").isEmpty():
         ahead = nodes.select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"),
                              F.col("least").alias("_least"))
-        before, nodes = nodes, materialize(nodes.join(ahead, "head").select(
+        before, nodes = nodes, materialize(nodes.join(ahead.hint("merge"), "head").select(
             "id", F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"),
             F.least("least", "_least").alias("least"), (F.col("_head") != F.col("head")).alias("moved")), "lists")
         discard(before)
@@ -76,11 +77,11 @@ class SplitChains:
     def __init__(self, edges: DataFrame):
         links = edges.where(F.col("type") == S.SPLIT_SIBLING).select("src", "dst").distinct()
         self.before, self.after = _only(links, "dst", "src"), _only(links, "src", "dst")
-        mutual = materialize(self.before.join(self.after, ["src", "dst"]).where("src <> dst"), "links")
+        mutual = materialize(self.before.join(self.after.hint("merge"), ["src", "dst"]).where("src <> dst"), "links")
         self.places = materialize(rank_lists(mutual), "places")
         step = mutual.select("src", "dst")
-        self.back = materialize(self.before.join(step, ["src", "dst"], "left_anti"), "back")  # from a head into another list
-        self.on = materialize(self.after.join(step, ["src", "dst"], "left_anti"), "on")
+        self.back = materialize(self.before.join(step.hint("merge"), ["src", "dst"], "left_anti"), "back")  # from a head into another list
+        self.on = materialize(self.after.join(step.hint("merge"), ["src", "dst"], "left_anti"), "on")
 
     def _located(self, rows: DataFrame) -> DataFrame:
         """``rows(doc_id, node)`` with the list of the node and its place; a node in no list is one of its own."""

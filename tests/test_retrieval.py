@@ -280,3 +280,15 @@ def test_ring_of_continuations_ends(spark):
     edges = spark.createDataFrame([(3, 8, 5), (8, 5, 5), (5, 3, 5)], "src long, dst long, type int")
     rows = split_siblings(edges, spark.createDataFrame([(5,)], "doc_id long")).orderBy("position").collect()
     assert [r["member_id"] for r in rows] == [3, 8, 5]
+
+
+def test_lists_are_ranked_without_broadcasts(spark, monkeypatch):
+    """A round that broadcast its nodes sent them through the driver, as often as the longest list has binary digits."""
+    from leafgraph.operators import graph as G
+
+    plans, keep = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, label))[1])
+    links = spark.range(1, 40).selectExpr("id - 1 AS src", "id AS dst")
+    found = G.rank_lists(links).collect()
+    assert sorted(r["place"] for r in found) == list(range(40)) and {r["head"] for r in found} == {0}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
