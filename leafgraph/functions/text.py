@@ -101,12 +101,14 @@ def strip_prompt_echo(output: Column, prompt: Column) -> Column:
 
 
 def extract_field(text: Column, name: str) -> Column:
-    """The ``url:`` or ``text:`` field of a flattened row; the text runs to the next field line or the end."""
+    """The ``url:`` or ``text:`` field of a flattened row; the text runs to the next field line or the end.
+
+    The text is taken line by line, possessively, and what stands behind its name always matches, so one scan does.
+    """
     if name == "url":
-        pattern = r"url:\s*(\S+)"
-    else:
-        pattern = name + r":\s*([\s\S]*?)(?:\n\w+:\s|\n?\z)"
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1))
+        return F.nullif(F.regexp_extract(text, r"url:\s*(\S+)", 1), F.lit(""))
+    pattern = name + r":\s*([^\n]*+(?:\n(?!\w+:\s|\z)[^\n]*+)*+)"
+    return F.when(F.regexp_like(text, F.lit(name + ":")), F.regexp_extract(text, pattern, 1))
 
 
 def italics(text: Column) -> Column:

@@ -292,3 +292,16 @@ def test_lists_are_ranked_without_broadcasts(spark, monkeypatch):
     found = G.rank_lists(links).collect()
     assert sorted(r["place"] for r in found) == list(range(40)) and {r["head"] for r in found} == {0}
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_fields_are_told_apart_in_one_scan(spark):
+    from leafgraph.functions.text import extract_field
+
+    texts = ["url: u\ntext: a\nb\nlinks: none", "text:", "text: \n x\n", "no field", None, "text: a\nb:c\nd: e", "text: a\n\n", "url: \n",
+             "text: " + "line\n" * 50_000 + "links: none", "text: a\r\nb c\n\nlinks:\tx"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        extract_field(F.col("t"), "url").alias("url"), extract_field(F.col("t"), "text").alias("text"),
+        F.expr(r"CASE WHEN regexp_like(t, 'text:\\s*([\\s\\S]*?)(?:\\n\\w+:\\s|\\n?\\z)') "
+               r"THEN regexp_extract(t, 'text:\\s*([\\s\\S]*?)(?:\\n\\w+:\\s|\\n?\\z)', 1) END").alias("lazy"))
+    assert [r["url"] for r in rows.collect()] == ["u"] + [None] * 6 + [None] * 3
+    assert all(r["text"] == r["lazy"] for r in rows.collect())
