@@ -40,10 +40,11 @@ def _core(token: Column) -> Column:
 
 def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """``(w, dot, n, c)``: occurrences of word ``w`` with or without a full stop, and with one by the word that follows."""
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda x: _core(x) != "")
-    rows = documents.select(F.explode(let(tokens, lambda ts: F.transform(ts, lambda x, i: F.struct(
-        _core(x).alias("w"), (F.regexp_extract(x, CORE, 2) != "").alias("dot"),
-        _core(F.try_element_at(ts, i + 2)).alias("after"))))).alias("t"))
+    # a token is taken apart once, whatever asks for its word
+    parts = F.transform(F.split(F.col(text), r"\s+"), lambda x: F.struct(
+        _core(x).alias("w"), (F.regexp_extract(x, CORE, 2) != "").alias("dot")))
+    rows = documents.select(F.explode(let(F.filter(parts, lambda p: p["w"] != ""), lambda ts: F.transform(ts, lambda x, i: F.struct(
+        x["w"].alias("w"), x["dot"].alias("dot"), F.try_element_at(ts, i + 2)["w"].alias("after"))))).alias("t"))
     follows = F.when(F.col("t.dot"), F.coalesce("t.after", F.lit("")))
     return rows.select("t.w", "t.dot", follows.alias("n")).groupBy("w", "dot", "n").agg(F.count("*").alias("c"))
 
