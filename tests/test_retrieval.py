@@ -305,3 +305,14 @@ def test_fields_are_told_apart_in_one_scan(spark):
                r"THEN regexp_extract(t, 'text:\\s*([\\s\\S]*?)(?:\\n\\w+:\\s|\\n?\\z)', 1) END").alias("lazy"))
     assert [r["url"] for r in rows.collect()] == ["u"] + [None] * 6 + [None] * 3
     assert all(r["text"] == r["lazy"] for r in rows.collect())
+
+
+def test_a_token_is_taken_apart_once(spark):
+    """Its word and its full stop are one pattern each, whatever asks for them."""
+    from leafgraph.operators.sentences import word_counts
+
+    rows = word_counts(spark.createDataFrame([("1. Dr. Who came. So did I.",)], "text string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert {(r["w"], r["dot"], r["n"], r["c"]) for r in rows.collect()} == {
+        ("1", True, "dr", 1), ("dr", True, "who", 1), ("who", False, None, 1), ("came", True, "so", 1), ("so", False, None, 1),
+        ("did", False, None, 1), ("i", True, "", 1)}
