@@ -210,6 +210,6 @@ def build_sections(parsed: DataFrame, config: SiteConfig | Mapping[str, SiteConf
     configuration per site, sections carry the ``rules`` of theirs.
     """
     rules = Rules(config)
-    rows = place_rows(mark_splits(rules.attach(by_page(parsed)), rules), rules)
+    rows = place_rows(mark_splits(rules.attach(by_page(parsed, parsed)), rules), rules)
     sections = with_intros(count_children(title_paths(section_contents(rows), rules)))
     return sections.where((strip(F.col("text")) != "") | (F.col("n_children") > 0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafgraph.functions.text import strip
 from leafgraph.operators.parse import SPLIT_CLASS
-from leafgraph.session import by_page
+from leafgraph.session import by_page, follow
 
 _TABLE = ["page_id", "table_no"]
 _ROW = [*_TABLE, "row_no"]
@@ -44,7 +44,7 @@ def _kept(parsed: DataFrame) -> DataFrame:
     kind = F.col("kind")
     full = (kind == "cell") & (~_blank(F.col("body")) | F.col("nested"))
     # one exchange by page serves every window and aggregation of the conversion
-    rows = by_page(parsed.where(kind.isin("table", "row", "cell", "note")))
+    rows = by_page(parsed.where(kind.isin("table", "row", "cell", "note")), parsed)
     marked = rows.withColumns({
         "_has_note": F.max(kind == "note").over(row), "_last": F.max(F.when(full, F.col("col_no"))).over(row)})
     stays = kind.isin("table", "note") | (~F.col("_has_note") & (
@@ -223,4 +223,4 @@ def replace_tables(parsed: DataFrame) -> DataFrame:
     lines = convert_tables(parsed).select("page_id", *_site(parsed), F.inline(
         F.when(note.isNotNull(), F.array(line, below)).otherwise(F.array(line))))
     table_kinds = ("table", "row", "cell", "note")
-    return parsed.where(~F.col("kind").isin(*table_kinds)).unionByName(lines, allowMissingColumns=True)
+    return follow(parsed.where(~F.col("kind").isin(*table_kinds)).unionByName(lines, allowMissingColumns=True), parsed)

@@ -16,7 +16,7 @@ from leafgraph.operators import extracts as X
 from leafgraph.operators.parse import SiteConfig, page_titles, parse_pages
 from leafgraph.operators.sections import acceptable_heads, build_sections
 from leafgraph.registered.base import Tables, query, sql_squeeze, squeeze
-from leafgraph.session import deal_out
+from leafgraph.session import deal_out, follow
 
 ARTICLE = SiteConfig(name="pages", main_content_attrs={"name": "article"})
 
@@ -90,7 +90,8 @@ def html_of(t: Tables, *pieces: str) -> DataFrame:
     html = F.lit("".join(pieces))
     for name, value in names.items():
         html = F.replace(html, F.lit("{" + name + "}"), value)
-    return deal_out(t.part, PAGES_PER_TASK).select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    parts = deal_out(t.part, PAGES_PER_TASK)
+    return follow(parts.select(F.col("p_partkey").alias("page_id"), html.alias("html")), parts)
 
 
 PART_PAGE = (
@@ -142,7 +143,7 @@ def h6(t: Tables) -> DataFrame:
     sized = base.join(t.part.select(F.col("p_partkey").alias("page_id"), "p_size"), "page_id")
     pages = sized.select("page_id", F.replace("html", F.lit("@@"), F.repeat(F.lit("word "), F.col("p_size")))
                          .alias("html"))
-    return shown(build_sections(parse_pages(pages, config), config))
+    return shown(build_sections(parse_pages(follow(pages, base), config), config))
 
 
 @query("h7_split_tag_predicate", f"""WITH {PARTS} SELECT page_id, h.t AS heading, h.ok AS accepted FROM (

@@ -51,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._work_path = path
-    return table
+    return follow(table, df)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -76,17 +76,30 @@ def deal_out(df: DataFrame, rows: int) -> DataFrame:
     """``df`` in tasks of about ``rows`` rows, ahead of a step that makes much more of a row than it holds.
 
     A compact table comes as one split however many rows it has, so its bytes say nothing about the work on them. The rows
-    are counted, which Parquet answers from its footers, and dealt out in turn, so that no key matters.
+    are counted, which Parquet answers from its footers, and dealt out in turn, so that no key matters. Steps that derive
+    tables hand the number of tasks on with :func:`follow`.
     """
-    return df.repartition(max(1, -(-df.count() // rows)))
+    tasks = max(1, -(-df.count() // rows))
+    dealt = df.repartition(tasks)
+    dealt._tasks = tasks
+    return dealt
 
 
-def by_page(df: DataFrame) -> DataFrame:
-    """``df`` by ``page_id``, over as many partitions as a shuffle has.
+def follow(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, known to hold what the tasks made that ``source`` was dealt out to, if it was."""
+    tasks = getattr(source, "_tasks", None)
+    if tasks:
+        df._tasks = tasks
+    return df
+
+
+def by_page(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` by ``page_id``, over as many partitions as a shuffle has, or as ``source`` was dealt out to, if those are more.
 
     The number is named, because adaptive execution would merge partitions by the bytes they have in the exchange, and the
-    windows behind it hold rows many times as wide.
+    windows behind it hold rows many times as wide. With a fixed number of them the memory of a task would grow with the pages.
     """
     spark = df.sparkSession
-    partitions = spark.conf.get(PARTITIONS_SETTING, None) or spark.conf.get("spark.sql.shuffle.partitions")
-    return df.repartition(int(partitions), "page_id")
+    setting = spark.conf.get(PARTITIONS_SETTING, None)
+    partitions = int(setting) if setting else max(int(spark.conf.get("spark.sql.shuffle.partitions")), getattr(source, "_tasks", 1))
+    return df.repartition(partitions, "page_id")

@@ -183,3 +183,38 @@ def test_sections_and_tables_keep_all_partitions_of_a_shuffle(spark, tmp_path):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for rows in (part_sections(t), trim_cells(parsed(t))):
         assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
+def test_partitions_by_page_grow_with_the_pages(spark):
+    from leafgraph.operators.sections import build_sections
+    from leafgraph.operators.tables import classify_rows, replace_tables
+    from leafgraph.registered.pages import html_of
+    from leafgraph.session import deal_out, follow, materialize
+
+    many = int(spark.conf.get("spark.sql.shuffle.partitions")) + 3
+    config = SiteConfig(replacements=({"attrs": {"name": "table"}, "function": "convert_table"},))
+    dealt = deal_out(spark.range(2 * many), 2)
+    html = F.lit("<h1>t</h1><table><tr><td>a<td>b</table>")
+    parsed = parse_pages(follow(dealt.select(F.col("id").alias("page_id"), html.alias("html")), dealt), config)
+    assert classify_rows(parsed).rdd.getNumPartitions() == many
+    replaced = replace_tables(materialize(parsed, "tables"))
+    assert build_sections(replaced, config).rdd.getNumPartitions() == many
+    assert build_sections(parsed, config).count() == 2 * many
+
+    class Parts:
+        part = spark.range(20_000).select(
+            F.col("id").alias("p_partkey"), *[F.lit(x).alias(f"p_{x}") for x in ("name", "brand", "type")],
+            F.lit(1).alias("p_size"), F.lit(1.5).alias("p_retailprice"))
+
+    assert parse_pages(html_of(Parts, "{name}"), config)._tasks == 4
+
+
+@pytest.mark.parametrize("cell", ["a", "a<sup>1</sup>b", "<sup>x</sup>", "<p>a</p><table><tr><td>i<sup>2</sup></table><sup>3</sup>", ""])
+def test_cells_read_alike_with_and_without_elements(spark, cell):
+    from leafgraph.operators.parse import page_rows
+
+    config = SiteConfig(replacements=({"attrs": {"name": "table"}, "function": "convert_table"},))
+    rows = [r for r in page_rows(1, f"<table><tr><th>h<td>{cell}</td></tr></table>", config, {}) if r["kind"] == "cell"]
+    expected = {"a": ("a", "a", None, False), "a<sup>1</sup>b": ("ab", "a[1]b", "1", False), "<sup>x</sup>": ("", "x", "x", False),
+                "": ("", "", None, False)}.get(cell, ("a[3]", "a[3]", "2", True))
+    assert [(r["text"], r["body"], r["note_keys"], r["nested"]) for r in rows if r["col_no"] == 1][:1] == [expected]
