@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 PARTITIONS_SETTING = "spark.leafgraph.partitions"
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def build_session(app: str = "leafgraph", master: str | None = None, **settings: str) -> SparkSession:
@@ -62,6 +65,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session hands rows to Python in Arrow batches of about ``most`` bytes, or as few as it did before.
+
+    Batches are bounded by rows otherwise, and a task's texts are one batch: it is held by the task and its Python worker at
+    once, and both keep what they have grown to. Narrow rows still go in batches as long as before.
+    """
+    had = re.fullmatch(r"(\d+)([bkmgtp]?)b?", spark.conf.get(BATCH_SETTING).strip().lower())
+    if had is None or int(had[1]) << 10 * "bkmgtp".index(had[2] or "b") > most:
+        spark.conf.set(BATCH_SETTING, str(most))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal ``df`` out over as many partitions as the setting ``spark.leafgraph.partitions`` says, ahead of a CPU-heavy step.
 

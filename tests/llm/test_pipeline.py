@@ -75,3 +75,26 @@ def test_odd_rows_pass(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES} == set(range(1, 14))
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    import pyarrow as pa
+
+    from leafgraph.session import BATCH_BYTES, BATCH_SETTING, bound_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    had = spark.conf.get(BATCH_SETTING)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 1000).alias("text"))
+    try:
+        corpus_pipeline.without_repeats(spark, docs.limit(0), "")
+        found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) >= 16_000_000 and max(found) <= BATCH_BYTES + 10_000
+        for setting, kept in (("1m", "1m"), ("64m", str(BATCH_BYTES)), ("67108864b", str(BATCH_BYTES)), ("4096k", "4096k"), ("1gb", str(BATCH_BYTES))):
+            spark.conf.set(BATCH_SETTING, setting)
+            bound_batches(spark)
+            assert spark.conf.get(BATCH_SETTING) in (kept, f"{kept}b")
+    finally:
+        spark.conf.set(BATCH_SETTING, had)
