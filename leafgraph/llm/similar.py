@@ -6,12 +6,14 @@ set, ``hist`` (counts of the features by hash, clipped to a byte) and ``sigs`` (
 No step forms all pairs of a group. Items with the same set are one class, found by grouping. Within a group of items that
 share a signature, each is first compared with the group's smallest item only; what that links is merged. Only groups that
 still hold several components go on, and there pairs are formed between components, kept only if the distance of their
-histograms (never more than the distance of the sets) allows the similarity. Groups larger than a block are cut into pairs
-of blocks, so a task holds two blocks at most.
+histograms (never more than the distance of the sets) allows the similarity. In large groups, a few partners of each item are
+tried and merged first, round by round while that links many, so that near copies are one component before all pairs between
+components are formed. Groups larger than a block are cut into pairs of blocks, so a task holds two blocks at most.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgraph.llm.texts import mix
 from leafgraph.session import discard, materialize
 
 BLOCK_ITEMS = 2048
+LARGE = 64  # items of a group of which a few pairs are tried before all
+FEW = 3  # partners tried of an item in a round
 
 
 def histograms(hashes: np.ndarray, rows: np.ndarray, n_rows: int, bins: int) -> np.ndarray:
@@ -32,8 +37,6 @@ def histograms(hashes: np.ndarray, rows: np.ndarray, n_rows: int, bins: int) ->
 
 def set_digests(hashes: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit sums over a row's distinct hashes: equal sets have equal sums."""
-    from leafgraph.llm.texts import mix
-
     a, b = np.zeros(n_rows, np.uint64), np.zeros(n_rows, np.uint64)
     if len(rows):
         firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
@@ -132,8 +135,11 @@ def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share
     links = materialize(verify(stars), "links")
     labels = connected_components(links)
 
-    rest = materialize(_across(shared, labels, items, share).join(stars, ["x", "y"], "left_anti"), "rest")
-    discard(shared, stars, labels)
+    left = materialize(_open(shared, labels), "open")
+    discard(shared, labels)
+    tried, links, left = _merge_large(left, stars, links, items, verify, share)
+    rest = materialize(_across(left, items, share).join(tried, ["x", "y"], "left_anti"), "rest")
+    discard(tried, left)
     if not rest.isEmpty():
         before, links = links, materialize(links.union(verify(rest)), "links")
         discard(before)
@@ -142,21 +148,52 @@ def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share
     return found
 
 
-def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Possible pairs between different components of a group."""
-    own = shared.join(labels, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, id, component) of the groups (sig, id) that hold several components."""
+    own = rows.join(labels, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
     open_ = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rows = own.join(open_.select("sig"), "sig").distinct()
+    return own.join(open_.select("sig"), "sig").distinct()
+
+
+def _merge_large(left: DataFrame, tried: DataFrame, links: DataFrame, items: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                 share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs tried, the links found and the rows of groups still open after rounds over large groups.
+
+    A round tries at most ``FEW`` possible partners of an item in a group, others than the round before; rounds end when less
+    than a tenth of what they tried are links. They only save pairs: what they don't link is left to the caller.
+    """
+    for turn in itertools.count():
+        large = left.groupBy("sig").count().filter(F.col("count") >= LARGE).select("sig")
+        some = materialize(_across(left.join(large, "sig"), items, share, turn).join(tried, ["x", "y"], "left_anti"), "some")
+        n = some.count()
+        if not n:
+            discard(some)
+            return tried, links, left
+        new = materialize(verify(some), "new")
+        before = tried, links, left, some, new
+        tried, links = materialize(tried.union(some), "tried"), materialize(links.union(new), "links")
+        labels = connected_components(links)
+        left = materialize(_open(left.select("sig", "id"), labels), "open")
+        enough = 10 * new.count() < n
+        discard(labels, *before)
+        if enough:
+            return tried, links, left
+
+
+def _across(rows: DataFrame, items: DataFrame, share: tuple[int, int], turn: int | None = None) -> DataFrame:
+    """Possible pairs between different components of a group; at most ``FEW`` partners of an item, if a ``turn`` is given."""
     order = Window.partitionBy("sig").orderBy("id")
     rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_ITEMS).cast("int"))
     counts = rows.groupBy("sig").agg(F.max("block").alias("last"))
     rows = rows.join(counts, "sig").join(items.select("id", "size", "hist"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     rows = rows.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id",
-                       F.xxhash64("component").alias("part"), "size", "hist")
+                       F.xxhash64("id", F.lit(turn)).alias("key"), F.xxhash64("component").alias("part"), "size", "hist")
     # groups follow each other in sorted partitions, so that many small ones are one batch
     rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "size")
 
+    few = None if turn is None else FEW
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # the last group, which the next batch may go on with
         for batch in batches:
@@ -166,10 +203,10 @@ def _across(shared: DataFrame, labels: DataFrame, items: DataFrame, share: tuple
             held = own if held is None else pa.concat_tables([held, own])
             ends = _group_ends(held)
             if len(ends) > 1:
-                yield from _pairs(held.slice(0, int(ends[-2])).combine_chunks(), share)
+                yield from _pairs(held.slice(0, int(ends[-2])).combine_chunks(), share, few)
                 held = held.slice(int(ends[-2]))
         if held is not None:
-            yield from _pairs(held.combine_chunks(), share)
+            yield from _pairs(held.combine_chunks(), share, few)
 
     kind = items.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(run, f"x {kind}, y {kind}")
@@ -185,11 +222,15 @@ def _group_ends(rows: pa.Table) -> np.ndarray:
     return np.append(np.flatnonzero(new) + 1, rows.num_rows)
 
 
-def _pairs(rows: pa.Table, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of each group, of its first block with its second, or within its only one."""
+def _pairs(rows: pa.Table, share: tuple[int, int], few: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of each group, of its first block with its second, or within its only one.
+
+    Of each left item at most ``few``, if given: the same in all groups, as far as they hold the same items.
+    """
     ids = rows.column("id").combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
     part, block, size, i, j = (rows.column(c).to_numpy().astype(np.int64) for c in ("part", "block", "size", "i", "j"))
+    key = rows.column("key").to_numpy().view(np.uint64)
     hist = _hist(rows.column("hist").combine_chunks())
     # sums over more and more bins: the first bounds rule out most pairs
     bounds = [hist.reshape(len(hist), n, -1).sum(axis=2, dtype=np.int16) for n in (8, 64) if n < hist.shape[1]] + [hist]
@@ -202,6 +243,11 @@ def _pairs(rows: pa.Table, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
             if len(x):
                 ok = possible(counts[x], counts[y], size[x], size[y], share)
                 x, y = x[ok], y[ok]
+        if few is not None and len(x):
+            order = np.lexsort((mix(mix(key[x]) ^ key[y]), x))
+            x, y = x[order], y[order]
+            ok = np.arange(len(x)) - np.searchsorted(x, x) < few
+            x, y = x[ok], y[ok]
         left.append(x)
         right.append(y)
 

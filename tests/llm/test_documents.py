@@ -103,6 +103,30 @@ def test_join_in_small_blocks(spark, monkeypatch):
     assert _sorted(got) == want and len({c for _, _, c in want}) > 1
 
 
+def test_near_copies_are_merged_before_all_pairs(spark, monkeypatch):
+    """The first item of a large group is like no other, and the others are near each other: few of their pairs are verified."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for place in rng.sample(range(100), 5 if k else 10):
+            words[place] = f"own{k}x{place}"
+        rows.append((k, " ".join(words)))
+    rows.append((150, " ".join(base[:60] + [f"far{i}" for i in range(40)])))
+    tried, verified = [], set_join.verified
+
+    def counted(documents, pairs, n, share):
+        tried.append(pairs.count())
+        return verified(documents, pairs, n, share)
+    monkeypatch.setattr(set_join, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in set_join.join_similar(docs, n=1, share=(80, 100)).collect()]
+    want = _components(rows, 1, 80, 100)
+    assert _sorted(got) == want and {c for _, _, c in want} == {0, 1, 150}
+    assert sum(tried) < 3000  # of 11026 pairs without rounds
+
+
 def test_join_over_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
