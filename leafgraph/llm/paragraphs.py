@@ -269,8 +269,11 @@ def _anchors(documents: DataFrame) -> DataFrame:
     return _documents(documents).mapInArrow(find, f"{_TEXT}, gram long, extent long, {_SPAN}")
 
 
-def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Text, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, text_key, gram)."""
+def _single(documents: DataFrame, wanted: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Text, key, anchor and span of every stretch whose anchor has one of the grams ``wanted`` (doc_id, text_key, gram).
+
+    Stretches with words in the spans ``gone`` are left out before the table is written, as it has two readers.
+    """
     lists = materialize(wanted.groupBy("doc_id", "text_key").agg(F.collect_set("gram").alias("grams")), "grams")  # of one text
     joined = _among(documents, lists).join(lists.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "grams")
 
@@ -297,20 +300,28 @@ def _single(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     [*_texts(batch, own.rows[low] + first), pa.array(key.view(np.int64)), pa.array(anchor.astype(np.int32)),
                      *own.spans(low, low + STRETCH)], ["doc_id", "text_key", "key", "anchor", "low", "high", "start", "end"])
 
-    found = materialize(joined.mapInArrow(find, f"{_TEXT}, key long, anchor int, {_SPAN}"), "stretches")
+    stretches = joined.mapInArrow(find, f"{_TEXT}, key long, anchor int, {_SPAN}")
+    if gone is not None:
+        cuts = F.exists("_cuts", lambda c: (c["low"] < F.col("high")) & (c["high"] > F.col("low")))
+        stretches = stretches.join(_cut_lists(gone), ["doc_id", "text_key"], "left").filter(~F.coalesce(cuts, F.lit(False))).drop("_cuts")
+    found = materialize(stretches, "stretches")
     discard(lists)
     return found
 
 
+def _cut_lists(cuts: DataFrame) -> DataFrame:
+    """One row per text with its ``cuts`` (doc_id, text_key, low, high) as an array, each once."""
+    return cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("_cuts"))
+
+
 def with_covered(spans: DataFrame, cuts: DataFrame) -> DataFrame:
     """``spans`` (doc_id, text_key, low, high, ...) with ``covered``: how many of their words lie in cuts of the same text.
 
     ``cuts`` don't overlap each other, but may stand twice. A text's cuts are one array, so only narrow rows meet.
     """
-    lists = cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("low", "high")).alias("_cuts"))
     covered = F.aggregate("_cuts", F.lit(0), lambda n, c: n + F.greatest(
         F.lit(0), F.least(c["high"], F.col("high")) - F.greatest(c["low"], F.col("low"))))
-    return spans.join(lists, ["doc_id", "text_key"], "left").withColumn("covered", F.coalesce(covered, F.lit(0))).drop("_cuts")
+    return spans.join(_cut_lists(cuts), ["doc_id", "text_key"], "left").withColumn("covered", F.coalesce(covered, F.lit(0))).drop("_cuts")
 
 
 def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> DataFrame:
@@ -337,12 +348,11 @@ def repeated_stretches(documents: DataFrame, gone: DataFrame | None = None) -> D
         *text, "gram", "several", "low", "high", "start", "end", "first"), "shared")
     discard(anchors)
 
-    single = _single(documents, shared.filter("several").select(*text, "gram"))
-    left = single if gone is None else with_covered(single, gone).filter("covered = 0").drop("covered")
-    firsts = left.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
+    single = _single(documents, shared.filter("several").select(*text, "gram"), gone)
+    firsts = single.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(
         "first < last").drop("last")
     # stretches of one anchor all hold it, so together they are one run
-    runs = left.join(firsts.hint("merge"), "key").filter("doc_id > first").groupBy(*text, "anchor").agg(
+    runs = single.join(firsts.hint("merge"), "key").filter("doc_id > first").groupBy(*text, "anchor").agg(
         *(F.min(c).alias(c) for c in ("low", "start", "first")), *(F.max(c).alias(c) for c in ("high", "end")))
 
     columns = [*text, "low", "high", "start", "end", "first"]

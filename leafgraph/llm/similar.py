@@ -114,9 +114,12 @@ def components(items: DataFrame, verify: Callable[[DataFrame], DataFrame], share
     ``verify`` takes pairs (x, y) of ids and returns those that are similar. ``items`` must be a written table. The result is
     one, too; all tables in between are deleted.
     """
-    classes = items.filter("size > 0").groupBy("a", "b", "size").agg(F.min("id").alias("class"), F.count("*").alias("n"))
-    classes = materialize(items.filter("size > 0").select("id", "a", "b", "size").join(
-        classes.filter("n > 1"), ["a", "b", "size"]).select("id", "class"), "classes")
+    # counted first: the smallest of ids that are structs is found by sorting, which only sets with copies need
+    digest = ["a", "b", "size"]
+    sets = items.filter("size > 0").select("id", *digest)
+    copies = materialize(sets.join(sets.groupBy(digest).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), digest), "copies")
+    classes = materialize(copies.join(copies.groupBy(digest).agg(F.min("id").alias("class")), digest).select("id", "class"), "classes")
+    discard(copies)
     same = classes.select(F.col("class").alias("x"), F.col("id").alias("y")).filter("x <> y")
 
     # One exchange by signature: rows of groups of two and more, each with the smallest item of its group.

@@ -600,3 +600,19 @@ def test_label_model_recovers_accuracies():
     guess = np.array([model.posterior[p] for p in patterns.tolist()]) >= 0.5
     assert (guess == truth).mean() > 0.97
     assert np.abs(np.array(list(model.accuracy().values())) - right).max() < 0.1
+
+
+def test_stretches_in_cuts_are_not_written(spark):
+    """Stretches that hold words of the spans cut before take no part in the table that two joins read; all others do."""
+    rng = random.Random(31)
+    rows = [(i, _sentence(rng, 200)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = paragraphs._anchors(docs).select("doc_id", "text_key", "gram")
+    key = {r["doc_id"]: r["text_key"] for r in wanted.collect()}
+    gone = spark.createDataFrame([(1, key[1], 60, 80)] * 2 + [(1, key[1], 190, 200), (2, key[2], 0, 200)],
+                                 "doc_id long, text_key long, low int, high int")
+    whole = {(r["doc_id"], r["low"], r["high"], r["key"]) for r in paragraphs._single(docs, wanted, None).collect()}
+    left = {(r["doc_id"], r["low"], r["high"], r["key"]) for r in paragraphs._single(docs, wanted, gone).collect()}
+    assert len({i for i, *_ in whole}) == 3
+    assert left == {x for x in whole if x[0] == 0 or x[0] == 1 and all(x[2] <= a or x[1] >= b for a, b in ((60, 80), (190, 200)))}
+    assert {i for i, *_ in left} == {0, 1}
