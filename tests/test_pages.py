@@ -218,3 +218,17 @@ def test_cells_read_alike_with_and_without_elements(spark, cell):
     expected = {"a": ("a", "a", None, False), "a<sup>1</sup>b": ("ab", "a[1]b", "1", False), "<sup>x</sup>": ("", "x", "x", False),
                 "": ("", "", None, False)}.get(cell, ("a[3]", "a[3]", "2", True))
     assert [(r["text"], r["body"], r["note_keys"], r["nested"]) for r in rows if r["col_no"] == 1][:1] == [expected]
+
+
+def test_batches_walk_only_the_fields_of_a_row():
+    """A row has some of the twenty fields; the others are not asked for one by one."""
+    from leafgraph.operators.parse import _FIELDS, _batch
+
+    class Row(dict):
+        def get(self, *args):
+            raise AssertionError("a field was asked for")
+    rows = [Row(page_id=1, pos=1, kind="page", body=""), Row(page_id=1, pos=2, kind="cell", table_no=0, nested=False)]
+    got = _batch(rows, _FIELDS).to_pylist()
+    assert [{k: v for k, v in r.items() if v is not None} for r in got] == [dict(r) for r in rows]
+    assert list(got[0]) == [name for name, _ in _FIELDS]
+    assert _batch([], _FIELDS).num_rows == 0
