@@ -316,3 +316,52 @@ def test_a_token_is_taken_apart_once(spark):
     assert {(r["w"], r["dot"], r["n"], r["c"]) for r in rows.collect()} == {
         ("1", True, "dr", 1), ("dr", True, "who", 1), ("who", False, None, 1), ("came", True, "so", 1), ("so", False, None, 1),
         ("did", False, None, 1), ("i", True, "", 1)}
+
+
+def test_vectors_are_made_once(data):
+    _, _, docs, questions = data
+    found = N.search_blocks(questions, docs.withColumn("embedding", F.transform("embedding", lambda x: x + 0)),
+                            [("vector", "embedding")], [[0]], F.lit(3), "cosine", ["question_id"], "doc_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "transform" not in plan  # blocks of either side are read, not made per pair
+
+
+def test_question_block_holds_no_batch():
+    buffers = {"ks": np.full(3, 2), "q0": np.ones((3, 4))}
+    block = N._Block({"keys": None, **{k: v.tobytes() for k, v in buffers.items()}, "wanted": b"", "wants": b""}, [[0]], 1, 0, "l2")
+    assert all(x.base is None or x.base.flags.owndata for x in (block.ks, *block.mats, block.wanted, block.wants))
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("lists", [[[0]], [[0], [1]], [[0, 1]]])
+def test_screened_search_equals_all_distances(metric, lists):
+    rng = np.random.default_rng(4)
+    vecs = [rng.normal(size=(900, 8)) * rng.choice([1e-3, 1, 1e4], (900, 1)) for _ in range(2)]
+    qs = [rng.normal(size=(40, 8)) for _ in range(2)]
+    ids = rng.permutation(900) * 3
+    for v, q in zip(vecs, qs):
+        v[100:400] = v[100]  # copies
+        v[500:520] = 0
+        v[600, 3] = np.nan
+        q[:5], q[5], q[6] = v[100], 0, np.nan
+    ks = rng.integers(1, 9, 40)
+    codes = rng.integers(0, 3, (900, 1))
+    wanted, wants = rng.integers(0, 3, (40, 1)), rng.random((40, 1)) < 0.5
+    row = {"keys": None, "ks": ks.tobytes(), "wanted": wanted.tobytes(), "wants": wants.tobytes(),
+           **{f"q{i}": q.tobytes() for i, q in enumerate(qs)}}
+    block = N._Block(row, lists, 2, 1, metric)
+    for at in range(0, 900, 60):
+        part = slice(at, at + 60)
+        block.add(ids[part], [v[part] for v in vecs], codes[part], np.ones((60, 1), bool))
+    with np.errstate(all="ignore"):
+        each = [{"inner": -(q @ v.T), "l2": np.linalg.norm(q[:, None] - v[None], axis=2),
+                 "cosine": 1 - q @ v.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1))}[metric] for q, v in zip(qs, vecs)]
+    for n, pairs in enumerate(lists):
+        d = sum(np.round(np.where(np.isnan(each[i]), np.inf, each[i]) if metric == "cosine" else each[i], N.DIGITS) for i in pairs)
+        for q in range(40):
+            some = np.flatnonzero((~wants[q, 0] | (codes[:, 0] == wanted[q, 0])) & ~np.isnan(d[q]))
+            best = some[np.lexsort((ids[some], np.round(d[q][some], 7)))][:ks[q]]
+            mine = block.best[n][0] == q
+            np.testing.assert_allclose(block.best[n][1][mine], d[q][best], rtol=1e-7, atol=1e-6)
+            if metric == "cosine":
+                assert list(block.best[n][2][mine]) == list(ids[best])
