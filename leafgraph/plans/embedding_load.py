@@ -12,7 +12,7 @@ from leafgraph.functions.vectors import pad_vector
 from leafgraph.operators.interactions import observed
 from leafgraph.schemas import VECTOR_CACHE
 from leafgraph.session import materialize
-from leafgraph.sources.store import append_update, reuse_vectors, write_vectors
+from leafgraph.sources.store import append_update, missing_texts, write_vectors
 
 
 def select_text_rows(extracts: DataFrame) -> DataFrame:
@@ -50,21 +50,22 @@ def load_vectors(extracts: DataFrame, path: str, load: int, model_factory=None,
     rows = select_text_rows(extracts).withColumn("titles", combine_titles(F.col("parent_titles"), F.col("titles")))
     rows = rows.withColumns({"links": link_urls(F.col("links")), "_title": title_text(F.col("titles"))})
     rows = materialize(rows.withColumns({"_text_key": F.md5("text"), "_title_key": F.md5("_title")}), "load-rows")
-    wanted = rows.select(F.col("_text_key").alias("key"), "text").union(rows.select("_title_key", "_title")).dropDuplicates(["key"])
     try:
         cache = spark.read.schema(VECTOR_CACHE).parquet(f"{path}/cache").where(F.col("load") < load)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         cache = spark.createDataFrame([], VECTOR_CACHE)
-    known, missing = reuse_vectors(wanted, cache, key=F.col("key"))
-    fresh = embed(missing, model_factory, "text", "embedding", model_dim or dim).select("key", "embedding")
+    titles = rows.select(F.col("_title_key").alias("key"), F.col("_title").alias("text")).dropDuplicates(["key"])
+    wanted = rows.select(F.col("_text_key").alias("key"), "text").union(titles)
+    fresh = embed(missing_texts(wanted, cache), model_factory, "text", "embedding", model_dim or dim).select("key", "embedding")
     (fresh.withColumn("embedding", F.col("embedding").cast("array<float>")).withColumn("load", F.lit(load))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(f"{path}/cache"))
     vectors = spark.read.schema(VECTOR_CACHE).parquet(f"{path}/cache").where(F.col("load") <= load).select("key", "embedding")
-    for name in ("text", "title"):
-        own = vectors.select(F.col("key").alias(f"_{name}_key"), F.col("embedding").alias(f"{name}_embedding"))
-        rows = rows.join(own, f"_{name}_key")
+    named = titles.select("key").join(vectors, "key").select(F.col("key").alias("_title_key"), F.col("embedding").alias("title_embedding"))
+    own = vectors.select(F.col("key").alias("_text_key"), F.col("embedding").alias("text_embedding"))
+    # title paths are few beside extracts: written, their size is known, and where it is small the extracts are not moved for them
+    rows = rows.join(own, "_text_key").join(materialize(named, "title-vectors"), "_title_key")
     audit = observed(rows.select("doc_id", "url", "titles", "text", "links", "text_embedding", "title_embedding"),
                      lambda df: write_vectors(df, f"{path}/vectors", dim))
     append_update(spark, f"{path}/updates", load)

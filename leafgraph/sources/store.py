@@ -77,6 +77,15 @@ def reuse_vectors(texts: DataFrame, cache: DataFrame, text: str = "text", key: C
     return joined.where("embedding is not null"), joined.where("embedding is null").drop("embedding").dropDuplicates(["key"])
 
 
+def missing_texts(texts: DataFrame, cache: DataFrame) -> DataFrame:
+    """The distinct texts of ``texts(key, ...)`` that ``cache(key, embedding)`` has no vector of.
+
+    Both steps go by key, so a text is moved once; where only what is missing counts, nothing has to be written as in
+    :func:`reuse_vectors`.
+    """
+    return texts.join(cache.select("key").hint("merge"), "key", "left_anti").dropDuplicates(["key"])
+
+
 def append_update(spark: SparkSession, path: str, id: int, at: Column | None = None) -> None:
     """Record a finished load; a load that is recorded again under its id replaces its entry."""
     row = spark.range(1).select(F.lit(id).cast("long").alias("id"), (F.current_timestamp() if at is None else at)

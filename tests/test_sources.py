@@ -398,3 +398,29 @@ def test_log_state_is_asked_without_a_call_per_event(spark, tmp_path):
         [("1", "b", False), ("1", "a", False), ("1", None, True), ("2", "a", False), (None, "x", False), (None, "x", False)],
         "event_id string, value string, new boolean")
     assert sorted(r["value"] for r in first_payloads(batch).collect()) == ["a", "x", "x"]
+
+
+def test_load_writes_texts_once(spark, tmp_path, monkeypatch):
+    from leafgraph import session
+    from leafgraph.plans import embedding_load as L
+    from leafgraph.sources import store
+
+    written = []
+
+    def noted(df, label):
+        table = session.materialize(df, label)
+        written.append((label, "text" in df.columns))
+        return table
+
+    for module in (L, store):
+        monkeypatch.setattr(module, "materialize", noted)
+    rows = spark.createDataFrame([(i, "u", ["t", str(i % 2)], [], f"text {i % 3}", []) for i in range(6)],
+                                 "doc_id long, url string, titles array<string>, parent_titles array<string>, text string, links array<struct<url:string>>")
+    base = str(tmp_path / "v")
+    assert L.load_vectors(rows.where("doc_id < 2"), base, 1, dim=16).collect()[0]["n_rows"] == 2
+    assert L.load_vectors(rows, base, 2, dim=16).collect()[0]["n_rows"] == 6
+    assert [label for label, has_text in written if has_text] == ["load-rows"] * 2
+    cache = spark.read.parquet(f"{base}/cache")
+    assert {(r["load"], r["count"]) for r in cache.groupBy("load").count().collect()} == {(1, 4), (2, 1)}
+    assert cache.select("key").distinct().count() == 5
+    assert spark.read.parquet(f"{base}/vectors").where("text_embedding is not null and title_embedding is not null").count() == 6
