@@ -49,21 +49,27 @@ def rank_lists(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("dst").alias("id"), F.col("src").alias("head"), F.lit(1).cast("long").alias("place"))
     heads = links.select(F.col("src").alias("id")).join(links.select(F.col("dst").alias("id")).hint("merge"), "id", "left_anti")
     nodes = nodes.unionByName(heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("place")))
-    nodes = materialize(nodes.withColumns({"least": F.least("id", "head"), "moved": F.lit(True)}), "lists")
-    total, reach = nodes.count(), 1
-    while reach < 2 * total and not nodes.where("moved").isEmpty():
-        ahead = nodes.select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"),
-                             F.col("least").alias("_least"))
-        before, nodes = nodes, materialize(nodes.join(ahead.hint("merge"), "head").select(
+    first = materialize(nodes.withColumns({"least": F.least("id", "head"), "moved": F.lit(True)}), "lists")
+    total, reach = first.count(), 1
+    # a round holds the nodes that moved in the one before; what it leaves unmoved has reached its head and stays where it is
+    moving, settled = first.where("moved"), first.where("NOT moved")
+    while reach < 2 * total and not moving.isEmpty():
+        ahead = settled.unionByName(moving).select(F.col("id").alias("head"), F.col("head").alias("_head"), F.col("place").alias("_place"),
+                                                   F.col("least").alias("_least"))
+        round_ = materialize(moving.join(ahead.hint("merge"), "head").select(
             "id", F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"),
             F.least("least", "_least").alias("least"), (F.col("_head") != F.col("head")).alias("moved")), "lists")
-        discard(before)
+        if reach == 1:
+            discard(first)
+            settled = round_.where("NOT moved")
+        else:
+            settled = settled.unionByName(round_.where("NOT moved"))
+        moving = round_.where("moved")
         reach *= 2
-    rings = nodes.where("moved")
-    if reach >= 2 * total and not rings.isEmpty():
-        opening = rings.where("id = least").select(F.col("id").alias("dst"))
+    if reach >= 2 * total and not moving.isEmpty():
+        opening = moving.where("id = least").select(F.col("id").alias("dst"))
         return rank_lists(materialize(links.join(opening, "dst", "left_anti").select("src", "dst"), "opened"))
-    return nodes.select("id", "head", "place")
+    return settled.select("id", "head", "place")
 
 
 class SplitChains:
@@ -134,13 +140,17 @@ def docs_by_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def combine_siblings(hits: DataFrame, edges: DataFrame, texts: DataFrame) -> DataFrame:
     """Hits with the text of their whole chain, joined by blanks; the last title goes.
 
-    The chain is bounded by one section of one page. Texts are fetched once per distinct member.
+    The chain is bounded by one section of one page. Documents with the same chain share its text: it is put together once,
+    from texts that are fetched once per chain, and goes to the documents by the last join, which leaves it where it is.
     """
-    around = split_siblings(edges, hits)
-    whole = (around.join(texts.select(F.col("doc_id").alias("member_id"), F.col("text").alias("_part")), "member_id")
-             .groupBy("doc_id").agg(F.array_join(F.transform(
+    place = F.struct("position", "member_id")
+    chains = split_siblings(edges, hits).groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("_chain"))
+    chains = materialize(chains.withColumn("_key", F.md5(F.to_json("_chain"))), "chains")
+    members = chains.dropDuplicates(["_key"]).select("_key", F.inline("_chain"))
+    whole = (members.join(texts.select(F.col("doc_id").alias("member_id"), F.col("text").alias("_part")), "member_id")
+             .groupBy("_key").agg(F.array_join(F.transform(
                  F.array_sort(F.collect_list(F.struct("position", "_part"))), lambda x: x["_part"]), " ").alias("text")))
-    out = hits.drop("text").join(whole, "doc_id", "left")
+    out = hits.drop("text").join(chains.select("doc_id", "_key"), "doc_id", "left").join(whole, "_key", "left").drop("_key")
     if "titles" in out.columns:
         out = out.withColumn("titles", F.slice("titles", 1, F.greatest(F.size("titles") - 1, F.lit(0))))
     return out

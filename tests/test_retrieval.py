@@ -365,3 +365,20 @@ def test_screened_search_equals_all_distances(metric, lists):
             np.testing.assert_allclose(block.best[n][1][mine], d[q][best], rtol=1e-7, atol=1e-6)
             if metric == "cosine":
                 assert list(block.best[n][2][mine]) == list(ids[best])
+
+
+def test_text_of_a_chain_is_put_together_once(spark):
+    from leafgraph import schemas as S
+    from leafgraph.operators import graph as G
+
+    edges = spark.createDataFrame([(1, 2, S.SPLIT_SIBLING), (2, 3, S.SPLIT_SIBLING), (4, 5, S.SPLIT_SIBLING), (4, 6, S.SPLIT_SIBLING)],
+                                  "src long, dst long, type int")
+    hits = spark.createDataFrame([(i, "h", ["x", "y"]) for i in (1, 2, 3, 3, 4, 5, 6, 7, None)], "doc_id long, text string, titles array<string>")
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(1, 7)] + [(2, "s2")], "doc_id long, text string")
+    out = G.combine_siblings(hits, edges, texts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "array_join" in line and "Aggregate" in line]
+    assert grouped and all("Aggregate [_key" in line for line in grouped)
+    rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(rows) == 9 and rows.count((3, "t1 s2 t2 t3")) == 2
+    assert {t for i, t in rows if i in (1, 2, 3)} == {"t1 s2 t2 t3"} and (7, None) in rows and (None, None) in rows
